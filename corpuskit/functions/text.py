@@ -48,10 +48,10 @@ def ngrams(tokens, n: int) -> Column:
 
 
 def normalize_answer(c) -> Column:
-    """M-08 answer normaliser: lower, drop punctuation, drop articles, squeeze spaces."""
+    """M-08 answer normaliser: lower, articles -> space, drop punctuation, squeeze spaces."""
     t = F.lower(F.coalesce(col_(c), F.lit("")))
-    t = F.regexp_replace(t, r"(?U)[^\w\s]", "")
     t = F.regexp_replace(t, r"(?U)\b(a|an|the)\b", " ")
+    t = F.regexp_replace(t, r"(?U)[^\w\s]", "")
     return squeeze_ws(t)
 
 
