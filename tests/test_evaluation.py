@@ -83,7 +83,7 @@ def test_perplexity(spark):
 def test_char_accuracy_against_loop(spark):
     pairs = [("hello", "hallo"), ("abc", "abcdef"), ("", "x"), ("same", "same")]
     d = spark.createDataFrame(pairs, "prediction string, reference string")
-    r = A.char_accuracy(d).first()
+    r = A.char_accuracy(d, "prediction", "reference").first()
     c = sum(sum(1 for x, y in zip(p, q) if x == y) for p, q in pairs)
     t = sum(min(len(p), len(q)) for p, q in pairs)
     assert abs(r.char_accuracy - c * 100 / t) < 1e-9 and abs(r.exact_match - 25.0) < 1e-9
