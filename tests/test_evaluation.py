@@ -91,7 +91,7 @@ def test_char_accuracy_against_loop(spark):
 
 def test_benchmark_rollup_compare_best_table(spark):
     rows = [("m1", "d1", "bleu", "bleu", 0.2), ("m1", "d2", "bleu", "bleu", 0.4),
-            ("m2", "d1", "bleu", "bleu", 0.5), ("m2", "d2", "bleu", "bleu", 0.1),
+            ("m2", "d1", "bleu", "bleu", 0.5), ("m2", "d2", "bleu", "bleu", 0.3),
             ("m1", "d1", "exact_match", "matches", 3.0), ("m1", "d2", "exact_match", "matches", 4.0),
             ("m1", "d1", "rouge", "rouge1_fmeasure", 0.3), ("m1", "d1", "rouge", "rouge1_precision", 0.9)]
     m = spark.createDataFrame(rows, "model string, dataset string, metric string, sub_metric string, value double")
@@ -100,7 +100,8 @@ def test_benchmark_rollup_compare_best_table(spark):
     assert ("m1", "rouge_rouge1") in r and len([k for k in r if k[1].startswith("rouge")]) == 1
     roll = M.benchmark_rollup(m)
     delta = {x.model: x.delta for x in M.compare_to_baseline(roll, "m1").filter("metric_key = 'bleu'").collect()}
-    assert abs(delta["m2"] - 0.0) < 1e-12
-    assert M.best_model(roll, "bleu").first().model == "m1"  # tie 0.3 vs 0.3 -> first
+    assert abs(delta["m2"] - 0.1) < 1e-12
+    assert M.best_model(roll, "bleu").first().model == "m2"
+    assert M.best_model(roll, "missing").first().model == "m1"  # all 0 -> first
     t = M.comparison_table(m, "bleu", ["d1", "d2"]).orderBy("model").collect()
-    assert [round(x.Average, 6) for x in t] == [0.3, 0.3] and all(x.best for x in t)
+    assert [round(x.Average, 6) for x in t] == [0.3, 0.4] and [x.best for x in t] == [False, True]
