@@ -105,3 +105,20 @@ def positional_index(df: DataFrame, order: Sequence[str] | str, out: str = "pos"
     return (s.join(F.broadcast(offsets), "_pid")
             .withColumn(out, F.col("_off") + F.col("_rn"))
             .drop("_pid", "_mid", "_rn", "_off"))
+
+
+def running_sum_split(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
+                      bucket: Column, out: str = "running") -> DataFrame:
+    """Running sum of ``value`` per key in ``order`` (rows unbounded preceding .. current).
+
+    Computed per (key, bucket) plus the cumulated totals of earlier buckets of the key, which
+    come from a small per-bucket table; a hot key is therefore spread over many tasks.
+    """
+    keys, order = list(keys), list(order)
+    d = df.withColumn("_b", bucket)
+    w = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("_local", F.sum(value).over(w))
+    tot = d.groupBy(*keys, "_b").agg(F.sum(value).alias("_t"))
+    wb = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select(*keys, "_b", F.coalesce(F.sum("_t").over(wb), F.lit(0)).alias("_off"))
+    return d.join(off, keys + ["_b"]).withColumn(out, F.col("_off") + F.col("_local")).drop("_b", "_local", "_off")
