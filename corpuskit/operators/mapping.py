@@ -115,10 +115,10 @@ def workspace_samples(pages: DataFrame, mapping: dict, props_col: str = "propert
     props = F.col(props_col)
 
     def value(name):
-        direct = property_text(F.element_at(props, F.lit(name)))
+        direct = property_text(F.try_element_at(props, F.lit(name)))
         if name != "title":
             return direct
-        title_prop = F.element_at(F.map_values(F.map_filter(
+        title_prop = F.try_element_at(F.map_values(F.map_filter(
             props, lambda k, v: F.try_variant_get(v, "$.type", "string") == "title")), 1)
         fallback = F.coalesce(F.col("title").cast("string"), F.lit("")) if "title" in pages.columns else F.lit("")
         return F.when(direct != "", direct).when(title_prop.isNotNull(), property_text(title_prop)).otherwise(fallback)
@@ -253,7 +253,7 @@ def metadata_equals(df: DataFrame, filters: dict, col: str = "metadata") -> Data
     typ = dict(df.dtypes).get(col, "")
     cond = F.lit(True)
     for k, v in filters.items():
-        field = F.element_at(F.col(col), F.lit(k)) if typ.startswith("map") else F.col(col)[k]
+        field = F.try_element_at(F.col(col), F.lit(k)) if typ.startswith("map") else F.col(col)[k]
         cond = cond & (field == F.lit(v))
     return df.filter(cond)
 

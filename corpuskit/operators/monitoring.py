@@ -24,7 +24,7 @@ def counter_total(points: DataFrame, name: str, match: dict | None = None) -> Da
     """A-14: sum of a counter over points whose labels include every ``match`` pair."""
     cond = F.col("name") == name
     for k, v in (match or {}).items():
-        cond = cond & (F.element_at(F.col("labels"), F.lit(k)) == F.lit(v))
+        cond = cond & (F.try_element_at(F.col("labels"), F.lit(k)) == F.lit(v))
     return points.filter(cond).agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("total"))
 
 

@@ -395,7 +395,7 @@ def quota_rejections(spark, sf):
     names = F.array(*[F.lit(n) for n in TIER_NAMES])
     tenants = table(spark, sf, "events").select(F.col("user_id").alias("tenant_id")).distinct().select(
         "tenant_id", F.when(F.col("tenant_id") % 7 == 0, "suspended").otherwise("active").alias("status"),
-        F.element_at(names, (sha_bucket(F.col("tenant_id").cast("string"), 4) + 1).cast("int")).alias("tier"))
+        F.try_element_at(names, (sha_bucket(F.col("tenant_id").cast("string"), 4) + 1).cast("int")).alias("tier"))
     q = J.quota_check(r, tenants, tiers, tokens_col="tokens_in")
     return q.select("request_id", "reject_reason")
 
