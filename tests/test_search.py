@@ -24,8 +24,8 @@ def test_vector_topk_blocks_equal_single(spark):
     rng = np.random.default_rng(5)
     cdf = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(50)], "id long, embedding array<double>")
     qdf = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(9)], "query_id long, embedding array<double>")
-    a = sorted(tuple(r) for r in V.vector_topk(cdf, qdf, 3).collect())
-    b = sorted(tuple(r) for r in V.vector_topk(cdf, qdf, 3, max_broadcast=2).collect())
+    a = sorted((r[0], r[1], r[2], round(r[3], 9)) for r in V.vector_topk(cdf, qdf, 3).collect())
+    b = sorted((r[0], r[1], r[2], round(r[3], 9)) for r in V.vector_topk(cdf, qdf, 3, max_broadcast=2).collect())
     assert a == b
 
 
