@@ -128,3 +128,29 @@ def inverted_index_sizes(spark, sf):
     """A-26 inverted index (words of 4+ chars): documents per word."""
     p = A.inverted_index(table(spark, sf, "documents"), "doc_id", "text", 4)
     return p.select("word", "n_docs").distinct()
+
+
+def _faq(spark, sf):
+    q = table(spark, sf, "conversations").filter(F.col("role") == "user").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.col("text").alias("q"))
+    kb = table(spark, sf, "benchmark").select(F.col("item_id").alias("o"), F.col("text").alias("t"),
+                                              F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("a"))
+    return q, kb
+
+
+@register("faq_best_match")
+def faq_best_match(spark, sf):
+    """J-14 best benchmark item per user turn by sequence ratio (profile simple, >= .4)."""
+    from ..operators import matching as MT
+    q, kb = _faq(spark, sf)
+    r = MT.best_answers(q, kb, "qid", "q", "o", "t", "a", "simple")
+    return r.select("qid", "answer", F.round("confidence", 6).alias("confidence"), "found")
+
+
+@register("faq_keyword_match")
+def faq_keyword_match(spark, sf):
+    """J-13 keyword-blocked match (.7 ratio + .3 overlap, > .4) and A-24 hit rate."""
+    from ..operators import matching as MT
+    q, kb = _faq(spark, sf)
+    r = MT.best_answers(q, kb, "qid", "q", "o", "t", "a", "keyword")
+    return A.hit_rate(r)
