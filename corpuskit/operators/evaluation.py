@@ -101,7 +101,8 @@ def rouge_n_rows(preds: DataFrame, id_col: str = "id", pred_col: str = "predicti
 def rouge_l_rows(preds: DataFrame, id_col: str = "id", pred_col: str = "prediction",
                  ref_col: str = "reference") -> DataFrame:
     """M-05 per-row ROUGE-L from the LCS of token lists (Arrow kernel, rest native)."""
-    d = preds.select(F.col(id_col).alias("rid"), metric_tokens(pred_col).alias("pt"), metric_tokens(ref_col).alias("rtk"))
+    from ..session import spread
+    d = spread(preds).select(F.col(id_col).alias("rid"), metric_tokens(pred_col).alias("pt"), metric_tokens(ref_col).alias("rtk"))
     d = d.withColumn("lcs", lcs_udf("pt", "rtk"))
     ok = (F.size("pt") > 0) & (F.size("rtk") > 0)
     p = F.when(ok, F.col("lcs") / F.size("pt")).otherwise(F.lit(0.0))

@@ -90,7 +90,8 @@ def match(questions: DataFrame, kb: DataFrame, qid: str, q_col: str, kb_order: s
     """Best KB entry per question: ``qid, kb_order, score`` (kb_order NULL when every score is 0)."""
     k = kb.select(F.col(kb_order).cast("long").alias("o"), F.col(kb_q_col).alias("t"))
     n = k.count()
-    q = questions.select(F.col(qid).cast("long").alias("qid"), F.col(q_col).alias("q"))
+    from ..session import spread
+    q = spread(questions.select(F.col(qid).cast("long").alias("qid"), F.col(q_col).alias("q")), 4)
     parts = []
     for b in range(max(1, (n + max_block - 1) // max_block)):
         blk = k.orderBy("o").offset(b * max_block).limit(max_block) if n > max_block else k

@@ -72,7 +72,8 @@ def vector_topk(corpus: DataFrame, queries: DataFrame, k: int = 5, id_col: str =
     before top-k): ``query_id, doc_id, rank, score``; ties broken by doc id."""
     cosine = metric == "cosine"
     before = threshold if (threshold is not None and threshold_mode == "before") else None
-    c = corpus.select(F.col(id_col).cast("long").alias("doc_id"), F.col(vec_col).alias("vec"))
+    from ..session import spread
+    c = spread(corpus.select(F.col(id_col).cast("long").alias("doc_id"), F.col(vec_col).alias("vec")))
     q = queries.select(F.col(qid_col).cast("long").alias("query_id"), F.col(qvec_col).alias("qvec"))
     nq = q.count()
     blocks = []

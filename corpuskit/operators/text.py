@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from ..functions.chunking import chunk_udf
 from ..functions.html import faq_from_structure, html_to_text
 from ..functions.text import col_, metric_tokens
+from ..session import spread
 
 
 def py_strip(c) -> Column:
@@ -31,7 +32,7 @@ def chunk_documents(docs: DataFrame, id_col: str, text_col: str, profile: str =
     ``chunk_index``, ``total_chunks`` and ``created_at``."""
     arr = chunk_udf(profile, size, overlap)(F.col(text_col))
     src = F.col(source_col).cast("string") if source_col else F.col(id_col).cast("string")
-    d = docs.select(F.col(id_col).alias("doc_id"), src.alias("source"), arr.alias("_c"))
+    d = spread(docs).select(F.col(id_col).alias("doc_id"), src.alias("source"), arr.alias("_c"))
     d = d.select("doc_id", "source", F.size("_c").alias("total_chunks"), F.posexplode("_c").alias("chunk_index", "content"))
     cid = F.substring(F.md5(F.concat_ws(":", "source", F.col("chunk_index").cast("string"),
                                         F.substring("content", 1, 50))), 1, 12)
@@ -90,7 +91,7 @@ def html_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
             res = [html_to_text(h, profile) for h in pdf["html"]]
             yield pd.DataFrame({"page_id": pdf["page_id"], "text": [r[0] for r in res], "title": [r[1] for r in res]})
 
-    out = pages.select(*cols).mapInPandas(run, _HTML_SCHEMA)
+    out = spread(pages.select(*cols)).mapInPandas(run, _HTML_SCHEMA)
     if url_col and profile == "site":
         out = out.join(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("_url")), "page_id") \
             .withColumn("title", F.coalesce("title", "_url")).drop("_url")
@@ -110,7 +111,7 @@ def faq_structure(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
                     rows.append((pid, q, a, pat, k))
             yield pd.DataFrame(rows, columns=["page_id", "input", "output", "pattern", "k"])
 
-    return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).alias("html")).mapInPandas(run, _FAQ_SCHEMA)
+    return spread(pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).alias("html"))).mapInPandas(run, _FAQ_SCHEMA)
 
 
 QA_TEXT_PATTERN = r"(?is)(?:Q:|Question:?)\s*(.+?)\s*(?:A:|Answer:?)\s*(.+?)(?=(?:Q:|Question:|$))"
@@ -311,9 +312,8 @@ def long_paragraphs(docs: DataFrame, id_col: str, text_col: str, min_len: int =
 def best_snippet(df: DataFrame, text_col: str, query_col: str, width: int = 200, step: int = 50) -> DataFrame:
     """D-22: the ``width``-char window (start step ``step``) holding the most query tokens
     (substring test on lower-cased text; first best wins), with "..." at cut ends."""
-    t = F.col(text_col)
-    toks = metric_tokens(query_col)
-    lt = F.lower(t)
+    d = spread(df).withColumn("_lt", F.lower(F.col(text_col))).withColumn("_qt", metric_tokens(query_col))
+    t, lt, toks = F.col(text_col), F.col("_lt"), F.col("_qt")
     n = F.length(t)
     starts = F.when(n - width > 0, F.sequence(F.lit(0), n - width - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
     scored = F.transform(starts, lambda s: F.struct(
@@ -323,4 +323,4 @@ def best_snippet(df: DataFrame, text_col: str, query_col: str, width: int = 200,
     snip = F.substring(t, start + 1, width)
     snip = F.when(start > 0, F.concat(F.lit("..."), snip)).otherwise(snip)
     snip = F.when(start + width < n, F.concat(snip, F.lit("..."))).otherwise(snip)
-    return df.withColumn("snippet", snip)
+    return d.withColumn("snippet", snip).drop("_lt", "_qt")

@@ -77,3 +77,13 @@ def register_tables(spark: SparkSession, sf_dir: str, names=DRIVER_TABLES) -> No
     """Expose the driver tables as temp views for SQL-form operators."""
     for n in names:
         table(spark, sf_dir, n).createOrReplaceTempView(n)
+
+
+def spread(df: DataFrame, factor: int = 2) -> DataFrame:
+    """Round-robin ``df`` over at least ``factor x`` the cluster's cores when it has fewer
+    partitions than cores (small inputs feeding CPU-heavy per-row work: kernels, regex HOFs).
+    Large inputs already have enough partitions and pass through without a shuffle."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        return df.repartition(par * factor)
+    return df
