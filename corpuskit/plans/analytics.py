@@ -129,7 +129,7 @@ def error_level_events(spark, sf):
 @register("document_keyword_coverage", """
 WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS r, [lang, 'the', 'und', 'que'] AS kw, length(coalesce(text, '')) AS rl FROM documents),
 s AS (SELECT doc_id, len(list_filter(kw, lambda k: contains(r, lower(k)))) / len(kw) AS coverage, rl FROM d)
-SELECT doc_id, round(coverage, 6) AS coverage, coverage >= 0.5 AS passed, rl AS response_length FROM s""")
+SELECT doc_id, round(coverage, 6) AS coverage, coverage >= 0.5 AS passed, CAST(rl AS INTEGER) AS response_length FROM s""")
 def document_keyword_coverage(spark, sf):
     """A-21 keyword coverage of each document for [lang, the, und, que]."""
     d = table(spark, sf, "documents").select("doc_id", F.col("text").alias("response"),

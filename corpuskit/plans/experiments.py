@@ -89,8 +89,8 @@ WITH a AS ({ASSIGN_SQL})
 SELECT experiment_id, variant_id, count(*) AS request_count, count(*) FILTER (WHERE success) AS success_count,
   count(*) FILTER (WHERE NOT success) AS error_count, round(sum(latency_ms), 6) AS total_latency_ms,
   round(sum(latency_ms) / count(*), 6) AS avg_latency_ms, min(latency_ms) AS min_latency_ms, max(latency_ms) AS max_latency_ms,
-  round(count(*) FILTER (WHERE success) / count(*), 6) AS success_rate, sum(tokens_in) AS total_tokens_in,
-  sum(tokens_out) AS total_tokens_out, round(sum(tokens_in) / count(*), 6) AS avg_tokens_in,
+  round(count(*) FILTER (WHERE success) / count(*), 6) AS success_rate, CAST(sum(tokens_in) AS BIGINT) AS total_tokens_in,
+  CAST(sum(tokens_out) AS BIGINT) AS total_tokens_out, round(sum(tokens_in) / count(*), 6) AS avg_tokens_in,
   round(sum(tokens_out) / count(*), 6) AS avg_tokens_out,
   round(CASE WHEN sum(latency_ms) > 0 THEN sum(tokens_out) * 1000.0 / sum(latency_ms) ELSE 0 END, 6) AS tokens_per_second,
   {sql_ts('max(ts)')} AS last_updated
@@ -259,7 +259,7 @@ def latency_quantiles(spark, sf):
 
 
 @register("tenant_usage", f"""
-SELECT user_id AS tenant_id, count(*) AS total_requests, sum(tokens_in) AS total_tokens_in, sum(tokens_out) AS total_tokens_out,
+SELECT user_id AS tenant_id, count(*) AS total_requests, CAST(sum(tokens_in) AS BIGINT) AS total_tokens_in, CAST(sum(tokens_out) AS BIGINT) AS total_tokens_out,
   {sql_ts('max(ts)')} AS last_request FROM ({REQ_SQL}) GROUP BY user_id""")
 def tenant_usage(spark, sf):
     """A-18 usage totals per tenant (user)."""
@@ -313,8 +313,8 @@ def last_orders_per_status(spark, sf):
 
 
 @register("in_flight", """
-SELECT event_id, user_id, sum(CASE WHEN event_type = 'click' THEN 1 WHEN event_type = 'purchase' THEN -1 ELSE 0 END)
-  OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS in_flight FROM events""")
+SELECT event_id, user_id, CAST(sum(CASE WHEN event_type = 'click' THEN 1 WHEN event_type = 'purchase' THEN -1 ELSE 0 END)
+  OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS in_flight FROM events""")
 def in_flight(spark, sf):
     """W-07 running +1 (click) / -1 (purchase) per user, split by day so a hot user spreads."""
     e = table(spark, sf, "events").withColumn(

@@ -76,7 +76,7 @@ def tenant_quota_decisions(spark, sf):
 
 
 @register("stream_tenant_usage", f"""
-SELECT user_id AS tenant_id, count(*) AS total_requests, sum(tokens_in) AS total_tokens_in, sum(tokens_out) AS total_tokens_out,
+SELECT user_id AS tenant_id, count(*) AS total_requests, CAST(sum(tokens_in) AS BIGINT) AS total_tokens_in, CAST(sum(tokens_out) AS BIGINT) AS total_tokens_out,
   {sql_ts('max(ts)')} AS last_request FROM ({REQ_SQL}) GROUP BY user_id""")
 def stream_tenant_usage(spark, sf):
     """T-04 running usage per tenant, streamed in update mode; the final state is returned."""

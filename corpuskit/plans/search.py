@@ -93,7 +93,7 @@ def index_upsert(spark, sf):
     return V.upsert(base, upd, "id", "load_seq").select("id", "label", "load_seq")
 
 
-@register("index_stats", "SELECT count(*) AS n_chunks, max(len(embedding)) AS dimension FROM embeddings")
+@register("index_stats", "SELECT count(*) AS n_chunks, CAST(max(len(embedding)) AS INTEGER) AS dimension FROM embeddings")
 def index_stats(spark, sf):
     """A-25 chunk count and dimension."""
     return A.index_stats(table(spark, sf, "embeddings"))

@@ -41,7 +41,7 @@ def csv_roundtrip(spark, sf):
 
 
 @register("api_envelope_items", """
-SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS page, count(*) AS n_items, sum(event_id) AS id_sum
+SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS page, count(*) AS n_items, CAST(sum(event_id) AS BIGINT) AS id_sum
 FROM events GROUP BY 1""")
 def api_envelope_items(spark, sf):
     """S-10: events landed as one API response per day ({"data": [...], "next": cursor})

@@ -44,7 +44,7 @@ def rows_of(records, cols):
 
 def main(argv):
     sf = argv[1] if len(argv) > 1 and argv[1].startswith("/") else "/root/testdata/sf0.01"
-    names = [a for a in argv[1:] if not a.startswith("/")]
+    names = [a for a in argv[1:] if not a.startswith("/") and not a.startswith("--")]
     import __spark_entry__ as E
     spark = build_session("local[8]", shuffle_partitions=8, extra={"spark.ui.showConsoleProgress": "false"})
     con = duckdb.connect()
@@ -57,6 +57,7 @@ def main(argv):
         try:
             df = qs[name](spark, sf)
             s_cols = df.columns
+            s_types = dict(df.dtypes)
             s_rows = [tuple(r) for r in df.collect()]
         except Exception as e:  # noqa: BLE001
             print(f"FAIL {name}: spark error {str(e)[:400]}")
@@ -69,6 +70,7 @@ def main(argv):
         try:
             cur = con.execute(sqls[name])
             d_cols = [c[0] for c in cur.description]
+            d_types = {c[0]: str(c[1]) for c in cur.description}
             d_rows = cur.fetchall()
         except Exception as e:  # noqa: BLE001
             print(f"FAIL {name}: duckdb error {str(e)[:400]}")
@@ -78,6 +80,12 @@ def main(argv):
             print(f"FAIL {name}: columns spark={s_cols} duck={d_cols}")
             bad += 1
             continue
+        spark2duck = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+                      "boolean": "BOOLEAN", "float": "FLOAT", "smallint": "SMALLINT", "tinyint": "TINYINT"}
+        tdiff = [(c, s_types[c], d_types[c]) for c in s_cols
+                 if spark2duck.get(s_types[c], s_types[c]).upper() != d_types[c].upper()]
+        if tdiff and "--types" in sys.argv:
+            print(f"TYPE {name}: {tdiff}")
         a, b = rows_of(s_rows, s_cols), rows_of(d_rows, d_cols)
         if a != b:
             bad += 1
