@@ -267,3 +267,37 @@ def comparison_table(metrics: DataFrame, metric_key: str, datasets: Sequence[str
     avg = reduce(lambda a, b: a + b, [F.coalesce(F.col(f"`{d}`"), F.lit(0.0)) for d in datasets]) / len(datasets)
     p = p.withColumn("Average", avg)
     return p.withColumn("best", F.col("Average") == F.max("Average").over(Window.partitionBy()))
+
+
+def predict(samples: DataFrame, fn, input_col: str = "input", out: str = "prediction") -> DataFrame:
+    """UD-02: run a user predictor over a sample table in Arrow batches.
+
+    ``fn`` maps a pandas Series of inputs to a Series of predictions. If it fails on a batch,
+    that batch is retried row by row so the failing rows carry their ``error`` text (A-28
+    splits on it) and the others keep their prediction.
+    """
+    import pandas as pd
+
+    cols = samples.columns
+    schema = samples.select("*", F.lit("").alias(out), F.lit("").alias("error")).schema
+
+    def run(it):
+        for pdf in it:
+            try:
+                preds = list(fn(pdf[input_col]))
+                errs = [None] * len(pdf)
+            except Exception:  # noqa: BLE001 - isolate the failing rows
+                preds, errs = [], []
+                for x in pdf[input_col]:
+                    try:
+                        preds.append(list(fn(pd.Series([x])))[0])
+                        errs.append(None)
+                    except Exception as e:  # noqa: BLE001
+                        preds.append(None)
+                        errs.append(f"{type(e).__name__}: {e}")
+            res = pdf[cols].copy()
+            res[out] = [None if p is None else str(p) for p in preds]
+            res["error"] = errs
+            yield res
+
+    return samples.mapInPandas(run, schema)

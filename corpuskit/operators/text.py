@@ -324,3 +324,98 @@ def best_snippet(df: DataFrame, text_col: str, query_col: str, width: int = 200,
     snip = F.when(start > 0, F.concat(F.lit("..."), snip)).otherwise(snip)
     snip = F.when(start + width < n, F.concat(snip, F.lit("..."))).otherwise(snip)
     return d.withColumn("snippet", snip).drop("_lt", "_qt")
+
+
+# ------------------------------------------------------------------ block lists / doc structure (D-17, D-18)
+
+# Block types carrying rich text, and the prefixes of the connector profile.
+TEXT_BLOCKS = ["paragraph", "heading_1", "heading_2", "heading_3", "bulleted_list_item", "numbered_list_item",
+               "quote", "callout", "toggle"]
+CONNECTOR_PREFIX = {"heading_1": "# ", "heading_2": "## ", "heading_3": "### ", "bulleted_list_item": "- ",
+                    "numbered_list_item": "1. ", "quote": "> "}
+URL_PREFIX = {"bulleted_list_item": "• ", "numbered_list_item": "- "}
+URL_TYPES = ["paragraph", "heading_1", "heading_2", "heading_3", "bulleted_list_item", "numbered_list_item", "toggle"]
+
+
+def _rich(b, typ):
+    arr = F.try_variant_get(b, f"$.{typ}.rich_text", "array<struct<plain_text:string>>")
+    return F.array_join(F.transform(F.coalesce(arr, F.array().cast("array<struct<plain_text:string>>")),
+                                    lambda t: F.coalesce(t["plain_text"], F.lit(""))), "")
+
+
+def blocks_to_text(df: DataFrame, blocks_col: str, profile: str = "connector", out: str = "text") -> DataFrame:
+    """D-17: a block list (JSON text or VARIANT array of ``{type, <type>: {rich_text: [...]}}``)
+    -> text, in block order, inside the row (no shuffle).
+
+    connector: markdown prefixes for headings, bullets, numbers and quotes; code blocks fenced
+    with their language; dividers as "---"; non-empty parts joined by a blank line (nested
+    children are not visited, as at the top level of the reference).
+    url: paragraph / heading / toggle text, "• " bullets, "- " numbered items; joined by newlines.
+    """
+    c = F.col(blocks_col)
+    v = F.try_parse_json(c) if dict(df.dtypes)[blocks_col] == "string" else c
+    arr = F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))
+
+    def one(b):
+        typ = F.try_variant_get(b, "$.type", "string")
+        e = None
+        types = TEXT_BLOCKS if profile == "connector" else URL_TYPES
+        prefixes = CONNECTOR_PREFIX if profile == "connector" else URL_PREFIX
+        for t in types:
+            txt = _rich(b, t)
+            if t in prefixes:
+                txt = F.when(txt != "", F.concat(F.lit(prefixes[t]), txt)).otherwise(txt) if profile == "url" \
+                    else F.concat(F.lit(prefixes[t]), txt)
+            e = F.when(typ == t, txt) if e is None else e.when(typ == t, txt)
+        if profile == "connector":
+            lang = F.coalesce(F.try_variant_get(b, "$.code.language", "string"), F.lit(""))
+            e = e.when(typ == "code", F.concat(F.lit("```"), lang, F.lit("\n"), _rich(b, "code"), F.lit("\n```")))
+            e = e.when(typ == "divider", F.lit("---"))
+        return F.coalesce(e, F.lit(""))
+
+    parts = F.filter(F.transform(arr, one), lambda s: s != "")
+    return df.withColumn(out, F.array_join(parts, "\n\n" if profile == "connector" else "\n"))
+
+
+_PARA = "struct<elements:array<struct<textRun:struct<content:string>,inlineObjectElement:string>>,bullet:struct<nestingLevel:int>>"
+_TABLE = f"struct<tableRows:array<struct<tableCells:array<struct<content:array<struct<paragraph:{_PARA}>>>>>>>"
+_ELEM = f"struct<paragraph:{_PARA},table:{_TABLE},tableOfContents:struct<content:array<struct<paragraph:{_PARA},table:{_TABLE}>>>>"
+DOC_SCHEMA = f"struct<title:string,body:struct<content:array<{_ELEM}>>>"
+
+
+def _para_text(p):
+    els = F.coalesce(p["elements"], F.array())
+    raw = F.array_join(F.transform(els, lambda e: F.concat(
+        F.coalesce(e["textRun"]["content"], F.lit("")),
+        F.when(e["inlineObjectElement"].isNotNull(), F.lit("[Image]")).otherwise(F.lit("")))), "")
+    bullet = F.when(p["bullet"].isNotNull(), F.concat(F.lit("• "), py_strip(raw))).otherwise(raw)
+    return F.when(p.isNull(), F.lit("")).otherwise(py_strip(bullet))
+
+
+def _table_text(t):
+    rows = F.transform(F.coalesce(t["tableRows"], F.array()), lambda r: F.array_join(F.transform(
+        F.coalesce(r["tableCells"], F.array()), lambda c: F.array_join(F.filter(
+            F.transform(F.coalesce(c["content"], F.array()), lambda x: _para_text(x["paragraph"])), lambda s: s != ""), " ")),
+        " | "))
+    return F.when(t.isNull(), F.lit("")).otherwise(F.array_join(rows, "\n"))
+
+
+def _elem_text(e, with_toc=True):
+    parts = [_para_text(e["paragraph"]), _table_text(e["table"])]
+    if with_toc:
+        toc = F.transform(F.coalesce(e["tableOfContents"]["content"], F.array()), lambda x: _elem_text(x, False))
+        return F.array_join(F.filter(F.concat(F.array(*parts), toc), lambda s: s != ""), "\n")
+    return F.array_join(F.filter(F.array(*parts), lambda s: s != ""), "\n")
+
+
+def document_structure_text(df: DataFrame, json_col: str, out: str = "text", include_title: bool = True,
+                            separator: str = "\n\n") -> DataFrame:
+    """D-18: document structure JSON -> text: title and a blank part, then each body element
+    (paragraph runs with "[Image]" for inline objects, "• " bullets, tables as "a | b" rows,
+    table-of-contents entries), non-empty parts joined by ``separator``. Fixed-depth schema,
+    nested ``transform``; the bullet indent is stripped with the paragraph, as in the reference."""
+    d = df.withColumn("_doc", F.from_json(F.col(json_col), DOC_SCHEMA))
+    body = F.filter(F.transform(F.coalesce(F.col("_doc.body.content"), F.array()), lambda e: _elem_text(e)), lambda s: s != "")
+    head = F.when(F.lit(include_title) & F.col("_doc.title").isNotNull(), F.array(F.col("_doc.title"), F.lit(""))) \
+        .otherwise(F.array().cast("array<string>"))
+    return d.withColumn(out, F.array_join(F.concat(head, body), separator)).drop("_doc")

@@ -105,3 +105,19 @@ def test_benchmark_rollup_compare_best_table(spark):
     assert M.best_model(roll, "missing").first().model == "m1"  # all 0 -> first
     t = M.comparison_table(m, "bleu", ["d1", "d2"]).orderBy("model").collect()
     assert [round(x.Average, 6) for x in t] == [0.3, 0.4] and [x.best for x in t] == [False, True]
+
+
+def test_predict_plug_point_and_batch_split(spark):
+    import pandas as pd
+
+    def model(s: pd.Series) -> pd.Series:
+        if (s == "boom").any():
+            raise ValueError("bad input")
+        return s.str.upper()
+
+    d = spark.createDataFrame([(1, "a"), (2, "boom"), (3, "c")], "id int, input string").coalesce(1)
+    p = M.predict(d, model)
+    rows = {r.id: (r.prediction, r.error) for r in p.collect()}
+    assert rows[1] == ("A", None) and rows[3] == ("C", None) and rows[2][0] is None and "bad input" in rows[2][1]
+    ok, bad, tot = A.batch_split(p)
+    assert tuple(tot.first()) == (3, 2, 1)
