@@ -279,7 +279,9 @@ def predict(samples: DataFrame, fn, input_col: str = "input", out: str = "predic
     import pandas as pd
 
     cols = samples.columns
-    schema = samples.select("*", F.lit("").alias(out), F.lit("").alias("error")).schema
+    from pyspark.sql import types as T
+    schema = T.StructType(samples.schema.fields + [T.StructField(out, T.StringType(), True),
+                                                   T.StructField("error", T.StringType(), True)])
 
     def run(it):
         for pdf in it:
