@@ -57,7 +57,8 @@ def bleu(preds: DataFrame, refs: DataFrame | None = None, id_col: str = "id", pr
     closest = (rt.select("rid", "ref_no", F.size("rtk").alias("rlen")).join(plen, "rid")
                .groupBy("rid").agg(F.min_by("rlen", F.struct(F.abs(F.col("rlen") - F.col("plen")), F.col("ref_no"))).alias("rlen")))
     lens = plen.join(closest, "rid", "left").agg(F.sum("plen").alias("P"), F.sum(F.coalesce("rlen", F.lit(0))).alias("R"))
-    d = per_n.crossJoin(lens)  # two one-row tables
+    from .relate import with_one_row
+    d = with_one_row(per_n, lens)  # two one-row aggregates
     prec = []
     for n in range(1, max_n + 1):
         m, c = F.coalesce(F.col(f"{n}_m"), F.lit(0)), F.coalesce(F.col(f"{n}_c"), F.lit(0))
@@ -87,8 +88,7 @@ def rouge_n_rows(preds: DataFrame, id_col: str = "id", pred_col: str = "predicti
         F.sum(F.least(F.coalesce("cnt", F.lit(0)), F.coalesce("rcnt", F.lit(0)))).alias("overlap"),
         F.sum(F.coalesce("cnt", F.lit(0))).alias("ptot"), F.sum(F.coalesce("rcnt", F.lit(0))).alias("rtot"))
     # rows with no n-grams on either side still count in the average (all zeros)
-    ids = preds.select(F.col(id_col).alias("rid")).crossJoin(
-        preds.sparkSession.createDataFrame([(n,) for n in orders], "n int"))
+    ids = preds.select(F.col(id_col).alias("rid"), F.explode(F.array(*[F.lit(n) for n in orders])).alias("n"))
     d = ids.join(ov, ["rid", "n"], "left").na.fill(0, ["overlap", "ptot", "rtot"])
     p = F.when(F.col("ptot") > 0, F.col("overlap") / F.col("ptot")).otherwise(F.lit(0.0))
     r = F.when(F.col("rtot") > 0, F.col("overlap") / F.col("rtot")).otherwise(F.lit(0.0))

@@ -43,11 +43,9 @@ def retain_newest(df: DataFrame, id_col: str, ts: str, keep: int) -> DataFrame:
 
 def positional_split(df: DataFrame, order: Sequence[str] | str, ratio: float = 0.9) -> DataFrame:
     """W-09: first ``int(n * ratio)`` rows in input order -> train, rest -> validation."""
-    d = positional_index(df, order, "_pos")
-    n = d.agg(F.count(F.lit(1)).alias("n"))
-    return d.crossJoin(F.broadcast(n)).withColumn(
-        "split", F.when(F.col("_pos") < F.floor(F.col("n") * ratio), F.lit("train")).otherwise(F.lit("validation"))
-    ).drop("n")
+    d = positional_index(df, order, "_pos")  # materialised once; counting it is cheap
+    cut = int(d.count() * ratio)
+    return d.withColumn("split", F.when(F.col("_pos") < cut, F.lit("train")).otherwise(F.lit("validation")))
 
 
 def hash_order(seed: int, *cols) -> Column:
@@ -60,15 +58,14 @@ def random_split(df: DataFrame, key: str, fractions: Sequence[float] = (0.8, 0.1
     """W-10: seeded shuffle + exact-size split. Rows are ranked by a hash of (seed, key); the
     first ``int(n * f1)`` go to the first split, and so on; the last split takes the rest."""
     d = positional_index(df.withColumn("_h", hash_order(seed, key)), ["_h", key], "_pos")
-    n = d.agg(F.count(F.lit(1)).alias("_n"))
-    d = d.crossJoin(F.broadcast(n))
+    n = d.count()  # materialised once; counting it is cheap
     cum, expr = 0.0, None
     for f, name in zip(fractions[:-1], names[:-1]):
         cum += f
-        cond = F.col("_pos") < F.floor(F.col("_n") * cum)
+        cond = F.col("_pos") < int(n * cum)
         expr = F.when(cond, F.lit(name)) if expr is None else expr.when(cond, F.lit(name))
     expr = expr.otherwise(F.lit(names[len(fractions) - 1])) if expr is not None else F.lit(names[0])
-    return d.withColumn("split", expr).drop("_h", "_n")
+    return d.withColumn("split", expr).drop("_h")
 
 
 def approx_split(df: DataFrame, fractions: Sequence[float] = (0.9, 0.1), seed: int = 42):
@@ -95,11 +92,12 @@ def label_ids(df: DataFrame, label: str = "output", seq: str | None = None) -> D
     """
     if seq:
         d = df.groupBy(label).agg(F.min(seq).alias("_first"))
-        w = Window.orderBy("_first", label)
+        order = ["_first", label]
     else:
         d = df.select(label).distinct()
-        w = Window.orderBy(label)
-    return d.withColumn("label_id", (F.row_number().over(w) - 1).cast("int")).select(label, "label_id")
+        order = [label]
+    # distributed dense numbering (no single-partition window, whatever the label count)
+    return positional_index(d, order, "_pos").select(label, F.col("_pos").cast("int").alias("label_id"))
 
 
 def job_states(events: DataFrame, job: str = "job_id", ts: str = "ts", seq: str = "seq",

@@ -20,6 +20,14 @@ class BroadcastTooLarge(ValueError):
     """The side asked to be broadcast is above its row bound."""
 
 
+def with_one_row(df: DataFrame, one: DataFrame) -> DataFrame:
+    """Attach the columns of a one-row frame (a global aggregate) to every row of ``df``.
+
+    Catalyst plans this as a nested-loop join against the single broadcast row: linear in
+    ``df``, no pairs are produced. Use only for one-row frames."""
+    return df.withColumn("_one", F.lit(1)).join(F.broadcast(one.withColumn("_one", F.lit(1))), "_one").drop("_one")
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """Broadcast ``df`` only after checking its row count against ``max_rows``.
 
@@ -47,7 +55,7 @@ def dedup_report(df: DataFrame, deduped: DataFrame) -> DataFrame:
     """J-01 report: rows before, after and removed (one row)."""
     a = df.agg(F.count(F.lit(1)).alias("before"))
     b = deduped.agg(F.count(F.lit(1)).alias("after"))
-    return a.crossJoin(b).withColumn("removed", F.col("before") - F.col("after"))
+    return with_one_row(a, b).withColumn("removed", F.col("before") - F.col("after"))
 
 
 def combine_sources(frames: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
@@ -178,9 +186,17 @@ def event_fanout(events: DataFrame, endpoints: DataFrame, type_col: str = "event
 
     Endpoints are a configuration table; the broadcast is size-checked.
     """
-    ep = bounded_broadcast(endpoints.filter(F.col("enabled")), 10_000)
-    cond = (F.size(ep["events"]) == 0) | F.array_contains(ep["events"], events[type_col])
-    return events.join(ep, cond, "inner")
+    n = endpoints.limit(10_001).count()
+    if n > 10_000:
+        raise BroadcastTooLarge("more than 10000 endpoints: join them as a table instead")
+    eps = [r.asDict() for r in endpoints.filter(F.col("enabled")).collect()]  # bounded config rows
+    if not eps:
+        return events.withColumn("endpoint_id", F.lit(None).cast("string")).limit(0)
+    arr = F.array(*[F.struct(F.lit(e["endpoint_id"]).alias("endpoint_id"),
+                             F.array(*[F.lit(x) for x in (e["events"] or [])]).cast("array<string>").alias("events"))
+                    for e in eps])
+    hit = F.filter(arr, lambda e: (F.size(e["events"]) == 0) | F.array_contains(e["events"], F.col(type_col)))
+    return events.withColumn("_ep", F.explode(hit)).withColumn("endpoint_id", F.col("_ep.endpoint_id")).drop("_ep")
 
 
 def attach_parent(hits: DataFrame, docs: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:

@@ -83,7 +83,8 @@ def validation_report(lines: DataFrame, line_col: str = "line", num_col: str = "
         F.count_if(F.length("output") < 10).alias("short_outputs"),
         F.coalesce(F.avg(F.length("input")), F.lit(0.0)).alias("avg_input_length"),
         F.coalesce(F.avg(F.length("output")), F.lit(0.0)).alias("avg_output_length"))
-    return issues, per_line.crossJoin(per_valid)
+    from .relate import with_one_row
+    return issues, with_one_row(per_line, per_valid)
 
 
 def quality_checks(samples: DataFrame) -> DataFrame:

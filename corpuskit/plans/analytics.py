@@ -92,7 +92,8 @@ SELECT count(*) FILTER (WHERE text IS NOT NULL AND role IS NOT NULL) AS accepted
 def task_contract_rejects(spark, sf):
     """P-05 task contract: (text -> input, role -> output); rows lacking either rejected."""
     ok, bad = P.task_contract(table(spark, sf, "conversations"), "text", "role")
-    return ok.agg(F.count(F.lit(1)).alias("accepted")).crossJoin(bad.agg(F.count(F.lit(1)).alias("rejected")))
+    from ..operators.relate import with_one_row
+    return with_one_row(ok.agg(F.count(F.lit(1)).alias("accepted")), bad.agg(F.count(F.lit(1)).alias("rejected")))
 
 
 @register("long_user_messages", """

@@ -48,10 +48,10 @@ MIN_SAMPLE = 100
 
 
 def variants(spark, sf):
-    tpl = spark.createDataFrame([(i, n, c, p) for i, (n, c, p) in enumerate(VARIANT_TEMPLATE)],
-                                "variant_seq int, name string, is_control boolean, percentage double")
+    tpl = F.array(*[F.struct(F.lit(i).alias("variant_seq"), F.lit(n).alias("name"), F.lit(c).alias("is_control"),
+                             F.lit(p).alias("percentage")) for i, (n, c, p) in enumerate(VARIANT_TEMPLATE)])
     exps = table(spark, sf, "events").select(F.col("event_type").alias("experiment_id")).distinct()
-    v = exps.crossJoin(F.broadcast(tpl))  # experiments x a 3-row template
+    v = exps.select("experiment_id", F.explode(tpl).alias("t")).select("experiment_id", "t.*")
     return v.withColumn("variant_id", F.concat_ws("/", "experiment_id", "name")).withColumn("seq", F.col("variant_seq"))
 
 
