@@ -13,6 +13,7 @@ from __future__ import annotations
 import difflib
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,46 +27,49 @@ def _words(s: str) -> set:
     return set(_WORD.findall(s))
 
 
-def _best(q: str, kb: list, mode: str):
+def _best(q: str, kb: list, mode: str, hist=None, vocab=None, lens=None):
     """Best (kb_order, score, has_candidates) of one question against a KB block.
 
     mode ``ratio`` (J-14): difflib ratio of lower-cased (``ratio_strip``: also stripped)
     texts. mode ``keyword`` (J-13): candidates share a keyword (> 3 chars) with the question,
     else every entry; score = .7 ratio + .3 word overlap. Ties keep the earlier entry.
+
+    difflib's ``quick_ratio`` (character-multiset overlap) bounds ``ratio`` from above; it is
+    computed for the whole block at once from character histograms, and exact ratios are
+    computed best-bound-first until no remaining bound can win.
     """
     ql = q.lower().strip() if mode == "ratio_strip" else q.lower()
     qw = _words(ql) if mode == "keyword" else None
-    cands = kb
+    idx = np.arange(len(kb))
     has = True
     if mode == "keyword":
-        c = [e for e in kb if qw & e[3]]
-        has = bool(c)
-        cands = c if c else kb
-    scored = []
-    for e in cands:
-        order, sm = e[0], e[4]
-        sm.set_seq1(ql)  # a = question, b = KB text (its index is built once per task)
-        ov = len(qw & e[2]) / max(len(qw), 1) if mode == "keyword" else 0.0
-        ub = sm.real_quick_ratio()
-        ub = 0.7 * ub + 0.3 * ov if mode == "keyword" else ub
-        scored.append((ub, order, e, ov))
-    scored.sort(key=lambda x: (-x[0], x[1]))
+        c = np.array([i for i, e in enumerate(kb) if qw & e[3]], dtype=np.int64)
+        has = c.size > 0
+        if has:
+            idx = c
+    if idx.size == 0:
+        return None, 0.0, has
+    qh = np.zeros(len(vocab) + 1, dtype=np.int32)
+    for ch in ql:
+        qh[vocab.get(ch, len(vocab))] += 1
+    qh[len(vocab)] = 0  # characters absent from the block cannot match
+    inter = np.minimum(hist[idx], qh).sum(axis=1)
+    denom = lens[idx] + len(ql)
+    ub = np.where(denom > 0, 2.0 * inter / np.maximum(denom, 1), 1.0)
+    ov = np.array([len(qw & kb[i][2]) / max(len(qw), 1) for i in idx]) if mode == "keyword" else np.zeros(idx.size)
+    if mode == "keyword":
+        ub = 0.7 * ub + 0.3 * ov
+    order = np.lexsort((np.array([kb[i][0] for i in idx]), -ub))
     best_s, best_o = 0.0, None
-    for ub, order, e, ov in scored:
-        if ub < best_s or (ub == best_s and best_o is not None and order > best_o):
+    for j in order:
+        e = kb[idx[j]]
+        if ub[j] < best_s or (ub[j] == best_s and best_o is not None and e[0] > best_o):
             break
         sm = e[4]
-        sm.set_seq1(ql)
-        if mode == "keyword":
-            if 0.7 * sm.quick_ratio() + 0.3 * ov < best_s:
-                continue
-            s = 0.7 * sm.ratio() + 0.3 * ov
-        else:
-            if sm.quick_ratio() < best_s:
-                continue
-            s = sm.ratio()
-        if s > best_s or (s == best_s and best_o is not None and order < best_o):
-            best_s, best_o = s, order
+        sm.set_seq1(ql)  # a = question, b = KB text (its index is built once per task)
+        s = 0.7 * sm.ratio() + 0.3 * ov[j] if mode == "keyword" else sm.ratio()
+        if s > best_s or (s == best_s and best_o is not None and e[0] < best_o):
+            best_s, best_o = s, e[0]
     return best_o, best_s, has
 
 
@@ -76,10 +80,19 @@ def _kernel(kb_rows, mode):
         low = low.strip() if mode == "ratio_strip" else low
         words = _words(low) if mode == "keyword" else set()
         prepared.append((order, low, words, {w for w in words if len(w) > 3}, difflib.SequenceMatcher(None, "", low)))
+    vocab = {}
+    for e in prepared:
+        for ch in e[1]:
+            vocab.setdefault(ch, len(vocab))
+    hist = np.zeros((len(prepared), len(vocab) + 1), dtype=np.int32)
+    for i, e in enumerate(prepared):
+        for ch in e[1]:
+            hist[i, vocab[ch]] += 1
+    lens = np.array([len(e[1]) for e in prepared], dtype=np.int64)
 
     def run(it):
         for pdf in it:
-            res = [_best(q or "", prepared, mode) for q in pdf["q"]]
+            res = [_best(q or "", prepared, mode, hist, vocab, lens) for q in pdf["q"]]
             yield pd.DataFrame({"qid": pdf["qid"].astype("int64"), "kb_order": [r[0] for r in res],
                                 "score": [float(r[1]) for r in res], "has_candidates": [r[2] for r in res]})
     return run
