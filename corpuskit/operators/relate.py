@@ -149,9 +149,11 @@ def align_by_key(preds: DataFrame, refs: DataFrame, key: str) -> DataFrame:
     p = preds.withColumn("_pside", F.lit(True))
     r = refs.withColumn("_rside", F.lit(True))
     j = p.join(r, on=key, how="full_outer")
-    guard = F.when(F.col("_pside").isNull() | F.col("_rside").isNull(),
-                   F.raise_error(F.lit("predictions and references must have the same length / ids")))
-    return j.withColumn("_pside", F.coalesce(guard.cast("boolean"), F.col("_pside"))).drop("_pside", "_rside")
+    unmatched = F.col("_pside").isNull() | F.col("_rside").isNull()
+    # a filter predicate is never pruned, so the check runs on every row
+    ok = F.when(unmatched, F.raise_error(F.lit("predictions and references must have the same length / ids")).cast("boolean")) \
+        .otherwise(F.lit(True))
+    return j.filter(ok).drop("_pside", "_rside")
 
 
 def align_by_position(preds: DataFrame, refs: DataFrame, pred_order, ref_order) -> DataFrame:
