@@ -108,17 +108,21 @@ def positional_index(df: DataFrame, order: Sequence[str] | str, out: str = "pos"
 
 
 def running_sum_split(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
-                      bucket: Column, out: str = "running") -> DataFrame:
-    """Running sum of ``value`` per key in ``order`` (rows unbounded preceding .. current).
+                      bucket: Column, out: str = "running", how: str = "sum") -> DataFrame:
+    """Running ``sum`` (or ``max``) of ``value`` per key in ``order`` (unbounded preceding ..
+    current row).
 
-    Computed per (key, bucket) plus the cumulated totals of earlier buckets of the key, which
+    Computed per (key, bucket) plus the combined totals of earlier buckets of the key, which
     come from a small per-bucket table; a hot key is therefore spread over many tasks.
     """
     keys, order = list(keys), list(order)
+    agg = F.sum if how == "sum" else F.max
     d = df.withColumn("_b", bucket)
     w = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("_local", F.sum(value).over(w))
-    tot = d.groupBy(*keys, "_b").agg(F.sum(value).alias("_t"))
+    d = d.withColumn("_local", agg(value).over(w))
+    tot = d.groupBy(*keys, "_b").agg(agg(value).alias("_t"))
     wb = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select(*keys, "_b", F.coalesce(F.sum("_t").over(wb), F.lit(0)).alias("_off"))
-    return d.join(off, keys + ["_b"]).withColumn(out, F.col("_off") + F.col("_local")).drop("_b", "_local", "_off")
+    zero = F.lit(0) if how == "sum" else F.lit(None)
+    off = tot.select(*keys, "_b", F.coalesce(agg("_t").over(wb), zero).alias("_off"))
+    comb = (F.col("_off") + F.col("_local")) if how == "sum" else F.greatest("_off", "_local")
+    return d.join(off, keys + ["_b"]).withColumn(out, comb).drop("_b", "_local", "_off")

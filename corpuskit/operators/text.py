@@ -192,46 +192,68 @@ def markdown_qa(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return a.unionByName(h).filter((F.col("input") != "") & (F.col("output") != ""))
 
 
+LINE_BUCKET = 4096  # lines per window partition: a huge document is spread over many tasks
+
+
+def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("ln", "raw"))
+
+
 def line_qa(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """D-14: line-oriented "Q:" / "A:" pairing; an "A:" line answers the last open "Q:" line
-    (a later "Q:" replaces an unanswered one)."""
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("ln", "line"))
-    lines = lines.withColumn("line", py_strip("line"))
+    """D-14: line-oriented "Q:" / "A:" pairing; an "A:" line answers the last "Q:" line when
+    no answer came after that question (a later "Q:" replaces an unanswered one).
+
+    "Last Q / last A so far" are running maxima of line numbers, computed per (document,
+    line bucket) with a carry from earlier buckets, so one huge document is not one task.
+    """
+    from .ordered import running_sum_split
+    lines = _lines(docs, id_col, text_col).withColumn("line", py_strip("raw"))
     lines = lines.withColumn("q", F.when(F.col("line").startswith("Q:"), py_strip(F.expr("substring(line, 3)")))) \
         .withColumn("a", F.when(F.col("line").startswith("A:"), py_strip(F.expr("substring(line, 3)"))))
-    marks = lines.filter(F.col("q").isNotNull() | F.col("a").isNotNull())
-    w = Window.partitionBy("doc_id").orderBy("ln").rowsBetween(Window.unboundedPreceding, -1)
-    # the open question of an answer: last Q line after the previous answer
-    marks = marks.withColumn("last_q", F.last("q", ignorenulls=True).over(w)) \
-        .withColumn("last_q_ln", F.last(F.when(F.col("q").isNotNull(), F.col("ln")), ignorenulls=True).over(w)) \
-        .withColumn("last_a_ln", F.last(F.when(F.col("a").isNotNull(), F.col("ln")), ignorenulls=True).over(w))
-    ans = marks.filter(F.col("a").isNotNull() & F.col("last_q").isNotNull()
-                       & (F.col("last_a_ln").isNull() | (F.col("last_q_ln") > F.col("last_a_ln"))))
-    return ans.select("doc_id", F.col("ln").alias("k"), F.col("last_q").alias("input"), F.col("a").alias("output"))
+    marks = lines.filter(F.col("q").isNotNull() | F.col("a").isNotNull()).drop("raw", "line")
+    bucket = F.floor(F.col("ln") / LINE_BUCKET)
+    marks = marks.withColumn("_qln", F.when(F.col("q").isNotNull(), F.col("ln")))
+    marks = running_sum_split(marks, ["doc_id"], ["ln"], "_qln", bucket, "last_q_ln", how="max")
+    ans = marks.filter(F.col("a").isNotNull() & F.col("last_q_ln").isNotNull())
+    qs = marks.filter(F.col("q").isNotNull()).select("doc_id", F.col("ln").alias("last_q_ln"), F.col("q").alias("input"))
+    # the first answer after a question closes it; later answers with the same open question
+    # are orphans
+    firsts = ans.groupBy("doc_id", "last_q_ln").agg(F.min("ln").alias("ln"))
+    ans = ans.join(firsts, ["doc_id", "last_q_ln", "ln"]).join(qs, ["doc_id", "last_q_ln"])
+    return ans.select("doc_id", F.col("ln").alias("k"), "input", F.col("a").alias("output"))
 
 
 def manual_sections(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """D-15: manual text -> titled sections. A header is a line followed by an ===/--- underline,
     a line starting with 1-3 '#', an ALL-CAPS line (> 3 chars, a letter present) or a numbered
-    line ("1." / "2.3 "). Text before the first header is dropped."""
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("ln", "raw"))
-    w = Window.partitionBy("doc_id").orderBy("ln")
-    lines = lines.withColumn("line", py_strip("raw")).withColumn("next", py_strip(F.lead("raw").over(w)))
-    underline = F.col("next").rlike(r"^(=+|-+)$") & (F.length("line") > 0)
-    is_ul = F.col("line").rlike(r"^(=+|-+)$") & py_strip(F.lag("raw").over(w)).rlike(r"\S")
+    line ("1." / "2.3 "). Text before the first header is dropped.
+
+    The next line comes from a bucketed lead, the section number from a bucketed running sum
+    and the section body from a two-phase ordered concat, so no step puts one whole document
+    into one task.
+    """
+    from .ordered import lead_split, ordered_concat, running_sum_split
+    lines = _lines(docs, id_col, text_col).withColumn("line", py_strip("raw"))
+    bucket = F.floor(F.col("ln") / LINE_BUCKET)
+    lines = lead_split(lines, ["doc_id"], ["ln"], ["raw"], bucket)
+    nxt = py_strip(F.col("next_raw"))
+    underline_next = F.coalesce(nxt.rlike(r"^(=+|-+)$") & (F.length("line") > 0), F.lit(False))
     hashed = F.col("line").rlike(r"^#{1,3}\s+\S")
     caps = (F.col("line") == F.upper("line")) & F.col("line").rlike(r"\p{L}") & (F.length("line") > 3)
     numbered = F.col("line").rlike(r"^\d+(\.\d+)*\.?\s+\S")
-    lines = lines.withColumn("is_ul", F.coalesce(is_ul, F.lit(False)))
-    lines = lines.withColumn("is_header", ~F.col("is_ul") & (F.coalesce(underline, F.lit(False)) | hashed | caps | numbered))
-    lines = lines.withColumn("sec", F.sum(F.col("is_header").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    lines = lines.withColumn("_ul_header", underline_next)
+    # an underline line is consumed by the header line just before it (equi-join on ln - 1)
+    consumed = lines.filter("_ul_header").select("doc_id", (F.col("ln") + 1).alias("ln"), F.lit(True).alias("is_ul"))
+    lines = lines.join(consumed, ["doc_id", "ln"], "left").withColumn("is_ul", F.coalesce("is_ul", F.lit(False)))
+    lines = lines.withColumn("is_header", ~F.col("is_ul") & (F.col("_ul_header") | hashed | caps | numbered))
+    lines = running_sum_split(lines.withColumn("_h", F.col("is_header").cast("int")), ["doc_id"], ["ln"], "_h",
+                              bucket, "sec")
     lines = lines.filter((F.col("sec") > 0) & ~F.col("is_ul"))
     title = F.regexp_replace(F.regexp_replace("line", r"^#{1,3}\s+", ""), r"^\d+(\.\d+)*\.?\s+", "")
     heads = lines.filter("is_header").select("doc_id", "sec", title.alias("title"))
-    body = lines.filter(~F.col("is_header"))
-    agg = body.groupBy("doc_id", "sec").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ln", "line"))), lambda x: x["line"]), "\n").alias("content"))
-    return heads.join(agg, ["doc_id", "sec"], "left").select(
+    body = ordered_concat(lines.filter(~F.col("is_header")), ["doc_id", "sec"], "ln", "line", "\n", "content",
+                          bucket=F.floor(F.col("ln") / LINE_BUCKET))
+    return heads.join(body, ["doc_id", "sec"], "left").select(
         "doc_id", "sec", "title", py_strip(F.coalesce("content", F.lit(""))).alias("content"))
 
 
