@@ -319,7 +319,8 @@ def in_flight(spark, sf):
     """W-07 running +1 (click) / -1 (purchase) per user, split by day so a hot user spreads."""
     e = table(spark, sf, "events").withColumn(
         "delta", F.when(F.col("event_type") == "click", 1).when(F.col("event_type") == "purchase", -1).otherwise(0))
-    day = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(86_400_000_000))
+    from ..functions.time import epoch_micros
+    day = F.floor(epoch_micros(e, "ts") / F.lit(86_400_000_000))
     r = running_sum_split(e, ["user_id"], ["ts", "event_id"], "delta", day, "in_flight")
     return r.select("event_id", "user_id", F.col("in_flight").cast("bigint").alias("in_flight"))
 

@@ -81,7 +81,7 @@ SELECT user_id AS tenant_id, count(*) AS total_requests, CAST(sum(tokens_in) AS
 def stream_tenant_usage(spark, sf):
     """T-04 running usage per tenant, streamed in update mode; the final state is returned."""
     ev = S.file_stream(spark, sf, "events")
-    req = ev.select(F.col("user_id").alias("tenant_id"), F.col("ts").cast("timestamp").alias("ts"),
+    req = ev.select(F.col("user_id").alias("tenant_id"), "ts",
                     F.get_json_object("props", "$.k").cast("bigint").alias("tokens_in"),
                     F.floor("value").cast("bigint").alias("tokens_out"))
     r = S.run_to_table(S.running_usage(req), "update", keys=["tenant_id"], name="usage")

@@ -23,8 +23,8 @@ US = 1_000_000
 
 def _prep(df: DataFrame, key: str, ts: str, seq: str, partitions: int | None) -> DataFrame:
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d = df.select(F.col(key).alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t_us"),
-                  F.col(seq).cast("long").alias("seq"))
+    from ..functions.time import epoch_micros
+    d = df.select(F.col(key).alias("key"), epoch_micros(df, ts).alias("t_us"), F.col(seq).cast("long").alias("seq"))
     return d.repartition(n, "key").sortWithinPartitions("key", "t_us", "seq")
 
 

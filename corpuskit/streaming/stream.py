@@ -66,8 +66,9 @@ def streaming_sliding_log(events: DataFrame, key: str, ts: str, seq: str, limit:
     order onto the stored log of accepted timestamps (bounded by ``limit``). The state
     times out (is dropped) once the watermark passes the newest entry + window (T-09)."""
     win = int(window_s * US)
-    d = events.select(F.col(key).cast("string").alias("key"), F.col(ts).cast("timestamp").alias("ts"),
-                      F.col(seq).cast("long").alias("seq")).withWatermark("ts", watermark)
+    from ..functions.time import epoch_micros, utc_instant
+    d = events.select(F.col(key).cast("string").alias("key"), utc_instant(events, ts).alias("ts"),
+                      epoch_micros(events, ts).alias("t_us"), F.col(seq).cast("long").alias("seq")).withWatermark("ts", watermark)
 
     def fold(k, pdfs, state):
         if state.hasTimedOut:
@@ -76,7 +77,6 @@ def streaming_sliding_log(events: DataFrame, key: str, ts: str, seq: str, limit:
         log, last_t, last_s = (deque(state.get[0]), state.get[1], state.get[2]) if state.exists else (deque(), None, None)
         rows = []
         pdf = pd.concat(list(pdfs), ignore_index=True)
-        pdf["t_us"] = pdf["ts"].astype("datetime64[us]").astype("int64")
         pdf = pdf.sort_values(["t_us", "seq"])
         for t, s in zip(pdf["t_us"].to_numpy(), pdf["seq"].to_numpy()):
             t, s = int(t), int(s)
@@ -118,26 +118,29 @@ def windowed_rates(requests: DataFrame, size: str, slide: str | None = None, wat
 
     Rates are counts / window seconds (no extrapolation). Works on a stream (append mode,
     finalised by the watermark) and on a batch frame alike."""
-    d = requests.withColumn("ts", F.col("ts").cast("timestamp"))
+    from ..functions.time import to_ntz, utc_instant
+    d = requests.withColumn("_et", utc_instant(requests, "ts"))
     if d.isStreaming:
-        d = d.withWatermark("ts", watermark)
-    w = F.window("ts", size, slide) if slide else F.window("ts", size)
+        d = d.withWatermark("_et", watermark)
+    w = F.window("_et", size, slide) if slide else F.window("_et", size)
     a = d.groupBy(w.alias("w"), F.col(by).alias("endpoint"), status_class(F.col("success")).alias("status_class")) \
         .agg(F.count(F.lit(1)).alias("increase"))
     secs = F.unix_seconds(F.col("w.end")) - F.unix_seconds(F.col("w.start"))
-    return a.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "endpoint",
+    return a.select(to_ntz(F.col("w.start")).alias("window_start"), to_ntz(F.col("w.end")).alias("window_end"), "endpoint",
                     "status_class", "increase", (F.col("increase") / secs).alias("rate_per_s"))
 
 
 def windowed_histogram(requests: DataFrame, bounds, size: str, slide: str, by: str = "endpoint",
                        value: str = "latency_s", watermark: str = "10 minutes") -> DataFrame:
     """T-06 first half: cumulative bucket counts per sliding window (one aggregation)."""
-    d = requests.withColumn("ts", F.col("ts").cast("timestamp"))
+    from ..functions.time import to_ntz, utc_instant
+    d = requests.withColumn("_et", utc_instant(requests, "ts"))
     if d.isStreaming:
-        d = d.withWatermark("ts", watermark)
+        d = d.withWatermark("_et", watermark)
     aggs = [F.count_if(F.col(value) <= b).alias(f"b{i}") for i, b in enumerate(bounds)]
-    return d.groupBy(F.window("ts", size, slide).alias("w"), F.col(by).alias("endpoint")).agg(
+    a = d.groupBy(F.window("_et", size, slide).alias("w"), F.col(by).alias("endpoint")).agg(
         *aggs, F.count(F.lit(1)).alias("count"), F.sum(value).alias("sum"))
+    return a.withColumn("w", F.struct(to_ntz(F.col("w.start")).alias("start"), to_ntz(F.col("w.end")).alias("end")))
 
 
 def histogram_rows(wide: DataFrame, bounds, group) -> DataFrame:

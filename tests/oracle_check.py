@@ -46,7 +46,11 @@ def main(argv):
     sf = argv[1] if len(argv) > 1 and argv[1].startswith("/") else "/root/testdata/sf0.01"
     names = [a for a in argv[1:] if not a.startswith("/") and not a.startswith("--")]
     import __spark_entry__ as E
-    spark = build_session("local[8]", shuffle_partitions=8, extra={"spark.ui.showConsoleProgress": "false"})
+    import os
+    extra = {"spark.ui.showConsoleProgress": "false"}
+    if os.environ.get("ORACLE_TZ"):  # check zone independence of the queries
+        extra["spark.sql.session.timeZone"] = os.environ["ORACLE_TZ"]
+    spark = build_session("local[8]", shuffle_partitions=8, extra=extra)
     con = duckdb.connect()
     for t in DRIVER_TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
