@@ -177,3 +177,86 @@ def chat_char_accuracy(spark, sf):
     comparison needs per-row loops; pytest checks it against a Python loop)."""
     c = A.char_accuracy(_preds(spark, sf), "prediction", "reference")
     return c.select(*[F.round(x, 6).alias(x) for x in c.columns])
+
+
+def _metric_table(spark, sf):
+    """Long metric table (model, dataset, metric, sub_metric, value): two prediction rules
+    ("echo" = the turn itself, "lower" = lower-cased turn) scored by normalised exact match and
+    accuracy on two datasets (pairs starting with a user vs an assistant turn)."""
+    from functools import reduce
+    p = _pairs(spark, sf).filter(F.col("input_role").isin("user", "assistant"))
+    parts = []
+    for model, pred in (("echo", F.col("input")), ("lower", F.lower("input"))):
+        for ds in ("user", "assistant"):
+            d = p.filter(F.col("input_role") == ds).select(pred.alias("prediction"), F.col("output").alias("reference"))
+            em = M.exact_match(d)
+            acc = M.accuracy(d)
+            parts.append(M._long(em, "exact_match", ["exact_match", "matches", "total"])
+                         .withColumn("model", F.lit(model)).withColumn("dataset", F.lit(ds)))
+            parts.append(M._long(acc, "accuracy", ["accuracy", "correct"])
+                         .withColumn("model", F.lit(model)).withColumn("dataset", F.lit(ds)))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def _metric_sql():
+    n = sql_norm_answer
+    rows = []
+    for model, pred in (("echo", "input"), ("lower", "lower(input)")):
+        for ds in ("user", "assistant"):
+            src = f"(SELECT {pred} AS prediction, output AS reference FROM ({PAIRS_SQL}) WHERE input_role = '{ds}')"
+            em = f"count(*) FILTER (WHERE {n('prediction')} = {n('reference')})"
+            ac = "count(*) FILTER (WHERE prediction IS NOT DISTINCT FROM reference)"
+            for metric, sub, val in (("exact_match", "exact_match", f"CASE WHEN count(*) > 0 THEN {em} / count(*) ELSE 0 END"),
+                                     ("exact_match", "matches", em), ("exact_match", "total", "count(*)"),
+                                     ("accuracy", "accuracy", f"CASE WHEN count(*) > 0 THEN {ac} / count(*) ELSE 0 END"),
+                                     ("accuracy", "correct", ac)):
+                rows.append(f"SELECT '{model}' AS model, '{ds}' AS dataset, '{metric}' AS metric, '{sub}' AS sub_metric, "
+                            f"CAST({val} AS DOUBLE) AS value FROM {src}")
+    return " UNION ALL ".join(rows)
+
+
+ROLLUP_SQL = f"""
+WITH m AS ({_metric_sql()})
+SELECT model, CASE WHEN sub_metric = metric THEN metric ELSE metric || '_' || sub_metric END AS metric_key,
+  round(CASE WHEN max(CASE WHEN sub_metric IN ('matches', 'total', 'correct') THEN 1 ELSE 0 END) = 1 THEN sum(value) ELSE avg(value) END, 6) AS value,
+  count(*) AS n_datasets FROM m GROUP BY 1, 2"""
+
+
+@register("benchmark_rollup", ROLLUP_SQL)
+def benchmark_rollup(spark, sf):
+    """M-11: per model, scores averaged over datasets and counters summed."""
+    r = M.benchmark_rollup(_metric_table(spark, sf))
+    return r.withColumn("value", F.round("value", 6))
+
+
+@register("benchmark_deltas", f"""
+WITH r AS ({ROLLUP_SQL})
+SELECT a.model, a.metric_key, round(a.value - b.value, 6) AS delta FROM r a JOIN r b ON a.metric_key = b.metric_key
+WHERE b.model = 'echo' AND a.model <> 'echo'""")
+def benchmark_deltas(spark, sf):
+    """M-12: deltas against the "echo" baseline."""
+    r = M.compare_to_baseline(M.benchmark_rollup(_metric_table(spark, sf)), "echo")
+    return r.withColumn("delta", F.round("delta", 6))
+
+
+@register("benchmark_best", f"""
+WITH r AS ({ROLLUP_SQL}), s AS (SELECT model, coalesce(max(value) FILTER (WHERE metric_key = 'exact_match'), 0) AS score FROM r GROUP BY model)
+SELECT arg_min(model, (-score, model)) AS model, round(max(score), 6) AS score FROM s""")
+def benchmark_best(spark, sf):
+    """M-13: best model by the primary metric (exact match), first on ties."""
+    b = M.best_model(M.benchmark_rollup(_metric_table(spark, sf)), "exact_match")
+    return b.select("model", F.round("score", 6).alias("score"))
+
+
+@register("benchmark_table", f"""
+WITH m AS ({_metric_sql()}),
+p AS (SELECT model, max(value) FILTER (WHERE dataset = 'user') AS "user", max(value) FILTER (WHERE dataset = 'assistant') AS assistant
+      FROM m WHERE metric = 'exact_match' AND sub_metric = 'exact_match' GROUP BY model)
+SELECT model, round("user", 6) AS "user", round(assistant, 6) AS assistant,
+  round((coalesce("user", 0) + coalesce(assistant, 0)) / 2, 6) AS "Average",
+  (coalesce("user", 0) + coalesce(assistant, 0)) / 2 = max((coalesce("user", 0) + coalesce(assistant, 0)) / 2) OVER () AS best FROM p""")
+def benchmark_table(spark, sf):
+    """M-14: model x dataset exact-match table with Average and best flag."""
+    t = M.comparison_table(_metric_table(spark, sf), "exact_match", ["user", "assistant"])
+    return t.select("model", F.round("user", 6).alias("user"), F.round("assistant", 6).alias("assistant"),
+                    F.round("Average", 6).alias("Average"), "best")
