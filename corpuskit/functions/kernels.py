@@ -37,7 +37,7 @@ def lcs_length(a, b) -> int:
 
 @F.pandas_udf(T.LongType())
 def lcs_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    """M-05 kernel: LCS length of two token arrays, per row of the batch."""
+    """M-05 kernel (UD-03 row kernel): LCS length of two token arrays, per row of the batch."""
     return pd.Series([lcs_length(x, y) for x, y in zip(a, b)], dtype="int64")
 
 

@@ -69,7 +69,10 @@ def vector_topk(corpus: DataFrame, queries: DataFrame, k: int = 5, id_col: str =
                 threshold: float | None = None, threshold_mode: str = "after",
                 max_broadcast: int = MAX_BROADCAST_QUERIES) -> DataFrame:
     """V-01 (``metric="dot"``, threshold after top-k) and V-02 (``metric="cosine"``, min score
-    before top-k): ``query_id, doc_id, rank, score``; ties broken by doc id."""
+    before top-k): ``query_id, doc_id, rank, score``; ties broken by doc id.
+
+    F-08: ``threshold_mode="after"`` filters the k hits (profile after-topk);
+    ``"before"`` drops low scores inside the kernel so k is filled from the rest (before-topk)."""
     cosine = metric == "cosine"
     before = threshold if (threshold is not None and threshold_mode == "before") else None
     from ..session import spread
