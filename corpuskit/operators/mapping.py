@@ -197,7 +197,8 @@ def record_fallback(df: DataFrame, json_col: str = "value") -> DataFrame:
     has_io = g("input").isNotNull() & g("output").isNotNull()
     has_qa = g("question").isNotNull() & g("answer").isNotNull()
     return (df.select(F.when(has_io, g("input")).when(has_qa, g("question")).alias("input"),
-                      F.when(has_io, g("output")).when(has_qa, g("answer")).alias("output"))
+                      F.when(has_io, g("output")).when(has_qa, g("answer")).alias("output"),
+                      F.when(has_io, F.lit("io")).when(has_qa, F.lit("qa")).alias("kind"))
             .filter(F.col("input").isNotNull()))
 
 
@@ -216,7 +217,8 @@ def causal_text(df: DataFrame) -> DataFrame:
 def records_to_document(df: DataFrame, file_col: str, seq_col: str) -> DataFrame:
     """P-09: per file, "Input: i\\nOutput: o" blocks joined by a blank line, in record order."""
     block = F.format_string("Input: %s\nOutput: %s", F.coalesce("input", F.lit("")), F.coalesce("output", F.lit("")))
-    return ordered_concat(df.withColumn("_block", block), [file_col], seq_col, "_block", "\n\n", "text")
+    bucket = F.floor(F.col(seq_col) / 4096) if dict(df.dtypes)[seq_col] in ("int", "bigint", "smallint") else None
+    return ordered_concat(df.withColumn("_block", block), [file_col], seq_col, "_block", "\n\n", "text", bucket=bucket)
 
 
 def chat_prompt(pairs: DataFrame) -> DataFrame:

@@ -76,12 +76,14 @@ def ordered_concat(df: DataFrame, keys: Sequence[str], order: str, value: str, s
         part = (df.withColumn("_b", bucket)
                 .groupBy(*keys, "_b")
                 .agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v")))).alias("_l"))
-                .select(*keys, F.col("_b").alias("o"), F.array_join(F.transform("_l", lambda x: x["v"]), sep).alias("v")))
-        df, order, value = part, "o", "v"
+                .select(*keys, F.col("_b").alias("o"), F.array_join(F.transform("_l", lambda x: x["v"]), sep).alias("v"),
+                        F.size("_l").alias("_n")))
+        df, order, value, count = part, "o", "v", F.sum("_n")
+    else:
+        count = F.count(F.lit(1))
     agg = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))
-    return (df.groupBy(*keys).agg(agg.alias("_l"))
-            .select(*keys, F.array_join(F.transform("_l", lambda x: x["v"]), sep).alias(out),
-                    F.size("_l").alias("n_parts")))
+    return (df.groupBy(*keys).agg(agg.alias("_l"), count.alias("n_parts"))
+            .select(*keys, F.array_join(F.transform("_l", lambda x: x["v"]), sep).alias(out), "n_parts"))
 
 
 def positional_index(df: DataFrame, order: Sequence[str] | str, out: str = "pos") -> DataFrame:

@@ -46,7 +46,8 @@ def augment_transforms(spark, sf):
 
 @register("augment_generate")
 def augment_generate(spark, sf):
-    """U-05 orchestrator: originals + all four strategies, deduped, shuffled, cut to 3x."""
+    """U-05 orchestrator: originals + all four strategies (UD-01 registry), confidence >= .8
+    (F-01), deduped, shuffled, cut to 3x."""
     s = _samples(spark, sf)
     target = 3 * s.count()
     return U.generate(s, target, min_confidence=0.8).select("sample_id", "input", "strategy", "confidence")

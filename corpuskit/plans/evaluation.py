@@ -260,3 +260,18 @@ def benchmark_table(spark, sf):
     t = M.comparison_table(_metric_table(spark, sf), "exact_match", ["user", "assistant"])
     return t.select("model", F.round("user", 6).alias("user"), F.round("assistant", 6).alias("assistant"),
                     F.round("Average", 6).alias("Average"), "best")
+
+
+@register("chat_predictions")
+def chat_predictions(spark, sf):
+    """UD-02 prediction plug point (a user batch function: first sentence, failing on empty
+    input) feeding A-28 outcome totals (rows-only: the predictor is user code)."""
+    import pandas as pd
+
+    def first_sentence(s: pd.Series) -> pd.Series:
+        if (s.str.len() == 0).any():
+            raise ValueError("empty input")
+        return s.str.split(".").str[0]
+
+    p = M.predict(_preds(spark, sf).select("id", F.col("prediction").alias("input")), first_sentence)
+    return A.batch_split(p)[2]

@@ -138,7 +138,7 @@ def _tests(spark, sf, metric):
 
 @register("variant_tests_latency", _tests_sql("latency_ms"))
 def variant_tests_latency(spark, sf):
-    """A-10 z, Cohen's d and CI of latency, each treatment vs control."""
+    """A-10 z, Cohen's d and CI (X-09 inverse normal CDF) of latency, each treatment vs control."""
     return _tests(spark, sf, "latency_ms")
 
 
@@ -150,7 +150,7 @@ def variant_tests_success(spark, sf):
 
 @register("experiment_verdicts")
 def experiment_verdicts(spark, sf):
-    """A-10 p-values / winners and A-11 verdicts (normal CDF via Arrow kernel: no SQL oracle)."""
+    """A-10 p-values / winners and A-11 verdicts (X-09 normal CDF via Arrow kernel: no SQL oracle)."""
     v = X.analyze_experiment(assigned(spark, sf), variants(spark, sf), experiments(spark, sf), "latency_ms")
     return v.select("experiment_id", F.to_json("sample_sizes").alias("sample_sizes"), "min_n", "sufficient_sample_size",
                     "winner_name", "recommendation")

@@ -66,7 +66,7 @@ SELECT count(*) AS n_records,
        round(coalesce(avg({sql_word_count('input')}), 0), 6) AS avg_input_len,
        round(coalesce(avg({sql_word_count('output')}), 0), 6) AS avg_output_len FROM d""")
 def chat_samples_summary(spark, sf):
-    """A-01 over the flagship samples."""
+    """A-01 over the flagship samples (word counts by X-10)."""
     s = A.dataset_summary(deduped_pairs(spark, sf))
     return s.select("n_records", F.round("avg_input_len", 6).alias("avg_input_len"),
                     F.round("avg_output_len", 6).alias("avg_output_len"))
@@ -294,3 +294,24 @@ def jsonl_validation(spark, sf):
                         "empty_outputs", "duplicates", "short_outputs",
                         F.round("avg_input_length", 6).alias("avg_input_length"),
                         F.round("avg_output_length", 6).alias("avg_output_length"))
+
+
+@register("conversation_documents", """
+SELECT conv_id, string_agg('Input: ' || coalesce(text, '') || chr(10) || 'Output: ' || coalesce(role, ''), chr(10) || chr(10) ORDER BY turn) AS text,
+  count(*) AS n_parts FROM conversations GROUP BY conv_id""")
+def conversation_documents(spark, sf):
+    """P-09: per conversation, its records as one "Input: ...\\nOutput: ..." document in turn order."""
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("input"), F.col("role").alias("output"))
+    return P.records_to_document(c, "conv_id", "turn")
+
+
+@register("chat_timestamps", """
+SELECT conv_id, turn, strftime(make_timestamp(CAST((1700000000 + conv_id * 3600 + turn * 60) * 1000000 + turn AS BIGINT)), '%Y-%m-%d %H:%M:%S.%f') AS at
+FROM conversations""")
+def chat_timestamps(spark, sf):
+    """X-07: chat "sec.micros" stamps (built from conversation and turn) -> timestamps."""
+    from ..sources.exports import chat_ts
+    from ..functions.time import to_ntz
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.format_string(
+        "%d.%06d", F.lit(1700000000) + F.col("conv_id") * 3600 + F.col("turn") * 60, F.col("turn")).alias("ts"))
+    return c.select("conv_id", "turn", F.date_format(to_ntz(chat_ts("ts")), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"))

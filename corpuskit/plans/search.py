@@ -39,7 +39,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, do
 SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= 5 AND score >= 0.1""")
 def centroid_neighbours(spark, sf):
     """V-01: dot-product top-5 of every label centroid over all embeddings, threshold 0.1
-    applied after the top-k."""
+    applied after the top-k (F-08 profile after-topk)."""
     h = V.vector_topk(table(spark, sf, "embeddings"), centroids(spark, sf), 5, "vec_id", "embedding",
                       "query_id", "vec", "dot", threshold=0.1, threshold_mode="after")
     return h.withColumn("score", F.round("score", 6))
@@ -53,8 +53,8 @@ s AS (SELECT c.query_id, e.vec_id AS doc_id,
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score >= 0.0)
 SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= 5""")
 def centroid_cosine_other_labels(spark, sf):
-    """V-02: cosine top-5 with the corpus filter (label <> 0) and min score 0 applied before
-    the top-k."""
+    """V-02: cosine top-5 with the corpus filter (label <> 0, F-03) and min score 0 applied
+    before the top-k (F-08 profile before-topk)."""
     corpus = table(spark, sf, "embeddings").filter(F.col("label") != 0)
     h = V.vector_topk(corpus, centroids(spark, sf), 5, "vec_id", "embedding", "query_id", "vec", "cosine",
                       threshold=0.0, threshold_mode="before")

@@ -53,3 +53,76 @@ def api_envelope_items(spark, sf):
     items = SA.envelope_items(resp, "body")
     return items.groupBy("page").agg(F.count(F.lit(1)).alias("n_items"),
                                      F.sum(F.try_variant_get("item", "$.event_id", "bigint")).alias("id_sum"))
+
+
+LINES_SQL = """
+SELECT CAST(conv_id * 1000 + turn AS BIGINT) AS seq,
+  CASE WHEN role = 'system' THEN json_object('input', text)::VARCHAR
+       WHEN role = 'user' THEN json_object('question', text, 'answer', role)::VARCHAR
+       ELSE json_object('input', text, 'output', role)::VARCHAR END AS line FROM conversations
+UNION ALL SELECT CAST(1000000000 + doc_id AS BIGINT), replace(text, chr(10), ' ') FROM documents WHERE trim(text) <> ''"""
+
+
+def _landed_lines(spark, sf, path):
+    c = table(spark, sf, "conversations")
+    line = (F.when(F.col("role") == "system", F.to_json(F.struct(F.col("text").alias("input"))))
+            .when(F.col("role") == "user", F.to_json(F.struct(F.col("text").alias("question"), F.col("role").alias("answer"))))
+            .otherwise(F.to_json(F.struct(F.col("text").alias("input"), F.col("role").alias("output")))))
+    d = table(spark, sf, "documents").filter(F.trim("text") != "").select(F.regexp_replace("text", "\n", " ").alias("value"))
+    c.select(line.alias("value")).unionByName(d).write.mode("overwrite").text(path)
+
+
+@register("jsonl_lenient_outcomes", f"""
+WITH l AS ({LINES_SQL})
+SELECT CASE WHEN try(json(line)) IS NULL THEN 'invalid_json' WHEN json_extract_string(line, '$.input') IS NULL THEN 'missing_input'
+  WHEN json_extract_string(line, '$.output') IS NULL THEN 'missing_output' ELSE 'valid' END AS outcome, count(*) AS n FROM l GROUP BY 1""")
+def jsonl_lenient_outcomes(spark, sf):
+    """S-02 lenient JSONL read of landed conversation records and document lines: kept rows
+    and rejects by reason."""
+    p = _scratch(spark, "lenient")
+    _landed_lines(spark, sf, p)
+    good, bad = SJ.load_jsonl_lenient(spark, p)
+    g = good.agg(F.count(F.lit(1)).alias("n")).select(F.lit("valid").alias("outcome"), "n")
+    return g.unionByName(bad.groupBy(F.col("reason").alias("outcome")).agg(F.count(F.lit(1)).alias("n"))).filter("n > 0")
+
+
+@register("record_key_fallback", f"""
+WITH l AS ({LINES_SQL}), j AS (SELECT try(json(line)) AS v FROM l)
+SELECT CASE WHEN json_extract_string(v, '$.input') IS NOT NULL AND json_extract_string(v, '$.output') IS NOT NULL THEN 'io' ELSE 'qa' END AS kind,
+  count(*) AS n FROM j WHERE (json_extract_string(v, '$.input') IS NOT NULL AND json_extract_string(v, '$.output') IS NOT NULL)
+  OR (json_extract_string(v, '$.question') IS NOT NULL AND json_extract_string(v, '$.answer') IS NOT NULL) GROUP BY 1""")
+def record_key_fallback(spark, sf):
+    """P-07: records mapped by input/output, else question/answer (user turns land as Q/A)."""
+    from ..operators.mapping import record_fallback
+    p = _scratch(spark, "records")
+    _landed_lines(spark, sf, p)
+    r = record_fallback(spark.read.text(p), "value")
+    return r.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("prediction_lines", """
+SELECT CASE WHEN role = 'assistant' THEN text ELSE 'turn ' || CAST(turn AS VARCHAR) END AS text, count(*) AS n
+FROM conversations GROUP BY 1""")
+def prediction_lines(spark, sf):
+    """S-18: prediction files (assistant turns carry "response", others only "turn") read with
+    field fallback: configured field, else default field, else the plain line."""
+    p = _scratch(spark, "preds")
+    c = table(spark, sf, "conversations")
+    line = F.when(F.col("role") == "assistant", F.to_json(F.struct(F.col("text").alias("response")))) \
+        .otherwise(F.to_json(F.struct(F.format_string("turn %d", "turn").alias("prediction"))))
+    c.select(line.alias("value")).write.mode("overwrite").text(p)
+    r = SJ.load_prediction_lines(spark, p, field="response")
+    return r.groupBy("text").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("index_persist", """
+SELECT count(*) AS n_chunks, '512' AS chunk_size, '50' AS overlap FROM (SELECT 1 FROM documents WHERE length(text) > 0)""")
+def index_persist(spark, sf):
+    """S-16: first chunk of every document persisted with the index config, then loaded."""
+    from ..operators.text import chunk_documents
+    p = _scratch(spark, "index")
+    ch = chunk_documents(table(spark, sf, "documents"), "doc_id", "text", "index", 512, 50).filter("chunk_index = 0")
+    SK.save_index(ch.select(F.col("chunk_id").alias("id"), "content", "doc_id"), {"chunk_size": 512, "overlap": 50}, p)
+    back, cfg = SK.load_index(spark, p)
+    return back.agg(F.count(F.lit(1)).alias("n_chunks")).select("n_chunks", F.lit(cfg["chunk_size"]).alias("chunk_size"),
+                                                                F.lit(cfg["overlap"]).alias("overlap"))

@@ -55,8 +55,9 @@ def document_chunks(spark, sf):
 
 @register("chunk_counts_knowledge")
 def chunk_counts_knowledge(spark, sf):
-    """D-01 profile knowledge (500 / 50): chunks per document (pytest checks the profile rules)."""
-    c = D.chunk_documents(table(spark, sf, "documents"), "doc_id", "text", "knowledge")
+    """D-01 profile knowledge (500 / 50): chunks of at least 50 chars (F-07) per document."""
+    from ..operators.mapping import min_length
+    c = min_length(D.chunk_documents(table(spark, sf, "documents"), "doc_id", "text", "knowledge"), 50, "content")
     return c.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(F.length("content")).alias("chars"))
 
 
@@ -181,3 +182,46 @@ def document_snippets(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text", F.concat_ws(" ", "lang", F.substring_index("text", " ", 2)).alias("q"))
     s = D.best_snippet(d, "text", "q")
     return s.select("doc_id", F.length("snippet").alias("snippet_len"), F.md5("snippet").alias("snippet_md5"))
+
+
+@register("document_paragraphs", f"""
+WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS p,
+                  generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS i FROM documents)
+SELECT 'doc-' || CAST(doc_id AS VARCHAR) || ' - Paragraph ' || CAST(i AS VARCHAR) AS input, md5({sql_strip('p')}) AS output_md5
+FROM p WHERE length({sql_strip('p')}) >= 50""")
+def document_paragraphs(spark, sf):
+    """D-04 paragraph samples "title - Paragraph i" (>= 50 chars)."""
+    s = D.paragraph_samples(_named_docs(spark, sf), "name", "text", 50)
+    return s.select("input", F.md5("output").alias("output_md5"))
+
+
+@register("document_sections", f"""
+WITH s AS (SELECT doc_id, {sql_strip('text')} AS s FROM documents)
+SELECT 'doc-' || CAST(doc_id AS VARCHAR) AS title, {sql_strip("regexp_replace(split_part(s, chr(10), 1), '^#+', '')")} AS input,
+  md5(CASE WHEN contains(s, chr(10)) THEN {sql_strip("substr(s, strpos(s, chr(10)) + 1)")} ELSE s END) AS output_md5
+FROM s WHERE length(s) >= 50""")
+def document_sections(spark, sf):
+    """D-05 section samples (documents have no '#' headers: one section each, first line as title)."""
+    s = D.section_samples(_named_docs(spark, sf), "name", "text", 50)
+    return s.select("title", "input", F.md5("output").alias("output_md5"))
+
+
+def _doc_blocks(spark, sf):
+    d = table(spark, sf, "documents")
+    lines = F.split(F.col("text"), "\\n")
+    blk = F.transform(lines, lambda l, i: F.when(i == 0, F.to_json(F.struct(
+        F.lit("heading_1").alias("type"), F.struct(F.array(F.struct(l.alias("plain_text"))).alias("rich_text")).alias("heading_1"))))
+        .otherwise(F.to_json(F.struct(F.lit("paragraph").alias("type"),
+                                      F.struct(F.array(F.struct(l.alias("plain_text"))).alias("rich_text")).alias("paragraph")))))
+    return d.select("doc_id", F.concat(F.lit("["), F.array_join(blk, ","), F.lit("]")).alias("blocks"))
+
+
+@register("document_blocks_text", """
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
+SELECT doc_id, md5(string_agg(CASE WHEN i = 1 THEN '# ' || line ELSE line END, chr(10) || chr(10) ORDER BY i)
+  FILTER (WHERE i = 1 OR line <> '')) AS text_md5 FROM l GROUP BY doc_id""")
+def document_blocks_text(spark, sf):
+    """D-17 (connector profile): each document landed as a block list (first line a heading,
+    the rest paragraphs) and turned back into text."""
+    t = D.blocks_to_text(_doc_blocks(spark, sf), "blocks", "connector")
+    return t.select("doc_id", F.md5("text").alias("text_md5"))

@@ -14,7 +14,7 @@ from corpuskit.sources import sql as SQ
 def test_record_fallback_and_tickets(spark):
     d = spark.createDataFrame([('{"input": "a", "output": 1}',), ('{"question": "q", "answer": "x"}',),
                                ('{"input": "only"}',), ("bad",)], "value string")
-    assert sorted(tuple(r) for r in P.record_fallback(d).collect()) == [("a", "1"), ("q", "x")]
+    assert sorted(tuple(r) for r in P.record_fallback(d).collect()) == [("a", "1", "io"), ("q", "x", "qa")]
     t = spark.createDataFrame([(" S ", "D"), ("", "D2"), ("S3", None)], "subject string, description string")
     assert [tuple(r) for r in P.ticket_samples(t).collect()] == [("S", "D")]
 
