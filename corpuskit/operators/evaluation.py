@@ -43,7 +43,7 @@ def bleu(preds: DataFrame, refs: DataFrame | None = None, id_col: str = "id", pr
     highest order computed (D10).
     """
     if refs is None:
-        refs = preds.select(id_col, ref_col)
+        return _bleu_single(preds, id_col, pred_col, ref_col, max_n, smoothing)
     pt = _tok(preds, id_col, pred_col, "pt")
     rt = refs.select(F.col(id_col).alias("rid"), F.monotonically_increasing_id().alias("ref_no"),
                      metric_tokens(ref_col).alias("rtk"))
@@ -59,6 +59,43 @@ def bleu(preds: DataFrame, refs: DataFrame | None = None, id_col: str = "id", pr
     lens = plen.join(closest, "rid", "left").agg(F.sum("plen").alias("P"), F.sum(F.coalesce("rlen", F.lit(0))).alias("R"))
     from .relate import with_one_row
     d = with_one_row(per_n, lens)  # two one-row aggregates
+    return _bleu_from_counts(d, max_n, smoothing)
+
+
+def _fused_grams(preds: DataFrame, id_col: str, pred_col: str, ref_col: str, orders, with_lengths: bool) -> DataFrame:
+    """One pass: per row, prediction and reference n-grams (and optionally token counts under
+    n = 0) as weighted entries; grouped by (row, n, gram) into ``pc`` / ``rc`` counts."""
+    base = preds.select(F.col(id_col).alias("rid"), metric_tokens(pred_col).alias("pt"), metric_tokens(ref_col).alias("rtk"))
+    def entry(n, p, r):
+        # one-argument lambda: ``transform`` reads a two-argument lambda as (element, index)
+        return lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"), F.lit(p).alias("p"), F.lit(r).alias("r"))
+
+    entries = []
+    for n in orders:
+        entries.append(F.transform(ngrams(F.col("pt"), n), entry(n, 1, 0)))
+        entries.append(F.transform(ngrams(F.col("rtk"), n), entry(n, 0, 1)))
+        # every (row, n) appears even without n-grams
+        entries.append(F.array(F.struct(F.lit(n).alias("n"), F.lit(None).cast("string").alias("gram"),
+                                        F.lit(0).alias("p"), F.lit(0).alias("r"))))
+    if with_lengths:
+        entries.append(F.array(F.struct(F.lit(0).alias("n"), F.lit(None).cast("string").alias("gram"),
+                                        F.size("pt").alias("p"), F.size("rtk").alias("r"))))
+    e = base.select("rid", F.explode(F.flatten(F.array(*entries))).alias("x")).select("rid", "x.*")
+    return e.groupBy("rid", "n", "gram").agg(F.sum("p").alias("pc"), F.sum("r").alias("rc"))
+
+
+def _bleu_single(preds, id_col, pred_col, ref_col, max_n, smoothing):
+    g = _fused_grams(preds, id_col, pred_col, ref_col, range(1, max_n + 1), True)
+    per = g.groupBy("n").agg(F.sum(F.when(F.col("gram").isNotNull(), F.least("pc", "rc"))).alias("m"),
+                             F.sum("pc").alias("c"), F.sum("rc").alias("rsum"))
+    d = per.groupBy().pivot("n", list(range(0, max_n + 1))).agg(F.first("m").alias("m"), F.first("c").alias("c"),
+                                                               F.first("rsum").alias("r"))
+    d = d.select(*[F.col(f"{n}_m") for n in range(1, max_n + 1)], *[F.col(f"{n}_c") for n in range(1, max_n + 1)],
+                 F.col("0_c").alias("P"), F.col("0_r").alias("R"))
+    return _bleu_from_counts(d, max_n, smoothing)
+
+
+def _bleu_from_counts(d: DataFrame, max_n: int, smoothing: bool) -> DataFrame:
     prec = []
     for n in range(1, max_n + 1):
         m, c = F.coalesce(F.col(f"{n}_m"), F.lit(0)), F.coalesce(F.col(f"{n}_c"), F.lit(0))
@@ -79,17 +116,9 @@ def bleu(preds: DataFrame, refs: DataFrame | None = None, id_col: str = "id", pr
 def rouge_n_rows(preds: DataFrame, id_col: str = "id", pred_col: str = "prediction",
                  ref_col: str = "reference", orders: Sequence[int] = (1, 2)) -> DataFrame:
     """M-04 per-row ROUGE-N: ``rid, n, precision, recall, fmeasure``."""
-    pt = _tok(preds, id_col, pred_col, "pt")
-    rt = _tok(preds, id_col, ref_col, "rtk")
-    mx = max(orders)
-    pc = _gram_counts(pt, "pt", mx).filter(F.col("n").isin(list(orders)))
-    rc = _gram_counts(rt, "rtk", mx).filter(F.col("n").isin(list(orders))).withColumnRenamed("cnt", "rcnt")
-    ov = pc.join(rc, ["rid", "n", "gram"], "full_outer").groupBy("rid", "n").agg(
-        F.sum(F.least(F.coalesce("cnt", F.lit(0)), F.coalesce("rcnt", F.lit(0)))).alias("overlap"),
-        F.sum(F.coalesce("cnt", F.lit(0))).alias("ptot"), F.sum(F.coalesce("rcnt", F.lit(0))).alias("rtot"))
-    # rows with no n-grams on either side still count in the average (all zeros)
-    ids = preds.select(F.col(id_col).alias("rid"), F.explode(F.array(*[F.lit(n) for n in orders])).alias("n"))
-    d = ids.join(ov, ["rid", "n"], "left").na.fill(0, ["overlap", "ptot", "rtot"])
+    g = _fused_grams(preds, id_col, pred_col, ref_col, list(orders), False)
+    d = g.groupBy("rid", "n").agg(F.coalesce(F.sum(F.when(F.col("gram").isNotNull(), F.least("pc", "rc"))), F.lit(0)).alias("overlap"),
+                                  F.sum("pc").alias("ptot"), F.sum("rc").alias("rtot"))
     p = F.when(F.col("ptot") > 0, F.col("overlap") / F.col("ptot")).otherwise(F.lit(0.0))
     r = F.when(F.col("rtot") > 0, F.col("overlap") / F.col("rtot")).otherwise(F.lit(0.0))
     d = d.select("rid", "n", p.alias("precision"), r.alias("recall"))
