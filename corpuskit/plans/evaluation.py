@@ -182,20 +182,26 @@ def chat_char_accuracy(spark, sf):
 def _metric_table(spark, sf):
     """Long metric table (model, dataset, metric, sub_metric, value): two prediction rules
     ("echo" = the turn itself, "lower" = lower-cased turn) scored by normalised exact match and
-    accuracy on two datasets (pairs starting with a user vs an assistant turn)."""
-    from functools import reduce
+    accuracy on two datasets (pairs starting with a user vs an assistant turn). One grouped
+    pass computes every (model, dataset) count; ``stack`` turns it into the long form."""
+    from ..functions.text import normalize_answer
     p = _pairs(spark, sf).filter(F.col("input_role").isin("user", "assistant"))
-    parts = []
-    for model, pred in (("echo", F.col("input")), ("lower", F.lower("input"))):
-        for ds in ("user", "assistant"):
-            d = p.filter(F.col("input_role") == ds).select(pred.alias("prediction"), F.col("output").alias("reference"))
-            em = M.exact_match(d)
-            acc = M.accuracy(d)
-            parts.append(M._long(em, "exact_match", ["exact_match", "matches", "total"])
-                         .withColumn("model", F.lit(model)).withColumn("dataset", F.lit(ds)))
-            parts.append(M._long(acc, "accuracy", ["accuracy", "correct"])
-                         .withColumn("model", F.lit(model)).withColumn("dataset", F.lit(ds)))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    models = {"echo": F.col("input"), "lower": F.lower("input")}
+    ref_n = normalize_answer("output")
+    aggs = [F.count(F.lit(1)).alias("total")]
+    for m, pred in models.items():
+        aggs.append(F.count_if(normalize_answer(pred).eqNullSafe(ref_n)).alias(f"{m}_em"))
+        aggs.append(F.count_if(pred.eqNullSafe(F.col("output"))).alias(f"{m}_acc"))
+    g = p.groupBy(F.col("input_role").alias("dataset")).agg(*aggs)
+    rows = []
+    for m in models:
+        for metric, sub, val in (("exact_match", "exact_match", F.col(f"{m}_em") / F.col("total")),
+                                 ("exact_match", "matches", F.col(f"{m}_em")), ("exact_match", "total", F.col("total")),
+                                 ("accuracy", "accuracy", F.col(f"{m}_acc") / F.col("total")),
+                                 ("accuracy", "correct", F.col(f"{m}_acc"))):
+            rows.append(F.struct(F.lit(m).alias("model"), F.lit(metric).alias("metric"), F.lit(sub).alias("sub_metric"),
+                                 val.cast("double").alias("value")))
+    return g.select("dataset", F.explode(F.array(*rows)).alias("x")).select("x.model", "dataset", "x.metric", "x.sub_metric", "x.value")
 
 
 def _metric_sql():
