@@ -168,28 +168,47 @@ def f1_per_class(df: DataFrame, pred: str = "prediction", ref: str = "reference"
                  labels: Sequence | None = None) -> DataFrame:
     """M-07 per-class tp, fp, fn, precision, recall, f1, support.
 
-    Classes are the union of distinct predictions and references unless ``labels`` is given.
+    One scan: every row adds itself to its predicted label (pred_n, and tp when the prediction
+    is right) and to its reference label (support); one aggregation by label (partial before
+    the shuffle). Classes are the union of predictions and references unless ``labels`` given.
     """
-    c = df.groupBy(F.col(pred).alias("p"), F.col(ref).alias("r")).agg(F.count(F.lit(1)).alias("k"))
-    if labels is None:
-        lab = c.select(F.col("p").alias("label")).union(c.select(F.col("r").alias("label"))).distinct()
-    else:
+    p, r = F.col(pred), F.col(ref)
+    if labels is not None:
+        p, r = p.cast("string"), r.cast("string")
+    hit = p.eqNullSafe(r).cast("long")
+    e = df.select(F.explode(F.array(
+        F.struct(p.alias("label"), F.lit(1).cast("long").alias("pn"), F.lit(0).cast("long").alias("rn"), hit.alias("tp")),
+        F.struct(r.alias("label"), F.lit(0).cast("long").alias("pn"), F.lit(1).cast("long").alias("rn"), F.lit(0).cast("long").alias("tp")))).alias("x"))
+    d = e.groupBy(F.col("x.label").alias("label")).agg(F.sum("x.tp").alias("tp"), F.sum("x.pn").alias("pred_n"),
+                                                        F.sum("x.rn").alias("support"))
+    if labels is not None:
         lab = df.sparkSession.createDataFrame([(str(x),) for x in labels], "label string")
-        c = c.select(F.col("p").cast("string").alias("p"), F.col("r").cast("string").alias("r"), "k")
-    # confusion cells are few (classes^2); each class reads them through one join per side
-    tp = c.filter(F.col("p") == F.col("r")).select(F.col("p").alias("label"), F.col("k").alias("tp"))
-    pp = c.groupBy(F.col("p").alias("label")).agg(F.sum("k").alias("pred_n"))
-    rr = c.groupBy(F.col("r").alias("label")).agg(F.sum("k").alias("support"))
-    d = lab.join(tp, "label", "left").join(pp, "label", "left").join(rr, "label", "left").na.fill(0, ["tp", "pred_n", "support"])
+        d = lab.join(d, "label", "left").na.fill(0, ["tp", "pred_n", "support"])
     d = d.select("label", "tp", (F.col("pred_n") - F.col("tp")).alias("fp"), (F.col("support") - F.col("tp")).alias("fn"), "support")
-    p = F.when(F.col("tp") + F.col("fp") > 0, F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(F.lit(0.0))
-    r = F.when(F.col("tp") + F.col("fn") > 0, F.col("tp") / (F.col("tp") + F.col("fn"))).otherwise(F.lit(0.0))
-    d = d.withColumn("precision", p).withColumn("recall", r)
+    pr = F.when(F.col("tp") + F.col("fp") > 0, F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(F.lit(0.0))
+    rc = F.when(F.col("tp") + F.col("fn") > 0, F.col("tp") / (F.col("tp") + F.col("fn"))).otherwise(F.lit(0.0))
+    d = d.withColumn("precision", pr).withColumn("recall", rc)
     return d.withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0,
                                      2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")))
                         .otherwise(F.lit(0.0)))
 
 
+def f1_averages(df: DataFrame, pred: str = "prediction", ref: str = "reference") -> DataFrame:
+    """M-07 macro, weighted and micro averages from one per-class table in one aggregation.
+    Micro = accuracy (every row counts once as predicted: sum(tp) / sum(pred_n))."""
+    pc = f1_per_class(df, pred, ref)
+    s = F.sum("support")
+    a = pc.agg(*[F.coalesce(F.avg(m), F.lit(0.0)).alias(f"macro_{m}") for m in ("precision", "recall", "f1")],
+               *[F.when(s > 0, F.sum(F.col(m) * F.col("support")) / s).otherwise(F.lit(0.0)).alias(f"weighted_{m}")
+                 for m in ("precision", "recall", "f1")],
+               F.when(F.sum(F.col("tp") + F.col("fp")) > 0, F.sum("tp") / F.sum(F.col("tp") + F.col("fp")))
+               .otherwise(F.lit(0.0)).alias("micro"))
+    rows = [F.struct(F.lit("macro").alias("average"), *[F.col(f"macro_{m}").alias(m) for m in ("precision", "recall", "f1")]),
+            F.struct(F.lit("weighted").alias("average"), *[F.col(f"weighted_{m}").alias(m) for m in ("precision", "recall", "f1")]),
+            F.struct(F.lit("micro").alias("average"), *[F.col("micro").alias(m) for m in ("precision", "recall", "f1")])]
+    return a.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+
+
 def f1(df: DataFrame, pred: str = "prediction", ref: str = "reference", average: str = "macro",
        labels: Sequence | None = None) -> DataFrame:
     """M-07 averaged F1: one row ``(average, precision, recall, f1)``."""

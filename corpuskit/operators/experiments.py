@@ -138,14 +138,16 @@ def analyze_experiment(requests: DataFrame, variants: DataFrame, experiments: Da
                        metric: str = "latency_ms") -> DataFrame:
     """A-11: per experiment sample sizes (variants without requests count 0, D6),
     sufficiency against ``min_sample_size``, and one of four recommendations."""
-    counts = variants.join(requests.groupBy("experiment_id", "variant_id").agg(F.count(F.lit(1)).alias("n")),
+    from ..session import cut_lineage
+    # one aggregation (variants x moments: a few rows), materialised once; sizes and tests read it
+    moments = cut_lineage(metric_moments(requests, metric))
+    counts = variants.join(moments.select("experiment_id", "variant_id", "n"),
                            ["experiment_id", "variant_id"], "left").na.fill({"n": 0})
     sizes = counts.groupBy("experiment_id").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("variant_id", "n")))).alias("sample_sizes"),
         F.min("n").alias("min_n"))
     conf = experiments.select("experiment_id", "min_sample_size", "confidence_level")
-    cmp_ = compare_variants(metric_moments(requests, metric), variants, metric,
-                            with_p=True)
+    cmp_ = compare_variants(moments, variants, metric, with_p=True)
     win = cmp_.filter(F.col("is_significant") & (F.col("winner") == F.col("variant_id")))
     first_win = win.join(variants.select("experiment_id", "variant_id", "variant_seq", "name"),
                          ["experiment_id", "variant_id"]).groupBy("experiment_id").agg(

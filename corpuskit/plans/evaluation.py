@@ -141,8 +141,7 @@ UNION ALL SELECT 'weighted', round(sum(precision * support) / sum(support), 6),
 UNION ALL SELECT 'micro', round(a, 6), round(a, 6), round(a, 6) FROM acc""")
 def label_f1_averages(spark, sf):
     """M-07 macro, weighted and micro averages."""
-    d = _labels(spark, sf)
-    u = M.f1(d, average="macro").unionByName(M.f1(d, average="weighted")).unionByName(M.f1(d, average="micro"))
+    u = M.f1_averages(_labels(spark, sf))
     return u.select("average", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 

@@ -47,17 +47,27 @@ VARIANT_TEMPLATE = [("control", True, 50.0), ("treatment_a", False, 30.0), ("tre
 MIN_SAMPLE = 100
 
 
+MAX_EXPERIMENTS = 10_000
+
+
+def _experiment_ids(spark, sf) -> list[str]:
+    """Distinct experiment ids (event types): a configuration-sized list, checked before it is
+    brought to the driver, so the variant table below is a local relation reused for free."""
+    ids = table(spark, sf, "events").select("event_type").distinct().limit(MAX_EXPERIMENTS + 1).collect()
+    if len(ids) > MAX_EXPERIMENTS:
+        raise ValueError("too many experiments for a configuration table")
+    return sorted(r[0] for r in ids if r[0] is not None)
+
+
 def variants(spark, sf):
-    tpl = F.array(*[F.struct(F.lit(i).alias("variant_seq"), F.lit(n).alias("name"), F.lit(c).alias("is_control"),
-                             F.lit(p).alias("percentage")) for i, (n, c, p) in enumerate(VARIANT_TEMPLATE)])
-    exps = table(spark, sf, "events").select(F.col("event_type").alias("experiment_id")).distinct()
-    v = exps.select("experiment_id", F.explode(tpl).alias("t")).select("experiment_id", "t.*")
-    return v.withColumn("variant_id", F.concat_ws("/", "experiment_id", "name")).withColumn("seq", F.col("variant_seq"))
+    rows = [(e, f"{e}/{n}", n, c, p, i, i) for e in _experiment_ids(spark, sf) for i, (n, c, p) in enumerate(VARIANT_TEMPLATE)]
+    return spark.createDataFrame(rows, "experiment_id string, variant_id string, name string, is_control boolean, "
+                                       "percentage double, variant_seq int, seq int")
 
 
 def experiments(spark, sf):
-    return table(spark, sf, "events").select(F.col("event_type").alias("experiment_id")).distinct() \
-        .withColumn("min_sample_size", F.lit(MIN_SAMPLE)).withColumn("confidence_level", F.lit(0.95))
+    return spark.createDataFrame([(e, MIN_SAMPLE, 0.95) for e in _experiment_ids(spark, sf)],
+                                 "experiment_id string, min_sample_size int, confidence_level double")
 
 
 VARIANTS_SQL = """SELECT e.experiment_id, e.experiment_id || '/' || t.name AS variant_id, t.name, t.is_control,
@@ -130,7 +140,9 @@ FROM e, zc"""
 
 
 def _tests(spark, sf, metric):
-    c = X.compare_variants(X.metric_moments(assigned(spark, sf), metric), variants(spark, sf), metric, with_p=False)
+    from ..session import cut_lineage
+    moments = cut_lineage(X.metric_moments(assigned(spark, sf), metric))  # few rows, read twice below
+    c = X.compare_variants(moments, variants(spark, sf), metric, with_p=False)
     return c.select("experiment_id", "variant_id", "control_id", "n1", "n2", F.round("mean1", 6).alias("mean1"),
                     F.round("mean2", 6).alias("mean2"), *[F.round(x, 6).alias(x) for x in ("z_score", "effect_size", "ci_lower", "ci_upper")],
                     "degenerate_variance")
