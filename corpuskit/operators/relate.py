@@ -89,9 +89,8 @@ def thread_qa(messages: DataFrame, channel: str = "channel_id", ts: str = "ts",
         F.coalesce(F.col(text), F.lit("")).alias("rtext"))
     joined = ordered_concat(replies, ["channel_id", "thread_ts"], "rts", "rtext", "\n", "reply_text",
                             bucket=order_bucket)
-    out = parents.join(joined, on=["channel_id", "thread_ts"], how="inner")
-    n = replies.groupBy("channel_id", "thread_ts").agg(F.count(F.lit(1)).alias("n_replies"))
-    return out.join(n, on=["channel_id", "thread_ts"]).select(
+    out = parents.join(joined.withColumnRenamed("n_parts", "n_replies"), on=["channel_id", "thread_ts"], how="inner")
+    return out.select(
         clean_chat_text("parent_text").alias("input"), clean_chat_text("reply_text").alias("output"),
         F.struct(F.lit("slack").alias("source"), "channel_id", "thread_ts",
                  F.col("n_replies").alias("reply_count")).alias("metadata"))
