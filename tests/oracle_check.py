@@ -50,7 +50,12 @@ def main(argv):
     extra = {"spark.ui.showConsoleProgress": "false"}
     if os.environ.get("ORACLE_TZ"):  # check zone independence of the queries
         extra["spark.sql.session.timeZone"] = os.environ["ORACLE_TZ"]
-    spark = build_session("local[8]", shuffle_partitions=8, extra=extra)
+    if os.environ.get("ORACLE_PLAIN"):  # a session like the driver's, without corpuskit defaults
+        from pyspark.sql import SparkSession
+        spark = SparkSession.builder.master("local[*]").config("spark.sql.shuffle.partitions", "8") \
+            .config("spark.ui.showConsoleProgress", "false").getOrCreate()
+    else:
+        spark = build_session("local[8]", shuffle_partitions=8, extra=extra)
     con = duckdb.connect()
     for t in DRIVER_TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
