@@ -61,18 +61,66 @@ def stream_rate_limit_decisions(spark, sf):
 MULTI_RULES = [("minute", 1, 60.0), ("hour", 2, 3600.0), ("day", 4, 86400.0)]
 
 
-@register("multi_limit_decisions")
+def _multi_sql(rules) -> str:
+    """Recursive twin of T-02: one accepted-timestamp list per category, checked in order;
+    an earlier category consumes even when a later one denies."""
+    cols, steps = [], []
+    prev_ok = "true"
+    for i, (cat, lim, win) in enumerate(rules):
+        w = int(win * 1_000_000)
+        flt = f"list_filter(f.l{i}, lambda x: x > e.t - {w})"
+        ok_i = f"({prev_ok} AND len({flt}) < {lim})"
+        cols.append(f"l{i}")
+        steps.append((flt, ok_i, prev_ok, cat))
+        prev_ok = ok_i
+    # first row of each user: every category has an empty log, so all accept (limits >= 1)
+    init_cols = ", ".join("[t]" for _ in rules)
+    step_cols = ", ".join(f"CASE WHEN {ok} THEN list_append({flt}, e.t) ELSE {flt} END" for flt, ok, _, _ in steps)
+    fail = "CASE " + " ".join(f"WHEN {prev} AND NOT {ok} THEN '{cat}'" for flt, ok, prev, cat in steps) + " END"
+    return f"""
+WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t,
+                            row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+f(user_id, rn, event_id, {', '.join(cols)}, failing) AS (
+  SELECT user_id, rn, event_id, {init_cols}, CAST(NULL AS VARCHAR) FROM e WHERE rn = 1
+  UNION ALL
+  SELECT e.user_id, e.rn, e.event_id, {step_cols}, {fail}
+  FROM f JOIN e ON e.user_id = f.user_id AND e.rn = f.rn + 1)
+SELECT event_id AS request_id, failing IS NULL AS allowed, failing AS failing_category FROM f"""
+
+
+@register("multi_limit_decisions", _multi_sql(MULTI_RULES))
 def multi_limit_decisions(spark, sf):
-    """T-02 three limits checked in order per user (pytest compares with a sequential run)."""
+    """T-02 three limits checked in order per user; the first failing category is reported."""
     r = T.multi_limit(table(spark, sf, "events"), "user_id", "ts", "event_id", MULTI_RULES)
-    return r.groupBy("failing_category").agg(F.count(F.lit(1)).alias("n"))
+    return r.select(F.col("seq").alias("request_id"), "allowed", "failing_category")
 
 
-@register("tenant_quota_decisions")
+QUOTA_RPM, QUOTA_RPD = 1, 5
+QUOTA_SQL = f"""
+WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t,
+                            row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+f(user_id, rn, event_id, ma, mc, da, dc, reason) AS (
+  SELECT user_id, rn, event_id, t, 1, t, 1, CAST(NULL AS VARCHAR) FROM e WHERE rn = 1
+  UNION ALL
+  SELECT user_id, rn, event_id,
+    CASE WHEN r IS NULL AND e_t - f_ma >= 60000000 THEN e_t ELSE f_ma END,
+    CASE WHEN r IS NULL THEN (CASE WHEN e_t - f_ma >= 60000000 THEN 0 ELSE f_mc END) + 1 ELSE f_mc END,
+    CASE WHEN r IS NULL AND e_t - f_da >= 86400000000 THEN e_t ELSE f_da END,
+    CASE WHEN r IS NULL THEN (CASE WHEN e_t - f_da >= 86400000000 THEN 0 ELSE f_dc END) + 1 ELSE f_dc END,
+    r
+  FROM (SELECT e.user_id, e.rn, e.event_id, e.t AS e_t, f.ma AS f_ma, f.mc AS f_mc, f.da AS f_da, f.dc AS f_dc,
+          CASE WHEN e.t - f.ma < 60000000 AND f.mc >= {QUOTA_RPM} THEN 'per_minute'
+               WHEN e.t - f.da < 86400000000 AND f.dc >= {QUOTA_RPD} THEN 'per_day' END AS r
+        FROM f JOIN e ON e.user_id = f.user_id AND e.rn = f.rn + 1) x)
+SELECT event_id AS request_id, reason IS NULL AS allowed, reason, CAST(mc AS INTEGER) AS minute_count,
+  CAST(dc AS INTEGER) AS day_count FROM f"""
+
+
+@register("tenant_quota_decisions", QUOTA_SQL)
 def tenant_quota_decisions(spark, sf):
     """T-03 anchored minute / day quotas per tenant (1 per minute, 5 per day)."""
-    r = T.anchored_quota(table(spark, sf, "events"), "user_id", "ts", "event_id", 1, 5)
-    return r.groupBy("allowed", "reason").agg(F.count(F.lit(1)).alias("n"))
+    r = T.anchored_quota(table(spark, sf, "events"), "user_id", "ts", "event_id", QUOTA_RPM, QUOTA_RPD)
+    return r.select(F.col("seq").alias("request_id"), "allowed", "reason", "minute_count", "day_count")
 
 
 @register("stream_tenant_usage", f"""
