@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_chat_text, col_
+from ..functions.text import clean_chat_text
 from .ordered import keep_first, lead_split, ordered_concat
 
 

@@ -10,7 +10,6 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.chunking import chunk_udf
 from ..functions.html import faq_from_structure, html_to_text
