@@ -209,8 +209,8 @@ def stream_validated_samples(spark, sf):
     recs.unionByName(docs).write.mode("overwrite").text(base + "/in")
     q = S.validated_sample_stream(spark, base + "/in", base + "/good", base + "/bad", base + "/ckpt", max_files=4)
     q.awaitTermination()
-    good = spark.read.schema("input string, output string, source_file string").json(base + "/good")
-    bad = spark.read.schema("value string, reason string, source_file string").json(base + "/bad")
+    good = spark.read.schema("input string, output string, source_file string, _batch long").json(base + "/good")
+    bad = spark.read.schema("value string, reason string, source_file string, _batch long").json(base + "/bad")
     g = good.agg(F.count(F.lit(1)).alias("n")).select(F.lit("valid").alias("outcome"), "n")
     b = bad.groupBy(F.col("reason").alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
     return g.unionByName(b).filter(F.col("n") > 0)

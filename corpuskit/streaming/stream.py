@@ -38,7 +38,8 @@ def run_to_table(stream: DataFrame, output_mode: str = "append", keys: list[str]
     out = base + "/data"
 
     def sink(batch: DataFrame, batch_id: int):
-        batch.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(out)
+        # idempotent: a re-run of the same micro-batch (task or executor loss) overwrites its folder
+        batch.write.mode("overwrite").parquet(f"{out}/_batch={batch_id}")
 
     q = (stream.writeStream.outputMode(output_mode).foreachBatch(sink)
          .option("checkpointLocation", base + "/ckpt").trigger(availableNow=True).start())
@@ -188,8 +189,11 @@ def validated_sample_stream(spark: SparkSession, src_dir: str, good_dir: str, ba
         d = d.withColumn("reason", F.when(F.col("bad_json"), "invalid_json").when(F.col("input").isNull(), "missing_input")
                          .when(F.col("output").isNull(), "missing_output"))
         d.persist()
-        d.filter(F.col("reason").isNull()).select("input", "output", "source_file").write.mode("append").json(good_dir)
-        d.filter(F.col("reason").isNotNull()).select("value", "reason", "source_file").write.mode("append").json(bad_dir)
+        # one folder per micro-batch, overwritten on a re-run: retried batches never duplicate rows
+        d.filter(F.col("reason").isNull()).select("input", "output", "source_file").write.mode("overwrite") \
+            .json(f"{good_dir}/_batch={_bid}")
+        d.filter(F.col("reason").isNotNull()).select("value", "reason", "source_file").write.mode("overwrite") \
+            .json(f"{bad_dir}/_batch={_bid}")
         d.unpersist()
 
     return lines.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
