@@ -29,3 +29,13 @@ def xml_records(responses: DataFrame, body_col: str, schema: str, row_tag_path:
     repeated children as arrays (declare them ARRAY in ``schema``), leaf text trimmed."""
     opts = {"attributePrefix": "_", "valueTag": "_value", "ignoreSurroundingSpaces": "true"}
     return responses.select("*", F.from_xml(F.col(body_col), schema, opts).alias("record"))
+
+
+def read_xml_files(spark, path: str, row_tag: str, schema: str | None = None) -> DataFrame:
+    """S-11 for landed XML files: one record per ``row_tag`` element (Spark's XML source;
+    attributes as ``_name``, repeated children as arrays, leaf text trimmed)."""
+    r = spark.read.format("xml").option("rowTag", row_tag).option("attributePrefix", "_") \
+        .option("valueTag", "_value").option("ignoreSurroundingSpaces", "true")
+    if schema:
+        r = r.schema(schema)
+    return r.load(path)

@@ -100,3 +100,11 @@ def test_workspace_pages(spark, tmp_path):
     r = p.select("title", property_text(F.col("properties")["Tags"]).alias("tags"),
                  property_text(F.col("properties")["Done"]).alias("done")).first()
     assert (r.title, r.tags, r.done) == ("Hello", "a, b", "True")
+
+
+def test_xml_files(spark, tmp_path):
+    (tmp_path / "r.xml").write_text('<items><item id="1"><tag>a</tag><tag>b</tag><name> N1 </name></item>'
+                                    '<item id="2"><tag>c</tag><name>N2</name></item></items>')
+    d = SA.read_xml_files(spark, str(tmp_path / "r.xml"), "item", "_id string, tag array<string>, name string")
+    got = sorted((r._id, tuple(r.tag), r.name) for r in d.collect())
+    assert got == [("1", ("a", "b"), "N1"), ("2", ("c",), "N2")]
