@@ -214,3 +214,12 @@ def stream_validated_samples(spark, sf):
     g = good.agg(F.count(F.lit(1)).alias("n")).select(F.lit("valid").alias("outcome"), "n")
     b = bad.groupBy(F.col("reason").alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
     return g.unionByName(b).filter(F.col("n") > 0)
+
+
+@register("stream_tenant_quota_decisions", QUOTA_SQL)
+def stream_tenant_quota_decisions(spark, sf):
+    """T-03 as a stateful stream over the events file (same answer as the batch fold)."""
+    s = S.streaming_anchored_quota(S.file_stream(spark, sf, "events"), "user_id", "ts", "event_id",
+                                   QUOTA_RPM, QUOTA_RPD, watermark="48 hours")
+    r = S.run_to_table(s, "append", name="quota")
+    return r.filter(~F.col("late")).select(F.col("seq").alias("request_id"), "allowed", "reason", "minute_count", "day_count")

@@ -101,6 +101,53 @@ def streaming_sliding_log(events: DataFrame, key: str, ts: str, seq: str, limit:
                                                    GroupStateTimeout.EventTimeTimeout)
 
 
+STREAM_QUOTA_OUT = "key string, seq long, t_us long, allowed boolean, reason string, minute_count int, day_count int, late boolean"
+STREAM_QUOTA_STATE = "ma long, mc int, da long, dc int, last_t long, last_seq long"
+
+
+def streaming_anchored_quota(events: DataFrame, key: str, ts: str, seq: str, per_minute: int, per_day: int,
+                             watermark: str = "1 hour") -> DataFrame:
+    """T-03 as a stateful stream: per tenant (minute anchor, count, day anchor, count); windows
+    start at the first recorded request after expiry; denied requests are not recorded. The
+    state is dropped once the watermark passes the end of the day window."""
+    from ..functions.time import epoch_micros, utc_instant
+    minute, day = 60 * US, 86400 * US
+    d = events.select(F.col(key).cast("string").alias("key"), utc_instant(events, ts).alias("ts"),
+                      epoch_micros(events, ts).alias("t_us"), F.col(seq).cast("long").alias("seq")).withWatermark("ts", watermark)
+
+    def fold(k, pdfs, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        ma, mc, da, dc, last_t, last_s = state.get if state.exists else (None, 0, None, 0, None, None)
+        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["t_us", "seq"])
+        rows = []
+        for t, s_ in zip(pdf["t_us"].to_numpy(), pdf["seq"].to_numpy()):
+            t, s_ = int(t), int(s_)
+            if last_t is not None and (t, s_) <= (last_t, last_s):
+                rows.append((k[0], s_, t, False, "late", mc, dc, True))
+                continue
+            why = None
+            if ma is not None and t - ma < minute and mc >= per_minute:
+                why = "per_minute"
+            elif da is not None and t - da < day and dc >= per_day:
+                why = "per_day"
+            if why is None:
+                if ma is None or t - ma >= minute:
+                    ma, mc = t, 0
+                if da is None or t - da >= day:
+                    da, dc = t, 0
+                mc, dc = mc + 1, dc + 1
+            rows.append((k[0], s_, t, why is None, why, mc, dc, False))
+            last_t, last_s = t, s_
+        state.update((ma, mc, da, dc, last_t, last_s))
+        state.setTimeoutTimestamp((da + day) // 1000 if da is not None else last_t // 1000)
+        yield pd.DataFrame(rows, columns=["key", "seq", "t_us", "allowed", "reason", "minute_count", "day_count", "late"])
+
+    return d.groupBy("key").applyInPandasWithState(fold, STREAM_QUOTA_OUT, STREAM_QUOTA_STATE, "append",
+                                                   GroupStateTimeout.EventTimeTimeout)
+
+
 # ------------------------------------------------------------------ T-04 / T-05 / T-06 / T-07
 
 def running_usage(requests: DataFrame, key: str = "tenant_id") -> DataFrame:
