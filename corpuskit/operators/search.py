@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 MAX_BROADCAST_QUERIES = 20_000
 
 _HITS_SCHEMA = "query_id long, doc_id long, score double"
@@ -138,27 +140,78 @@ def upsert(index: DataFrame, updates: DataFrame, key: str = "id", seq: str = "lo
 
 
 WORD = r"(?U)\w+"
+_KW_SCHEMA = "query_id long, doc_id long, score double, matched_terms array<string>"
+
+
+def _kw_kernel(queries: list, k: int):
+    """queries: [(qid, lower query text, distinct words)]. Per corpus partition, score every
+    document against the queries sharing a word with it and keep each query's local top-k by
+    (score desc, doc id asc) -- a total order, so merging the local lists is exact."""
+    import heapq
+
+    by_word: dict = {}
+    for qi, (_, _, words) in enumerate(queries):
+        for w in words:
+            by_word.setdefault(w, []).append(qi)
+
+    def run(it):
+        heaps: dict = {}
+        for pdf in it:
+            for did, words, text in zip(pdf["doc_id"], pdf["w"], pdf["t"]):
+                hits: dict = {}
+                for w in (words if words is not None else []):
+                    for qi in by_word.get(w, ()):
+                        hits.setdefault(qi, []).append(w)
+                if not hits:
+                    continue
+                low = text.lower() if text is not None else ""
+                for qi, matched in hits.items():
+                    qid, qtext, qwords = queries[qi]
+                    score = len(matched) / len(qwords) + (0.5 if qtext in low else 0.0)
+                    h = heaps.setdefault(qi, [])
+                    item = (score, -int(did), sorted(matched))
+                    if len(h) < k:
+                        heapq.heappush(h, item)
+                    elif item[:2] > h[0][:2]:
+                        heapq.heapreplace(h, item)
+        rows = [(queries[qi][0], -neg, sc, m) for qi, h in heaps.items() for sc, neg, m in h]
+        if rows:
+            yield pd.DataFrame(rows, columns=["query_id", "doc_id", "score", "matched_terms"])
+    return run
 
 
 def keyword_search(queries: DataFrame, docs: DataFrame, k: int = 5, qid_col: str = "query_id", q_col: str = "query",
-                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                   id_col: str = "doc_id", text_col: str = "text", max_broadcast: int = MAX_BROADCAST_QUERIES) -> DataFrame:
     """V-06: score = share of distinct query words found in the document + 0.5 when the whole
     query occurs in it (case-insensitive); matched words; top k per query (score desc, doc id).
 
-    Word postings are joined on the word; both sides are de-duplicated per query / document
-    before the join so each (query, document, word) meets once.
+    Queries are the bounded broadcast side (blocks above the bound). Words are extracted
+    JVM-side; each corpus partition scores only (query, document) pairs that share a word and
+    emits its local top-k per query, so a word common to every query and document never turns
+    into all pairs downstream.
     """
-    qt = queries.select(F.col(qid_col).alias("query_id"), F.col(q_col).alias("query"),
-                        F.array_distinct(F.regexp_extract_all(F.lower(F.col(q_col)), F.lit(WORD), 0)).alias("qtok"))
-    qw = qt.select("query_id", F.size("qtok").alias("nq"), F.explode("qtok").alias("w"))
-    dw = docs.select(F.col(id_col).alias("doc_id"),
-                     F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(WORD), 0))).alias("w"))
-    m = qw.join(dw, "w").groupBy("query_id", "doc_id", "nq").agg(
-        F.count(F.lit(1)).alias("n_match"), F.array_sort(F.collect_list("w")).alias("matched_terms"))
-    m = m.join(qt.select("query_id", "query"), "query_id").join(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t")), "doc_id")
-    score = F.col("n_match") / F.col("nq") + F.when(F.contains(F.lower("_t"), F.lower("query")), F.lit(0.5)).otherwise(F.lit(0.0))
-    m = m.withColumn("score", score)
+    q = queries.select(F.col(qid_col).cast("long").alias("qid"), F.lower(F.col(q_col)).alias("q"),
+                       F.array_distinct(F.regexp_extract_all(F.lower(F.col(q_col)), F.lit(WORD), 0)).alias("w"))
+    d = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"),
+                           F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(WORD), 0)).alias("w")))
+    nq = q.count()
+    blocks = [q] if nq <= max_broadcast else None
+    if blocks is None:
+        from .ordered import positional_index
+        qi = positional_index(q, "qid", "_qpos")
+        blocks = [qi.filter((F.col("_qpos") >= b * max_broadcast) & (F.col("_qpos") < (b + 1) * max_broadcast))
+                  for b in range((nq + max_broadcast - 1) // max_broadcast)]
+    parts = []
+    for blk in blocks:
+        rows = [(r.qid, r.q or "", list(r.w or [])) for r in blk.collect()]  # bounded by max_broadcast
+        rows = [x for x in rows if x[2]]
+        if rows:
+            parts.append(d.mapInPandas(_kw_kernel(rows, k), _KW_SCHEMA))
+    if not parts:
+        return docs.sparkSession.createDataFrame([], "query_id long, doc_id long, rank int, score double, matched_terms array<string>")
+    hits = parts[0]
+    for p_ in parts[1:]:
+        hits = hits.unionByName(p_)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))
-    return m.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(
+    return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(
         "query_id", "doc_id", "rank", "score", "matched_terms")
