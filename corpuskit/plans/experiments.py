@@ -198,21 +198,21 @@ def allocation_violations(spark, sf):
 
 
 def points(spark, sf):
-    """Events as metric points: counter ``events_total`` / value, labels {type, tier}."""
+    """Events as metric points: counter ``events_total`` / value, labels {type, band}."""
     e = table(spark, sf, "events")
-    labels = F.create_map(F.lit("type"), F.col("event_type"), F.lit("parity"),
-                          F.when(F.col("user_id") % 2 == 0, F.lit("even")).otherwise(F.lit("odd")))
+    labels = F.create_map(F.lit("type"), F.col("event_type"), F.lit("band"),
+                          F.when(F.col("value") >= 100, F.lit("high")).otherwise(F.lit("low")))
     return e.select(F.lit("events_total").alias("name"), labels.alias("labels"), "value", "ts", "event_id", "event_type")
 
 
 @register("counter_rollup", """
-SELECT 'events_total' AS name, event_type AS type, CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END AS parity,
+SELECT 'events_total' AS name, event_type AS type, CASE WHEN value >= 100 THEN 'high' ELSE 'low' END AS band,
   round(sum(value), 6) AS total FROM events GROUP BY 1, 2, 3""")
 def counter_rollup(spark, sf):
     """A-14 counter totals per full label set."""
     r = MON.counter_rollup(points(spark, sf))
     m = F.map_from_entries("label_set")
-    return r.select("name", m["type"].alias("type"), m["parity"].alias("parity"), F.round("total", 6).alias("total"))
+    return r.select("name", m["type"].alias("type"), m["band"].alias("band"), F.round("total", 6).alias("total"))
 
 
 @register("counter_match_total", "SELECT round(sum(value), 6) AS total FROM events WHERE event_type = 'click'")
@@ -222,13 +222,13 @@ def counter_match_total(spark, sf):
 
 
 @register("gauge_last", """
-SELECT event_type AS type, parity, arg_max(value, (ts, event_id)) AS value FROM
-  (SELECT *, CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END AS parity FROM events) GROUP BY 1, 2""")
+SELECT event_type AS type, band, arg_max(value, (ts, event_id)) AS value FROM
+  (SELECT *, CASE WHEN value >= 100 THEN 'high' ELSE 'low' END AS band FROM events) GROUP BY 1, 2""")
 def gauge_last(spark, sf):
     """A-15 last value per label set."""
     g = MON.gauge_last(points(spark, sf), seq="event_id")
     m = F.map_from_entries("label_set")
-    return g.select(m["type"].alias("type"), m["parity"].alias("parity"), "value")
+    return g.select(m["type"].alias("type"), m["band"].alias("band"), "value")
 
 
 HIST_BOUNDS = MON.DEFAULT_BOUNDS
@@ -395,8 +395,9 @@ TIER_NAMES = [t[0] for t in TIERS]
 @register("quota_rejections", f"""
 WITH r AS ({REQ_SQL}),
 t AS (SELECT * FROM (VALUES ('free', 50, ['view', 'click']), ('basic', 80, ['view', 'click', 'signup']), ('pro', 95, []::VARCHAR[]), ('enterprise', 1000, []::VARCHAR[])) t(tier, max_input_tokens, allowed_models)),
-u AS (SELECT DISTINCT user_id AS tenant_id, CASE WHEN user_id % 7 = 0 THEN 'suspended' ELSE 'active' END AS status,
-      ['free', 'basic', 'pro', 'enterprise'][CAST((('0x' || substr(sha256(CAST(user_id AS VARCHAR)), 1, 8))::BIGINT % 4) AS INTEGER) + 1] AS tier FROM events),
+u AS (SELECT user_id AS tenant_id, CASE WHEN avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END) > 0.25 THEN 'suspended' ELSE 'active' END AS status,
+      ['free', 'basic', 'pro', 'enterprise'][CAST((('0x' || substr(sha256(CAST(user_id AS VARCHAR)), 1, 8))::BIGINT % 4) AS INTEGER) + 1] AS tier
+      FROM events GROUP BY user_id),
 j AS (SELECT r.request_id, r.event_type AS model, r.tokens_in AS input_tokens, u.status, t.* FROM r JOIN u ON r.user_id = u.tenant_id JOIN t ON u.tier = t.tier)
 SELECT request_id, CASE WHEN status <> 'active' THEN 'tenant_inactive' WHEN input_tokens > max_input_tokens THEN 'input_too_long'
   WHEN len(allowed_models) > 0 AND NOT list_contains(allowed_models, model) THEN 'model_not_allowed' END AS reject_reason FROM j""")
@@ -406,8 +407,10 @@ def quota_rejections(spark, sf):
     r = requests(spark, sf).withColumnRenamed("user_id", "tenant_id").withColumnRenamed("event_type", "model")
     tiers = spark.createDataFrame(TIERS, "tier string, max_input_tokens int, allowed_models array<string>")
     names = F.array(*[F.lit(n) for n in TIER_NAMES])
-    tenants = table(spark, sf, "events").select(F.col("user_id").alias("tenant_id")).distinct().select(
-        "tenant_id", F.when(F.col("tenant_id") % 7 == 0, "suspended").otherwise("active").alias("status"),
+    # tenant status from the data: suspended when more than a quarter of its requests failed
+    tenants = table(spark, sf, "events").groupBy(F.col("user_id").alias("tenant_id")).agg(
+        F.avg((F.col("event_type") == "error").cast("double")).alias("_err")).select(
+        "tenant_id", F.when(F.col("_err") > 0.25, "suspended").otherwise("active").alias("status"),
         F.try_element_at(names, (sha_bucket(F.col("tenant_id").cast("string"), 4) + 1).cast("int")).alias("tier"))
     q = J.quota_check(r, tenants, tiers, tokens_col="tokens_in")
     return q.select("request_id", "reject_reason")
