@@ -53,20 +53,20 @@ def document_sizes(spark, sf):
 def _order_versions(spark, sf):
     o = table(spark, sf, "orders")
     ver = F.concat(F.format_string("%d.%d.%d", F.year("o_orderdate") - 1990, F.month("o_orderdate"), F.dayofmonth("o_orderdate")),
-                   F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("-rc."), (F.col("o_orderkey") % 10).cast("string"))).otherwise(F.lit("")))
+                   F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("-rc."), F.dayofweek("o_orderdate").cast("string"))).otherwise(F.lit("")))
     return o.select(F.col("o_orderpriority").alias("name"), ver.alias("version"))
 
 
 @register("latest_order_versions", """
 WITH v AS (SELECT o_orderpriority AS name, year(o_orderdate) - 1990 AS ma, month(o_orderdate) AS mi, day(o_orderdate) AS pa,
-  o_orderstatus <> 'P' AS rel, CASE WHEN o_orderstatus = 'P' THEN o_orderkey % 10 ELSE 0 END AS rc,
+  o_orderstatus <> 'P' AS rel, CASE WHEN o_orderstatus = 'P' THEN dayofweek(o_orderdate) + 1 ELSE 0 END AS rc,
   printf('%d.%d.%d', year(o_orderdate) - 1990, month(o_orderdate), day(o_orderdate)) ||
-  CASE WHEN o_orderstatus = 'P' THEN '-rc.' || CAST(o_orderkey % 10 AS VARCHAR) ELSE '' END AS version FROM orders)
+  CASE WHEN o_orderstatus = 'P' THEN '-rc.' || CAST(dayofweek(o_orderdate) + 1 AS VARCHAR) ELSE '' END AS version FROM orders)
 SELECT name, arg_max(version, struct_pack(ma := ma, mi := mi, pa := pa, rel := rel, rc := rc)) AS latest,
   arg_max(version, struct_pack(ma := ma, mi := mi, pa := pa, rel := rel, rc := rc)) AS effective FROM v GROUP BY name""")
 def latest_order_versions(spark, sf):
-    """X-06 / W-05: order dates as SemVer (pending orders as release candidates); latest per
-    priority under SemVer 2.0 order."""
+    """X-06 / W-05: order dates as SemVer (pending orders as release candidates numbered by
+    weekday); latest per priority under SemVer 2.0 order."""
     return VR.latest_versions(_order_versions(spark, sf)).select("name", "latest", "effective")
 
 
