@@ -67,3 +67,17 @@ def test_streaming_limiter_equals_batch(spark, tmp_path):
     got = {(int(r.key), r.seq): r.allowed for r in out.filter(~F.col("late")).collect()}
     batch = {(int(r.key), r.seq): r.allowed for r in T.sliding_log_limit(df, "user_id", "ts", "event_id", 2, 300).collect()}
     assert got == batch
+
+
+def test_streaming_quota_equals_batch(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from corpuskit.streaming import stream as S
+    rows, df = _events(spark, n=300, seed=9)
+    df.write.parquet(str(tmp_path / "ev"))
+    st = spark.readStream.schema(df.schema).parquet(str(tmp_path / "ev"))
+    out = S.run_to_table(S.streaming_anchored_quota(st, "user_id", "ts", "event_id", 2, 7, "2 hours"), name="q")
+    got = {(int(r.key), r.seq): (r.allowed, r.reason) for r in out.filter(~F.col("late")).collect()}
+    batch = {(int(r.key), r.seq): (r.allowed, r.reason)
+             for r in T.anchored_quota(df, "user_id", "ts", "event_id", 2, 7).collect()}
+    assert got == batch

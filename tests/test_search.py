@@ -64,3 +64,17 @@ def test_upsert_and_context(spark):
     q = spark.createDataFrame([(7,), (8,)], "query_id long")
     ans = {r.query_id: r.answer for r in V.extractive_answer(q, hits, docs).collect()}
     assert ans[7].endswith("first") and ans[8] == V.NOT_FOUND
+
+
+def test_keyword_search_ties_and_blocks(spark):
+    docs = [(i, "common word " + ("rare" if i % 10 == 0 else "other")) for i in range(60)]
+    ddf = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    qdf = spark.createDataFrame([(1, "common"), (2, "rare word"), (3, "zzz")], "query_id long, query string")
+    got = {}
+    for r in V.keyword_search(qdf, ddf, 3).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.doc_id))
+    assert sorted(got[1]) == [(1, 0), (2, 1), (3, 2)]  # all tie at 1.0 + 0.5: lowest doc ids win
+    assert [d for _, d in sorted(got[2])] == [0, 10, 20] and 3 not in got
+    b = sorted(tuple(r) for r in V.keyword_search(qdf, ddf, 3, max_broadcast=1).select("query_id", "doc_id", "rank").collect())
+    a = sorted(tuple(r) for r in V.keyword_search(qdf, ddf, 3).select("query_id", "doc_id", "rank").collect())
+    assert a == b
