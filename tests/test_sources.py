@@ -108,3 +108,13 @@ def test_xml_files(spark, tmp_path):
     d = SA.read_xml_files(spark, str(tmp_path / "r.xml"), "item", "_id string, tag array<string>, name string")
     got = sorted((r._id, tuple(r.tag), r.name) for r in d.collect())
     assert got == [("1", ("a", "b"), "N1"), ("2", ("c",), "N2")]
+
+
+def test_stream_jsonl_incremental(spark, tmp_path):
+    from corpuskit.streaming.stream import run_to_table
+    src = tmp_path / "in"
+    src.mkdir()
+    for i in range(3):
+        (src / f"part{i}.jsonl").write_text("".join(json.dumps({"input": f"q{i}{j}", "output": "a"}) + "\n" for j in range(4)))
+    out = run_to_table(SJ.stream_jsonl(spark, str(src), max_files=1), name="jsonl")
+    assert sorted(r.input for r in out.collect()) == sorted(f"q{i}{j}" for i in range(3) for j in range(4))
