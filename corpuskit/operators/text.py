@@ -256,22 +256,47 @@ def manual_sections(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         "doc_id", "sec", "title", py_strip(F.coalesce("content", F.lit(""))).alias("content"))
 
 
-def questions_for_sections(sections: DataFrame, rules: DataFrame, k: int = 3, min_len: int = 50) -> DataFrame:
-    """D-16: question templates by the first matching title keyword class.
-
-    ``rules``: (priority, keyword_regex, template with %s for the title) -- user data, small,
-    size-checked broadcast. Sections shorter than ``min_len`` are skipped; the first ``k``
-    templates of the matched class are used (class = lowest priority that matches)."""
-    from .relate import bounded_broadcast
+# Default question rules (our own wording). Title classes are tried in order;
+# "{a}" is the title lower-cased with "_" / "-" as spaces, "{t}" the lower-cased title.
+DEFAULT_TITLE_RULES = [
+    ("install", ["How is it installed?", "Which installation steps are needed?", "How is the system set up?"]),
+    ("troubleshoot|problem", ["How can issues be diagnosed?", "What helps when something fails?", "How are common faults fixed?"]),
+    ("config|setting", ["How is the system configured?", "Which options can be configured?", "How are settings changed?"]),
+    ("api|endpoint", ["Which API endpoints exist?", "How is the API called?", "What format does the API use?"]),
+    ("require", ["What does the system require?", "What is needed before running it?", "Which prerequisites apply?"]),
+    ("error", ["What does this error indicate?", "How are errors resolved?", "What leads to these errors?"]),
+]
+DEFAULT_GENERIC = ["What is {a}?", "How does {a} work?", "Could you explain {a}?"]
+DEFAULT_CUES = [(r"(?i)step|\d+\.\s", "Which steps does {t} involve?"), (r"(?i)command|```", "Which commands are needed?")]
+
+
+def questions_for_sections(sections: DataFrame, k: int = 3, min_len: int = 50, title_rules=None,
+                           generic=None, cues=None) -> DataFrame:
+    """D-16: questions for each section long enough: the templates of the first title class
+    whose keyword pattern matches the lower-cased title (else the generic ones), followed by
+    content-cue questions (steps, commands); the first ``k`` are kept. All in-row: the rule
+    table is small, size-checked and compiled into the expression."""
+    rules = list(title_rules or DEFAULT_TITLE_RULES)
+    generic = list(generic or DEFAULT_GENERIC)
+    cues = list(cues or DEFAULT_CUES)
+    if len(rules) + len(cues) > 10_000:
+        raise ValueError("question rule table too large to embed")
     s = sections.filter(F.length("content") >= min_len)
-    r = bounded_broadcast(rules, 10_000)
-    m = s.join(r, F.regexp_like(F.lower(s["title"]), r["keyword_regex"]), "inner")
-    best = m.groupBy("doc_id", "sec").agg(F.min("priority").alias("priority"))
-    m = m.join(best, ["doc_id", "sec", "priority"])
-    w = Window.partitionBy("doc_id", "sec").orderBy("template")
-    m = m.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= k)
-    return m.select("doc_id", "sec", F.expr("format_string(template, title)").alias("input"),
-                    F.col("content").alias("output"))
+    tl = F.lower(F.col("title"))
+    act = F.regexp_replace(tl, "[_-]", " ")
+
+    def fill(t):
+        return F.replace(F.replace(F.lit(t), F.lit("{a}"), act), F.lit("{t}"), tl)
+
+    by_class = None
+    for pat, tpls in rules:
+        arr = F.array(*[fill(t) for t in tpls])
+        by_class = F.when(tl.rlike(pat), arr) if by_class is None else by_class.when(tl.rlike(pat), arr)
+    base = (by_class.otherwise(F.array(*[fill(t) for t in generic])) if by_class is not None
+            else F.array(*[fill(t) for t in generic]))
+    cue_arr = F.filter(F.array(*[F.when(F.col("content").rlike(p), fill(t)) for p, t in cues]), lambda x: x.isNotNull())
+    qs = F.slice(F.concat(base, cue_arr), 1, k)
+    return s.select("doc_id", "sec", "title", F.posexplode(qs).alias("q", "input"), F.col("content").alias("output"))
 
 
 # ------------------------------------------------------------------ URLs (D-19, D-20)

@@ -99,11 +99,18 @@ def test_manual_sections_and_questions(spark):
     d = spark.createDataFrame([(1, t)], "doc_id long, text string")
     s = {x.title: x.content for x in D.manual_sections(d, "doc_id", "text").collect()}
     assert s == {"INSTALLATION": "run the installer now", "Troubleshooting": "if it fails, restart", "Safety rules": "wear gloves"}
-    rules = spark.createDataFrame([(1, "install", "How do I do %s?"), (2, ".*", "What is %s?")],
-                                  "priority int, keyword_regex string, template string")
-    q = D.questions_for_sections(D.manual_sections(d, "doc_id", "text"), rules, k=1, min_len=5).collect()
-    got = {x.input for x in q}
-    assert "How do I do INSTALLATION?" in got and "What is Safety rules?" in got
+    secs = D.manual_sections(d, "doc_id", "text")
+    q = D.questions_for_sections(secs, k=2, min_len=5).collect()
+    by = {}
+    for r in q:
+        by.setdefault(r.title, []).append((r.q, r.input))
+    assert [x for _, x in sorted(by["INSTALLATION"])] == ["How is it installed?", "Which installation steps are needed?"]
+    assert [x for _, x in sorted(by["Safety rules"])] == ["What is safety rules?", "How does safety rules work?"]
+    q4 = D.questions_for_sections(secs, k=4, min_len=5).collect()
+    assert "Which commands are needed?" not in {r.input for r in q4}
+    cmd = spark.createDataFrame([(1, 1, "Usage", "run the command now")], "doc_id long, sec int, title string, content string")
+    got = [r.input for r in D.questions_for_sections(cmd, k=4, min_len=5).orderBy("q").collect()]
+    assert got == ["What is usage?", "How does usage work?", "Could you explain usage?", "Which commands are needed?"]
 
 
 def test_best_snippet_against_loop(spark):
