@@ -8,7 +8,7 @@ filters and explodes around them are native.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.chunking import chunk_udf
@@ -26,17 +26,22 @@ def py_strip(c) -> Column:
 
 def chunk_documents(docs: DataFrame, id_col: str, text_col: str, profile: str = "index",
                     size: int | None = None, overlap: int | None = None, source_col: str | None = None,
-                    created_at: Column | None = None) -> DataFrame:
+                    created_at: Column | None = None, metadata_cols=()) -> DataFrame:
     """D-01 + D-02: one row per chunk with ``chunk_id`` (12 hex of md5("source:i:first 50")),
-    ``chunk_index``, ``total_chunks`` and ``created_at``."""
+    ``chunk_index``, ``total_chunks``, ``created_at`` and a ``metadata`` struct (source, index,
+    total, created_at merged with the document columns named in ``metadata_cols``)."""
     arr = chunk_udf(profile, size, overlap)(F.col(text_col))
     src = F.col(source_col).cast("string") if source_col else F.col(id_col).cast("string")
-    d = spread(docs).select(F.col(id_col).alias("doc_id"), src.alias("source"), arr.alias("_c"))
-    d = d.select("doc_id", "source", F.size("_c").alias("total_chunks"), F.posexplode("_c").alias("chunk_index", "content"))
+    extra = list(metadata_cols)
+    d = spread(docs).select(F.col(id_col).alias("doc_id"), src.alias("source"), arr.alias("_c"), *extra)
+    d = d.select("doc_id", "source", *extra, F.size("_c").alias("total_chunks"),
+                 F.posexplode("_c").alias("chunk_index", "content"))
     cid = F.substring(F.md5(F.concat_ws(":", "source", F.col("chunk_index").cast("string"),
                                         F.substring("content", 1, 50))), 1, 12)
-    return d.select(cid.alias("chunk_id"), "doc_id", "source", "chunk_index", "total_chunks", "content",
-                    (created_at if created_at is not None else F.current_timestamp()).alias("created_at"))
+    d = d.select(cid.alias("chunk_id"), "doc_id", "source", "chunk_index", "total_chunks", "content", *extra,
+                 (created_at if created_at is not None else F.current_timestamp()).alias("created_at"))
+    meta = F.struct("source", "chunk_index", "total_chunks", "created_at", *extra)
+    return d.withColumn("metadata", meta).drop(*extra)
 
 
 def fixed_chunks(docs: DataFrame, name_col: str, text_col: str, size: int) -> DataFrame:

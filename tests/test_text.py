@@ -167,3 +167,9 @@ def test_document_structure_text(spark):
     d = spark.createDataFrame([(json.dumps(doc),)], "j string")
     t = D.document_structure_text(d, "j").first().text
     assert t == "Doc\n\n\n\nIntro text\n\n• point\n\n[Image]\n\na | b"
+
+
+def test_chunk_metadata_merge(spark):
+    d = spark.createDataFrame([(1, "Hello world. " * 60, "en")], "doc_id long, text string, lang string")
+    r = D.chunk_documents(d, "doc_id", "text", "index", 200, 20, metadata_cols=["lang"]).first()
+    assert r.metadata.lang == "en" and r.metadata.total_chunks == r.total_chunks and "lang" not in r.asDict()
