@@ -85,3 +85,21 @@ def workspace_pages(spark: SparkSession, path: str) -> DataFrame:
                                                 lambda t: t["plain_text"]), ""))
     return pages.select("database_title", F.try_variant_get("p", "$.id", "string").alias("id"), title.alias("title"),
                         props.alias("properties"), F.try_variant_get("p", "$.content", "string").alias("content"))
+
+
+def wiki_spaces(spark: SparkSession, path: str) -> DataFrame:
+    """S-13 spaces: key / name default "", description from its plain value when it is an
+    object (else the text itself), homepage id when present."""
+    raw = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
+    arr = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.try_variant_get("v", "$.results", "array<variant>"))
+    e = raw.select(F.explode(arr).alias("r"))
+
+    def g(p):
+        return F.try_variant_get("r", p, "string")
+
+    desc = F.coalesce(g("$.description.plain.value"), F.when(F.try_variant_get("r", "$.description", "string").isNotNull()
+                                                          & ~F.startswith(F.to_json(F.try_variant_get("r", "$.description", "variant")), F.lit("{")),
+                                                          g("$.description")), F.lit(""))
+    return e.select(g("$.id").alias("id"), F.coalesce(g("$.key"), F.lit("")).alias("key"),
+                    F.coalesce(g("$.name"), F.lit("")).alias("name"), g("$.type").alias("type"), g("$.status").alias("status"),
+                    desc.alias("description"), g("$.homepage.id").alias("homepage_id"))

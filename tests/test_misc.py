@@ -85,3 +85,22 @@ def test_newest_and_retention(spark):
     d = spark.createDataFrame([(1, t0), (2, None), (3, t0 + dt.timedelta(1)), (4, t0 + dt.timedelta(2))], "id int, ts timestamp")
     assert [r.id for r in W.newest(d, "ts", 3).collect()] == [4, 3, 1]
     assert sorted(r.id for r in W.retain_newest(d, "id", "ts", 2).collect()) == [3, 4]
+
+
+def test_reaction_samples_and_parent_attach(spark):
+    msgs = spark.createDataFrame([
+        ("c", "1.0", None, "parent <@U1> question", 2, [("+1", 2)]),
+        ("c", "2.0", "1.0", "reply one", 0, []), ("c", "3.0", "1.0", "reply two", 0, []),
+        ("c", "4.0", None, "lonely", 0, [("eyes", 1)]), ("c", "5.0", None, "no reactions", 0, [])],
+        "channel_id string, ts string, thread_ts string, text string, reply_count int, reactions array<struct<name:string,count:int>>")
+    r = {x.metadata.ts: (x.input, x.output) for x in J.reaction_samples(msgs).collect()}
+    assert r == {"1.0": ("parent question", "reply one reply two"), "4.0": ("lonely", "")}
+    hits = spark.createDataFrame([(1, 0.9), (2, 0.5)], "doc_id int, score double")
+    docs = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "doc_id int, title string, body string")
+    assert sorted(tuple(x) for x in J.attach_parent(hits, docs, "doc_id", ["title"]).collect()) == [(1, 0.9, "a"), (2, 0.5, "b")]
+
+
+def test_ordered_versions(spark):
+    from corpuskit.operators import versions as VR
+    v = spark.createDataFrame([("m", "1.10.0"), ("m", "1.2.0"), ("m", "1.2.0-rc.1")], "name string, version string")
+    assert [r.version for r in VR.ordered_versions(v).collect()] == ["1.2.0-rc.1", "1.2.0", "1.10.0"]

@@ -118,3 +118,20 @@ def test_stream_jsonl_incremental(spark, tmp_path):
         (src / f"part{i}.jsonl").write_text("".join(json.dumps({"input": f"q{i}{j}", "output": "a"}) + "\n" for j in range(4)))
     out = run_to_table(SJ.stream_jsonl(spark, str(src), max_files=1), name="jsonl")
     assert sorted(r.input for r in out.collect()) == sorted(f"q{i}{j}" for i in range(3) for j in range(4))
+
+
+def test_chat_channels_users_and_spaces(spark, tmp_path):
+    (tmp_path / "channels.json").write_text(json.dumps([{"id": "C1", "name": "general", "is_private": False,
+                                                         "topic": {"value": "t"}, "purpose": {"value": "p"}, "num_members": 3}]))
+    c = SE.chat_channels(spark, str(tmp_path / "channels.json")).first()
+    assert (c.id, c.topic, c.purpose, c.num_members) == ("C1", "t", "p", 3)
+    (tmp_path / "users.json").write_text(json.dumps({"members": [{"id": "U1", "name": "ann",
+                                                                  "profile": {"real_name": "Ann A", "display_name": "ann"}}]}))
+    u = SE.chat_users(spark, str(tmp_path / "users.json")).first()
+    assert (u.id, u.real_name) == ("U1", "Ann A")
+    (tmp_path / "spaces.json").write_text(json.dumps([
+        {"id": "1", "key": "DOC", "name": "Docs", "description": {"plain": {"value": "guides"}}, "homepage": {"id": "9"}},
+        {"id": "2", "description": "plain text"}]))
+    s = {r.id: r for r in SE.wiki_spaces(spark, str(tmp_path / "spaces.json")).collect()}
+    assert (s["1"].key, s["1"].description, s["1"].homepage_id) == ("DOC", "guides", "9")
+    assert (s["2"].key, s["2"].name, s["2"].description, s["2"].homepage_id) == ("", "", "plain text", None)
