@@ -337,9 +337,27 @@ def in_flight(spark, sf):
     return r.select("event_id", "user_id", F.col("in_flight").cast("bigint").alias("in_flight"))
 
 
-@register("job_states")
+JOB_SQL = f"""
+WITH e AS (SELECT user_id AS job_id, ts, event_id AS seq, event_type = 'error' AS failed,
+                  CASE WHEN event_type = 'error' THEN NULL ELSE least(greatest(value / 3, 0.0), 100.0) END AS p FROM events),
+k AS (SELECT *, CASE WHEN failed THEN 'failed' WHEN p >= 100 THEN 'completed' END AS kind FROM e),
+ft AS (SELECT job_id, arg_min(struct_pack(t := ts, s := seq, k := kind), (ts, seq)) FILTER (WHERE kind IS NOT NULL) AS f FROM k GROUP BY job_id),
+j AS (SELECT k.*, ft.f FROM k JOIN ft USING (job_id)),
+a AS (SELECT job_id,
+        arg_max(p, (ts, seq)) FILTER (WHERE p IS NOT NULL) AS progress,
+        arg_max(kind, (ts, seq)) FILTER (WHERE kind IS NOT NULL) AS last_terminal,
+        bool_or(p > 0) AS any_started,
+        min(ts) FILTER (WHERE p > 0 AND (f IS NULL OR (CASE WHEN f.k = 'failed' THEN (ts, seq) < (f.t, f.s) ELSE (ts, seq) <= (f.t, f.s) END))) AS started_at,
+        max(ts) FILTER (WHERE kind = 'completed') AS completed_at, max(ts) FILTER (WHERE kind = 'failed') AS failed_at
+      FROM j GROUP BY job_id)
+SELECT job_id, coalesce(last_terminal, CASE WHEN coalesce(any_started, false) THEN 'running' END, 'pending') AS status,
+  round(progress, 6) AS progress, {sql_ts('started_at')} AS started_at, {sql_ts('completed_at')} AS completed_at,
+  {sql_ts('failed_at')} AS failed_at FROM a"""
+
+
+@register("job_states", JOB_SQL)
 def job_states(spark, sf):
-    """W-08 job state per user-as-job: error = failure, value / 3 = progress (rows-only check)."""
+    """W-08 job state per user-as-job: error = failure, value / 3 = progress."""
     e = table(spark, sf, "events").select(
         F.col("user_id").alias("job_id"), "ts", F.col("event_id").alias("seq"),
         (F.col("value") / 3).alias("progress"), (F.col("event_type") == "error").alias("failed"))

@@ -165,7 +165,25 @@ def stream_hourly_rates(spark, sf):
     return _rates_out(r)
 
 
-@register("sliding_latency_quantiles")
+SLIDING_SQL = f"""
+WITH r AS (SELECT event_type AS endpoint, ts, value / 100.0 AS v FROM events),
+w AS (SELECT endpoint, v, time_bucket(INTERVAL 3 HOUR, ts) AS ws FROM r
+      UNION ALL SELECT endpoint, v, time_bucket(INTERVAL 3 HOUR, ts) - INTERVAL 3 HOUR FROM r),
+g AS (SELECT ws, endpoint, count(*) AS count FROM w GROUP BY 1, 2),
+b AS (SELECT unnest([0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 'inf'::DOUBLE]) AS le),
+h AS (SELECT g.ws, g.endpoint, b.le, g.count,
+             (SELECT count(*) FROM w WHERE w.ws = g.ws AND w.endpoint = g.endpoint AND w.v <= b.le) AS cum FROM g, b),
+q AS (SELECT unnest([0.5, 0.95, 0.99]::DOUBLE[]) AS q),
+x AS (SELECT h.*, q.q, lag(le) OVER k AS prev_le, lag(cum) OVER k AS prev_cum, q.q * count AS rank
+      FROM h, q WINDOW k AS (PARTITION BY q.q, ws, endpoint ORDER BY le)),
+f AS (SELECT ws, endpoint, q, arg_min(struct_pack(le := le, prev_le := prev_le, cum := cum, prev_cum := prev_cum, rank := rank), le) AS s
+      FROM x WHERE cum >= rank AND count > 0 GROUP BY ws, endpoint, q)
+SELECT {sql_ts('ws')} AS window_start, endpoint, q, round(CASE WHEN s.le = 'inf'::DOUBLE THEN s.prev_le
+  WHEN s.cum - coalesce(s.prev_cum, 0) > 0 THEN coalesce(s.prev_le, 0) + (s.le - coalesce(s.prev_le, 0)) * (s.rank - coalesce(s.prev_cum, 0)) / (s.cum - coalesce(s.prev_cum, 0))
+  ELSE s.le END, 6) AS value FROM f"""
+
+
+@register("sliding_latency_quantiles", SLIDING_SQL)
 def sliding_latency_quantiles(spark, sf):
     """T-06 p50 / p95 / p99 per 6-hour window sliding by 3 hours, from bucket counts."""
     req = requests(spark, sf).withColumn("latency_s", F.col("latency_ms") / 100.0).withColumnRenamed("event_type", "endpoint")

@@ -61,18 +61,31 @@ def centroid_cosine_other_labels(spark, sf):
     return h.withColumn("score", F.round("score", 6))
 
 
-@register("centroid_context")
+@register("centroid_context", f"""
+WITH {CENTROID_SQL},
+s AS (SELECT c.query_id, e.vec_id AS doc_id, e.label, list_dot_product(CAST(e.embedding AS DOUBLE[]), c.vec) AS score FROM c, embeddings e),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)
+SELECT query_id, string_agg(printf('[%d] (score: %.3f)', rank, score) || chr(10) || printf('vector %d (label %d)', doc_id, label),
+  chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM r WHERE rank <= 3 GROUP BY query_id""")
 def centroid_context(spark, sf):
-    """V-03 context block per centroid query over the label-named neighbours (rows-only)."""
+    """V-03 context block per centroid query over its three nearest vectors."""
     h = V.vector_topk(table(spark, sf, "embeddings"), centroids(spark, sf), 3, "vec_id", "embedding", "query_id", "vec")
     docs = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"),
                                                  F.format_string("vector %d (label %d)", "vec_id", "label").alias("content"))
     return V.context_text(h, docs)
 
 
-@register("centroid_answers")
+@register("centroid_answers", f"""
+WITH {CENTROID_SQL},
+s AS (SELECT c.query_id, e.vec_id AS doc_id, list_dot_product(CAST(e.embedding AS DOUBLE[]), c.vec) AS score FROM c, embeddings e),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s),
+h AS (SELECT * FROM r WHERE rank <= 3 AND score >= 0.99),
+b AS (SELECT query_id, arg_min(doc_id, rank) AS top, count(*) AS n FROM h GROUP BY query_id)
+SELECT c.query_id, CASE WHEN b.top IS NULL THEN '{V.NOT_FOUND.replace("'", "''")}'
+  ELSE 'Based on the available information:' || chr(10) || chr(10) || 'vector ' || CAST(b.top AS VARCHAR) END AS answer,
+  CAST(coalesce(b.n, 0) AS INTEGER) AS n_sources FROM c LEFT JOIN b ON c.query_id = b.query_id""")
 def centroid_answers(spark, sf):
-    """V-04 extractive answer per centroid (threshold 0.99 leaves most unanswered; rows-only)."""
+    """V-04 extractive answer per centroid (threshold 0.99 leaves most unanswered)."""
     q = centroids(spark, sf)
     h = V.vector_topk(table(spark, sf, "embeddings"), q, 3, "vec_id", "embedding", "query_id", "vec", threshold=0.99)
     docs = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"),
