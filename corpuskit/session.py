@@ -48,14 +48,18 @@ def build_session(master: str | None = None, app: str = "corpuskit",
 def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the folder is set by the deployment and is read here, never replaced.
-    Only when it is unset (local tests) a fresh folder is created and registered.
+    On a cluster the folder is set by the deployment and is read here, never replaced (unset on
+    a cluster is an error). Only in local mode, when it is unset (tests), a fresh folder is
+    created and registered.
     """
     current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if current:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(current)
         return current
+    if not fallback and not spark.sparkContext.master.startswith("local"):
+        # a machine-local folder is not shared by executors: the cluster must name one
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder (needed for lineage cuts and stream outputs)")
     path = fallback or tempfile.mkdtemp(prefix="corpuskit-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
