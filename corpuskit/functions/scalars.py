@@ -17,11 +17,16 @@ def normalize_path_segments(path) -> Column:
     return F.when(F.size(norm) > 0, F.concat(F.lit("/"), F.array_join(norm, "/"))).otherwise(F.lit("/"))
 
 
+# Id patterns of the regex path normaliser, applied in this order.
+PATH_ID_PATTERNS = [r"/[a-f0-9]{8}(-[a-f0-9]{4}){3}-[a-f0-9]{12}", r"/[a-f0-9]{8}(?=/|$)", r"/\d+(?=/|$)"]
+
+
 def normalize_path_regex(path) -> Column:
     """X-01 profile ``regex``: UUIDs, 8-hex ids and numeric ids after a slash -> ``/{id}``."""
-    p = F.regexp_replace(col_(path), r"/[a-f0-9]{8}(-[a-f0-9]{4}){3}-[a-f0-9]{12}", "/{id}")
-    p = F.regexp_replace(p, r"/[a-f0-9]{8}(?=/|$)", "/{id}")
-    return F.regexp_replace(p, r"/\d+(?=/|$)", "/{id}")
+    p = col_(path)
+    for pattern in PATH_ID_PATTERNS:
+        p = F.regexp_replace(p, pattern, "/{id}")
+    return p
 
 
 def limit_category(path) -> Column:

@@ -63,15 +63,22 @@ def normalize_text(c) -> Column:
     return F.trim(t)
 
 
+# Chat markup rewrites, applied in this order (pattern, replacement).
+CHAT_CLEAN_RULES = [
+    (r"<@[A-Z0-9]+>", ""),
+    (r"<#[A-Z0-9]+\|([^>]+)>", "#$1"),
+    (r"<(https?://[^|>]+)\|([^>]+)>", "$2"),
+    (r"<(https?://[^>]+)>", "$1"),
+    (r"<!(?:here|channel|everyone)[^>]*>", ""),
+]
+
+
 def clean_chat_text(c) -> Column:
     """D-08 chat text cleaner: mentions out, channel refs -> #name, links -> label or URL,
     broadcast commands out, whitespace squeezed. NULL -> ''."""
     t = F.coalesce(col_(c), F.lit(""))
-    t = F.regexp_replace(t, r"<@[A-Z0-9]+>", "")
-    t = F.regexp_replace(t, r"<#[A-Z0-9]+\|([^>]+)>", "#$1")
-    t = F.regexp_replace(t, r"<(https?://[^|>]+)\|([^>]+)>", "$2")
-    t = F.regexp_replace(t, r"<(https?://[^>]+)>", "$1")
-    t = F.regexp_replace(t, r"<!(?:here|channel|everyone)[^>]*>", "")
+    for pattern, replacement in CHAT_CLEAN_RULES:
+        t = F.regexp_replace(t, pattern, replacement)
     return squeeze_ws(t)
 
 

@@ -115,6 +115,8 @@ def context_text(hits: DataFrame, docs: DataFrame, text_col: str = "content", do
     return j.groupBy("query_id").agg(F.array_join(F.transform(agg, lambda x: x["b"]), "\n\n---\n\n").alias("context"))
 
 
+# Answer texts of the extractive answerer.
+ANSWER_PREFIX = "Based on the available information:\n\n"
 NOT_FOUND = "I couldn't find relevant information to answer your question."
 
 
@@ -127,7 +129,7 @@ def extractive_answer(queries: DataFrame, hits: DataFrame, docs: DataFrame, text
                                                  lambda x: x["doc_id"]).alias("sources"))
     q = queries.select(F.col(qid_col).alias("query_id")).join(best, "query_id", "left")
     return q.select("query_id", F.when(F.col("_top").isNull(), F.lit(NOT_FOUND))
-                    .otherwise(F.concat(F.lit("Based on the available information:\n\n"), F.col("_top"))).alias("answer"),
+                    .otherwise(F.concat(F.lit(ANSWER_PREFIX), F.col("_top"))).alias("answer"),
                     F.coalesce("sources", F.array().cast("array<long>")).alias("sources"))
 
 

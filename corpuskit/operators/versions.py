@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import col_
 
+# Version patterns (full SemVer, and the short "vN" form).
 SEMVER = r"^(\d+)\.(\d+)\.(\d+)(?:-([a-zA-Z0-9.-]+))?(?:\+([a-zA-Z0-9.-]+))?$"
 SIMPLE = r"^v?(\d+)$"
 
