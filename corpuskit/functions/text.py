@@ -10,6 +10,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Metric tokeniser and answer normaliser patterns (Unicode word classes).
+TOKEN_DROP = r"(?U)[^\w\s']"          # everything but word characters, spaces and apostrophes
+ARTICLES = r"(?U)\b(a|an|the)\b"
+PUNCT = r"(?U)[^\w\s]"
+
+
 def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -24,7 +30,7 @@ def metric_tokens(c) -> Column:
 
     Returns ARRAY<STRING> without empty tokens; NULL text gives an empty array.
     """
-    cleaned = F.regexp_replace(F.trim(F.lower(F.coalesce(col_(c), F.lit("")))), r"(?U)[^\w\s']", " ")
+    cleaned = F.regexp_replace(F.trim(F.lower(F.coalesce(col_(c), F.lit("")))), TOKEN_DROP, " ")
     return F.filter(F.split(F.trim(cleaned), r"(?U)\s+"), lambda t: t != "")
 
 
@@ -50,8 +56,8 @@ def ngrams(tokens, n: int) -> Column:
 def normalize_answer(c) -> Column:
     """M-08 answer normaliser: lower, articles -> space, drop punctuation, squeeze spaces."""
     t = F.lower(F.coalesce(col_(c), F.lit("")))
-    t = F.regexp_replace(t, r"(?U)\b(a|an|the)\b", " ")
-    t = F.regexp_replace(t, r"(?U)[^\w\s]", "")
+    t = F.regexp_replace(t, ARTICLES, " ")
+    t = F.regexp_replace(t, PUNCT, "")
     return squeeze_ws(t)
 
 

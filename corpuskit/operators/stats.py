@@ -154,11 +154,16 @@ def confidence_evaluation(df: DataFrame, pred: str = "prediction", ref: str = "o
         F.count_if(~right).alias("errors"))
 
 
+# Error-type length ratios (A-20) and loss verdict bands (A-23).
+SHORT_RATIO, LONG_RATIO = 0.5, 1.5
+LOSS_GOOD, LOSS_OK = 0.5, 1.0
+
+
 def error_type(pred, ref):
     """A-20 error class of one wrong prediction."""
     p, r = F.col(pred), F.col(ref)
-    return (F.when(F.length(p) < F.length(r) * 0.5, F.lit("too_short"))
-            .when(F.length(p) > F.length(r) * 1.5, F.lit("too_long"))
+    return (F.when(F.length(p) < F.length(r) * SHORT_RATIO, F.lit("too_short"))
+            .when(F.length(p) > F.length(r) * LONG_RATIO, F.lit("too_long"))
             .when(F.lower(p) == F.lower(r), F.lit("case_mismatch"))
             .otherwise(F.lit("content_error")))
 
@@ -222,8 +227,8 @@ def loss_curve_summary(log: DataFrame, run: str = "run_id", epoch: str = "epoch"
     a = log.groupBy(run).agg(F.min_by(loss, epoch).alias("initial_loss"), F.max_by(loss, epoch).alias("final_loss"))
     imp = F.when(F.col("initial_loss") != 0,
                  (F.col("initial_loss") - F.col("final_loss")) / F.col("initial_loss") * 100)
-    verdict = (F.when(F.col("final_loss") < 0.5, F.lit("good"))
-               .when(F.col("final_loss") < 1.0, F.lit("more_epochs")).otherwise(F.lit("high")))
+    verdict = (F.when(F.col("final_loss") < LOSS_GOOD, F.lit("good"))
+               .when(F.col("final_loss") < LOSS_OK, F.lit("more_epochs")).otherwise(F.lit("high")))
     return a.withColumn("improvement_pct", imp).withColumn("verdict", verdict)
 
 
