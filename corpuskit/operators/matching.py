@@ -73,7 +73,7 @@ def _best(q: str, kb: list, mode: str, hist=None, vocab=None, lens=None):
     return best_o, best_s, has
 
 
-def _kernel(kb_rows, mode):
+def _prepare(kb_rows, mode):
     prepared = []
     for order, text in kb_rows:
         low = (text or "").lower()
@@ -89,8 +89,14 @@ def _kernel(kb_rows, mode):
         for ch in e[1]:
             hist[i, vocab[ch]] += 1
     lens = np.array([len(e[1]) for e in prepared], dtype=np.int64)
+    return prepared, hist, vocab, lens
 
+
+def _kernel(bkb, mode):
+    """``bkb``: broadcast variable with the KB block rows (shipped once per executor); the
+    matchers and character histograms are built once per task."""
     def run(it):
+        prepared, hist, vocab, lens = _prepare(bkb.value, mode)
         for pdf in it:
             res = [_best(q or "", prepared, mode, hist, vocab, lens) for q in pdf["q"]]
             yield pd.DataFrame({"qid": pdf["qid"].astype("int64"), "kb_order": [r[0] for r in res],
@@ -109,7 +115,8 @@ def match(questions: DataFrame, kb: DataFrame, qid: str, q_col: str, kb_order: s
     for b in range(max(1, (n + max_block - 1) // max_block)):
         blk = k.orderBy("o").offset(b * max_block).limit(max_block) if n > max_block else k
         rows = [(r.o, r.t) for r in blk.collect()]  # bounded by max_block
-        parts.append(q.mapInPandas(_kernel(rows, mode), _OUT))
+        bkb = questions.sparkSession.sparkContext.broadcast(rows)
+        parts.append(q.mapInPandas(_kernel(bkb, mode), _OUT))
     allp = parts[0]
     for p in parts[1:]:
         allp = allp.unionByName(p)

@@ -21,8 +21,10 @@ MAX_BROADCAST_QUERIES = 20_000
 _HITS_SCHEMA = "query_id long, doc_id long, score double"
 
 
-def _local_topk(qids: np.ndarray, qmat: np.ndarray, k: int, cosine: bool, min_score: float | None):
+def _local_topk(bq, k: int, cosine: bool, min_score: float | None):
+    """``bq``: broadcast variable holding (query ids, query matrix), shipped once per executor."""
     def run(it):
+        qids, qmat = bq.value
         for pdf in it:
             if len(pdf) == 0:
                 continue
@@ -94,7 +96,8 @@ def vector_topk(corpus: DataFrame, queries: DataFrame, k: int = 5, id_col: str =
         qids, qmat = _query_block(blk, cosine)
         if len(qids) == 0:
             continue
-        parts.append(c.mapInPandas(_local_topk(qids, qmat, k, cosine, before), _HITS_SCHEMA))
+        bq = corpus.sparkSession.sparkContext.broadcast((qids, qmat))
+        parts.append(c.mapInPandas(_local_topk(bq, k, cosine, before), _HITS_SCHEMA))
     if not parts:
         return corpus.sparkSession.createDataFrame([], "query_id long, doc_id long, rank int, score double")
     hits = parts[0]
@@ -145,18 +148,18 @@ WORD = r"(?U)\w+"
 _KW_SCHEMA = "query_id long, doc_id long, score double, matched_terms array<string>"
 
 
-def _kw_kernel(queries: list, k: int):
+def _kw_kernel(bq, k: int):
     """queries: [(qid, lower query text, distinct words)]. Per corpus partition, score every
     document against the queries sharing a word with it and keep each query's local top-k by
     (score desc, doc id asc) -- a total order, so merging the local lists is exact."""
     import heapq
 
-    by_word: dict = {}
-    for qi, (_, _, words) in enumerate(queries):
-        for w in words:
-            by_word.setdefault(w, []).append(qi)
-
     def run(it):
+        queries = bq.value  # broadcast once per executor
+        by_word: dict = {}
+        for qi, (_, _, words) in enumerate(queries):
+            for w in words:
+                by_word.setdefault(w, []).append(qi)
         heaps: dict = {}
         for pdf in it:
             for did, words, text in zip(pdf["doc_id"], pdf["w"], pdf["t"]):
@@ -208,7 +211,8 @@ def keyword_search(queries: DataFrame, docs: DataFrame, k: int = 5, qid_col: str
         rows = [(r.qid, r.q or "", list(r.w or [])) for r in blk.collect()]  # bounded by max_broadcast
         rows = [x for x in rows if x[2]]
         if rows:
-            parts.append(d.mapInPandas(_kw_kernel(rows, k), _KW_SCHEMA))
+            bq = docs.sparkSession.sparkContext.broadcast(rows)
+            parts.append(d.mapInPandas(_kw_kernel(bq, k), _KW_SCHEMA))
     if not parts:
         return docs.sparkSession.createDataFrame([], "query_id long, doc_id long, rank int, score double, matched_terms array<string>")
     hits = parts[0]
