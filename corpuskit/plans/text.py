@@ -53,12 +53,34 @@ def document_chunks(spark, sf):
                     F.md5("content").alias("content_md5"))
 
 
-@register("chunk_counts_knowledge")
+def _knowledge_end(size: int) -> str:
+    w = f"substr(text, start + 1, {size})"
+    half = size // 2
+    seps = [". ", "! ", "? ", "\n"]
+    cases = " ".join(f"WHEN {_rfind(w, x)} > {half} THEN start + {_rfind(w, x)} + {len(x)}" for x in seps)
+    return (f"CASE WHEN start + {size} >= n THEN start + {size} "
+            f"WHEN {_rfind(w, chr(10) * 2)} > {half} THEN start + {_rfind(w, chr(10) * 2)} + 2 "
+            f"ELSE CASE {cases} ELSE start + {size} END END")
+
+
+KNOWLEDGE_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {sql_strip('text')} AS text FROM documents WHERE text IS NOT NULL),
+s(doc_id, text, n, start, step, piece) AS (
+  SELECT doc_id, text, length(text), 0, 0, CAST(NULL AS VARCHAR) FROM d WHERE length(text) > 500
+  UNION ALL
+  SELECT doc_id, text, n, e - 50, step + 1, {sql_strip('substr(text, start + 1, e - start)')}
+  FROM (SELECT *, {_knowledge_end(500)} AS e FROM s WHERE start < n) x),
+c AS (SELECT doc_id, piece FROM s WHERE step > 0 AND piece <> ''
+      UNION ALL SELECT doc_id, text FROM d WHERE length(text) <= 500)
+SELECT doc_id, count(*) AS n_chunks, sum(length(piece)) AS chars FROM c WHERE length(piece) >= 50 GROUP BY doc_id"""
+
+
+@register("chunk_counts_knowledge", KNOWLEDGE_SQL)
 def chunk_counts_knowledge(spark, sf):
     """D-01 profile knowledge (500 / 50): chunks of at least 50 chars (F-07) per document."""
     from ..operators.mapping import min_length
     c = min_length(D.chunk_documents(table(spark, sf, "documents"), "doc_id", "text", "knowledge"), 50, "content")
-    return c.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(F.length("content")).alias("chars"))
+    return c.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(F.length("content")).cast("bigint").alias("chars"))
 
 
 FIXED_SIZE = 1000
@@ -175,10 +197,19 @@ def page_url_ids(spark, sf):
                     F.expr("parse_url(url, 'HOST')").alias("host"))
 
 
-@register("document_snippets")
+@register("document_snippets", """
+WITH d AS (SELECT doc_id, text, lower(text) AS lt, length(text) AS n,
+  list_filter(string_split_regex(trim(regexp_replace(trim(lower(coalesce(concat_ws(' ', lang, array_to_string(string_split(text, ' ')[1:2], ' ')), ''))),
+    '[^\\p{L}\\p{N}_\\s'']', ' ', 'g')), '\\s+'), lambda t: t <> '') AS qt FROM documents),
+w AS (SELECT doc_id, text, n, list_filter(list_transform(CASE WHEN n - 200 > 0 THEN range(0, n - 200, 50) ELSE [] END,
+        lambda s: struct_pack(c := len(list_filter(qt, lambda k: contains(substr(lt, s + 1, 200), k))), ns := -s, s := s)),
+        lambda x: x.c > 0) AS scored FROM d),
+b AS (SELECT doc_id, text, n, coalesce(list_max(scored).s, 0) AS st FROM w)
+SELECT doc_id, CAST(length(snip) AS INTEGER) AS snippet_len, md5(snip) AS snippet_md5 FROM (
+  SELECT doc_id, CASE WHEN st > 0 THEN '...' ELSE '' END || substr(text, st + 1, 200) || CASE WHEN st + 200 < n THEN '...' ELSE '' END AS snip FROM b)""")
 def document_snippets(spark, sf):
-    """D-22 best 200-char snippet per document for a query made of its lang and source
-    words plus the first word of the benchmark text with the same id (rows-only check)."""
+    """D-22 best 200-char snippet per document for a query made of its language code and
+    its first two words."""
     d = table(spark, sf, "documents").select("doc_id", "text", F.concat_ws(" ", "lang", F.substring_index("text", " ", 2)).alias("q"))
     s = D.best_snippet(d, "text", "q")
     return s.select("doc_id", F.length("snippet").alias("snippet_len"), F.md5("snippet").alias("snippet_md5"))
