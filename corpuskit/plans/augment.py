@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import augment as U
 from ..session import table
 from .catalog import register
-from .samples import _pairs
+from .samples import PAIRS_SQL, _pairs
 
 
 def _samples(spark, sf):
@@ -32,7 +32,18 @@ def augment_templates(spark, sf):
     return U.template_variants(_samples(spark, sf), 3).select("sample_id", "variation", "input", "detail")
 
 
-@register("augment_rewrites")
+def _rewrite_sql():
+    from ..operators.augment import DEFAULT_REWRITES
+    cands = ", ".join(f"regexp_replace(input, '(?i){p}', '{r.replace(chr(39), chr(39) * 2)}', 'g')" for p, r in DEFAULT_REWRITES)
+    return f"""
+WITH p AS ({PAIRS_SQL}),
+s AS (SELECT channel_id * 1000000 + input_ts AS sample_id, input, [{cands}] AS c FROM p),
+k AS (SELECT sample_id, list_filter(c, lambda x, i: lower(x) <> lower(input)
+        AND NOT list_contains(list_transform(c[1:i - 1], lambda y: lower(y)), lower(x)))[1:3] AS kept FROM s)
+SELECT sample_id, CAST(generate_subscripts(kept, 1) - 1 AS INTEGER) AS variation, unnest(kept) AS input FROM k"""
+
+
+@register("augment_rewrites", _rewrite_sql())
 def augment_rewrites(spark, sf):
     """U-03 rewrite-rule variants (first 3 distinct per pair)."""
     return U.rewrite_variants(_samples(spark, sf), 3).select("sample_id", "variation", "input")
