@@ -187,9 +187,11 @@ def alias_columns(df: DataFrame, profile: str = "extract") -> DataFrame:
 def record_fallback(df: DataFrame, json_col: str = "value") -> DataFrame:
     """P-07: JSON record -> sample using input/output, else question/answer (pairwise presence).
 
-    Records with neither pair are dropped. Values are stringified JSON scalars.
+    Lines that are not exactly one JSON value and records with neither pair are dropped.
+    Values are stringified JSON scalars.
     """
-    v = F.try_parse_json(F.col(json_col))
+    from ..functions.jsonl import parse_json_strict
+    v = parse_json_strict(F.col(json_col))
 
     def g(k):
         return F.try_variant_get(v, "$." + k, "string")

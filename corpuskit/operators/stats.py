@@ -48,7 +48,8 @@ def validation_report(lines: DataFrame, line_col: str = "line", num_col: str = "
     ``stats``: total_lines, valid_examples, empty_inputs, empty_outputs, duplicates, invalid_json,
     missing_field, short_outputs (< 10 chars) and mean lengths of valid records.
     """
-    v = F.try_parse_json(F.col(line_col))
+    from ..functions.jsonl import parse_json_strict
+    v = parse_json_strict(F.col(line_col))
     d = lines.select(F.col(num_col).alias("line_num"), F.col(line_col).alias("line"),
                      v.alias("_v"))
     d = d.withColumn("blank", F.trim(F.coalesce("line", F.lit(""))) == "")

@@ -57,7 +57,8 @@ def load_mixed_folder(spark: SparkSession, path: str, name_contains: str | None
 
     rd = spark.read.option("recursiveFileLookup", True)
     jl = rd.option("pathGlobFilter", "*.jsonl").text(path)
-    jl = meta(keep(jl)).select(F.try_parse_json("value").alias("v"), "source_file", "source_id")
+    from ..functions.jsonl import parse_json_strict
+    jl = meta(keep(jl)).select(parse_json_strict("value").alias("v"), "source_file", "source_id")
     jl = jl.select(F.try_variant_get("v", f"$.{mapping['input']}", "string").alias("input"),
                    F.try_variant_get("v", f"$.{mapping['output']}", "string").alias("output"), "source_file", "source_id") \
         .filter(F.col("input").isNotNull() & F.col("output").isNotNull())

@@ -27,7 +27,8 @@ def read_lines(spark: SparkSession, path: str, **options) -> DataFrame:
 
 
 def _parse(lines: DataFrame, keys=("input", "output")) -> DataFrame:
-    v = F.try_parse_json("value")
+    from ..functions.jsonl import parse_json_strict
+    v = parse_json_strict("value")
     d = lines.withColumn("_v", v)
     for k in keys:
         d = d.withColumn(k, F.try_variant_get("_v", f"$.{k}", "string"))
@@ -70,8 +71,9 @@ def load_prediction_lines(spark: SparkSession, path: str, field: str | None = No
                           default_field: str = "prediction") -> DataFrame:
     """S-18: responses / predictions: the configured field, else the default field, else the
     plain line; with 0-based position for J-09 alignment."""
+    from ..functions.jsonl import parse_json_strict
     d = read_lines(spark, path).filter(F.trim("value") != "")
-    v = F.try_parse_json("value")
+    v = parse_json_strict("value")
     val = F.coalesce(*([F.try_variant_get(v, f"$.{field}", "string")] if field else []),
                      F.try_variant_get(v, f"$.{default_field}", "string"), F.col("value"))
     return d.select("file", "line_num", val.alias("text"))

@@ -229,7 +229,8 @@ def validated_sample_stream(spark: SparkSession, src_dir: str, good_dir: str, ba
         .withColumn("source_file", F.col("_metadata.file_path"))
 
     def split(batch: DataFrame, _bid: int):
-        v = F.try_parse_json("value")
+        from ..functions.jsonl import parse_json_strict
+        v = parse_json_strict("value")
         d = batch.filter(F.trim("value") != "").select(
             "source_file", "value", F.try_variant_get(v, "$.input", "string").alias("input"),
             F.try_variant_get(v, "$.output", "string").alias("output"), v.isNull().alias("bad_json"))

@@ -135,3 +135,12 @@ def test_chat_channels_users_and_spaces(spark, tmp_path):
     s = {r.id: r for r in SE.wiki_spaces(spark, str(tmp_path / "spaces.json")).collect()}
     assert (s["1"].key, s["1"].description, s["1"].homepage_id) == ("DOC", "guides", "9")
     assert (s["2"].key, s["2"].name, s["2"].description, s["2"].homepage_id) == ("", "", "plain text", None)
+
+
+def test_strict_json_lines(spark):
+    from corpuskit.functions.jsonl import parse_json_strict
+    cases = ['{"a":1} xx', '{"a":1}', '123 x', '12', '  {"a": 1}  ', '{"a":1}}', '[1], [2]', '']
+    d = spark.createDataFrame([(c,) for c in cases], "v string")
+    got = {r.v: r.ok for r in d.select("v", parse_json_strict("v").isNotNull().alias("ok")).collect()}
+    assert got == {'{"a":1} xx': False, '{"a":1}': True, '123 x': False, '12': True, '  {"a": 1}  ': True,
+                   '{"a":1}}': False, '[1], [2]': False, '': False}
