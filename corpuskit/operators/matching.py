@@ -145,29 +145,3 @@ def best_answers(questions: DataFrame, kb: DataFrame, qid: str, q_col: str, kb_o
     return r.select("qid", F.when(ok & F.col("kb_order").isNotNull(), F.col("_a")).otherwise(F.lit(nf)).alias("answer"),
                     F.when(ok, F.col("score")).otherwise(F.lit(0.0)).alias("confidence"),
                     F.when(ok, F.col("kb_order")).alias("matched"), (ok & F.col("kb_order").isNotNull()).alias("found"))
-
-
-def python_best(q: str, kb: list[str], mode: str) -> tuple:
-    """Plain sequential definition for tests."""
-    ql = q.lower().strip() if mode == "ratio_strip" else q.lower()
-    qw = set(_WORD.findall(ql))
-    idx = range(len(kb))
-    if mode == "keyword":
-        kw = {}
-        for i, t in enumerate(kb):
-            for w in _WORD.findall(t.lower()):
-                if len(w) > 3:
-                    kw.setdefault(w, set()).add(i)
-        c = set()
-        for w in qw:
-            c |= kw.get(w, set())
-        idx = sorted(c) if c else range(len(kb))
-    best, bi = 0.0, None
-    for i in idx:
-        t = kb[i].lower().strip() if mode == "ratio_strip" else kb[i].lower()
-        s = difflib.SequenceMatcher(None, ql, t).ratio()
-        if mode == "keyword":
-            s = s * 0.7 + len(qw & set(_WORD.findall(t))) / max(len(qw), 1) * 0.3
-        if s > best:
-            best, bi = s, i
-    return bi, best

@@ -157,16 +157,3 @@ def anchored_quota(df: DataFrame, key: str, ts: str, seq: str, per_minute: int,
     window is at quota; only allowed requests are recorded."""
     d = _prep(df, key, ts, seq, partitions).withColumn("key", F.col("key").cast("string"))
     return d.mapInPandas(_anchored(per_minute, per_day), QUOTA_SCHEMA)
-
-
-def python_sliding_log(events, limit: int, window_us: int):
-    """Reference-style sequential simulation, for tests on small fixtures."""
-    logs, out = {}, {}
-    for key, t, seq in sorted(events, key=lambda e: (e[0], e[1], e[2])):
-        log = [x for x in logs.get(key, []) if x > t - window_us]
-        ok = len(log) < limit
-        if ok:
-            log.append(t)
-        logs[key] = log
-        out[(key, seq)] = ok
-    return out

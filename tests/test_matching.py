@@ -1,7 +1,38 @@
+import difflib
 import random
+import re
 
 from corpuskit.operators import matching as MT
 
+WORD = re.compile(r"\b\w+\b")
+
+
+def python_best(q: str, kb: list[str], mode: str) -> tuple:
+    """Plain sequential definition for tests."""
+    ql = q.lower().strip() if mode == "ratio_strip" else q.lower()
+    qw = set(WORD.findall(ql))
+    idx = range(len(kb))
+    if mode == "keyword":
+        kw = {}
+        for i, t in enumerate(kb):
+            for w in WORD.findall(t.lower()):
+                if len(w) > 3:
+                    kw.setdefault(w, set()).add(i)
+        c = set()
+        for w in qw:
+            c |= kw.get(w, set())
+        idx = sorted(c) if c else range(len(kb))
+    best, bi = 0.0, None
+    for i in idx:
+        t = kb[i].lower().strip() if mode == "ratio_strip" else kb[i].lower()
+        s = difflib.SequenceMatcher(None, ql, t).ratio()
+        if mode == "keyword":
+            s = s * 0.7 + len(qw & set(WORD.findall(t))) / max(len(qw), 1) * 0.3
+        if s > best:
+            best, bi = s, i
+    return bi, best
+
+
 WORDS = "reset password account billing invoice refund login error network printer setup install update".split()
 
 
@@ -20,7 +51,7 @@ def test_match_equals_bruteforce(spark):
         qdf = spark.createDataFrame(list(enumerate(qs)), "qid long, q string")
         got = {r.qid: (r.kb_order, r.score) for r in MT.match(qdf, kdf, "qid", "q", "o", "t", mode).collect()}
         for i, q in enumerate(qs):
-            bi, bs = MT.python_best(q, kb, mode)
+            bi, bs = python_best(q, kb, mode)
             assert got[i][0] == bi and abs(got[i][1] - bs) < 1e-12, (mode, q)
 
 
