@@ -62,11 +62,12 @@ def normalize_answer(c) -> Column:
 
 
 def normalize_text(c) -> Column:
-    """D-07: drop control chars (keep \\n, \\t), blank runs -> one space, 3+ newlines -> 2, trim."""
+    """D-07: drop control chars (keep \\n, \\t, \\r), runs of whitespace other than newlines -> one
+    space, 3+ newlines -> 2, strip all surrounding whitespace."""
     t = F.regexp_replace(col_(c), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
-    t = F.regexp_replace(t, r"[ \t]+", " ")
+    t = F.regexp_replace(t, r"(?U)[^\S\n]+", " ")
     t = F.regexp_replace(t, r"\n{3,}", "\n\n")
-    return F.trim(t)
+    return F.regexp_replace(t, r"(?U)^\s+|\s+$", "")
 
 
 # Chat markup rewrites, applied in this order (pattern, replacement).

@@ -182,19 +182,29 @@ def markdown_samples(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return d.select("doc_id", "k", q.alias("input"), F.substring("b", 1, 1000).alias("output"))
 
 
+# Markdown Q/A patterns and the question words of FAQ-style headers.
+MD_QA_PATTERN = r"(?is)(?:Q:|Question:)\s*(.+?)\s*(?:A:|Answer:)\s*(.+?)(?=(?:Q:|Question:)|$)"
+MD_HEADER_PATTERN = r"(?s)##\s*(.+?)\n\n(.+?)(?=\n##|\n#|$)"
+HEADER_QUESTION_WORDS = ["how", "what", "why", "when", "where", "can", "do"]
+
+
 def markdown_qa(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """D-13: "Q: ... A: ..." pairs, and `##` headings that look like questions (ending in
-    "?") with the text below them."""
-    qa = r"(?s)Q:\s*(.+?)\s*\nA:\s*(.+?)(?=\nQ:|\n##|$)"
+    """D-13: "Q:/Question: ... A:/Answer: ..." pairs (case-insensitive, across lines), then
+    ``##`` headers followed by a blank line and a body, kept when the header has "?" or
+    contains a question word; both sides stripped."""
     t = F.col(text_col)
-    a = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.arrays_zip(
-        F.regexp_extract_all(t, F.lit(qa), 1).alias("q"), F.regexp_extract_all(t, F.lit(qa), 2).alias("a"))).alias("k", "x"))
-    a = a.select("doc_id", "k", py_strip("x.q").alias("input"), py_strip("x.a").alias("output"), F.lit("qa").alias("pattern"))
-    hp = r"(?ms)^##\s+([^\n]+\?)\s*\n(.+?)(?=^#|\z)"
-    h = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.arrays_zip(
-        F.regexp_extract_all(t, F.lit(hp), 1).alias("q"), F.regexp_extract_all(t, F.lit(hp), 2).alias("a"))).alias("k", "x"))
-    h = h.select("doc_id", "k", py_strip("x.q").alias("input"), py_strip("x.a").alias("output"), F.lit("heading").alias("pattern"))
-    return a.unionByName(h).filter((F.col("input") != "") & (F.col("output") != ""))
+
+    def pairs(pattern, tag):
+        q = F.regexp_extract_all(t, F.lit(pattern), 1)
+        a = F.regexp_extract_all(t, F.lit(pattern), 2)
+        return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.arrays_zip(q.alias("q"), a.alias("a"))).alias("k", "x")) \
+            .select("doc_id", "k", py_strip("x.q").alias("input"), py_strip("x.a").alias("output"), F.lit(tag).alias("pattern"))
+
+    h = pairs(MD_HEADER_PATTERN, "heading")
+    hl = F.lower("input")
+    qword = F.exists(F.array(*[F.lit(w) for w in HEADER_QUESTION_WORDS]), lambda w: F.contains(hl, w))
+    h = h.filter(F.contains("input", F.lit("?")) | qword)
+    return pairs(MD_QA_PATTERN, "qa").unionByName(h)
 
 
 LINE_BUCKET = 4096  # lines per window partition: a huge document is spread over many tasks
@@ -228,37 +238,48 @@ def line_qa(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return ans.select("doc_id", F.col("ln").alias("k"), "input", F.col("a").alias("output"))
 
 
+# Manual header rules (underline line, markdown header, ALL CAPS, numbered).
+UNDERLINE = r"^[=-]{3,}$"
+HASH_HEADER = r"^#{1,3}\s+(.+)$"
+CAPS_HEADER = r"^([A-Z][A-Z\s]+)$"
+NUMBERED_HEADER = r"^(\d+\.)\s+(.+)$"
+
+
 def manual_sections(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """D-15: manual text -> titled sections. A header is a line followed by an ===/--- underline,
-    a line starting with 1-3 '#', an ALL-CAPS line (> 3 chars, a letter present) or a numbered
-    line ("1." / "2.3 "). Text before the first header is dropped.
+    """D-15: manual text -> titled sections. A line is a header when the next raw line is an
+    underline (3+ '=' / '-'; the underline is consumed), or its stripped form is a markdown
+    header (title = its text), an ALL-CAPS line (title = the line) or a numbered line (title =
+    the number, e.g. "2."). A section is kept when its title is non-empty and it has at least
+    one body line; text before the first header is dropped; content = body lines joined and
+    stripped.
 
     The next line comes from a bucketed lead, the section number from a bucketed running sum
     and the section body from a two-phase ordered concat, so no step puts one whole document
-    into one task.
+    into one task. (A run of 4+ consecutive underline lines is read one level deep.)
     """
     from .ordered import lead_split, ordered_concat, running_sum_split
     lines = _lines(docs, id_col, text_col).withColumn("line", py_strip("raw"))
     bucket = F.floor(F.col("ln") / LINE_BUCKET)
     lines = lead_split(lines, ["doc_id"], ["ln"], ["raw"], bucket)
-    nxt = py_strip(F.col("next_raw"))
-    underline_next = F.coalesce(nxt.rlike(r"^(=+|-+)$") & (F.length("line") > 0), F.lit(False))
-    hashed = F.col("line").rlike(r"^#{1,3}\s+\S")
-    caps = (F.col("line") == F.upper("line")) & F.col("line").rlike(r"\p{L}") & (F.length("line") > 3)
-    numbered = F.col("line").rlike(r"^\d+(\.\d+)*\.?\s+\S")
-    lines = lines.withColumn("_ul_header", underline_next)
-    # an underline line is consumed by the header line just before it (equi-join on ln - 1)
-    consumed = lines.filter("_ul_header").select("doc_id", (F.col("ln") + 1).alias("ln"), F.lit(True).alias("is_ul"))
+    ul_header = F.coalesce(F.col("next_raw").rlike(UNDERLINE), F.lit(False)) & ~F.col("raw").rlike(UNDERLINE)
+    lines = lines.withColumn("_ulh", ul_header)
+    consumed = lines.filter("_ulh").select("doc_id", (F.col("ln") + 1).alias("ln"), F.lit(True).alias("is_ul"))
     lines = lines.join(consumed, ["doc_id", "ln"], "left").withColumn("is_ul", F.coalesce("is_ul", F.lit(False)))
-    lines = lines.withColumn("is_header", ~F.col("is_ul") & (F.col("_ul_header") | hashed | caps | numbered))
+    hashed, caps, numbered = (F.col("line").rlike(HASH_HEADER), F.col("line").rlike(CAPS_HEADER),
+                              F.col("line").rlike(NUMBERED_HEADER))
+    title = (F.when(F.col("_ulh"), F.col("line"))
+             .when(hashed, py_strip(F.regexp_extract("line", HASH_HEADER, 1)))
+             .when(caps, py_strip(F.regexp_extract("line", CAPS_HEADER, 1)))
+             .when(numbered, F.regexp_extract("line", NUMBERED_HEADER, 1)))
+    lines = lines.withColumn("is_header", ~F.col("is_ul") & (F.col("_ulh") | hashed | caps | numbered)) \
+        .withColumn("title", F.when(F.col("is_header"), title))
     lines = running_sum_split(lines.withColumn("_h", F.col("is_header").cast("int")), ["doc_id"], ["ln"], "_h",
                               bucket, "sec")
     lines = lines.filter((F.col("sec") > 0) & ~F.col("is_ul"))
-    title = F.regexp_replace(F.regexp_replace("line", r"^#{1,3}\s+", ""), r"^\d+(\.\d+)*\.?\s+", "")
-    heads = lines.filter("is_header").select("doc_id", "sec", title.alias("title"))
-    body = ordered_concat(lines.filter(~F.col("is_header")), ["doc_id", "sec"], "ln", "line", "\n", "content",
+    heads = lines.filter("is_header").select("doc_id", "sec", "title").filter(F.col("title") != "")
+    body = ordered_concat(lines.filter(~F.col("is_header")), ["doc_id", "sec"], "ln", "raw", "\n", "content",
                           bucket=F.floor(F.col("ln") / LINE_BUCKET))
-    return heads.join(body, ["doc_id", "sec"], "left").select(
+    return heads.join(body, ["doc_id", "sec"], "inner").select(
         "doc_id", "sec", "title", py_strip(F.coalesce("content", F.lit(""))).alias("content"))
 
 
@@ -355,10 +376,29 @@ def first_sentence_questions(chunks: DataFrame, text_col: str = "content") -> Da
         .withColumn("output", F.col(text_col))
 
 
+# Question text of the plain-text recipe.
+TXT_RECIPE_QUESTION = "What does the document say about this topic?"
+
+
 def long_paragraphs(docs: DataFrame, id_col: str, text_col: str, min_len: int = 50) -> DataFrame:
-    """D-21 txt recipe: paragraphs (blank-line split, stripped) longer than ``min_len``."""
+    """D-21 txt recipe: paragraphs (blank-line split, stripped) longer than ``min_len``, each with
+    the recipe's fixed question."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n\n", -1)).alias("k", "p"))
-    return d.withColumn("p", py_strip("p")).filter(F.length("p") > min_len)
+    return d.withColumn("p", py_strip("p")).filter(F.length("p") > min_len).withColumn("input", F.lit(TXT_RECIPE_QUESTION))
+
+
+def markdown_recipe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """D-21 md recipe: split at every "\\n#", title = first line with '#' and spaces stripped
+    from both ends, body = the remaining lines stripped; non-empty bodies become
+    "What is <title>?" samples."""
+    parts = F.split(F.col(text_col), "\n#", -1)
+    d = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(parts).alias("k", "sec"))
+    d = d.withColumn("sec", py_strip("sec")).filter(F.col("sec") != "")
+    first = F.substring_index("sec", "\n", 1)
+    title = F.regexp_replace(first, r"^[# ]+|[# ]+$", "")
+    body = F.when(F.instr("sec", "\n") > 0, py_strip(F.expr("substring(sec, instr(sec, '\\n') + 1)"))).otherwise(F.lit(""))
+    return d.select("doc_id", "k", F.format_string("What is %s?", title).alias("input"), body.alias("output")) \
+        .filter(F.col("output") != "")
 
 
 def best_snippet(df: DataFrame, text_col: str, query_col: str, width: int = 200, step: int = 50) -> DataFrame:

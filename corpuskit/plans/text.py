@@ -120,8 +120,8 @@ def document_samples(spark, sf):
 
 
 @register("normalized_documents", """
-SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g'),
-  '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'))) AS text_md5 FROM documents""")
+SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g'),
+  '[^\\S\\n]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')) AS text_md5 FROM documents""")
 def normalized_documents(spark, sf):
     """D-07 whitespace / control normaliser."""
     return table(spark, sf, "documents").select("doc_id", F.md5(normalize_text("text")).alias("text_md5"))
@@ -145,11 +145,12 @@ def document_paragraph_samples(spark, sf):
 
 @register("long_paragraphs", f"""
 WITH d AS (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS p, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) - 1 AS k FROM documents)
-SELECT doc_id, CAST(k AS INTEGER) AS k, md5({sql_strip('p')}) AS p_md5 FROM d WHERE length({sql_strip('p')}) > 50""")
+SELECT doc_id, CAST(k AS INTEGER) AS k, md5({sql_strip('p')}) AS p_md5, 'What does the document say about this topic?' AS input
+FROM d WHERE length({sql_strip('p')}) > 50""")
 def long_paragraphs(spark, sf):
     """D-21 txt recipe: paragraphs longer than 50 chars."""
     p = D.long_paragraphs(table(spark, sf, "documents"), "doc_id", "text", 50)
-    return p.select("doc_id", "k", F.md5("p").alias("p_md5"))
+    return p.select("doc_id", "k", F.md5("p").alias("p_md5"), "input")
 
 
 @register("page_text_wiki")

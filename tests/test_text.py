@@ -88,24 +88,30 @@ def test_line_qa_and_markdown_qa(spark):
     d = spark.createDataFrame([(1, t)], "doc_id long, text string")
     r = sorted((x.input, x.output) for x in D.line_qa(d, "doc_id", "text").collect())
     assert r == [("second?", "answer two"), ("third?", "answer three")]
-    md = "Q: What is it?\nA: A tool.\n## How do I use it?\nRun the command."
+    md = "Intro\nQuestion: What is it?\nAnswer: A tool.\n\n## How do I use it?\n\nRun the command.\n## Notes\n\nplain"
     d2 = spark.createDataFrame([(1, md)], "doc_id long, text string")
     got = {(x.input, x.output, x.pattern) for x in D.markdown_qa(d2, "doc_id", "text").collect()}
-    assert ("What is it?", "A tool.", "qa") in got and ("How do I use it?", "Run the command.", "heading") in got
+    # the Q/A body runs to the next "Q:" or the end (as the reference pattern does)
+    assert ("What is it?", "A tool.\n\n## How do I use it?\n\nRun the command.\n## Notes\n\nplain", "qa") in got
+    assert ("How do I use it?", "Run the command.", "heading") in got
+    assert not any(x[0] == "Notes" for x in got)
 
 
 def test_manual_sections_and_questions(spark):
-    t = "preface dropped\nINSTALLATION\nrun the installer now\nTroubleshooting\n===============\nif it fails, restart\n2. Safety rules\nwear gloves"
+    t = ("preface dropped\nINSTALLATION\nrun the installer now\nTroubleshooting\n===\nif it fails, restart\n"
+         "2. Safety rules\nwear gloves\n## Empty\nLAST\n\n")
     d = spark.createDataFrame([(1, t)], "doc_id long, text string")
     s = {x.title: x.content for x in D.manual_sections(d, "doc_id", "text").collect()}
-    assert s == {"INSTALLATION": "run the installer now", "Troubleshooting": "if it fails, restart", "Safety rules": "wear gloves"}
+    # numbered headers are titled by their number; a header needs at least one body line
+    assert s == {"INSTALLATION": "run the installer now", "Troubleshooting": "if it fails, restart", "2.": "wear gloves",
+                 "LAST": ""}
     secs = D.manual_sections(d, "doc_id", "text")
     q = D.questions_for_sections(secs, k=2, min_len=5).collect()
     by = {}
     for r in q:
         by.setdefault(r.title, []).append((r.q, r.input))
     assert [x for _, x in sorted(by["INSTALLATION"])] == ["How is it installed?", "Which installation steps are needed?"]
-    assert [x for _, x in sorted(by["Safety rules"])] == ["What is safety rules?", "How does safety rules work?"]
+    assert [x for _, x in sorted(by["Troubleshooting"])] == ["How can issues be diagnosed?", "What helps when something fails?"]
     q4 = D.questions_for_sections(secs, k=4, min_len=5).collect()
     assert "Which commands are needed?" not in {r.input for r in q4}
     cmd = spark.createDataFrame([(1, 1, "Usage", "run the command now")], "doc_id long, sec int, title string, content string")
@@ -113,6 +119,13 @@ def test_manual_sections_and_questions(spark):
     assert got == ["What is usage?", "How does usage work?", "Could you explain usage?", "Which commands are needed?"]
 
 
+def test_markdown_recipe(spark):
+    t = "# Setup\nInstall it.\n#Usage guide #\nRun it.\n## Empty\n"
+    d = spark.createDataFrame([(1, t)], "doc_id long, text string")
+    got = [(r.input, r.output) for r in D.markdown_recipe(d, "doc_id", "text").orderBy("k").collect()]
+    assert got == [("What is Setup?", "Install it."), ("What is Usage guide?", "Run it.")]
+
+
 def test_best_snippet_against_loop(spark):
     text = ("lorem ipsum " * 30) + "alpha beta gamma " + ("dolor sit " * 30)
     q = "alpha gamma"
