@@ -31,7 +31,8 @@ def jsonl_roundtrip(spark, sf):
 
 
 @register("csv_roundtrip", """
-SELECT trim(text) AS input, trim(role) AS output FROM conversations WHERE trim(coalesce(text, '')) <> '' AND trim(coalesce(role, '')) <> ''""")
+SELECT regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS input, regexp_replace(role, '^\\s+|\\s+$', '', 'g') AS output FROM conversations
+WHERE regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') <> '' AND regexp_replace(coalesce(role, ''), '^\\s+|\\s+$', '', 'g') <> ''""")
 def csv_roundtrip(spark, sf):
     """S-15 CSV sink (multi-line quoted fields) -> S-05 CSV read with mapping, trim, drop empty."""
     p = _scratch(spark, "csv")

@@ -15,7 +15,10 @@ def load_csv_mapped(spark: SparkSession, path: str, mapping: dict) -> DataFrame:
     for side in ("input", "output"):
         if mapping.get(side) not in d.columns:
             raise MappingError(f"CSV has no column '{mapping.get(side)}' (columns: {d.columns})")
-    out = d.select(F.trim(F.col(mapping["input"])).alias("input"), F.trim(F.col(mapping["output"])).alias("output"))
+    def strip(c):  # Python str.strip(): all surrounding whitespace, not only spaces
+        return F.regexp_replace(F.col(c), r"(?U)^\s+|\s+$", "")
+
+    out = d.select(strip(mapping["input"]).alias("input"), strip(mapping["output"]).alias("output"))
     return out.filter((F.coalesce("input", F.lit("")) != "") & (F.coalesce("output", F.lit("")) != ""))
 
 
