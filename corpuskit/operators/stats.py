@@ -133,6 +133,13 @@ def status_counts(df: DataFrame, status_col: str) -> DataFrame:
     return df.groupBy(status_col).agg(F.count(F.lit(1)).alias("n"))
 
 
+def job_summary(jobs: DataFrame, status_col: str = "status") -> DataFrame:
+    """A-08 job summary: active (running), completed, failed and total jobs in one pass."""
+    st = F.col(status_col)
+    return jobs.agg(F.count_if(st == "running").alias("active"), F.count_if(st == "completed").alias("completed"),
+                    F.count_if(st == "failed").alias("failed"), F.count(F.lit(1)).alias("total"))
+
+
 def tenant_usage(requests: DataFrame, tenant_col: str = "tenant_id", ts_col: str = "ts") -> DataFrame:
     """A-18: requests, tokens in/out and last request time per tenant."""
     return requests.groupBy(tenant_col).agg(

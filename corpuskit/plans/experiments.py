@@ -447,3 +447,15 @@ def webhook_fanout(spark, sf):
     """J-11 event fan-out to subscribed, enabled endpoints."""
     ep = spark.createDataFrame(ENDPOINTS, "endpoint_id string, events array<string>, enabled boolean")
     return J.event_fanout(table(spark, sf, "events"), ep).select("event_id", "endpoint_id")
+
+
+@register("job_summary", f"""
+WITH j AS ({JOB_SQL})
+SELECT count(*) FILTER (WHERE status = 'running') AS active, count(*) FILTER (WHERE status = 'completed') AS completed,
+  count(*) FILTER (WHERE status = 'failed') AS failed, count(*) AS total FROM j""")
+def job_summary(spark, sf):
+    """A-08 job summary over the W-08 job states."""
+    e = table(spark, sf, "events").select(
+        F.col("user_id").alias("job_id"), "ts", F.col("event_id").alias("seq"),
+        (F.col("value") / 3).alias("progress"), (F.col("event_type") == "error").alias("failed"))
+    return A.job_summary(W.job_states(e))
