@@ -233,12 +233,14 @@ def exact_match(df: DataFrame, pred: str = "prediction", ref: str = "reference",
         "exact_match", F.when(F.col("total") > 0, F.col("matches") / F.col("total")).otherwise(F.lit(0.0)))
 
 
-def perplexity(batches: DataFrame, loss: str = "loss", tokens: str = "n_tokens") -> DataFrame:
-    """M-09: exp of the token-weighted mean loss; +inf when the mean is >= 100 or no tokens."""
-    a = batches.agg(F.sum(F.col(loss) * F.col(tokens)).alias("_l"), F.sum(tokens).alias("total_tokens"))
+def perplexity(batches: DataFrame, loss: str = "loss", tokens: str = "n_tokens", group=()) -> DataFrame:
+    """M-09: exp of the token-weighted mean loss; +inf when the mean is >= 100 or no tokens.
+    With ``group`` (e.g. run id) one row per group, in one aggregation."""
+    group = [group] if isinstance(group, str) else list(group)
+    a = batches.groupBy(*group).agg(F.sum(F.col(loss) * F.col(tokens)).alias("_l"), F.sum(tokens).alias("total_tokens"))
     avg_loss = F.when(F.coalesce("total_tokens", F.lit(0)) > 0, F.col("_l") / F.col("total_tokens")).otherwise(F.lit(float("inf")))
     a = a.withColumn("loss", avg_loss)
-    return a.select(F.when(F.col("loss") < 100, F.exp("loss")).otherwise(F.lit(float("inf"))).alias("perplexity"),
+    return a.select(*group, F.when(F.col("loss") < 100, F.exp("loss")).otherwise(F.lit(float("inf"))).alias("perplexity"),
                     "loss", F.coalesce("total_tokens", F.lit(0)).alias("total_tokens"))
 
 

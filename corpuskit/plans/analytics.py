@@ -137,3 +137,46 @@ def document_keyword_coverage(spark, sf):
                                              F.array("lang", F.lit("the"), F.lit("und"), F.lit("que")).alias("expected_keywords"))
     k = A.keyword_coverage(d)
     return k.select("doc_id", F.round("coverage", 6).alias("coverage"), "passed", "response_length")
+
+
+@register("document_tag_match", """
+SELECT doc_id FROM documents WHERE list_has_any([lang, source], ['de', 'src1'])""")
+def document_tag_match(spark, sf):
+    """F-04 any-tag match: documents tagged [lang, source] matching any of {de, src1}."""
+    d = table(spark, sf, "documents").select("doc_id", F.array("lang", "source").alias("tags"))
+    return P.tags_match(d, ["de", "src1"]).select("doc_id")
+
+
+@register("aliased_samples", """
+SELECT text AS input, role AS output FROM conversations""")
+def aliased_samples(spark, sf):
+    """P-06 column aliasing (profile extract): a (Question, Answer) frame -> (input, output)."""
+    c = table(spark, sf, "conversations").select(F.col("text").alias("Question"), F.col("role").alias("Answer"), "turn")
+    return P.alias_columns(c, "extract")
+
+
+@register("conversation_alignment", """
+WITH f AS (SELECT conv_id, arg_min(text, turn) AS prediction, arg_max(text, turn) AS reference FROM conversations GROUP BY conv_id)
+SELECT conv_id, prediction, reference FROM f""")
+def conversation_alignment(spark, sf):
+    """J-09 alignment by id: each conversation's first turn (prediction) and last turn
+    (reference); an id on one side only would fail the query."""
+    from ..operators import relate as J
+    c = table(spark, sf, "conversations")
+    preds = c.groupBy("conv_id").agg(F.min_by("text", "turn").alias("prediction"))
+    refs = c.groupBy("conv_id").agg(F.max_by("text", "turn").alias("reference"))
+    return J.align_by_key(preds, refs, "conv_id").select("conv_id", "prediction", "reference")
+
+
+@register("chunk_parent_columns", """
+SELECT 'doc-' || CAST(d.doc_id AS VARCHAR) AS name, CAST((s.st - 1) / 1000 AS INTEGER) AS chunk_index, d.lang, d.source
+FROM (SELECT doc_id, unnest(range(1, length(text) + 1, 1000)) AS st FROM documents WHERE length(text) > 0) s
+JOIN documents d ON d.doc_id = s.doc_id""")
+def chunk_parent_columns(spark, sf):
+    """J-15 parent document columns (lang, source) attached to every fixed-size chunk."""
+    from ..operators import relate as J
+    from ..operators import text as D
+    docs = table(spark, sf, "documents")
+    ch = D.fixed_chunks(docs.select("doc_id", "text", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("name")),
+                        "name", "text", 1000).withColumn("doc_id", F.regexp_extract("name", r"^doc-(\d+)$", 1).cast("bigint"))
+    return J.attach_parent(ch, docs, "doc_id", ["lang", "source"]).select("name", "chunk_index", "lang", "source")

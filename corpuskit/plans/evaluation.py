@@ -74,7 +74,7 @@ def chat_rouge_n(spark, sf):
 
 @register("chat_rouge_l")
 def chat_rouge_l(spark, sf):
-    """M-05: ROUGE-L via the LCS kernel (no SQL oracle; pytest checks it against a DP)."""
+    """M-05: ROUGE-L via the LCS kernel (UD-03; no SQL oracle, pytest checks it against a DP)."""
     r = M.rouge(_preds(spark, sf), rouge_types=("rougeL",))
     return r.select("rouge_type", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "fmeasure")])
 
@@ -286,3 +286,55 @@ def chat_predictions(spark, sf):
 
     p = M.predict(_preds(spark, sf).select("id", F.col("prediction").alias("input")), first_sentence)
     return A.batch_split(p)[2]
+
+
+@register("chat_confidence_evaluation", f"""
+WITH p AS (SELECT prediction, reference, least(1.0, length(prediction) / greatest(length(reference), 1)) AS confidence FROM ({PRED_SQL}))
+SELECT count(*) AS total, count(*) FILTER (WHERE prediction = reference) AS correct,
+  round(coalesce(avg(CASE WHEN prediction = reference THEN 1.0 ELSE 0.0 END), 0), 6) AS accuracy,
+  round(avg(confidence) FILTER (WHERE prediction = reference), 6) AS avg_conf_correct,
+  round(avg(confidence) FILTER (WHERE NOT (prediction = reference)), 6) AS avg_conf_wrong,
+  count(*) FILTER (WHERE NOT (prediction = reference)) AS errors FROM p""")
+def chat_confidence_evaluation(spark, sf):
+    """A-19 accuracy and mean confidence of right / wrong answers; confidence = length ratio
+    of prediction to reference (capped at 1)."""
+    p = _preds(spark, sf).withColumn(
+        "confidence", F.least(F.lit(1.0), F.length("prediction") / F.greatest(F.length("reference"), F.lit(1))))
+    r = A.confidence_evaluation(p, "prediction", "reference", "confidence")
+    return r.select("total", "correct", F.round("accuracy", 6).alias("accuracy"),
+                    F.round("avg_conf_correct", 6).alias("avg_conf_correct"),
+                    F.round("avg_conf_wrong", 6).alias("avg_conf_wrong"), "errors")
+
+
+def _loss_log(spark, sf):
+    """Training-log shaped table from events: run = event type, epoch = day, loss = mean value / 100."""
+    e = table(spark, sf, "events")
+    return e.groupBy(F.col("event_type").alias("run_id"), F.dayofmonth("ts").alias("epoch")).agg(
+        (F.avg("value") / 100).alias("loss"), F.sum(F.get_json_object("props", "$.k").cast("bigint")).alias("n_tokens"))
+
+
+LOSS_LOG_SQL = """SELECT event_type AS run_id, day(ts) AS epoch, avg(value) / 100 AS loss,
+  sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS n_tokens FROM events GROUP BY 1, 2"""
+
+
+@register("loss_curves", f"""
+WITH l AS ({LOSS_LOG_SQL}), a AS (SELECT run_id, arg_min(loss, epoch) AS initial_loss, arg_max(loss, epoch) AS final_loss FROM l GROUP BY run_id)
+SELECT run_id, round(initial_loss, 6) AS initial_loss, round(final_loss, 6) AS final_loss,
+  round(CASE WHEN initial_loss <> 0 THEN (initial_loss - final_loss) / initial_loss * 100 END, 6) AS improvement_pct,
+  CASE WHEN final_loss < 0.5 THEN 'good' WHEN final_loss < 1.0 THEN 'more_epochs' ELSE 'high' END AS verdict FROM a""")
+def loss_curves(spark, sf):
+    """A-23 loss-curve summary per run over a training-log table derived from events."""
+    s = A.loss_curve_summary(_loss_log(spark, sf))
+    return s.select("run_id", F.round("initial_loss", 6).alias("initial_loss"), F.round("final_loss", 6).alias("final_loss"),
+                    F.round("improvement_pct", 6).alias("improvement_pct"), "verdict")
+
+
+@register("run_perplexity", f"""
+WITH l AS ({LOSS_LOG_SQL}), a AS (SELECT run_id, sum(loss * n_tokens) / sum(n_tokens) AS loss, sum(n_tokens) AS total_tokens FROM l GROUP BY run_id)
+SELECT run_id, round(CASE WHEN loss < 100 THEN exp(loss) ELSE 'inf'::DOUBLE END, 6) AS perplexity, round(loss, 6) AS loss,
+  CAST(total_tokens AS BIGINT) AS total_tokens FROM a""")
+def run_perplexity(spark, sf):
+    """M-09 perplexity per run from per-batch (loss, tokens) rows (batches = days)."""
+    u = M.perplexity(_loss_log(spark, sf), group="run_id")
+    return u.select("run_id", F.round("perplexity", 6).alias("perplexity"), F.round("loss", 6).alias("loss"),
+                    F.col("total_tokens").cast("bigint").alias("total_tokens"))
