@@ -253,17 +253,25 @@ def index_stats(chunks: DataFrame, vec_col: str = "embedding", folder_col: str |
     return chunks.groupBy(folder_col).agg(*aggs) if folder_col else chunks.agg(*aggs)
 
 
+def _postings(docs: DataFrame, id_col: str, text_col: str, min_len: int) -> DataFrame:
+    from ..functions.text import metric_tokens
+    return docs.select(F.col(id_col).alias("doc_id"),
+                       F.explode(F.array_distinct(metric_tokens(text_col))).alias("word")) \
+        .filter(F.length("word") >= min_len)
+
+
 def inverted_index(docs: DataFrame, id_col: str, text_col: str, min_len: int = 4) -> DataFrame:
     """A-26: postings ``(word, doc_id, n_docs)`` for words of at least ``min_len`` chars
     (lower-cased metric tokens). Long form on purpose: a common word's posting list is as
     long as the corpus, so it is never gathered into one array; ``n_docs`` comes from a
     partially aggregated count."""
-    from ..functions.text import metric_tokens
-    words = docs.select(F.col(id_col).alias("doc_id"),
-                        F.explode(F.array_distinct(metric_tokens(text_col))).alias("word")) \
-        .filter(F.length("word") >= min_len)
-    df_ = words.groupBy("word").agg(F.count(F.lit(1)).alias("n_docs"))
-    return words.join(df_, "word")
+    words = _postings(docs, id_col, text_col, min_len)
+    return words.join(document_frequency(docs, id_col, text_col, min_len), "word")
+
+
+def document_frequency(docs: DataFrame, id_col: str, text_col: str, min_len: int = 4) -> DataFrame:
+    """A-26 keyword count: documents per word (one partially aggregated count)."""
+    return _postings(docs, id_col, text_col, min_len).groupBy("word").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
 def batch_split(results: DataFrame, error_col: str = "error") -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -139,8 +139,7 @@ WITH w AS (SELECT DISTINCT doc_id, unnest(list_filter(string_split_regex(trim(re
 SELECT word, count(*) AS n_docs FROM w WHERE length(word) >= 4 GROUP BY word""")
 def inverted_index_sizes(spark, sf):
     """A-26 inverted index (words of 4+ chars): documents per word."""
-    p = A.inverted_index(table(spark, sf, "documents"), "doc_id", "text", 4)
-    return p.select("word", "n_docs").distinct()
+    return A.document_frequency(table(spark, sf, "documents"), "doc_id", "text", 4)
 
 
 def _faq(spark, sf):
