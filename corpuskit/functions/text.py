@@ -20,6 +20,12 @@ def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def py_strip(c) -> Column:
+    """Python ``str.strip()``: leading / trailing Unicode whitespace removed (Spark's ``trim``
+    removes spaces only)."""
+    return F.regexp_replace(col_(c), r"(?U)^\s+|\s+$", "")
+
+
 def squeeze_ws(c) -> Column:
     """Runs of whitespace -> one space, trimmed (``" ".join(s.split())``)."""
     return F.trim(F.regexp_replace(col_(c), r"(?U)\s+", " "))

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_chat_text
+from ..functions.text import clean_chat_text, py_strip
 from .ordered import keep_first, lead_split, ordered_concat
 
 
@@ -39,7 +39,7 @@ def bounded_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
 
 # Dedup key profiles.
 DEDUP_KEYS = {
-    "lower_trim_input": lambda: F.lower(F.trim(F.col("input"))),
+    "lower_trim_input": lambda: F.lower(py_strip("input")),
     "lower_input": lambda: F.lower(F.col("input")),
     "pair": lambda: F.struct(F.col("input"), F.col("output")),
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import mapping as P
 from ..operators import relate as J
 from ..operators import stats as A
+from ..functions.text import py_strip
 from ..session import table
 from .catalog import register, sql_clean_chat, sql_word_count
 
@@ -49,7 +50,7 @@ def deduped_pairs(spark, sf):
 
 DEDUP_PAIRS_SQL = f"""
 WITH s AS ({PAIRS_SQL}),
-r AS (SELECT *, row_number() OVER (PARTITION BY lower(trim(input)) ORDER BY channel_id, input_ts) AS rn FROM s)
+r AS (SELECT *, row_number() OVER (PARTITION BY lower(regexp_replace(input, '^\\s+|\\s+$', '', 'g')) ORDER BY channel_id, input_ts) AS rn FROM s)
 SELECT input, output, channel_id, input_ts, output_ts, input_role, output_role FROM r WHERE rn = 1
 """
 
@@ -126,7 +127,7 @@ def order_samples(spark, sf):
 
 
 DOC_DEDUP_SQL = """
-WITH r AS (SELECT *, row_number() OVER (PARTITION BY lower(trim(text)) ORDER BY doc_id) AS rn FROM documents)
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) ORDER BY doc_id) AS rn FROM documents)
 SELECT doc_id, lang, source, n_chars FROM r WHERE rn = 1"""
 
 
@@ -134,7 +135,7 @@ SELECT doc_id, lang, source, n_chars FROM r WHERE rn = 1"""
 def document_dedup(spark, sf):
     """J-01 on documents: first doc id per lower(trim(text))."""
     d = table(spark, sf, "documents")
-    return J.dedup(d, "doc_id", key=F.lower(F.trim("text"))).select("doc_id", "lang", "source", "n_chars")
+    return J.dedup(d, "doc_id", key=F.lower(py_strip("text"))).select("doc_id", "lang", "source", "n_chars")
 
 
 @register("document_dedup_report", f"""
@@ -143,7 +144,7 @@ SELECT (SELECT count(*) FROM documents) AS before, count(*) AS after,
 def document_dedup_report(spark, sf):
     """J-01 report: rows before / after / removed."""
     d = table(spark, sf, "documents")
-    return J.dedup_report(d, J.dedup(d, "doc_id", key=F.lower(F.trim("text"))))
+    return J.dedup_report(d, J.dedup(d, "doc_id", key=F.lower(py_strip("text"))))
 
 
 @register("combined_source_counts", """
