@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col_
+from .text import col_, py_strip
 
 
 def normalize_path_segments(path) -> Column:
@@ -43,7 +43,7 @@ def limit_key(category, prefix: str = "ratelimit", forwarded_for=None, host=None
     forwarded-for entry, else host, else "unknown"."""
     parts = [F.lit(prefix), col_(category)]
     if by_ip:
-        fwd = F.trim(F.split_part(col_(forwarded_for), F.lit(","), F.lit(1))) if forwarded_for is not None else F.lit(None)
+        fwd = py_strip(F.split_part(col_(forwarded_for), F.lit(","), F.lit(1))) if forwarded_for is not None else F.lit(None)
         ip = F.coalesce(F.when(fwd != "", fwd), col_(host) if host is not None else F.lit(None), F.lit("unknown"))
         parts.append(F.concat(F.lit("ip:"), ip))
     if by_user and user is not None:

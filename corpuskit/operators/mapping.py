@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import col_
+from ..functions.text import col_, py_strip
 from .ordered import ordered_concat
 
 
@@ -206,8 +206,8 @@ def record_fallback(df: DataFrame, json_col: str = "value") -> DataFrame:
 
 def ticket_samples(tickets: DataFrame) -> DataFrame:
     """P-07 tickets profile: subject -> input, description -> output, both non-empty after trim."""
-    s = F.trim(F.coalesce(F.col("subject").cast("string"), F.lit("")))
-    d = F.trim(F.coalesce(F.col("description").cast("string"), F.lit("")))
+    s = py_strip(F.coalesce(F.col("subject").cast("string"), F.lit("")))
+    d = py_strip(F.coalesce(F.col("description").cast("string"), F.lit("")))
     return tickets.select(s.alias("input"), d.alias("output")).filter((F.col("input") != "") & (F.col("output") != ""))
 
 

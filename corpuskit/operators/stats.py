@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import word_count
+from ..functions.text import py_strip, word_count
 
 
 def dataset_summary(samples: DataFrame) -> DataFrame:
@@ -52,7 +52,7 @@ def validation_report(lines: DataFrame, line_col: str = "line", num_col: str = "
     v = parse_json_strict(F.col(line_col))
     d = lines.select(F.col(num_col).alias("line_num"), F.col(line_col).alias("line"),
                      v.alias("_v"))
-    d = d.withColumn("blank", F.trim(F.coalesce("line", F.lit(""))) == "")
+    d = d.withColumn("blank", py_strip(F.coalesce("line", F.lit(""))) == "")
     inp = F.try_variant_get("_v", "$.input", "string")
     out = F.try_variant_get("_v", "$.output", "string")
     d = d.withColumn("input", inp).withColumn("output", out)
@@ -65,8 +65,8 @@ def validation_report(lines: DataFrame, line_col: str = "line", num_col: str = "
     first = valid.groupBy("input").agg(F.min("line_num").alias("_first"))
     valid = valid.join(first, "input").withColumn("dup", F.col("line_num") > F.col("_first"))
     issue_lists = F.array_compact(F.array(
-        F.when(F.trim("input") == "", F.lit("empty_input")),
-        F.when(F.trim("output") == "", F.lit("empty_output")),
+        F.when(py_strip("input") == "", F.lit("empty_input")),
+        F.when(py_strip("output") == "", F.lit("empty_output")),
         F.when(F.col("dup"), F.lit("duplicate_input")),
         F.when(F.length("output") < 10, F.lit("short_output"))))
     v_issues = valid.select("line_num", F.explode(issue_lists).alias("issue"))
@@ -78,8 +78,8 @@ def validation_report(lines: DataFrame, line_col: str = "line", num_col: str = "
                      F.count_if(F.col("kind").isin("missing_input", "missing_output")).alias("missing_field"))
     per_valid = valid.agg(
         F.count(F.lit(1)).alias("valid_examples"),
-        F.count_if(F.trim("input") == "").alias("empty_inputs"),
-        F.count_if(F.trim("output") == "").alias("empty_outputs"),
+        F.count_if(py_strip("input") == "").alias("empty_inputs"),
+        F.count_if(py_strip("output") == "").alias("empty_outputs"),
         F.count_if("dup").alias("duplicates"),
         F.count_if(F.length("output") < 10).alias("short_outputs"),
         F.coalesce(F.avg(F.length("input")), F.lit(0.0)).alias("avg_input_length"),

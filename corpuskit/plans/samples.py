@@ -273,7 +273,7 @@ def _jsonl_lines(spark, sf):
 
 @register("jsonl_validation", f"""
 WITH l AS ({JSONL_LINES_SQL}),
-p AS (SELECT line_num, line, trim(coalesce(line, '')) = '' AS blank, try(json(line)) AS j FROM l),
+p AS (SELECT line_num, line, regexp_replace(coalesce(line, ''), '^\\s+|\\s+$', '', 'g') = '' AS blank, try(json(line)) AS j FROM l),
 k AS (SELECT *, CASE WHEN blank THEN 'blank' WHEN j IS NULL THEN 'invalid_json'
                      WHEN json_extract_string(j, '$.input') IS NULL THEN 'missing_input'
                      WHEN json_extract_string(j, '$.output') IS NULL THEN 'missing_output' ELSE 'valid' END AS kind,
@@ -282,8 +282,8 @@ v AS (SELECT *, line_num > min(line_num) OVER (PARTITION BY input) AS dup FROM k
 SELECT (SELECT count(*) FROM k) AS total_lines,
        (SELECT count(*) FROM k WHERE kind = 'invalid_json') AS invalid_json,
        (SELECT count(*) FROM k WHERE kind IN ('missing_input', 'missing_output')) AS missing_field,
-       count(*) AS valid_examples, count(*) FILTER (WHERE trim(input) = '') AS empty_inputs,
-       count(*) FILTER (WHERE trim(output) = '') AS empty_outputs, count(*) FILTER (WHERE dup) AS duplicates,
+       count(*) AS valid_examples, count(*) FILTER (WHERE regexp_replace(input, '^\\s+|\\s+$', '', 'g') = '') AS empty_inputs,
+       count(*) FILTER (WHERE regexp_replace(output, '^\\s+|\\s+$', '', 'g') = '') AS empty_outputs, count(*) FILTER (WHERE dup) AS duplicates,
        count(*) FILTER (WHERE length(output) < 10) AS short_outputs,
        round(coalesce(avg(length(input)), 0), 6) AS avg_input_length,
        round(coalesce(avg(length(output)), 0), 6) AS avg_output_length FROM v""")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import py_strip
+
 
 class DatasetError(ValueError):
     """A strict read found a bad line."""
@@ -32,7 +34,7 @@ def _parse(lines: DataFrame, keys=("input", "output")) -> DataFrame:
     d = lines.withColumn("_v", v)
     for k in keys:
         d = d.withColumn(k, F.try_variant_get("_v", f"$.{k}", "string"))
-    reason = F.when(F.trim("value") == "", F.lit("blank")).when(F.col("_v").isNull(), F.lit("invalid_json"))
+    reason = F.when(py_strip("value") == "", F.lit("blank")).when(F.col("_v").isNull(), F.lit("invalid_json"))
     for k in keys:
         reason = reason.when(F.col(k).isNull(), F.lit(f"missing_{k}"))
     return d.withColumn("reason", reason)
@@ -72,7 +74,7 @@ def load_prediction_lines(spark: SparkSession, path: str, field: str | None = No
     """S-18: responses / predictions: the configured field, else the default field, else the
     plain line; with 0-based position for J-09 alignment."""
     from ..functions.jsonl import parse_json_strict
-    d = read_lines(spark, path).filter(F.trim("value") != "")
+    d = read_lines(spark, path).filter(py_strip("value") != "")
     v = parse_json_strict("value")
     val = F.coalesce(*([F.try_variant_get(v, f"$.{field}", "string")] if field else []),
                      F.try_variant_get(v, f"$.{default_field}", "string"), F.col("value"))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from ..functions.text import py_strip
 from ..session import checkpoint_dir, table
 
 US = 1_000_000
@@ -231,7 +232,7 @@ def validated_sample_stream(spark: SparkSession, src_dir: str, good_dir: str, ba
     def split(batch: DataFrame, _bid: int):
         from ..functions.jsonl import parse_json_strict
         v = parse_json_strict("value")
-        d = batch.filter(F.trim("value") != "").select(
+        d = batch.filter(py_strip("value") != "").select(
             "source_file", "value", F.try_variant_get(v, "$.input", "string").alias("input"),
             F.try_variant_get(v, "$.output", "string").alias("output"), v.isNull().alias("bad_json"))
         d = d.withColumn("reason", F.when(F.col("bad_json"), "invalid_json").when(F.col("input").isNull(), "missing_input")
