@@ -99,12 +99,20 @@ def compare_variants(moments: DataFrame, variants: DataFrame, metric: str = "lat
     """A-10: every treatment against its experiment's control.
 
     ``variants``: experiment_id, variant_id, is_control. Output per treatment: n, means, z,
-    Cohen's d with CI, and (``with_p``) two-tailed p, significance and winner. n < 2 on either
-    side gives p = 1, d = 0 (guard); zero pooled variance gives z = 0 and sets
-    ``degenerate_variance`` (D4).
+    Cohen's d with CI, and (``with_p``) two-tailed p, significance, winner and interpretation.
+    n < 2 on either side gives p = 1, d = 0 (guard); zero pooled variance gives z = 0 and sets
+    ``degenerate_variance`` (D4); an unknown metric gives non-significant rows saying so.
     """
     if metric not in LOWER_IS_BETTER:
-        raise ValueError(f"Unknown metric: {metric}")
+        # unknown-metric guard: every comparison is reported as not significant, with the reason
+        ctl = variants.filter("is_control").select("experiment_id", F.col("variant_id").alias("control_id"))
+        trt = variants.filter(~F.col("is_control")).select("experiment_id", "variant_id")
+        return trt.join(ctl, "experiment_id").select(
+            "experiment_id", "variant_id", "control_id", F.lit(0.0).alias("z_score"), F.lit(0.0).alias("effect_size"),
+            F.lit(0.0).alias("ci_lower"), F.lit(0.0).alias("ci_upper"), F.lit(False).alias("degenerate_variance"),
+            F.lit(False).alias("sufficient_n"), F.lit(1.0).alias("p_value"), F.lit(False).alias("is_significant"),
+            F.lit(None).cast("string").alias("winner"), F.lit(f"Unknown metric: {metric}").alias("interpretation"),
+            F.lit(metric).alias("metric"))
     v = variants.join(moments, ["experiment_id", "variant_id"], "left").na.fill({"n": 0, "mean": 0.0, "var": 0.0})
     ctl = v.filter("is_control").select("experiment_id", F.col("variant_id").alias("control_id"),
                                         F.col("n").alias("n1"), F.col("mean").alias("mean1"), F.col("var").alias("var1"))
@@ -131,6 +139,14 @@ def compare_variants(moments: DataFrame, variants: DataFrame, metric: str = "lat
         better = (F.col("effect_size") < 0) if LOWER_IS_BETTER[metric] else (F.col("effect_size") > 0)
         d = d.withColumn("winner", F.when(F.col("is_significant"),
                                           F.when(better, F.col("variant_id")).otherwise(F.col("control_id"))))
+        pct = F.when(m1 != 0, F.abs((m2 - m1) / m1 * 100)).otherwise(F.lit(0.0))
+        direction = F.when(F.col("winner") == F.col("variant_id"), F.lit("improvement")).otherwise(F.lit("degradation"))
+        text = (F.when(~ok, F.lit("Insufficient data for analysis"))
+                .when(~F.col("is_significant"),
+                      F.format_string("No statistically significant difference detected (p=%.4f)", F.col("p_value")))
+                .otherwise(F.format_string("Treatment shows %.1f%% %s in %s (p=%.4f, effect size d=%.3f)", pct, direction,
+                                           F.lit(metric), F.col("p_value"), F.col("effect_size"))))
+        d = d.withColumn("interpretation", text)
     return d.withColumn("metric", F.lit(metric))
 
 

@@ -88,3 +88,14 @@ def test_random_split_exact_and_disjoint(spark):
     assert again == {r.k: r.split for r in s.collect()}
     folds = W.kfold(d, "k", 5).groupBy("fold").count().collect()
     assert sorted(r["count"] for r in folds) == [200, 200, 201, 201, 201]
+
+
+def test_unknown_metric_guard_and_interpretation(spark):
+    rows = [("e", "e/c", T0, True, float(x), 1, 1) for x in (10, 12, 11, 13, 9)] + \
+           [("e", "e/t", T0, True, float(x), 1, 1) for x in (20, 22, 21, 19, 18)]
+    req = spark.createDataFrame(rows, "experiment_id string, variant_id string, ts timestamp, success boolean, "
+                                      "latency_ms double, tokens_in long, tokens_out long")
+    c = X.compare_variants(X.metric_moments(req, "latency_ms"), _variants(spark), "latency_ms").first()
+    assert c.interpretation.startswith("Treatment shows 81.8% degradation in latency_ms (p=0.0000")
+    u = X.compare_variants(X.metric_moments(req, "latency_ms"), _variants(spark), "bogus").first()
+    assert (u.p_value, u.is_significant, u.interpretation) == (1.0, False, "Unknown metric: bogus")
