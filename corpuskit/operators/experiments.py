@@ -167,7 +167,7 @@ def analyze_experiment(requests: DataFrame, variants: DataFrame, experiments: Da
     win = cmp_.filter(F.col("is_significant") & (F.col("winner") == F.col("variant_id")))
     first_win = win.join(variants.select("experiment_id", "variant_id", "variant_seq", "name"),
                          ["experiment_id", "variant_id"]).groupBy("experiment_id").agg(
-        F.min_by("name", "variant_seq").alias("winner_name"))
+        F.min_by("name", "variant_seq").alias("winner_name"), F.min_by("interpretation", "variant_seq").alias("_why"))
     any_sig = cmp_.groupBy("experiment_id").agg(F.max(F.col("is_significant").cast("int")).alias("any_sig"))
     d = sizes.join(conf, "experiment_id").join(first_win, "experiment_id", "left").join(any_sig, "experiment_id", "left")
     d = d.withColumn("sufficient_sample_size", F.col("min_n") >= F.col("min_sample_size"))
@@ -175,9 +175,19 @@ def analyze_experiment(requests: DataFrame, variants: DataFrame, experiments: Da
            .when(F.col("winner_name").isNotNull(), F.lit("adopt"))
            .when(F.coalesce(F.col("any_sig"), F.lit(0)) == 1, F.lit("control_best"))
            .otherwise(F.lit("no_difference")))
-    return d.withColumn("recommendation", rec).select(
+    # Recommendation messages.
+    text = (F.when(~F.col("sufficient_sample_size"), F.format_string(
+                "Continue collecting data. Need at least %d samples per variant. Current: %d", "min_sample_size", "min_n"))
+            .when(F.col("winner_name").isNotNull(), F.format_string(
+                "Consider adopting '%s' as the new baseline. It shows statistically significant improvement. %s",
+                "winner_name", "_why"))
+            .when(F.coalesce(F.col("any_sig"), F.lit(0)) == 1, F.lit(
+                "Control variant performs best. Consider stopping the experiment or trying different configurations."))
+            .otherwise(F.lit("No significant differences detected. Consider extending the experiment or increasing "
+                             "sample size for more conclusive results.")))
+    return d.withColumn("recommendation", rec).withColumn("recommendation_text", text).select(
         "experiment_id", "sample_sizes", "min_n", "min_sample_size", "sufficient_sample_size",
-        "winner_name", "recommendation")
+        "winner_name", "recommendation", "recommendation_text")
 
 
 def required_sample_size(df: DataFrame, baseline_col: str = "baseline_rate", mde: float = 0.05,

@@ -165,7 +165,7 @@ def experiment_verdicts(spark, sf):
     """A-10 p-values / winners and A-11 verdicts (X-09 normal CDF via Arrow kernel: no SQL oracle)."""
     v = X.analyze_experiment(assigned(spark, sf), variants(spark, sf), experiments(spark, sf), "latency_ms")
     return v.select("experiment_id", F.to_json("sample_sizes").alias("sample_sizes"), "min_n", "sufficient_sample_size",
-                    "winner_name", "recommendation")
+                    "winner_name", "recommendation", "recommendation_text")
 
 
 @register("required_sample_sizes", f"""
