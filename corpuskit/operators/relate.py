@@ -81,11 +81,13 @@ def thread_qa(messages: DataFrame, channel: str = "channel_id", ts: str = "ts",
               thread_ts: str = "thread_ts", text: str = "text", reply_count: str = "reply_count",
               order_bucket: Column | None = None) -> DataFrame:
     """J-04: thread parent (reply_count > 0) -> its replies (same thread, other ts) in ts
-    order, newline-joined, then cleaned (D-08). Parents without replies are skipped."""
+    order (string stamps compared as numbers), newline-joined, then cleaned (D-08). Parents
+    without replies are skipped."""
     parents = messages.filter(F.col(reply_count) > 0).select(
         F.col(channel).alias("channel_id"), F.col(ts).alias("thread_ts"), F.col(text).alias("parent_text"))
+    order = F.col(ts).cast("decimal(20,6)") if dict(messages.dtypes)[ts] == "string" else F.col(ts)
     replies = messages.filter(F.col(thread_ts).isNotNull() & (F.col(ts) != F.col(thread_ts))).select(
-        F.col(channel).alias("channel_id"), F.col(thread_ts).alias("thread_ts"), F.col(ts).alias("rts"),
+        F.col(channel).alias("channel_id"), F.col(thread_ts).alias("thread_ts"), order.alias("rts"),
         F.coalesce(F.col(text), F.lit("")).alias("rtext"))
     joined = ordered_concat(replies, ["channel_id", "thread_ts"], "rts", "rtext", "\n", "reply_text",
                             bucket=order_bucket)
@@ -112,16 +114,25 @@ def reaction_samples(messages: DataFrame, threads: DataFrame | None = None) -> D
 def consecutive_pairs(messages: DataFrame, channel: str = "channel_id", ts: str = "ts", text: str = "text",
                       min_length: int = 0, bucket_width: float = 1024.0,
                       carry: Sequence[str] = ()) -> DataFrame:
-    """J-06: message i -> message i+1 per channel by numeric ts; the pair is dropped when
-    either raw text is shorter than ``min_length``. Texts are cleaned (D-08).
+    """J-06: message i -> message i+1 per channel by numeric ts (string stamps are compared as
+    numbers); the pair is dropped when either raw text is shorter than ``min_length``. Texts
+    are cleaned (D-08).
 
     The successor is found per (channel, ts bucket) so a very busy channel is split.
     """
     carry = list(carry)
-    d = messages.select(F.col(channel).alias("channel_id"), F.col(ts).alias("ts"),
+    typ = dict(messages.dtypes)[ts]
+    if typ.startswith("timestamp"):
+        from ..functions.time import epoch_micros
+        num = epoch_micros(messages, ts) / F.lit(1_000_000.0)
+    elif typ == "string":  # chat stamps "sec.micros": ordered numerically, as float(ts)
+        num = F.col(ts).cast("decimal(20,6)")
+    else:
+        num = F.col(ts)
+    d = messages.select(F.col(channel).alias("channel_id"), F.col(ts).alias("ts"), num.alias("_tnum"),
                         F.coalesce(F.col(text), F.lit("")).alias("text"), *carry)
-    bucket = F.floor(F.col("ts").cast("double") / F.lit(bucket_width))
-    d = lead_split(d, ["channel_id"], ["ts"], ["text"] + carry, bucket)
+    bucket = F.floor(F.col("_tnum").cast("double") / F.lit(bucket_width))
+    d = lead_split(d, ["channel_id"], ["_tnum", "ts"], ["text"] + carry, bucket)
     d = d.filter(F.col("next_ts").isNotNull()
                  & (F.length("text") >= min_length) & (F.length("next_text") >= min_length))
     return d.select(

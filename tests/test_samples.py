@@ -76,3 +76,10 @@ def test_flagship_entry_runs(spark):
     df = E.entry(spark)
     assert set(["input", "output", "channel_id"]) <= set(df.columns)
     assert df.count() > 0
+
+
+def test_consecutive_pairs_string_stamps_numeric_order(spark):
+    m = spark.createDataFrame([("c", "1700000010.5", "third msg"), ("c", "999999999.9", "first msg"),
+                               ("c", "1700000002.25", "second msg")], "channel_id string, ts string, text string")
+    out = J.consecutive_pairs(m).orderBy(F.col("metadata.input_ts").cast("double")).collect()
+    assert [(r.input, r.output) for r in out] == [("first msg", "second msg"), ("second msg", "third msg")]
