@@ -257,3 +257,17 @@ def document_blocks_text(spark, sf):
     the rest paragraphs) and turned back into text."""
     t = D.blocks_to_text(_doc_blocks(spark, sf), "blocks", "connector")
     return t.select("doc_id", F.md5("text").alias("text_md5"))
+
+
+@register("document_markdown_recipe", f"""
+WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10) || '#')) AS sec,
+                  generate_subscripts(string_split(text, chr(10) || '#'), 1) - 1 AS k FROM documents),
+s AS (SELECT doc_id, k, {sql_strip('sec')} AS sec FROM p),
+t AS (SELECT doc_id, k, regexp_replace(split_part(sec, chr(10), 1), '^[# ]+|[# ]+$', '', 'g') AS title,
+             CASE WHEN contains(sec, chr(10)) THEN {sql_strip("substr(sec, strpos(sec, chr(10)) + 1)")} ELSE '' END AS body
+      FROM s WHERE sec <> '')
+SELECT doc_id, CAST(k AS INTEGER) AS k, 'What is ' || title || '?' AS input, md5(body) AS output_md5 FROM t WHERE body <> ''""")
+def document_markdown_recipe(spark, sf):
+    """D-21 md recipe: sections split at "\\\\n#", "What is <title>?" -> body."""
+    r = D.markdown_recipe(table(spark, sf, "documents"), "doc_id", "text")
+    return r.select("doc_id", "k", "input", F.md5("output").alias("output_md5"))
