@@ -33,44 +33,74 @@ def load_text_files(spark: SparkSession, path: str, suffixes=(".txt", ".md")) ->
                     F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_modification_time").alias("modified"))
 
 
-# MIME type per suffix and the allow-list of the mixed-folder reader.
-MIME = {".jsonl": "application/jsonl", ".json": "application/json", ".txt": "text/plain", ".md": "text/markdown",
-        ".csv": "text/csv"}
-ALLOWED_MIME = {"application/jsonl", "application/json", "text/plain", "text/markdown"}
+# MIME type per suffix, the MIME allow-list, and suffixes always read.
+MIME = {".txt": "text/plain", ".md": "text/markdown", ".json": "application/json", ".jsonl": "application/json",
+        ".csv": "text/csv", ".pdf": "application/pdf",
+        ".docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document"}
+ALLOWED_MIME = ["application/vnd.google-apps.document", "application/vnd.google-apps.spreadsheet", "text/plain",
+                "text/markdown", "application/json", "text/csv"]
+ALWAYS_SUFFIXES = [".json", ".jsonl", ".txt"]
 
 
 def load_mixed_folder(spark: SparkSession, path: str, name_contains: str | None = None,
                       mapping: dict | None = None) -> DataFrame:
-    """S-07: .jsonl -> one sample per record (mapped keys), .json -> records of an array,
-    any other allowed file -> whole text as input with empty output. Adds ``source_file`` and
-    ``source_id`` (file stem). Name filter and MIME allow-list apply to every branch."""
+    """S-07: a folder of mixed files -> samples with ``source_file`` and ``source_id`` (stem).
+
+    A file is read when its name contains ``name_contains`` and its MIME type is allowed (or
+    it ends in .json / .jsonl / .txt). ``.jsonl``: one sample per non-blank line; ``.json``: one
+    per array element, or the object itself; the first invalid line or record without the
+    mapped keys ends that file (earlier samples are kept). Any other read file is one sample:
+    its whole text as input, empty output.
+    """
+    from ..functions.jsonl import parse_json_strict
+    from .jsonl import read_lines
     mapping = mapping or {"input": "input", "output": "output"}
+    ki, ko = mapping["input"], mapping["output"]
     mime = F.create_map(*[x for k, v in MIME.items() for x in (F.lit(k), F.lit(v))])
 
-    def keep(df):
-        name = F.col("_metadata.file_name")
-        cond = F.try_element_at(mime, F.regexp_extract(name, r"(\.[^.]*)$", 1)).isin(list(ALLOWED_MIME))
+    def suffix(c):
+        return F.lower(F.regexp_extract(c, r"(\.[^.]*)$", 1))
+
+    def keep(name):
+        m = F.coalesce(F.try_element_at(mime, suffix(name)), F.lit("application/octet-stream"))
+        cond = m.isin(ALLOWED_MIME) | suffix(name).isin(ALWAYS_SUFFIXES)
         if name_contains:
             cond = cond & F.contains(name, F.lit(name_contains))
-        return df.filter(cond)
+        return cond
 
-    def meta(df):
-        return df.withColumn("source_file", F.col("_metadata.file_name")).withColumn(
-            "source_id", F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", ""))
+    def stem(name):
+        return F.regexp_replace(name, r"\.[^.]*$", "")
 
-    rd = spark.read.option("recursiveFileLookup", True)
-    jl = rd.option("pathGlobFilter", "*.jsonl").text(path)
-    from ..functions.jsonl import parse_json_strict
-    jl = meta(keep(jl)).select(parse_json_strict("value").alias("v"), "source_file", "source_id")
-    jl = jl.select(F.try_variant_get("v", f"$.{mapping['input']}", "string").alias("input"),
-                   F.try_variant_get("v", f"$.{mapping['output']}", "string").alias("output"), "source_file", "source_id") \
-        .filter(F.col("input").isNotNull() & F.col("output").isNotNull())
-    js = rd.option("pathGlobFilter", "*.json").text(path, wholetext=True)
-    js = meta(keep(js)).select(F.try_parse_json("value").alias("v"), "source_file", "source_id")
-    js = js.select(F.explode(F.try_variant_get("v", "$", "array<variant>")).alias("r"), "source_file", "source_id") \
-        .select(F.try_variant_get("r", f"$.{mapping['input']}", "string").alias("input"),
-                F.try_variant_get("r", f"$.{mapping['output']}", "string").alias("output"), "source_file", "source_id") \
-        .filter(F.col("input").isNotNull() & F.col("output").isNotNull())
-    ot = rd.option("pathGlobFilter", "*.{txt,md}").text(path, wholetext=True)
-    ot = meta(keep(ot)).select(F.col("value").alias("input"), F.lit("").alias("output"), "source_file", "source_id")
+    def fields(v):
+        return (F.try_variant_get(v, f"$.{ki}", "string"), F.try_variant_get(v, f"$.{ko}", "string"))
+
+    def rd():  # a fresh reader per branch: DataFrameReader.option mutates the reader
+        return spark.read.option("recursiveFileLookup", True)
+
+    # .jsonl: stop each file at its first bad line
+    jl = read_lines(spark, path, recursiveFileLookup=True, pathGlobFilter="*.jsonl") \
+        .withColumn("source_file", F.regexp_extract("file", r"([^/]+)$", 1)).filter(keep(F.col("source_file")))
+    jl = jl.filter(F.regexp_replace("value", r"(?U)^\s+|\s+$", "") != "").withColumn("_v", parse_json_strict("value"))
+    i_, o_ = fields(F.col("_v"))
+    jl = jl.withColumn("input", i_).withColumn("output", o_)
+    bad = F.col("_v").isNull() | F.col("input").isNull() | F.col("output").isNull()
+    cut = jl.filter(bad).groupBy("file").agg(F.min("line_num").alias("_cut"))
+    jl = jl.join(cut, "file", "left").filter(F.col("_cut").isNull() | (F.col("line_num") < F.col("_cut"))) \
+        .filter(~bad).select("input", "output", "source_file", stem(F.col("source_file")).alias("source_id"))
+    # .json: an array (stop at the first bad record) or one object
+    js = rd().option("pathGlobFilter", "*.json").text(path, wholetext=True) \
+        .select(F.try_parse_json("value").alias("v"), F.col("_metadata.file_name").alias("source_file")) \
+        .filter(keep(F.col("source_file")))
+    arr = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.array(F.col("v")))
+    js = js.select("source_file", F.posexplode(arr).alias("pos", "r"))
+    i_, o_ = fields(F.col("r"))
+    js = js.withColumn("input", i_).withColumn("output", o_)
+    jbad = F.col("input").isNull() | F.col("output").isNull()
+    jcut = js.filter(jbad).groupBy("source_file").agg(F.min("pos").alias("_cut"))
+    js = js.join(jcut, "source_file", "left").filter(F.col("_cut").isNull() | (F.col("pos") < F.col("_cut"))) \
+        .filter(~jbad).select("input", "output", "source_file", stem(F.col("source_file")).alias("source_id"))
+    # every other read file: whole text
+    ot = rd().text(path, wholetext=True).select(F.col("value").alias("input"), F.col("_metadata.file_name").alias("source_file")) \
+        .filter(keep(F.col("source_file")) & ~suffix(F.col("source_file")).isin(".json", ".jsonl"))
+    ot = ot.select("input", F.lit("").alias("output"), "source_file", stem(F.col("source_file")).alias("source_id"))
     return jl.unionByName(js).unionByName(ot)

@@ -51,15 +51,20 @@ def test_csv_mapping_and_sinks(spark, tmp_path):
 def test_text_files_and_mixed_folder(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub" / "notes.md").write_text("# Title\nbody")
-    (tmp_path / "train_data.jsonl").write_text('{"input": "i1", "output": "o1"}\n')
-    (tmp_path / "train_qa.json").write_text('[{"input": "i2", "output": "o2"}]')
-    (tmp_path / "skip.csv").write_text("a,b\n")
+    (tmp_path / "train_data.jsonl").write_text('{"input": "i1", "output": "o1"}\n\n{"input": "i3", "output": "o3"}\n'
+                                               '{"input": "no output"}\n{"input": "i4", "output": "o4"}\n')
+    (tmp_path / "train_qa.json").write_text('[{"input": "i2", "output": "o2"}, {"x": 1}, {"input": "i9", "output": "o9"}]')
+    (tmp_path / "train_one.json").write_text('{"input": "single", "output": "obj"}')
+    (tmp_path / "table.csv").write_text("a,b\n")
+    (tmp_path / "skip.pdf").write_bytes(b"%PDF-1.4")
     t = SF.load_text_files(spark, str(tmp_path), (".md",)).collect()
     assert [(r.name, r.suffix) for r in t] == [("notes.md", ".md")]
     m = sorted((r.input, r.output, r.source_id) for r in SF.load_mixed_folder(spark, str(tmp_path)).collect())
-    assert m == [("# Title\nbody", "", "notes"), ("i1", "o1", "train_data"), ("i2", "o2", "train_qa")]
+    # a file stops at its first bad record; csv is read as plain text; pdf is not an allowed type
+    assert m == [("# Title\nbody", "", "notes"), ("a,b\n", "", "table"), ("i1", "o1", "train_data"),
+                 ("i2", "o2", "train_qa"), ("i3", "o3", "train_data"), ("single", "obj", "train_one")]
     only = SF.load_mixed_folder(spark, str(tmp_path), name_contains="train").count()
-    assert only == 2
+    assert only == 4
 
 
 def test_envelope_and_xml(spark):
