@@ -5,14 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MESSAGE_SCHEMA = ("ts string, text string, user string, thread_ts string, reply_count int, "
-                  "reactions array<struct<name:string,count:int>>, bot_id string, subtype string, "
-                  "edited struct<ts:string>")
-CHANNEL_SCHEMA = ("id string, name string, is_private boolean, is_archived boolean, is_member boolean, "
-                  "topic struct<value:string>, purpose struct<value:string>, num_members int, created long")
-USER_SCHEMA = "id string, name string, profile struct<real_name:string,display_name:string>, is_bot boolean, is_admin boolean, deleted boolean"
-
-
 def chat_ts(c) -> Column:
     """X-07: chat "sec.micros" text -> TIMESTAMP (UTC)."""
     x = F.col(c) if isinstance(c, str) else c
@@ -28,30 +20,63 @@ def _records(spark: SparkSession, path: str, schema: str, wrapper: str) -> DataF
     return e.select("file", F.from_json(F.to_json("r"), schema).alias("x")).select("file", "x.*")
 
 
+def _variants(spark: SparkSession, path: str, wrapper: str) -> DataFrame:
+    """One VARIANT per record: the file's array root, or the array under ``wrapper``."""
+    raw = spark.read.text(path, wholetext=True).select(
+        F.try_parse_json("value").alias("v"), F.col("_metadata.file_path").alias("file"))
+    arr = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.try_variant_get("v", f"$.{wrapper}", "array<variant>"))
+    return raw.select("file", F.explode(arr).alias("r"))
+
+
+def _g(path: str, typ: str = "string") -> Column:
+    return F.try_variant_get("r", path, typ)
+
+
+def _value_or_text(key: str) -> Column:
+    """``{"value": ...}`` objects unwrapped, plain strings kept."""
+    return F.coalesce(_g(f"$.{key}.value"), F.when(_g(f"$.{key}", "variant").isNotNull()
+                                                   & ~F.startswith(F.to_json(_g(f"$.{key}", "variant")), F.lit("{")),
+                                                   _g(f"$.{key}")))
+
+
 def chat_messages(spark: SparkSession, path: str, channel_from_folder: bool = True) -> DataFrame:
-    """S-12 messages: typed, ``is_bot`` = bot id present or subtype bot_message, channel from
-    the parent folder name, timestamp from the ts text."""
-    m = _records(spark, path, MESSAGE_SCHEMA, "messages")
-    ch = F.element_at(F.split("file", "/"), -2) if channel_from_folder else F.lit(None).cast("string")
-    return m.select(ch.alias("channel_id"), "ts", chat_ts("ts").alias("at"), "text", "user", "thread_ts",
-                    F.coalesce("reply_count", F.lit(0)).alias("reply_count"),
-                    F.coalesce("reactions", F.array().cast("array<struct<name:string,count:int>>")).alias("reactions"),
-                    (F.col("bot_id").isNotNull() | (F.coalesce("subtype", F.lit("")) == "bot_message")).alias("is_bot"),
-                    "subtype", F.col("edited").isNotNull().alias("edited"))
+    """S-12 messages: ts / text default "", channel from the parent folder (else the record's
+    ``channel``), reply_count default 0, reactions default [], ``is_bot`` = bot id present or
+    subtype bot_message, ``at`` from the ts text (X-07)."""
+    m = _variants(spark, path, "messages")
+    folder = F.element_at(F.split("file", "/"), -2) if channel_from_folder else F.lit(None).cast("string")
+    ts = F.coalesce(_g("$.ts"), F.lit(""))
+    reactions = F.coalesce(_g("$.reactions", "array<struct<name:string,count:int>>"),
+                           F.array().cast("array<struct<name:string,count:int>>"))
+    return m.select(F.coalesce(folder, _g("$.channel")).alias("channel_id"), ts.alias("ts"),
+                    F.when(ts != "", chat_ts(ts)).alias("at"), F.coalesce(_g("$.text"), F.lit("")).alias("text"),
+                    _g("$.user").alias("user"), _g("$.thread_ts").alias("thread_ts"),
+                    F.coalesce(_g("$.reply_count", "int"), F.lit(0)).alias("reply_count"), reactions.alias("reactions"),
+                    (_g("$.bot_id", "variant").isNotNull() | (F.coalesce(_g("$.subtype"), F.lit("")) == "bot_message")).alias("is_bot"),
+                    _g("$.subtype").alias("subtype"), _g("$.edited", "variant").isNotNull().alias("edited"))
 
 
 def chat_channels(spark: SparkSession, path: str) -> DataFrame:
-    """S-12 channels: topic / purpose unwrapped."""
-    c = _records(spark, path, CHANNEL_SCHEMA, "channels")
-    return c.select("id", "name", "is_private", "is_archived", "is_member", F.col("topic.value").alias("topic"),
-                    F.col("purpose.value").alias("purpose"), "num_members", "created")
+    """S-12 channels: id / name default "", flags default false (member: true), topic and
+    purpose unwrapped from ``{"value": ...}`` or kept as text."""
+    c = _variants(spark, path, "channels")
+    return c.select(F.coalesce(_g("$.id"), F.lit("")).alias("id"), F.coalesce(_g("$.name"), F.lit("")).alias("name"),
+                    F.coalesce(_g("$.is_private", "boolean"), F.lit(False)).alias("is_private"),
+                    F.coalesce(_g("$.is_archived", "boolean"), F.lit(False)).alias("is_archived"),
+                    F.coalesce(_g("$.is_member", "boolean"), F.lit(True)).alias("is_member"),
+                    _value_or_text("topic").alias("topic"), _value_or_text("purpose").alias("purpose"),
+                    _g("$.num_members", "int").alias("num_members"), _g("$.created", "bigint").alias("created"))
 
 
 def chat_users(spark: SparkSession, path: str) -> DataFrame:
-    """S-12 users."""
-    u = _records(spark, path, USER_SCHEMA, "members")
-    return u.select("id", "name", F.col("profile.real_name").alias("real_name"),
-                    F.col("profile.display_name").alias("display_name"), "is_bot", "is_admin", "deleted")
+    """S-12 users: real name from the profile, else the record; flags default false."""
+    u = _variants(spark, path, "members")
+    return u.select(F.coalesce(_g("$.id"), F.lit("")).alias("id"), F.coalesce(_g("$.name"), F.lit("")).alias("name"),
+                    F.coalesce(_g("$.profile.real_name"), _g("$.real_name")).alias("real_name"),
+                    _g("$.profile.display_name").alias("display_name"),
+                    F.coalesce(_g("$.is_bot", "boolean"), F.lit(False)).alias("is_bot"),
+                    F.coalesce(_g("$.is_admin", "boolean"), F.lit(False)).alias("is_admin"),
+                    F.coalesce(_g("$.deleted", "boolean"), F.lit(False)).alias("deleted"))
 
 
 PAGE_SCHEMA = ("id string, title string, type string, status string, version struct<number:int>, "

@@ -127,9 +127,9 @@ def test_stream_jsonl_incremental(spark, tmp_path):
 
 def test_chat_channels_users_and_spaces(spark, tmp_path):
     (tmp_path / "channels.json").write_text(json.dumps([{"id": "C1", "name": "general", "is_private": False,
-                                                         "topic": {"value": "t"}, "purpose": {"value": "p"}, "num_members": 3}]))
+                                                         "topic": {"value": "t"}, "purpose": "plain", "num_members": 3}]))
     c = SE.chat_channels(spark, str(tmp_path / "channels.json")).first()
-    assert (c.id, c.topic, c.purpose, c.num_members) == ("C1", "t", "p", 3)
+    assert (c.id, c.topic, c.purpose, c.num_members, c.is_member, c.is_archived) == ("C1", "t", "plain", 3, True, False)
     (tmp_path / "users.json").write_text(json.dumps({"members": [{"id": "U1", "name": "ann",
                                                                   "profile": {"real_name": "Ann A", "display_name": "ann"}}]}))
     u = SE.chat_users(spark, str(tmp_path / "users.json")).first()
