@@ -11,15 +11,6 @@ def chat_ts(c) -> Column:
     return F.timestamp_micros((x.cast("decimal(16,6)") * 1_000_000).cast("long"))
 
 
-def _records(spark: SparkSession, path: str, schema: str, wrapper: str) -> DataFrame:
-    """Array root or an object wrapping the array under ``wrapper``."""
-    raw = spark.read.text(path, wholetext=True).select(
-        F.try_parse_json("value").alias("v"), F.col("_metadata.file_path").alias("file"))
-    arr = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.try_variant_get("v", f"$.{wrapper}", "array<variant>"))
-    e = raw.select("file", F.explode(arr).alias("r"))
-    return e.select("file", F.from_json(F.to_json("r"), schema).alias("x")).select("file", "x.*")
-
-
 def _variants(spark: SparkSession, path: str, wrapper: str) -> DataFrame:
     """One VARIANT per record: the file's array root, or the array under ``wrapper``."""
     raw = spark.read.text(path, wholetext=True).select(
@@ -79,20 +70,25 @@ def chat_users(spark: SparkSession, path: str) -> DataFrame:
                     F.coalesce(_g("$.deleted", "boolean"), F.lit(False)).alias("deleted"))
 
 
-PAGE_SCHEMA = ("id string, title string, type string, status string, version struct<number:int>, "
-               "body struct<storage:struct<value:string>>, ancestors array<struct<id:string>>, "
-               "_links struct<webui:string>, space struct<key:string>, space_key string")
-
-
-def wiki_pages(spark: SparkSession, path: str) -> DataFrame:
-    """S-13 pages: version default 1, parent = last ancestor, space key falls back to the
-    nested space object."""
-    p = _records(spark, path, PAGE_SCHEMA, "results")
-    anc = F.transform(F.coalesce("ancestors", F.array().cast("array<struct<id:string>>")), lambda a: a["id"])
-    return p.select("id", "title", "type", "status", F.coalesce(F.col("version.number"), F.lit(1)).alias("version"),
-                    F.col("body.storage.value").alias("body_html"), anc.alias("ancestors"),
-                    F.try_element_at(anc, F.lit(-1)).alias("parent_id"), F.col("_links.webui").alias("url"),
-                    F.coalesce("space_key", F.col("space.key")).alias("space_key"))
+def wiki_pages(spark: SparkSession, path: str, space_key: str | None = None) -> DataFrame:
+    """S-13 pages: id / title default "", type "page", status "current", version default 1,
+    created date / author from the history, modified date / author from the version, ancestors
+    as ids with the last one as parent, body html default "", space key = the given one, else
+    the nested space's key."""
+    p = _variants(spark, path, "results")
+    anc = F.transform(F.coalesce(_g("$.ancestors", "array<variant>"), F.array().cast("array<variant>")),
+                      lambda a: F.try_variant_get(a, "$.id", "string"))
+    anc = F.filter(anc, lambda x: x.isNotNull())
+    key = F.lit(space_key) if space_key else _g("$.space.key")
+    return p.select(F.coalesce(_g("$.id"), F.lit("")).alias("id"), F.coalesce(_g("$.title"), F.lit("")).alias("title"),
+                    key.alias("space_key"), F.coalesce(_g("$.type"), F.lit("page")).alias("type"),
+                    F.coalesce(_g("$.status"), F.lit("current")).alias("status"),
+                    F.coalesce(_g("$.version.number", "int"), F.lit(1)).alias("version"),
+                    _g("$.history.createdDate").alias("created_date"), _g("$.version.when").alias("modified_date"),
+                    _g("$.history.createdBy.displayName").alias("created_by"), _g("$.version.by.displayName").alias("modified_by"),
+                    F.try_element_at(anc, F.lit(-1)).alias("parent_id"), anc.alias("ancestors"),
+                    F.coalesce(_g("$._links.webui"), F.lit("")).alias("url"),
+                    F.coalesce(_g("$.body.storage.value"), F.lit("")).alias("body_html"))
 
 
 def workspace_pages(spark: SparkSession, path: str) -> DataFrame:

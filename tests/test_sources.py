@@ -149,3 +149,14 @@ def test_strict_json_lines(spark):
     got = {r.v: r.ok for r in d.select("v", parse_json_strict("v").isNotNull().alias("ok")).collect()}
     assert got == {'{"a":1} xx': False, '{"a":1}': True, '123 x': False, '12': True, '  {"a": 1}  ': True,
                    '{"a":1}}': False, '[1], [2]': False, '': False}
+
+
+def test_wiki_page_defaults(spark, tmp_path):
+    (tmp_path / "p.json").write_text(json.dumps([{"id": "7", "version": {"number": 3, "when": "2024-01-02",
+                                                                       "by": {"displayName": "Bo"}},
+                                                  "history": {"createdDate": "2024-01-01", "createdBy": {"displayName": "Al"}}},
+                                                 {"title": "x", "ancestors": []}]))
+    r = {x.title: x for x in SE.wiki_pages(spark, str(tmp_path / "p.json"), space_key="SP").collect()}
+    a, b = r[""], r["x"]
+    assert (a.id, a.version, a.created_by, a.modified_by, a.type, a.status, a.space_key) == ("7", 3, "Al", "Bo", "page", "current", "SP")
+    assert (b.version, b.parent_id, b.ancestors, b.body_html, b.url) == (1, None, [], "", "")
