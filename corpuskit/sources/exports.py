@@ -93,19 +93,27 @@ def wiki_pages(spark: SparkSession, path: str, space_key: str | None = None) ->
 
 def workspace_pages(spark: SparkSession, path: str) -> DataFrame:
     """S-14: database export -> pages with ``properties MAP<STRING, VARIANT>``; title from the
-    title-typed property, else the ``title`` string, else rich text."""
+    title-typed property, falling back to a ``title`` string or rich-text list when that is
+    empty; parent type and id; archived default false."""
+    from ..operators.mapping import property_text
     raw = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
     pages = raw.select(F.try_variant_get("v", "$.title", "string").alias("database_title"),
-                       F.explode(F.try_variant_get("v", "$.pages", "array<variant>")).alias("p"))
-    props = F.try_variant_get("p", "$.properties", "map<string,variant>")
-    from ..operators.mapping import property_text
-    title_prop = F.try_element_at(F.map_values(F.map_filter(props, lambda k, x: F.try_variant_get(x, "$.type", "string") == "title")), F.lit(1))
-    title = F.coalesce(F.when(title_prop.isNotNull(), property_text(title_prop)),
-                       F.try_variant_get("p", "$.title", "string"),
-                       F.array_join(F.transform(F.try_variant_get("p", "$.title", "array<struct<plain_text:string>>"),
-                                                lambda t: t["plain_text"]), ""))
-    return pages.select("database_title", F.try_variant_get("p", "$.id", "string").alias("id"), title.alias("title"),
-                        props.alias("properties"), F.try_variant_get("p", "$.content", "string").alias("content"))
+                       F.explode(F.try_variant_get("v", "$.pages", "array<variant>")).alias("r"))
+    props = _g("$.properties", "map<string,variant>")
+    title_prop = F.try_element_at(F.map_values(F.map_filter(
+        props, lambda k, x: F.try_variant_get(x, "$.type", "string") == "title")), F.lit(1))
+    from_prop = F.when(title_prop.isNotNull(), property_text(title_prop)).otherwise(F.lit(""))
+    rich = F.array_join(F.transform(_g("$.title", "array<struct<plain_text:string>>"),
+                                    lambda t: F.coalesce(t["plain_text"], F.lit(""))), "")
+    title = F.when(from_prop != "", from_prop).otherwise(F.coalesce(_g("$.title"), rich, F.lit("")))
+    ptype = _g("$.parent.type")
+    return pages.select("database_title", F.coalesce(_g("$.id"), F.lit("")).alias("id"), title.alias("title"),
+                        _g("$.url").alias("url"), _g("$.created_time").alias("created_time"),
+                        _g("$.last_edited_time").alias("last_edited_time"), ptype.alias("parent_type"),
+                        F.when(ptype == "database_id", _g("$.parent.database_id")).when(ptype == "page_id", _g("$.parent.page_id"))
+                        .when(ptype == "workspace", _g("$.parent.workspace")).alias("parent_id"),
+                        props.alias("properties"), F.coalesce(_g("$.archived", "boolean"), F.lit(False)).alias("archived"),
+                        _g("$.content").alias("content"))
 
 
 def wiki_spaces(spark: SparkSession, path: str) -> DataFrame:

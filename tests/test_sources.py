@@ -69,9 +69,11 @@ def test_text_files_and_mixed_folder(spark, tmp_path):
 
 def test_envelope_and_xml(spark):
     r = spark.createDataFrame([(1, '[{"a": 1}, {"a": 2}]'), (2, '{"results": [{"a": 3}], "next_cursor": "c2"}'),
-                               (3, '{"a": 4}')], "rid int, body string")
+                               (3, '{"a": 4, "cursor": "", "nextToken": 17}')], "rid int, body string")
     items = sorted((x.rid, x.next_cursor, x.item_index) for x in SA.envelope_items(r, "body").collect())
-    assert items == [(1, None, 0), (1, None, 1), (2, "c2", 0), (3, None, 0)]
+    assert items == [(1, None, 0), (1, None, 1), (2, "c2", 0), (3, "17", 0)]  # empty cursor skipped
+    nested = spark.createDataFrame([(1, '{"meta": {"page": {"next": "p2"}}, "next_cursor": "ignored"}')], "rid int, body string")
+    assert SA.envelope_items(nested, "body", "meta.page.next").first().next_cursor == "p2"
     x = spark.createDataFrame([('<item id="7"><tag>a</tag><tag>b</tag><name> N </name></item>',)], "body string")
     rec = SA.xml_records(x, "body", "_id string, tag array<string>, name string").first().record
     assert (rec._id, rec.tag, rec.name) == ("7", ["a", "b"], "N")
