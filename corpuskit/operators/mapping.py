@@ -95,7 +95,7 @@ def property_text(prop) -> Column:
            .when(typ == "select", s("$.select.name"))
            .when(typ == "multi_select", F.array_join(F.transform(
                F.try_variant_get(p, "$.multi_select", "array<struct<name:string>>"),
-               lambda x: x["name"]), ", "))
+               lambda x: F.coalesce(x["name"], F.lit(""))), ", "))
            .when(typ == "checkbox", F.when(F.try_variant_get(p, "$.checkbox", "boolean"), "True")
                  .otherwise("False"))
            .when(typ == "url", s("$.url"))
