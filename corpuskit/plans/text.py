@@ -183,18 +183,25 @@ def page_url_kinds(spark, sf):
     return table(spark, sf, "pages").select("page_id", D.url_kind("url").alias("kind"))
 
 
-@register("page_url_ids", """
-SELECT page_id, nullif(regexp_extract(url, '([a-f0-9]{32})', 1), '') AS notion_page_id,
-  nullif(regexp_extract(url, '/document/d/([a-zA-Z0-9_-]+)', 1), '') AS doc_id,
-  nullif(regexp_extract(url, '/spreadsheets/d/([a-zA-Z0-9_-]+)', 1), '') AS sheet_id,
-  CASE WHEN regexp_matches(url, 'github\\.com/.+/blob/') THEN replace(replace(url, 'github.com', 'raw.githubusercontent.com'), '/blob/', '/') END AS raw_url,
-  nullif(regexp_extract(url, 'github\\.com/([^/]+)/([^/]+)', 1), '') AS owner,
-  nullif(regexp_extract(url, 'github\\.com/([^/]+)/([^/]+)', 2), '') AS repo,
-  split_part(split_part(url, '://', 2), '/', 1) AS host FROM pages""")
+@register("page_url_ids", f"""
+WITH k AS (SELECT page_id, url, {URL_SQL_CASE} AS kind,
+                  regexp_replace(coalesce(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), ''), '^/+|/+$', '', 'g') AS path FROM pages),
+p AS (SELECT *, string_split(path, '/') AS parts, split_part(path, '-', -1) AS tail FROM k)
+SELECT page_id,
+  CASE WHEN kind = 'notion' THEN CASE WHEN contains(path, '-') AND regexp_full_match(tail, '[0-9a-fA-F]{{32}}') THEN tail
+       ELSE split_part(path, '/', -1) END END AS notion_page_id,
+  CASE WHEN kind = 'google_docs' THEN regexp_extract(url, '/document/d/([a-zA-Z0-9_-]+)', 1) END AS doc_id,
+  CASE WHEN kind = 'google_sheets' THEN regexp_extract(url, '/spreadsheets/d/([a-zA-Z0-9_-]+)', 1) END AS sheet_id,
+  CASE WHEN kind IN ('github', 'github_readme') THEN replace(replace(url, 'github.com', 'raw.githubusercontent.com'), '/blob/', '/') END AS raw_url,
+  CASE WHEN kind IN ('github', 'github_readme') AND len(parts) >= 2 THEN parts[1] END AS owner,
+  CASE WHEN kind IN ('github', 'github_readme') AND len(parts) >= 2 THEN parts[2] END AS repo,
+  CASE WHEN kind IN ('github', 'github_readme') AND len(parts) >= 2
+       THEN 'https://raw.githubusercontent.com/' || parts[1] || '/' || parts[2] || '/main/README.md' END AS readme_url,
+  split_part(split_part(url, '://', 2), '/', 1) AS host FROM p""")
 def page_url_ids(spark, sf):
-    """D-20 ids and derived URLs (plus host via ``parse_url``)."""
+    """D-20 ids and derived URLs per page URL (plus host via ``parse_url``)."""
     u = D.url_ids(table(spark, sf, "pages").select("page_id", "url"))
-    return u.select("page_id", "notion_page_id", "doc_id", "sheet_id", "raw_url", "owner", "repo",
+    return u.select("page_id", "notion_page_id", "doc_id", "sheet_id", "raw_url", "owner", "repo", "readme_url",
                     F.expr("parse_url(url, 'HOST')").alias("host"))
 
 

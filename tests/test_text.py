@@ -151,6 +151,10 @@ def test_url_kinds(spark):
     assert got == ["notion", "google_docs", "github_readme", "github", "raw_json", "website"]
     ids = D.url_ids(d).collect()
     assert ids[1].doc_id == "abc" and ids[3].raw_url == "https://raw.githubusercontent.com/o/r/main/a.md"
+    assert ids[2].readme_url == "https://raw.githubusercontent.com/o/r/main/README.md" and ids[5].owner is None
+    n = spark.createDataFrame([("https://www.notion.so/ws/My-Page-0123456789abcdef0123456789ABCDEF",),
+                               ("https://notion.site/ws/plainid",)], "url string")
+    assert [r.notion_page_id for r in D.url_ids(n).collect()] == ["0123456789abcdef0123456789ABCDEF", "plainid"]
 
 
 def test_blocks_to_text_profiles(spark):
