@@ -211,15 +211,17 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def line_qa(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """D-14: line-oriented "Q:" / "A:" pairing; an "A:" line answers the last "Q:" line when
-    no answer came after that question (a later "Q:" replaces an unanswered one).
+    no answer came after that question (a later "Q:" replaces an unanswered one; an empty
+    question opens nothing).
 
     "Last Q / last A so far" are running maxima of line numbers, computed per (document,
     line bucket) with a carry from earlier buckets, so one huge document is not one task.
     """
     from .ordered import running_sum_split
     lines = _lines(docs, id_col, text_col).withColumn("line", py_strip("raw"))
-    lines = lines.withColumn("q", F.when(F.col("line").startswith("Q:"), py_strip(F.expr("substring(line, 3)")))) \
-        .withColumn("a", F.when(F.col("line").startswith("A:"), py_strip(F.expr("substring(line, 3)"))))
+    # every "Q:" / "A:" in the line is removed (not only the prefix), then the text is stripped
+    lines = lines.withColumn("q", F.when(F.col("line").startswith("Q:"), py_strip(F.replace("raw", F.lit("Q:"), F.lit(""))))) \
+        .withColumn("a", F.when(F.col("line").startswith("A:"), py_strip(F.replace("raw", F.lit("A:"), F.lit("")))))
     marks = lines.filter(F.col("q").isNotNull() | F.col("a").isNotNull()).drop("raw", "line")
     bucket = F.floor(F.col("ln") / LINE_BUCKET)
     marks = marks.withColumn("_qln", F.when(F.col("q").isNotNull(), F.col("ln")))
@@ -230,7 +232,8 @@ def line_qa(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     # are orphans
     firsts = ans.groupBy("doc_id", "last_q_ln").agg(F.min("ln").alias("ln"))
     ans = ans.join(firsts, ["doc_id", "last_q_ln", "ln"]).join(qs, ["doc_id", "last_q_ln"])
-    return ans.select("doc_id", F.col("ln").alias("k"), "input", F.col("a").alias("output"))
+    # an empty question does not open one (and still replaces an unanswered one)
+    return ans.filter(F.col("input") != "").select("doc_id", F.col("ln").alias("k"), "input", F.col("a").alias("output"))
 
 
 # Manual header rules (underline line, markdown header, ALL CAPS, numbered).

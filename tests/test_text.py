@@ -84,10 +84,10 @@ def test_content_to_samples_pairs(spark):
 
 
 def test_line_qa_and_markdown_qa(spark):
-    t = "Q: first?\nQ: second?\nA: answer two\nA: orphan\nQ: third?\nA: answer three"
+    t = "Q: first?\nQ: second?\nA: answer two\nA: orphan\nQ: third Q: x?\nA: answer three\nQ: four?\nQ:\nA: lost"
     d = spark.createDataFrame([(1, t)], "doc_id long, text string")
     r = sorted((x.input, x.output) for x in D.line_qa(d, "doc_id", "text").collect())
-    assert r == [("second?", "answer two"), ("third?", "answer three")]
+    assert r == [("second?", "answer two"), ("third  x?", "answer three")]
     md = "Intro\nQuestion: What is it?\nAnswer: A tool.\n\n## How do I use it?\n\nRun the command.\n## Notes\n\nplain"
     d2 = spark.createDataFrame([(1, md)], "doc_id long, text string")
     got = {(x.input, x.output, x.pattern) for x in D.markdown_qa(d2, "doc_id", "text").collect()}
