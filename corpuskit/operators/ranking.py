@@ -54,11 +54,23 @@ def hash_order(seed: int, *cols) -> Column:
 
 
 def random_split(df: DataFrame, key: str, fractions: Sequence[float] = (0.8, 0.1, 0.1),
-                 names: Sequence[str] = ("train", "validation", "test"), seed: int = 42) -> DataFrame:
-    """W-10: seeded shuffle + exact-size split. Rows are ranked by a hash of (seed, key); the
-    first ``int(n * f1)`` go to the first split, and so on; the last split takes the rest."""
+                 names: Sequence[str] = ("train", "validation", "test"), seed: int = 42,
+                 rounding: str = "floor") -> DataFrame:
+    """W-10: seeded shuffle + exact-size split. Rows are ranked by a hash of (seed, key).
+
+    ``rounding="floor"`` (recipe form): the first ``int(n * f1)`` rows go to the first split, up
+    to ``int(n * (f1 + f2))`` to the second, and so on; the last split takes the rest.
+    ``rounding="ceil_last"`` (trainer form, two splits): the last split gets ``ceil(n * f_last)``
+    rows and the first the rest.
+    """
+    import math
     d = positional_index(df.withColumn("_h", hash_order(seed, key)), ["_h", key], "_pos")
     n = d.count()  # materialised once; counting it is cheap
+    if rounding == "ceil_last":
+        if len(fractions) != 2:
+            raise ValueError("ceil_last rounding is for two splits")
+        cut = n - math.ceil(n * fractions[1])
+        return d.withColumn("split", F.when(F.col("_pos") < cut, F.lit(names[0])).otherwise(F.lit(names[1]))).drop("_h")
     cum, expr = 0.0, None
     for f, name in zip(fractions[:-1], names[:-1]):
         cum += f

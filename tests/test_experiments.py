@@ -99,3 +99,10 @@ def test_unknown_metric_guard_and_interpretation(spark):
     assert c.interpretation.startswith("Treatment shows 81.8% degradation in latency_ms (p=0.0000")
     u = X.compare_variants(X.metric_moments(req, "latency_ms"), _variants(spark), "bogus").first()
     assert (u.p_value, u.is_significant, u.interpretation) == (1.0, False, "Unknown metric: bogus")
+
+
+def test_random_split_ceil_last(spark):
+    d = spark.range(0, 101).withColumnRenamed("id", "k")
+    sizes = {r.split: r["count"] for r in W.random_split(d, "k", (0.9, 0.1), ("train", "test"), rounding="ceil_last")
+             .groupBy("split").count().collect()}
+    assert sizes == {"train": 90, "test": 11}
