@@ -86,9 +86,15 @@ def approx_split(df: DataFrame, fractions: Sequence[float] = (0.9, 0.1), seed: i
 
 
 def kfold(df: DataFrame, key: str, k: int = 5, seed: int = 42) -> DataFrame:
-    """W-11: fold = (position in seeded hash order) mod k."""
+    """W-11: k folds as contiguous blocks of the seeded hash order; the first ``n % k`` folds
+    hold one row more (the usual shuffled k-fold layout)."""
     d = positional_index(df.withColumn("_h", hash_order(seed, key)), ["_h", key], "_pos")
-    return d.withColumn("fold", (F.col("_pos") % k).cast("int")).drop("_h", "_pos")
+    n = d.count()  # materialised once; counting it is cheap
+    q, r = divmod(n, k)
+    big = r * (q + 1)
+    p = F.col("_pos")
+    fold = F.when(p < big, F.floor(p / (q + 1))).otherwise(F.lit(r) + F.floor((p - big) / max(q, 1)))
+    return d.withColumn("fold", fold.cast("int")).drop("_h", "_pos")
 
 
 def first_n(df: DataFrame, order: Sequence[str] | str, n: int) -> DataFrame:
