@@ -20,10 +20,15 @@ def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# The characters Python's str.strip() removes (str.isspace()).
+PY_WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+                 "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
 def py_strip(c) -> Column:
     """Python ``str.strip()``: leading / trailing Unicode whitespace removed (Spark's ``trim``
-    removes spaces only)."""
-    return F.regexp_replace(col_(c), r"(?U)^\s+|\s+$", "")
+    removes spaces only); a character-set trim, no regex engine."""
+    return F.btrim(col_(c), F.lit(PY_WHITESPACE))
 
 
 def squeeze_ws(c) -> Column:
