@@ -115,7 +115,8 @@ def match(questions: DataFrame, kb: DataFrame, qid: str, q_col: str, kb_order: s
     for b in range(max(1, (n + max_block - 1) // max_block)):
         blk = k.orderBy("o").offset(b * max_block).limit(max_block) if n > max_block else k
         rows = [(r.o, r.t) for r in blk.collect()]  # bounded by max_block
-        bkb = questions.sparkSession.sparkContext.broadcast(rows)
+        from ..session import broadcast_value
+        bkb = broadcast_value(questions.sparkSession, rows)
         parts.append(q.mapInPandas(_kernel(bkb, mode), _OUT))
     allp = parts[0]
     for p in parts[1:]:

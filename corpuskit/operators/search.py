@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import broadcast_value, spread
 
 MAX_BROADCAST_QUERIES = 20_000
 
@@ -96,7 +96,7 @@ def vector_topk(corpus: DataFrame, queries: DataFrame, k: int = 5, id_col: str =
         qids, qmat = _query_block(blk, cosine)
         if len(qids) == 0:
             continue
-        bq = corpus.sparkSession.sparkContext.broadcast((qids, qmat))
+        bq = broadcast_value(corpus.sparkSession, (qids, qmat))
         parts.append(c.mapInPandas(_local_topk(bq, k, cosine, before), _HITS_SCHEMA))
     if not parts:
         return corpus.sparkSession.createDataFrame([], "query_id long, doc_id long, rank int, score double")
@@ -211,7 +211,7 @@ def keyword_search(queries: DataFrame, docs: DataFrame, k: int = 5, qid_col: str
         rows = [(r.qid, r.q or "", list(r.w or [])) for r in blk.collect()]  # bounded by max_broadcast
         rows = [x for x in rows if x[2]]
         if rows:
-            bq = docs.sparkSession.sparkContext.broadcast(rows)
+            bq = broadcast_value(docs.sparkSession, rows)
             parts.append(d.mapInPandas(_kw_kernel(bq, k), _KW_SCHEMA))
     if not parts:
         return docs.sparkSession.createDataFrame([], "query_id long, doc_id long, rank int, score double, matched_terms array<string>")

@@ -52,17 +52,21 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     a cluster is an error). Only in local mode, when it is unset (tests), a fresh folder is
     created and registered.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - remote session: the server owns the checkpoint folder
+        sc = None
+    current = spark.conf.get("spark.checkpoint.dir", None) or (sc.getCheckpointDir() if sc else None)
     if current:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(current)
+        if sc is not None and not sc.getCheckpointDir():
+            sc.setCheckpointDir(current)
         return current
-    if not fallback and not spark.sparkContext.master.startswith("local"):
+    if not fallback and (sc is None or not sc.master.startswith("local")):
         # a machine-local folder is not shared by executors: the cluster must name one
         raise RuntimeError("set spark.checkpoint.dir to a shared folder (needed for lineage cuts and stream outputs)")
     path = fallback or tempfile.mkdtemp(prefix="corpuskit-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    sc.setCheckpointDir(path)
     return path
 
 
@@ -87,7 +91,27 @@ def spread(df: DataFrame, factor: int = 2) -> DataFrame:
     """Round-robin ``df`` over at least ``factor x`` the cluster's cores when it has fewer
     partitions than cores (small inputs feeding CPU-heavy per-row work: kernels, regex HOFs).
     Large inputs already have enough partitions and pass through without a shuffle."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
+    try:
+        par = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no SparkContext (remote session): leave the layout to Spark
+        return df
+    if parts < par:
         return df.repartition(par * factor)
     return df
+
+
+class _Held:
+    """Stand-in for a broadcast variable when no SparkContext is reachable."""
+
+    def __init__(self, value):
+        self.value = value
+
+
+def broadcast_value(spark: SparkSession, value):
+    """A broadcast variable (shipped once per executor); inside a remote session, where
+    broadcast variables are unavailable, the value travels with the task closure."""
+    try:
+        return spark.sparkContext.broadcast(value)
+    except Exception:  # noqa: BLE001
+        return _Held(value)
