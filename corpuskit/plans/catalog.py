@@ -14,9 +14,10 @@ REGISTRY: dict[str, tuple[Callable, str | None]] = {}
 
 def register(name: str, sql: str | None = None):
     def deco(fn):
-        if name in REGISTRY:
+        prev = REGISTRY.get(name)
+        if prev is not None and (prev[0].__module__, prev[0].__qualname__) != (fn.__module__, fn.__qualname__):
             raise ValueError(f"duplicate query name {name}")
-        REGISTRY[name] = (fn, sql)
+        REGISTRY[name] = (fn, sql)  # re-registering the same function (module reload) replaces it
         return fn
     return deco
 
