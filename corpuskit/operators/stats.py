@@ -40,6 +40,31 @@ def output_distribution(samples: DataFrame, top: int = 15) -> DataFrame:
             .orderBy(F.desc("n"), F.asc("output")).limit(top))
 
 
+def validation_report_hands_on(lines: DataFrame, line_col: str = "line", num_col: str = "line_num") -> tuple[DataFrame, DataFrame]:
+    """A-03, second profile: every line is parsed (a blank line is invalid JSON); a record can
+    report missing input and missing output together; a missing or blank field is also an
+    empty one; output shorter than 10 chars (missing = 0). No duplicate check. Returns
+    (issues, totals)."""
+    from ..functions.jsonl import parse_json_strict
+    v = parse_json_strict(F.col(line_col))
+    d = lines.select(F.col(num_col).alias("line_num"), v.alias("_v"))
+    inp = F.try_variant_get("_v", "$.input", "string")
+    out = F.try_variant_get("_v", "$.output", "string")
+    d = d.withColumn("input", inp).withColumn("output", out)
+    ok = F.col("_v").isNotNull()
+    flags = F.array_compact(F.array(
+        F.when(~ok, F.lit("invalid_json")),
+        F.when(ok & F.col("input").isNull(), F.lit("missing_input")),
+        F.when(ok & F.col("output").isNull(), F.lit("missing_output")),
+        F.when(ok & (py_strip(F.coalesce("input", F.lit(""))) == ""), F.lit("empty_input")),
+        F.when(ok & (py_strip(F.coalesce("output", F.lit(""))) == ""), F.lit("empty_output")),
+        F.when(ok & (F.length(F.coalesce("output", F.lit(""))) < 10), F.lit("short_output"))))
+    issues = d.select("line_num", F.explode(flags).alias("issue"))
+    totals = d.agg(F.count(F.lit(1)).alias("total_lines"), F.count_if(ok).alias("examples"),
+                   F.sum(F.size(flags)).alias("issues"))
+    return issues, totals
+
+
 def validation_report(lines: DataFrame, line_col: str = "line", num_col: str = "line_num") -> tuple[DataFrame, DataFrame]:
     """A-03: JSONL validation. Returns (issues, stats).
 

@@ -83,3 +83,15 @@ def test_consecutive_pairs_string_stamps_numeric_order(spark):
                                ("c", "1700000002.25", "second msg")], "channel_id string, ts string, text string")
     out = J.consecutive_pairs(m).orderBy(F.col("metadata.input_ts").cast("double")).collect()
     assert [(r.input, r.output) for r in out] == [("first msg", "second msg"), ("second msg", "third msg")]
+
+
+def test_validation_report_hands_on_profile(spark):
+    lines = spark.createDataFrame(
+        [(1, '{"input": "hi", "output": "hello there friend"}'), (2, ""), (3, '{"output": "x"}'), (4, '{"input": " "}')],
+        "line_num int, line string")
+    issues, totals = A.validation_report_hands_on(lines)
+    got = sorted((r.line_num, r.issue) for r in issues.collect())
+    assert got == [(2, "invalid_json"), (3, "empty_input"), (3, "missing_input"), (3, "short_output"),
+                   (4, "empty_input"), (4, "empty_output"), (4, "missing_output"), (4, "short_output")]
+    t = totals.first()
+    assert (t.total_lines, t.examples, t.issues) == (4, 3, 8)
