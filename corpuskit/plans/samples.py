@@ -316,3 +316,19 @@ def chat_timestamps(spark, sf):
     c = table(spark, sf, "conversations").select("conv_id", "turn", F.format_string(
         "%d.%06d", F.lit(1700000000) + F.col("conv_id") * 3600 + F.col("turn") * 60, F.col("turn")).alias("ts"))
     return c.select("conv_id", "turn", F.date_format(to_ntz(chat_ts("ts")), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"))
+
+
+@register("jsonl_validation_hands_on", f"""
+WITH l AS ({JSONL_LINES_SQL}),
+p AS (SELECT line_num, try(json(line)) AS j FROM l),
+k AS (SELECT j IS NOT NULL AS ok, json_extract_string(j, '$.input') AS input, json_extract_string(j, '$.output') AS output FROM p),
+f AS (SELECT ok, (CASE WHEN NOT ok THEN 1 ELSE 0 END) + (CASE WHEN ok AND input IS NULL THEN 1 ELSE 0 END)
+        + (CASE WHEN ok AND output IS NULL THEN 1 ELSE 0 END)
+        + (CASE WHEN ok AND regexp_replace(coalesce(input, ''), '^\\\\s+|\\\\s+$', '', 'g') = '' THEN 1 ELSE 0 END)
+        + (CASE WHEN ok AND regexp_replace(coalesce(output, ''), '^\\\\s+|\\\\s+$', '', 'g') = '' THEN 1 ELSE 0 END)
+        + (CASE WHEN ok AND length(coalesce(output, '')) < 10 THEN 1 ELSE 0 END) AS n FROM k)
+SELECT count(*) AS total_lines, count(*) FILTER (WHERE ok) AS examples, CAST(sum(n) AS BIGINT) AS issues FROM f""")
+def jsonl_validation_hands_on(spark, sf):
+    """A-03 second profile over the same landed lines."""
+    _, totals = A.validation_report_hands_on(_jsonl_lines(spark, sf))
+    return totals.select("total_lines", "examples", F.col("issues").cast("bigint").alias("issues"))
