@@ -19,6 +19,12 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+@register("op9_suffix_array_dedup")
+def op9_suffix_array_dedup(spark, sf_dir):
+    from .suffix_repeats import keep_first_copies
+    return keep_first_copies(table(spark, sf_dir, "documents"))
+
+
 @register("op10_simhash_near_dedup")
 def op10_simhash_near_dedup(spark, sf_dir):
     from .simhash import near_duplicates
