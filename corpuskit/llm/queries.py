@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
+from . import mixing
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -19,6 +20,19 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+@register("op1_mix_sources", mixing.ORACLE)
+def op1_mix_sources(spark, sf_dir):
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+@register("op6_quality_rules")
+def op6_quality_rules(spark, sf_dir):
+    from .quality import scored
+    return scored(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
 @register("op9_suffix_array_dedup")
 def op9_suffix_array_dedup(spark, sf_dir):
     from .suffix_repeats import keep_first_copies
