@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -19,13 +20,22 @@ LAST_ID = (1 << 63) - 1
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet to the shared folder of ``spark.checkpoint.dir`` and read
-    again: cuts the lineage, and survives lost executors."""
+    again: cuts the lineage, and survives lost executors. The shuffle files behind it are let go."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    released(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(spark) -> None:
+    """Let the driver's JVM collect what finished jobs leave: Spark deletes the shuffle files of a
+    plan only when the plan is collected, which a quiet driver does late."""
+    gc.collect()
+    if (jvm := getattr(spark, "_jvm", None)) is not None:
+        jvm.java.lang.System.gc()
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Cut an Arrow batch into runs of rows whose ``column`` holds about ``limit`` bytes; one
     longer value makes a run of its own."""

@@ -44,3 +44,24 @@ def op10_simhash_near_dedup(spark, sf_dir):
     from .simhash import near_duplicates
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@register("op2_html_main_text")
+def op2_html_main_text(spark, sf_dir):
+    from .html_extract import extracted
+    found = extracted(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+@register("op4_bpe_automaton")
+def op4_bpe_automaton(spark, sf_dir):
+    import public_tokenizers
+
+    from .bpe_automaton import digests
+    return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@register("op5_document_fingerprints")
+def op5_document_fingerprints(spark, sf_dir):
+    from .fingerprint import compared
+    return compared(table(spark, sf_dir, "documents"))
