@@ -5,19 +5,46 @@ sources to target weights, BPE encoding. Each stage reads what the one before ke
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpuskit.llm import simhash
+from corpuskit.llm import bpe_automaton, mixing, quality, simhash, suffix_repeats
 from corpuskit.llm.common import written
 from corpuskit.session import table
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose posterior quality is too low, or that fail the base rule, go."""
+    return quality.good_documents(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component stays (the smallest doc_id)."""
     return simhash.keep_one(docs)
 
 
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes covered by a 50-byte string of an earlier document go; every document stays."""
+    return suffix_repeats.without_repeats(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents fill their source's target: none, one or two rows for each."""
+    mixed = mixing.mix_sources(docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", "text", "source"))
+    return mixed.select(F.explode(F.array_repeat("__row", F.col("copies"))).alias("r")).select("r.*")
+
+
+def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every row, with the row's other columns."""
+    import public_tokenizers
+    return bpe_automaton.encoded(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 STAGES = [
-    ("near_dedup", near_dedup),
+    ("quality_rules", quality_rules),
+    ("simhash_near_dedup", near_dedup),
+    ("suffix_array_dedup", repeated_passages),
+    ("mix_sources", source_mix),
+    ("bpe_automaton", bpe_tokens),
 ]
 
 #: Expectation-maximisation, components and tokenization have no SQL twin; tests use brute force.

@@ -65,3 +65,21 @@ def op4_bpe_automaton(spark, sf_dir):
 def op5_document_fingerprints(spark, sf_dir):
     from .fingerprint import compared
     return compared(table(spark, sf_dir, "documents"))
+
+
+@register("op3_compact_window_passages")
+def op3_compact_window_passages(spark, sf_dir):
+    from .passages import passage_classes
+    return passage_classes(table(spark, sf_dir, "documents"))
+
+
+@register("op7_language_id")
+def op7_language_id(spark, sf_dir):
+    from .langid import held_out_languages
+    return held_out_languages(table(spark, sf_dir, "documents"))
+
+
+@register("op8_license_scan")
+def op8_license_scan(spark, sf_dir):
+    from .license_scan import scanned
+    return scanned(table(spark, sf_dir, "documents"))

@@ -4,14 +4,18 @@ A suffix array of the whole corpus does not fit one machine, and sorting every s
 corpus many times. Here only suffixes that can repeat are sorted, dealt so that equal
 ``min_len``-byte strings always meet:
 
+Equal texts fold into one first, with their smallest doc_id; the others are copies as a whole.
+
 1. Anchors. Every ``min_len``-byte window picks the gram with the smallest hash inside it
    (leftmost of equals), so equal windows pick equal grams. Windows in a row with the same anchor
-   form one *stretch*. A pass over the texts gives each document's anchor hashes, packed by
-   bucket; a bucket tells which hashes stand in two documents or more. A hash met twice in a batch
-   already is answered there and sent on once, so a passage of a third of all documents does not
-   load its bucket.
-2. Stretches of the remaining anchors (those that can repeat) are cut out and equal ones folded
-   into one string with its smallest doc_id by partial aggregation.
+   form one *stretch*. A pass over the texts gives each document's anchor hashes with a digest of
+   the stretch, packed by bucket; the bucket tells which anchors stand in two documents or more.
+   Where all stretches of an anchor are equal, its suffix array is that of one string, whose only
+   maximal repeat is the string itself: the bucket answers at once, and later documents lose it.
+   An anchor met often in one batch is not sent to its bucket row by row but taken as shared, so a
+   passage of a third of all documents loads no bucket.
+2. Stretches of the other shared anchors are cut out, and equal ones fold into one string with its
+   smallest doc_id by partial aggregation.
 3. The strings of one anchor form a generalised suffix array: suffixes of at least ``min_len``
    bytes are sorted, neighbours give the common-prefix lengths, and a stack scan walks the
    common-prefix interval tree. An interval whose members are preceded by different bytes (or
@@ -36,6 +40,8 @@ from .common import LAST_ID, id_order, shuffle_partitions, slices, written
 MIN_LEN = 50
 GRAM = 22
 HOT = 50_000
+#: Documents of one batch that make an anchor shared without asking its bucket.
+OFTEN = 16
 CHUNK = 1 << 19
 _POS = (1 << 21) - 1
 _LOW48 = np.uint64((1 << 48) - 1)
@@ -43,30 +49,34 @@ _LOW48 = np.uint64((1 << 48) - 1)
 
 # ------------------------------------------------------------------ anchors
 
-def _gram_hashes(x: np.ndarray, gram: int) -> np.ndarray:
-    """Mixed 64-bit hash of every ``gram``-byte string of ``x``, by doubling."""
-    have, size, h = None, 0, x.astype(np.uint64) + np.uint64(1)
-    step, base = 1, 0x9E3779B97F4A7C15
-    while True:
-        if gram & step:
-            if have is None:
-                have, size = h, step
-            else:
-                n = len(x) - size - step + 1
-                have = have[:n] * np.uint64(pow(base, step, 1 << 64)) + h[size:size + n]
-                size += step
-        step *= 2
-        if step > gram:
-            break
-        half = step // 2
-        n = len(x) - step + 1
-        h = h[:n] * np.uint64(pow(base, half, 1 << 64)) + h[half:half + n]
-    have ^= have >> np.uint64(31)
-    have *= np.uint64(0xBF58476D1CE4E5B9)
-    have ^= have >> np.uint64(29)
-    have *= np.uint64(0x94D049BB133111EB)
-    have ^= have >> np.uint64(32)
-    return have
+_BASE = 0x9E3779B97F4A7C15
+
+
+def _powers(x: np.ndarray, most: int) -> dict[int, np.ndarray]:
+    """Polynomial hashes (modulo 2^64) of all strings of 1, 2, 4, ... up to ``most`` bytes."""
+    h = {1: x.astype(np.uint64) + np.uint64(1)}
+    size = 1
+    while size * 2 <= most:
+        n = len(x) - 2 * size + 1
+        h[2 * size] = h[size][:n] * np.uint64(pow(_BASE, size, 1 << 64)) + h[size][size:size + n]
+        size *= 2
+    return h
+
+
+def _hashes(powers: dict[int, np.ndarray], length: int, at=None) -> np.ndarray:
+    """Mixed hash of the ``length``-byte strings at positions ``at`` (all of them if None)."""
+    got, done, n = None, 0, len(powers[1]) - length + 1
+    for size in sorted(powers, reverse=True):
+        if length & size:
+            part = powers[size][done:done + n] if at is None else powers[size][at + done]
+            got = part.copy() if got is None else got * np.uint64(pow(_BASE, size, 1 << 64)) + part
+            done += size
+    got ^= got >> np.uint64(31)
+    got *= np.uint64(0xBF58476D1CE4E5B9)
+    got ^= got >> np.uint64(29)
+    got *= np.uint64(0x94D049BB133111EB)
+    got ^= got >> np.uint64(32)
+    return got
 
 
 def _sliding_min(k: np.ndarray, w: int) -> np.ndarray:
@@ -78,13 +88,14 @@ def _sliding_min(k: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(k[:-rest], k[rest:]) if rest else k
 
 
-def stretches(x: np.ndarray, starts: np.ndarray, ends: np.ndarray, min_len: int, gram: int):
-    """Stretches of the pieces ``x[starts[i]:ends[i]]``: first window, window after the last, and
-    the 64-bit hash of the anchor. No window crosses a piece."""
+def stretches(x: np.ndarray, starts: np.ndarray, ends: np.ndarray, min_len: int, gram: int, digest: bool = False):
+    """Stretches of the pieces ``x[starts[i]:ends[i]]``: first window, window after the last, the
+    64-bit hash of the anchor, and with ``digest`` one of the stretch. No window crosses a piece."""
     n = len(x) - min_len + 1
     if n <= 0:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
-    h = _gram_hashes(x, gram)
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
+    powers = _powers(x, min_len)
+    h = _hashes(powers, gram)
     low = _sliding_min((h & ~np.uint64(_POS)) | np.arange(len(h), dtype=np.uint64), min_len - gram + 1)
     edge = np.zeros(n + 1, np.int32)
     whole = ends - starts >= min_len
@@ -98,7 +109,10 @@ def stretches(x: np.ndarray, starts: np.ndarray, ends: np.ndarray, min_len: int,
     stop = np.append(at[1:], n)
     keep = inside[at]
     at, stop = at[keep], stop[keep]
-    return at, stop, h[(low[at] & np.uint64(_POS)).astype(np.int64)]
+    d = None
+    if digest:  # a stretch is shorter than two windows: its first and last one tell it all
+        d = _hashes(powers, min_len, at) * np.uint64(3) + _hashes(powers, min_len, stop - 1) + (stop - at).astype(np.uint64)
+    return at, stop, h[(low[at] & np.uint64(_POS)).astype(np.int64)], d
 
 
 def _pieces(texts: list[bytes], min_len: int):
@@ -127,15 +141,6 @@ def _pieces(texts: list[bytes], min_len: int):
         yield laid(held)
 
 
-def _unique_pairs(doc: np.ndarray, h: np.ndarray):
-    """Distinct (document number, hash), ordered by document."""
-    order = np.lexsort((h, doc))
-    doc, h = doc[order], h[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
-    return doc[new], h[new]
-
-
 def _six(h: np.ndarray) -> bytes:
     """Six low bytes of each hash, byte plane by byte plane."""
     return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes()
@@ -148,134 +153,152 @@ def _unsix(b: bytes) -> np.ndarray:
     return out.view("<u8").ravel().astype(np.uint64)
 
 
-def _packed(ids: np.ndarray, doc: np.ndarray, h: np.ndarray) -> tuple[bytes, bytes, bytes]:
-    """(ids of the documents, pairs of each, hashes); pairs come ordered by document."""
-    numbers, counts = np.unique(doc, return_counts=True)
-    return ids[numbers].astype("<i8").tobytes(), counts.astype("<u4").tobytes(), _six(h)
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.nonzero(np.concatenate(([True], x[1:] != x[:-1])))[0] if len(x) else np.zeros(0, np.int64)
 
 
-def _anchor_rows(min_len: int, gram: int, buckets: int):
-    schema = pa.schema([("bucket", pa.int32()), ("known", pa.bool_()), ("ids", pa.binary()), ("counts", pa.binary()),
-                        ("hashes", pa.binary())])
+def _parts(values: np.ndarray, at: np.ndarray):
+    """Positions ``at`` grouped by their value, in the order they have."""
+    by = at[np.argsort(values[at], kind="stable")]
+    return [p for p in np.split(by, _runs(values[by])[1:]) if len(p)]
+
+
+_ROWS = pa.schema([("bucket", pa.int32()), ("shared", pa.bool_()), ("ids", pa.binary()), ("counts", pa.binary()),
+                   ("hashes", pa.binary()), ("digests", pa.binary())])
 
+
+def _anchor_rows(min_len: int, gram: int, buckets: int):
+    """Batches of (id, text) -> packed rows. Usual rows: ids, pairs of each, their hashes and
+    digests. Rows that are ``shared`` pass the bucket: their hashes need no question. Rows without
+    ids name hashes that other batches have as shared."""
     def run(batches):
         for whole in batches:
-            docs, found = [], []
+            docs, found, told, first = [], [], [], 0
             ids = whole.column("id").to_numpy()
-            texts, first = whole.column("text"), 0
             for part in slices(whole, "text", 8 * CHUNK):
-                got = [b or b"" for b in part.column("text").to_pylist()]
-                for x, starts, ends, number, _ in _pieces(got, min_len):
-                    at, _, h = stretches(x, starts, ends, min_len, gram)
+                for x, starts, ends, number, _ in _pieces([b or b"" for b in part.column("text").to_pylist()], min_len):
+                    at, _, h, d = stretches(x, starts, ends, min_len, gram, True)
                     docs.append(first + number[np.searchsorted(starts, at, side="right") - 1])
                     found.append(h)
+                    told.append(d)
                 first += part.num_rows
-            del texts
             if not docs:
                 continue
-            doc, h = _unique_pairs(np.concatenate(docs), np.concatenate(found))
-            # hashes of several documents of this batch need no answer: they are known to repeat
+            doc, h, d = np.concatenate(docs), np.concatenate(found), np.concatenate(told)
+            order = np.lexsort((d, h, doc))
+            doc, h, d = doc[order], h[order], d[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1]) | (d[1:] != d[:-1])
+            doc, h, d = doc[new], h[new], d[new]
             order = np.argsort(h, kind="stable")
-            hs, ds = h[order], ids[doc[order]]
-            cut = np.nonzero(np.concatenate(([True], hs[1:] != hs[:-1])))[0]
-            several = np.minimum.reduceat(ds, cut) != np.maximum.reduceat(ds, cut)
-            size = np.diff(np.append(cut, len(hs)))
-            known = np.empty(len(h), bool)
-            known[order] = np.repeat(several, size)
+            cut = _runs(h[order])
+            size = np.diff(np.append(cut, len(h)))
+            often = np.zeros(len(h), bool)
+            often[order] = np.repeat(size >= OFTEN, size)
+            lead = np.zeros(len(h), bool)
+            lead[order[cut[size >= OFTEN]]] = True
             bucket = ((h >> np.uint64(48)) % np.uint64(buckets)).astype(np.int32)
-            rows = []
-            if known.any():  # answers, spread over all buckets by document
-                salt = (ids[doc] % buckets).astype(np.int32)
-                rows += [(int(b), True, *_packed(ids, doc[p], h[p])) for b in np.unique(salt[known])
-                         for p in [np.nonzero(known & (salt == b))[0]]]
-                # one pair of each known hash tells its bucket; its document is marked as two by NULL id
-                lead = np.zeros(len(h), bool)
-                lead[order[cut[several]]] = True
-            else:
-                lead = known
-            tell = np.nonzero(~known)[0]
-            by = tell[np.argsort(bucket[tell], kind="stable")]
-            edges = np.nonzero(np.diff(bucket[by]))[0] + 1
-            rows += [(int(bucket[p[0]]), False, *_packed(ids, doc[p], h[p])) for p in np.split(by, edges) if len(p)]
-            by = np.nonzero(lead)[0]
-            by = by[np.argsort(bucket[by], kind="stable")]
-            edges = np.nonzero(np.diff(bucket[by]))[0] + 1
-            rows += [(int(bucket[p[0]]), False, b"", b"", _six(h[p])) for p in np.split(by, edges) if len(p)]
-            yield pa.RecordBatch.from_pydict({f.name: pa.array([r[i] for r in rows], f.type)
-                                              for i, f in enumerate(schema)}, schema=schema)
+
+            def packed(p):
+                numbers, counts = np.unique(doc[p], return_counts=True)
+                return ids[numbers].astype("<i8").tobytes(), counts.astype("<u4").tobytes(), _six(h[p])
+
+            rows = [(int(bucket[p[0]]), False, *packed(p), _six(d[p])) for p in _parts(bucket, np.nonzero(~often)[0])]
+            rows += [(int(bucket[p[0]]), False, b"", b"", _six(h[p]), b"") for p in _parts(bucket, np.nonzero(lead)[0])]
+            salt = (ids[doc] % buckets).astype(np.int32)
+            rows += [(int(salt[p[0]]), True, *packed(p), b"") for p in _parts(salt, np.nonzero(often)[0])]
+            yield pa.RecordBatch.from_pydict({f.name: pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_ROWS)}, schema=_ROWS)
 
     return run
 
 
-def _answers():
-    """Buckets -> (id, hashes): each document's hashes that stand in two documents or more. A hash
-    sent without documents is known to stand in several."""
+def _answers(fold: bool):
+    """Buckets -> (id, gone, shared): hashes of anchors whose only stretch an earlier document has,
+    and of anchors with several different stretches (all that repeat, unless ``fold``)."""
+    def spread(i, c):
+        return np.repeat(np.frombuffer(i, "<i8"), np.frombuffer(c, "<u4"))
+
     def done(rows):
-        docs = [np.repeat(np.frombuffer(i, "<i8"), np.frombuffer(c, "<u4")) for i, c, _ in rows]
-        hashes = [_unsix(h) for _, _, h in rows]
-        many = [h for (i, _, _), h in zip(rows, hashes) if not i]
-        docs, h = np.concatenate(docs), np.concatenate([h for (i, _, _), h in zip(rows, hashes) if i] or [np.zeros(0, np.uint64)])
-        if not len(h):
+        asked = [r for r in rows if r[0]]
+        if not asked:
             return
+        ids = np.concatenate([spread(i, c) for i, c, _, _ in asked])
+        h = np.concatenate([_unsix(x) for _, _, x, _ in asked])
+        d = np.concatenate([_unsix(x) for _, _, _, x in asked])
         order = np.argsort(h, kind="stable")
-        hs, ds = h[order], docs[order]
-        cut = np.nonzero(np.concatenate(([True], hs[1:] != hs[:-1])))[0]
-        again = np.minimum.reduceat(ds, cut) != np.maximum.reduceat(ds, cut)
-        if many:
-            again |= np.isin(hs[cut], np.concatenate(many))
-        keep = np.repeat(again, np.diff(np.append(cut, len(hs))))
-        yield from told(ds[keep], hs[keep])
-
-    def told(ds, hs):
-        if len(ds):
-            order = np.lexsort((hs, ds))
-            ds, hs = ds[order], hs[order]
-            edges = np.nonzero(np.diff(ds))[0] + 1
-            at = np.concatenate(([0], edges))
-            yield pa.RecordBatch.from_arrays([pa.array(ds[at]), pa.array([h.astype("<u8").tobytes() for h in np.split(hs, edges)],
-                                                                         pa.binary())], ["id", "hashes"])
+        ids, h, d = ids[order], h[order], d[order]
+        cut = _runs(h)
+        size = np.diff(np.append(cut, len(h)))
+        least = np.minimum.reduceat(ids, cut)
+        marked = np.isin(h[cut], np.concatenate([_unsix(x) for i, _, x, _ in rows if not i] or [np.zeros(0, np.uint64)]))
+        again = marked | (least != np.maximum.reduceat(ids, cut))
+        several = again & (marked | (np.minimum.reduceat(d, cut) != np.maximum.reduceat(d, cut)) | (not fold))
+        shared = np.repeat(several, size)
+        gone = np.repeat(again & ~several, size) & (ids > np.repeat(least, size))
+        yield from told(ids[gone], h[gone], ids[shared], h[shared])
+
+    def told(gone_ids, gone, shared_ids, shared):
+        ids = np.concatenate((gone_ids, shared_ids))
+        kind = np.repeat([0, 1], [len(gone), len(shared)])
+        h = np.concatenate((gone, shared)).astype("<u8")
+        for p in _parts(ids, np.arange(len(ids))):
+            yield int(ids[p[0]]), h[p[kind[p] == 0]].tobytes(), h[p[kind[p] == 1]].tobytes()
+
+    def batch(rows):
+        cols = list(zip(*rows)) or [[]] * 3
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()),
+                                           pa.array(cols[2], pa.binary())], ["id", "gone", "shared"])
 
     def run(batches):
-        held, bucket = [], None
+        held, bucket, none = [], None, np.zeros(0, np.uint64)
         for b in batches:
-            for k, known, i, c, h in zip(*[col.to_pylist() for col in b.columns]):
-                if known:
-                    yield from told(np.repeat(np.frombuffer(i, "<i8"), np.frombuffer(c, "<u4")), _unsix(h))
+            for k, shared, i, c, h, d in zip(*[col.to_pylist() for col in b.columns]):
+                if shared:
+                    yield batch(told(none.astype(np.int64), none, spread(i, c), _unsix(h)))
                     continue
                 if k != bucket and held:
-                    yield from done(held)
+                    yield batch(done(held))
                     held = []
                 bucket = k
-                held.append((i, c, h))
+                held.append((i, c, h, d))
         if held:
-            yield from done(held)
+            yield batch(done(held))
 
     return run
 
 
-def repeated_anchors(rows: DataFrame, min_len: int, gram: int) -> DataFrame:
-    """``rows`` (id long, text binary) -> (id, hashes): eight bytes for each of the document's
-    anchor hashes (48 bits) that stand in at least two documents; one row for each document."""
+def repeated_anchors(rows: DataFrame, min_len: int, gram: int, fold: bool = True) -> DataFrame:
+    """``rows`` (id long, text binary) -> (id, gone, shared): arrays of packed anchor hashes (eight
+    bytes each, 48 bits) of every document that has an anchor standing in two documents or more."""
     n = min(shuffle_partitions(rows), 1 << 16)
-    packed = rows.mapInArrow(_anchor_rows(min_len, gram, n), "bucket int, known boolean, ids binary, counts binary, hashes binary")
-    found = (packed.repartition(n, "bucket").sortWithinPartitions("bucket")
-             .mapInArrow(_answers(), "id long, hashes binary"))
-    return found.groupBy("id").agg(F.collect_list("hashes").alias("hashes"))
+    kinds = "bucket int, shared boolean, ids binary, counts binary, hashes binary, digests binary"
+    found = (rows.mapInArrow(_anchor_rows(min_len, gram, n), kinds).repartition(n, "bucket").sortWithinPartitions("bucket")
+             .mapInArrow(_answers(fold), "id long, gone binary, shared binary"))
+    return found.groupBy("id").agg(F.collect_list("gone").alias("gone"), F.collect_list("shared").alias("shared"))
 
 
 # ------------------------------------------------------------------ strings of the stretches
 
+_WHERE = "anchor long, name long, id long, sha binary, start long"
+
+
+def _name(s: bytes) -> int:
+    """Names a string among those of its anchor (a signed 64-bit hash)."""
+    return xxhash.xxh3_64_intdigest(s) - (1 << 63)
+
+
 def _strings(min_len: int, gram: int, occurrences: bool):
     """Documents with their repeated anchors -> strings (anchor, s, id), or occurrences
-    (digest of the string, id, key, start)."""
+    (anchor, name of the string, id, sha, start)."""
     def run(batches):
         for whole in batches:
             for b in slices(whole, "text", 4 * CHUNK):
-                ids, keys = b.column("id").to_pylist(), b.column("key").to_pylist()
-                wanted = [np.frombuffer(b"".join(h), "<u8") for h in b.column("hashes").to_pylist()]
-                out = [[], [], [], []]
+                ids, keys = b.column("id").to_pylist(), b.column("sha").to_pylist()
+                wanted = [np.frombuffer(b"".join(h), "<u8") for h in b.column("shared").to_pylist()]
+                out = [[], [], [], [], []]
                 for x, starts, ends, number, offset in _pieces(b.column("text").to_pylist(), min_len):
-                    at, stop, h = stretches(x, starts, ends, min_len, gram)
+                    at, stop, h, _ = stretches(x, starts, ends, min_len, gram)
                     piece = np.searchsorted(starts, at, side="right") - 1
                     cuts = np.searchsorted(piece, np.arange(len(starts) + 1))
                     data = x.tobytes()
@@ -284,18 +307,19 @@ def _strings(min_len: int, gram: int, occurrences: bool):
                         row = number[p]
                         some = lo + np.nonzero(np.isin(h[lo:hi] & _LOW48, wanted[row]))[0]
                         cut = [data[a:z] for a, z in zip(at[some].tolist(), (stop[some] + min_len - 1).tolist())]
+                        out[0] += h[some].view(np.int64).tolist()
                         if occurrences:
-                            out[0] += [xxhash.xxh3_128_digest(s) for s in cut]
+                            out[4] += [_name(s) for s in cut]
                             out[3] += (at[some] - starts[p] + offset[p]).tolist()
                         else:
-                            out[0] += h[some].view(np.int64).tolist()
                             out[3] += cut
                         out[1] += [ids[row]] * len(cut)
-                        out[2] += [keys[row]] * len(cut)
+                        if occurrences:
+                            out[2] += [keys[row]] * len(cut)
                 if occurrences:
-                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64()),
-                                                      pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64())],
-                                                     ["digest", "id", "key", "start"])
+                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[4], pa.int64()), pa.array(out[1], pa.int64()),
+                                                      pa.array(out[2], pa.binary()), pa.array(out[3], pa.int64())],
+                                                     ["anchor", "name", "id", "sha", "start"])
                 else:
                     yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[3], pa.binary()),
                                                       pa.array(out[1], pa.int64())], ["anchor", "s", "id"])
@@ -398,18 +422,22 @@ def _verdicts(min_len: int):
             for o, k in zip(owner.tolist(), offset.tolist()):
                 part = low[shared[o]][k:k + depth - min_len + 1]
                 np.minimum(part, least, out=part)
-        digests, runs = [], []
+        anchors, names, runs = [], [], []
         for r, m in zip(held, low):
-            cut = np.concatenate(([0], np.nonzero(np.diff(m))[0] + 1, [len(m)]))
-            digests.append(xxhash.xxh3_128_digest(r[1]))
+            if r[3] == 1 and (m == r[2]).all():
+                continue  # it stands in one text, and no other covers any of it
+            cut = np.append(_runs(m), len(m))
+            anchors.append(r[0])
+            names.append(_name(r[1]))
             runs.append([{"a": int(a), "z": int(z), "least": int(m[a])} for a, z in zip(cut[:-1], cut[1:])])
         kind = pa.list_(pa.struct([("a", pa.int32()), ("z", pa.int32()), ("least", pa.int64())]))
-        return pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(runs, kind)], ["digest", "runs"])
+        return pa.RecordBatch.from_arrays([pa.array(anchors, pa.int64()), pa.array(names, pa.int64()), pa.array(runs, kind)],
+                                          ["anchor", "name", "runs"])
 
     return _groups(min_len, emit)
 
 
-_RUNS = "digest binary, runs array<struct<a:int,z:int,least:bigint>>"
+_RUNS = "anchor long, name long, runs array<struct<a:int,z:int,least:bigint>>"
 
 
 def _split_hot(strings: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
@@ -419,120 +447,162 @@ def _split_hot(strings: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
 
 def _hot_verdicts(strings: DataFrame, min_len: int) -> DataFrame:
     """Verdicts of anchors with very many strings, window by window: routed by content."""
-    digest = F.udf(lambda s: xxhash.xxh3_128_digest(bytes(s)), "binary")
-    each = (strings.select("s", "id", F.explode(F.sequence(F.lit(0), F.length("s") - min_len)).alias("a"))
-            .select("s", "id", "a", F.expr(f"substring(s, a + 1, {min_len})").alias("window")))
+    @F.pandas_udf("long")
+    def name(s):
+        return s.map(_name)
+
+    each = (strings.select("anchor", "s", "id", F.explode(F.sequence(F.lit(0), F.length("s") - min_len)).alias("a"))
+            .select("anchor", "s", "id", "a", F.expr(f"substring(s, a + 1, {min_len})").alias("window")))
     least = each.groupBy("window").agg(F.min("id").alias("least"))
     run = F.struct(F.col("a").cast("int").alias("a"), (F.col("a") + 1).cast("int").alias("z"), "least")
-    return each.join(least, "window").groupBy("s").agg(F.collect_list(run).alias("runs")).select(digest("s").alias("digest"), "runs")
+    return (each.join(least, "window").groupBy("anchor", "s").agg(F.collect_list(run).alias("runs"))
+            .select("anchor", name("s").alias("name"), "runs"))
 
 
 # ------------------------------------------------------------------ operator
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """(id, key, text): ``id`` orders documents (NULL last), ``key`` tells rows of one id apart."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(id_order().alias("id"), F.xxhash64(text).alias("key"), text.cast("binary").alias("text"))
+    """(id, sha, text): ``id`` orders documents (NULL last), ``sha`` (16 bytes) names the text."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    return docs.select(id_order().alias("id"), F.substring(F.unhex(F.sha2(text, 256)), 1, 16).alias("sha"), text.alias("text"))
 
 
-def _flagged(docs: DataFrame, min_len: int, gram: int) -> DataFrame:
-    rows = _rows(docs)
-    anchors = repeated_anchors(rows.select("id", "text"), min_len, gram)
-    return written(rows.join(anchors, "id").select("id", "key", "text", "hashes"), "flagged")
+def _first_of_texts(rows: DataFrame) -> DataFrame:
+    """(sha, first): the smallest id of each text."""
+    return rows.groupBy("sha").agg(F.min("id").alias("first"))
+
+
+def _flagged(rows: DataFrame, min_len: int, gram: int, fold: bool = True) -> DataFrame:
+    """(id, sha, text, gone, shared) of the first document of each text that has anchors to look
+    at; each once, written."""
+    anchors = written(repeated_anchors(rows.select("id", "text"), min_len, gram, fold), "anchors")
+    # rows equal in id and text are counted, so that only they are folded with their text
+    again = rows.groupBy("sha", "id").agg(F.count(F.lit(1)).alias("n"))
+    first = again.groupBy("sha").agg(F.min(F.struct("id", "n")).alias("f")).select("sha", "f.*")
+    found = rows.join(first.join(anchors, "id"), ["sha", "id"])
+    rest = [c for c in found.columns if c != "n"]
+    return written(found.filter("n = 1").select(rest).unionByName(found.filter("n > 1").select(rest).dropDuplicates(["id", "sha"])),
+                   "flagged")
 
 
 def removals(docs: DataFrame, min_len: int = MIN_LEN, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """Documents with bytes to remove -> (id, key, kept binary, n_removed long, n_spans long).
+    """First documents of their texts that lose bytes -> (id, sha, kept binary, n_removed long,
+    n_spans long); ``id`` and ``sha`` are those of ``_rows``.
 
     A byte goes if a ``min_len``-byte string that covers it also starts in a document with a
-    smaller doc_id (NULL ids come last and are equal among themselves). ``id`` and ``key`` are
-    those of ``_rows``; rows equal in doc_id and text share one row here.
+    smaller doc_id (NULL ids come last and are equal among themselves).
     """
     if not 1 <= gram <= min_len:
         raise ValueError("gram must lie between 1 and min_len")
-    flagged = _flagged(docs, min_len, gram)
-    strings = (flagged.mapInArrow(_strings(min_len, gram, False), "anchor long, s binary, id long")
-               .groupBy("anchor", "s").agg(F.min("id").alias("id")))
-    strings = written(strings, "strings")
+    flagged = _flagged(_rows(docs), min_len, gram)
+    strings = written(flagged.mapInArrow(_strings(min_len, gram, False), "anchor long, s binary, id long")
+                      .groupBy("anchor", "s").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "strings")
     usual, many = _split_hot(strings, hot)
     verdict = (usual.repartition("anchor").sortWithinPartitions("anchor", "s").mapInArrow(_verdicts(min_len), _RUNS)
                .unionByName(_hot_verdicts(many, min_len)))
-    where = flagged.mapInArrow(_strings(min_len, gram, True), "digest binary, id long, key long, start long").distinct()
-    smaller = (where.join(verdict, "digest")
-               .select("id", "key", "start", F.filter("runs", lambda r: r["least"] < F.col("id")).alias("runs"))
+    where = flagged.mapInArrow(_strings(min_len, gram, True), _WHERE)
+    smaller = (where.join(verdict, ["anchor", "name"])
+               .select("id", "sha", "start", F.filter("runs", lambda r: r["least"] < F.col("id")).alias("runs"))
                .filter(F.size("runs") > 0))
-    cuts = smaller.groupBy("id", "key").agg(F.collect_list(F.struct("start", "runs")).alias("cuts"))
+    cuts = written(smaller.groupBy("id", "sha").agg(F.collect_list(F.struct("start", "runs")).alias("cuts")), "cuts")
 
     def cut(batches):
-        for b in batches:
-            kept, removed, spans = [], [], []
-            for text, found in zip(b.column("text").to_pylist(), b.column("cuts").to_pylist()):
-                edge = np.zeros(len(text) + 1, np.int64)
-                for c in found:
-                    for r in c["runs"]:
-                        edge[c["start"] + r["a"]] += 1
-                        edge[c["start"] + r["z"] - 1 + min_len] -= 1
-                gone = np.cumsum(edge[:-1]) > 0
-                kept.append(np.frombuffer(text, np.uint8)[~gone].tobytes())
-                removed.append(int(gone.sum()))
-                spans.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("key"), pa.array(kept, pa.binary()),
-                                              pa.array(removed, pa.int64()), pa.array(spans, pa.int64())],
-                                             ["id", "key", "kept", "n_removed", "n_spans"])
-
-    rows = flagged.select("id", "key", "text").join(cuts, ["id", "key"]).select("id", "key", "text", "cuts")
-    return (rows.mapInArrow(cut, "id long, key long, kept binary, n_removed long, n_spans long")
-            .dropDuplicates(["id", "key"]))
+        for whole in batches:
+            for b in slices(whole, "text", 4 * CHUNK):
+                texts = b.column("text").to_pylist()
+                edges = [np.zeros(len(t) + 1, np.int64) for t in texts]
+                gone = [np.frombuffer(b"".join(g), "<u8") for g in b.column("gone").to_pylist()]
+                for x, starts, ends, number, offset in _pieces(texts, min_len):
+                    at, stop, h, _ = stretches(x, starts, ends, min_len, gram)
+                    piece = np.searchsorted(starts, at, side="right") - 1
+                    cuts = np.searchsorted(piece, np.arange(len(starts) + 1))
+                    for p in range(len(starts)):
+                        row, lo, hi = number[p], cuts[p], cuts[p + 1]
+                        if len(gone[row]):
+                            some = lo + np.nonzero(np.isin(h[lo:hi] & _LOW48, gone[row]))[0]
+                            np.add.at(edges[row], at[some] - starts[p] + offset[p], 1)
+                            np.add.at(edges[row], stop[some] - starts[p] + offset[p] + min_len - 1, -1)
+                for edge, found in zip(edges, b.column("cuts").to_pylist()):
+                    for c in found or ():
+                        for r in c["runs"]:
+                            edge[c["start"] + r["a"]] += 1
+                            edge[c["start"] + r["z"] - 1 + min_len] -= 1
+                lost = [np.cumsum(e[:-1]) > 0 for e in edges]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("id"), b.column("sha"), pa.array([np.frombuffer(t, np.uint8)[~g].tobytes() for t, g in zip(texts, lost)], pa.binary()),
+                     pa.array([int(g.sum()) for g in lost], pa.int64()),
+                     pa.array([int(g[0]) + int((g[1:] & ~g[:-1]).sum()) for g in lost], pa.int64())],
+                    ["id", "sha", "kept", "n_removed", "n_spans"])
+
+    rows = flagged.select("id", "sha", "text", "gone").join(cuts, ["id", "sha"], "left").select("id", "sha", "text", "gone", "cuts")
+    return rows.mapInArrow(cut, "id long, sha binary, kept binary, n_removed long, n_spans long").filter("n_removed > 0")
 
 
 def repeat_groups(docs: DataFrame, min_len: int = MIN_LEN, gram: int = GRAM) -> DataFrame:
     """Maximal repeat groups with all their occurrences: (repeat binary, length int, doc_id long,
     start long), ``repeat`` naming the repeated bytes. Maximal inside a stretch (see the module)."""
-    flagged = _flagged(docs, min_len, gram)
+    rows = _rows(docs)
+    flagged = _flagged(rows, min_len, gram, False)
     strings = (flagged.mapInArrow(_strings(min_len, gram, False), "anchor long, s binary, id long")
                .groupBy("anchor", "s").agg(F.count(F.lit(1)).alias("n")))
 
     def emit(held):
-        out = [(xxhash.xxh3_128_digest(s), len(s), xxhash.xxh3_128_digest(s), 0) for _, s, n in held if n > 1]
+        out = [(xxhash.xxh3_128_digest(s), len(s), a, _name(s), 0) for a, s, n in held if n > 1]
         shared = _shared(held)
-        names = [held[i][1] for i in shared]
-        for depth, owner, offset in maximal_repeats_of(names, min_len):
-            name = xxhash.xxh3_128_digest(names[owner[0]][offset[0]:offset[0] + depth])
-            out += [(name, depth, xxhash.xxh3_128_digest(names[o]), k) for o, k in zip(owner.tolist(), offset.tolist())]
-        cols = list(zip(*out)) or [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int32()),
-                                           pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.int32())],
-                                          ["repeat", "length", "digest", "at"])
+        texts = [held[i][1] for i in shared]
+        for depth, owner, offset in maximal_repeats_of(texts, min_len):
+            repeat = xxhash.xxh3_128_digest(texts[owner[0]][offset[0]:offset[0] + depth])
+            out += [(repeat, depth, held[shared[o]][0], _name(texts[o]), k) for o, k in zip(owner.tolist(), offset.tolist())]
+        cols = list(zip(*out)) or [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()),
+                                           pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int32())],
+                                          ["repeat", "length", "anchor", "name", "at"])
 
     groups = (strings.repartition("anchor").sortWithinPartitions("anchor", "s")
-              .mapInArrow(_groups(min_len, emit), "repeat binary, length int, digest binary, at int"))
-    where = flagged.mapInArrow(_strings(min_len, gram, True), "digest binary, id long, key long, start long")
-    real = F.when(F.col("id") < LAST_ID, F.col("id"))
-    return (groups.join(where, "digest")
-            .select("repeat", "length", real.alias("doc_id"), (F.col("start") + F.col("at")).alias("start")).distinct())
+              .mapInArrow(_groups(min_len, emit), "repeat binary, length int, anchor long, name long, at int"))
+    where = flagged.mapInArrow(_strings(min_len, gram, True), _WHERE)
+    # equal texts have the repeats of their first document
+    every = groups.join(where, ["anchor", "name"]).join(rows.select("sha", F.col("id").alias("own")), "sha")
+    real = F.when(F.col("own") < LAST_ID, F.col("own"))
+    return every.select("repeat", "length", real.alias("doc_id"), (F.col("start") + F.col("at")).alias("start")).distinct()
+
+
+def _copy(min_len: int):
+    """Whether a row is a copy of a text with a smaller id, long enough to lose all of it."""
+    return (F.col("id") > F.col("first")) & (F.col("n_bytes") >= min_len)
 
 
 def keep_first_copies(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256. NULL text is empty; repeated rows
     each get their result; texts below ``min_len`` bytes and an empty table lose nothing."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.select("doc_id", id_order().alias("id"), F.xxhash64(text).alias("key"),
-                       F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("whole"))
-    found = removals(docs, min_len).select("id", "key", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    found = written(removals(docs, min_len).select("id", "sha", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")), "removals")
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    base = docs.select("doc_id", id_order().alias("id"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole"))
+    base = base.withColumn("sha", F.substring(F.unhex("whole"), 1, 16))
     zero = F.lit(0).cast("long")
-    return (base.join(found, ["id", "key"], "left")
-            .select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"),
-                    F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256")))
+    return (base.join(_first_of_texts(_rows(docs)), "sha").join(found, ["id", "sha"], "left")
+            .select("doc_id", "n_bytes",
+                    F.when(_copy(min_len), F.col("n_bytes")).otherwise(F.coalesce("n_removed", zero)).alias("n_removed"),
+                    F.when(_copy(min_len), F.lit(1).cast("long")).otherwise(F.coalesce("n_spans", zero)).alias("n_spans"),
+                    F.when(_copy(min_len), F.sha2(F.lit(b""), 256)).otherwise(F.coalesce("kept_sha256", "whole")).alias("kept_sha256")))
 
 
 def without_repeats(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
     """``docs`` with the repeated bytes taken out of ``text`` (a character cut in two goes with
     them) and ``n_chars``, where there is one, counted anew; all rows and columns stay."""
-    decode = F.udf(lambda b: bytes(b).decode("utf-8", "ignore"), "string")
-    found = removals(docs, min_len).select(F.col("id").alias("__id"), F.col("key").alias("__key"), decode("kept").alias("__kept"))
-    keyed = docs.withColumns({"__rid": id_order(), "__rkey": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
-    out = keyed.join(found, (keyed["__rid"] == found["__id"]) & (keyed["__rkey"] == found["__key"]), "left")
-    new = {"text": F.coalesce("__kept", "text")}
+    @F.pandas_udf("string")
+    def decode(kept):
+        return kept.map(lambda b: b.decode("utf-8", "ignore"))
+
+    found = removals(docs, min_len).select(F.col("id").alias("__id"), F.col("sha").alias("__sha"), decode("kept").alias("__kept"))
+    first = _first_of_texts(_rows(docs)).select(F.col("sha").alias("__fsha"), F.col("first").alias("__first"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    keyed = docs.withColumns({"__rid": id_order(), "__rsha": F.substring(F.unhex(F.sha2(text, 256)), 1, 16)})
+    out = (keyed.join(first, keyed["__rsha"] == first["__fsha"])
+           .join(found, (F.col("__rid") == found["__id"]) & (F.col("__rsha") == found["__sha"]), "left"))
+    copy = (F.col("__rid") > F.col("__first")) & (F.octet_length("text") >= min_len)
+    out = out.withColumn("__new", F.when(copy, F.lit("")).otherwise(F.col("__kept")))
+    new = {"text": F.coalesce("__new", "text")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("__kept").isNotNull(), F.char_length("__kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        new["n_chars"] = F.when(F.col("__new").isNotNull(), F.char_length("__new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return out.withColumns(new).select(*docs.columns)
