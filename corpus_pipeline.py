@@ -29,8 +29,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents fill their source's target: none, one or two rows for each."""
-    mixed = mixing.mix_sources(docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", "text", "source"))
-    return mixed.select(F.explode(F.array_repeat("__row", F.col("copies"))).alias("r")).select("r.*")
+    mixed = mixing.mix_sources(docs)
+    return mixed.select(F.explode(F.array_repeat("whole", F.col("copies"))).alias("row")).select("row.*")
 
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

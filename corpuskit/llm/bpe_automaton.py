@@ -220,7 +220,7 @@ def _spec(spark, path: str):
 def _mapped(docs: DataFrame, path: str, keep: list[str], columns: list[tuple[str, str, pa.DataType]], of) -> DataFrame:
     spec = _spec(docs.sparkSession, path)
     rows = docs.select(*keep, F.col("text").cast("string").alias("__text"))
-    schema = rows.drop("__text").schema
+    schema = docs.select(*keep).schema
     for name, kind, _ in columns:
         schema = schema.add(name, kind)
 

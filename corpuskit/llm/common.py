@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
@@ -23,9 +24,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     again: cuts the lineage, and survives lost executors. The shuffle files behind it are let go."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
+    schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
+    del df  # holds the plan
     released(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def released(spark) -> None:
@@ -34,6 +37,13 @@ def released(spark) -> None:
     gc.collect()
     if (jvm := getattr(spark, "_jvm", None)) is not None:
         jvm.java.lang.System.gc()
+        time.sleep(0.2)  # what the first one queued goes with the second
+        jvm.java.lang.System.gc()
+
+
+def boxed(docs: DataFrame) -> Column:
+    """All columns of a row in one, so that no name can clash with those an operator adds."""
+    return F.struct(*[docs[f"`{c}`"] for c in docs.columns])
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:

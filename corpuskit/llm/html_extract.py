@@ -303,4 +303,4 @@ def extracted(pages: DataFrame, keep: tuple = ("page_id", "url")) -> DataFrame:
                     [*b.columns[:-1], pa.array([main_text(x.as_py()) for x in b.column("__html")], pa.string())],
                     [*b.schema.names[:-1], "text"])
 
-    return rows.mapInArrow(run, rows.drop("__html").schema.add("text", "string"))
+    return rows.mapInArrow(run, pages.select(*keep).schema.add("text", "string"))

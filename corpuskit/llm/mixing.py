@@ -18,7 +18,7 @@ from collections import deque
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import WORD, boxed, written
 
 SEED = 42
 MAX_REPEAT = 2
@@ -129,15 +129,16 @@ def thresholds(sized: DataFrame, share: DataFrame, digits: int = DIGITS) -> Data
 
 
 def mix(docs: DataFrame, pattern: Column, quotas, copies: int = MAX_REPEAT, seed: int = SEED) -> DataFrame:
-    """``docs`` and its columns plus ``pattern``, ``size`` (words) and ``copies`` (0 .. ``copies``).
+    """Per row of ``docs``: whole (its columns in one), doc_id, pattern, size (words) and copies (0 ..
+    ``copies``).
 
     ``pattern``: sorted array of the sources (strings, never NULL) a row belongs to. ``quotas``:
     a function of {pattern: words} giving {source: words wanted}. NULL texts have no words; rows
     tied in key are taken together; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    named = docs.select("*", pattern.alias("pattern"), n_words().alias("size"), seeded(seed).alias("__key"))
-    sized = written(named.select("pattern", F.col("__key").alias("key"), "size"), "sized")
+    named = docs.select(boxed(docs).alias("whole"), F.col("doc_id"), pattern.alias("pattern"), n_words().alias("size"), seeded(seed).alias("key"))
+    sized = written(named.select("pattern", "key", "size"), "sized")
     capacity = {tuple(r["pattern"]): r["n"] for r in sized.groupBy("pattern").agg(F.sum("size").alias("n")).collect()}
     flow = min_cost_flow(capacity, quotas(capacity), copies)
     taken = dict.fromkeys(capacity, 0)
@@ -148,11 +149,10 @@ def mix(docs: DataFrame, pattern: Column, quotas, copies: int = MAX_REPEAT, seed
     share = spark.createDataFrame([(list(p), r) for p, r in rest.items() if r], "pattern array<string>, rest long")
     found = {tuple(r["pattern"]): r["until"] for r in thresholds(sized, share).collect()}
     plan = spark.createDataFrame([(list(p), n, found.get(p, "")) for p, n in whole.items()],
-                                 "pattern array<string>, __whole int, __until string")
+                                 "pattern array<string>, full int, until string")
     # a row for each pattern, as many as the driver has just solved
     return (named.join(F.broadcast(plan), "pattern")
-            .withColumn("copies", F.col("__whole") + (F.col("__key") < F.col("__until")).cast("int"))
-            .drop("__key", "__whole", "__until"))
+            .select("whole", "doc_id", "pattern", "size", (F.col("full") + (F.col("key") < F.col("until")).cast("int")).alias("copies")))
 
 
 # ------------------------------------------------------------------ one source for each document
@@ -177,7 +177,8 @@ def source_targets(capacity: dict[tuple, int], weights: tuple = WEIGHTS, share:
 
 def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MAX_REPEAT,
                 seed: int = SEED) -> DataFrame:
-    """``docs`` plus size, source_size, target and copies, every row belonging to its ``source``."""
+    """Per row of ``docs``, each belonging to its ``source``: whole, doc_id, size, copies, source_size
+    and target (those of its source). NULL texts have no words, an empty table gives no rows."""
     targets: dict[str, float] = {}
     sizes: dict[str, int] = {}
 

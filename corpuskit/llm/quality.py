@@ -17,9 +17,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import boxed, written
+
 WHITE = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
-SENTENCE_ENDS = tuple(b".!?:;")
 BAD, ABSTAIN, GOOD = 0, 1, 2
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters",
           "n_top_word", "n_ends", "n_shouts")
@@ -64,7 +65,7 @@ _COUNT_SCHEMA = ", ".join(f"{c} long" for c in COUNTS)
 def counts(docs: DataFrame, keep: tuple = ("doc_id",)) -> DataFrame:
     """``keep`` columns and the counts of every row's whole ``text``."""
     rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
-    schema = rows.drop("_text").schema
+    schema = docs.select(*keep).schema
     for c in COUNTS:
         schema = schema.add(c, "long")
 
@@ -194,7 +195,6 @@ def scored(docs: DataFrame, threshold: float = 0.5, rules: tuple[Rule, ...] = RU
     result; an empty table gives none. The counts are written once, as the fit and the result
     both read them.
     """
-    from .common import written
     counted = written(counts(docs), "counts")
     model = label_model(counted, rules)
     return (counted.withColumn("base_failed", base_failed()).withColumn("quality", quality(model, rules))
@@ -211,8 +211,5 @@ def good_documents(docs: DataFrame, threshold: float = 0.5, rules: tuple[Rule, .
         import pandas as pd
         return pd.DataFrame([text_counts(t) for t in text], columns=list(COUNTS), dtype="int64")
 
-    c = "__counts"
-    named = docs.select(*docs.columns, of(F.col("text").cast("string")).alias(c))
-    inner = named.select(F.struct(*docs.columns).alias("__row"), f"{c}.*")
-    kept = inner.filter(~base_failed() & (quality(model, rules) >= threshold))
-    return kept.select("__row.*")
+    named = docs.select(boxed(docs).alias("whole"), of(F.col("text").cast("string")).alias("counts")).select("whole", "counts.*")
+    return named.filter(~base_failed() & (quality(model, rules) >= threshold)).select("whole.*")

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import boxed, written
 from .components import connected_components
 
 SHINGLE = 4
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keep: tuple = ("doc_id
                                              [*b.schema.names[:-1], "fp"])
 
     rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
-    return rows.mapInArrow(run, rows.drop("_text").withColumn("fp", F.lit(0).cast("long")).schema)
+    return rows.mapInArrow(run, docs.select(*keep).schema.add("fp", "long"))
 
 
 def _popcount(col):
@@ -190,19 +190,18 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one row of each component: the smallest doc_id (NULL last), then the smallest
     hash of the row; of rows equal in every column one stays. Columns are those of ``docs``."""
-    cols = docs.columns
-    keyed = docs.select(*cols, F.xxhash64(*cols).alias("__row"))
-    fps = written(fingerprints(keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__row").alias("row"), "text"),
-                               shingle, ("doc_id", "row")), "fps")
+    whole = boxed(docs)
+    keyed = docs.select(whole.alias("whole"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole).alias("row"), F.col("text"))
+    fps = written(fingerprints(keyed, shingle, ("doc_id", "row")), "fps")
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id"), F.col("row"))
     nodes = fps.groupBy("fp").agg(F.min(order).alias("first"))
     parts = connected_components(links(nodes.select("fp"), radius))
     first = (nodes.join(parts, nodes.fp == parts.node, "left")
              .groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
-             .select(F.col("first.doc_id").alias("__id"), F.col("first.row").alias("__first")))
-    rows = fps.groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("__n"))
-    first = (first.join(rows, first["__id"].eqNullSafe(rows["doc_id"]) & (first["__first"] == rows["row"]))
-             .select("__id", "__first", "__n"))
-    kept = keyed.join(first, keyed["doc_id"].cast("long").eqNullSafe(first["__id"]) & (keyed["__row"] == first["__first"]))
-    return (kept.filter("__n = 1").select(*cols)
-            .unionByName(kept.filter("__n > 1").dropDuplicates(["__id", "__row"]).select(*cols)))
+             .select(F.col("first.doc_id").alias("id"), F.col("first.row").alias("key")))
+    rows = fps.groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("n"))
+    first = first.join(rows, first["id"].eqNullSafe(rows["doc_id"]) & (first["key"] == rows["row"])).select("id", "key", "n")
+    kept = (keyed.join(first, keyed["doc_id"].eqNullSafe(first["id"]) & (keyed["row"] == first["key"]))
+            .select("whole", "n", "id", "key"))
+    return (kept.filter("n = 1").select("whole").union(kept.filter("n > 1").dropDuplicates(["id", "key"]).select("whole"))
+            .select("whole.*"))

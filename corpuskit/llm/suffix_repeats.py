@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, id_order, shuffle_partitions, slices, written
+from .common import LAST_ID, boxed, id_order, shuffle_partitions, slices, written
 
 MIN_LEN = 50
 GRAM = 22
@@ -141,15 +141,15 @@ def _pieces(texts: list[bytes], min_len: int):
         yield laid(held)
 
 
-def _six(h: np.ndarray) -> bytes:
-    """Six low bytes of each hash, byte plane by byte plane."""
-    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes()
+def _planes(h: np.ndarray, width: int = 6) -> bytes:
+    """The low ``width`` bytes of each hash, byte plane by byte plane."""
+    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
-def _unsix(b: bytes) -> np.ndarray:
-    planes = np.frombuffer(b, np.uint8).reshape(6, -1)
+def _unplaned(b: bytes, width: int = 6) -> np.ndarray:
+    planes = np.frombuffer(b, np.uint8).reshape(width, -1)
     out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, :6] = planes.T
+    out[:, :width] = planes.T
     return out.view("<u8").ravel().astype(np.uint64)
 
 
@@ -202,10 +202,10 @@ def _anchor_rows(min_len: int, gram: int, buckets: int):
 
             def packed(p):
                 numbers, counts = np.unique(doc[p], return_counts=True)
-                return ids[numbers].astype("<i8").tobytes(), counts.astype("<u4").tobytes(), _six(h[p])
+                return ids[numbers].astype("<i8").tobytes(), counts.astype("<u4").tobytes(), _planes(h[p])
 
-            rows = [(int(bucket[p[0]]), False, *packed(p), _six(d[p])) for p in _parts(bucket, np.nonzero(~often)[0])]
-            rows += [(int(bucket[p[0]]), False, b"", b"", _six(h[p]), b"") for p in _parts(bucket, np.nonzero(lead)[0])]
+            rows = [(int(bucket[p[0]]), False, *packed(p), _planes(d[p], 5)) for p in _parts(bucket, np.nonzero(~often)[0])]
+            rows += [(int(bucket[p[0]]), False, b"", b"", _planes(h[p]), b"") for p in _parts(bucket, np.nonzero(lead)[0])]
             salt = (ids[doc] % buckets).astype(np.int32)
             rows += [(int(salt[p[0]]), True, *packed(p), b"") for p in _parts(salt, np.nonzero(often)[0])]
             yield pa.RecordBatch.from_pydict({f.name: pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_ROWS)}, schema=_ROWS)
@@ -224,14 +224,14 @@ def _answers(fold: bool):
         if not asked:
             return
         ids = np.concatenate([spread(i, c) for i, c, _, _ in asked])
-        h = np.concatenate([_unsix(x) for _, _, x, _ in asked])
-        d = np.concatenate([_unsix(x) for _, _, _, x in asked])
+        h = np.concatenate([_unplaned(x) for _, _, x, _ in asked])
+        d = np.concatenate([_unplaned(x, 5) for _, _, _, x in asked])
         order = np.argsort(h, kind="stable")
         ids, h, d = ids[order], h[order], d[order]
         cut = _runs(h)
         size = np.diff(np.append(cut, len(h)))
         least = np.minimum.reduceat(ids, cut)
-        marked = np.isin(h[cut], np.concatenate([_unsix(x) for i, _, x, _ in rows if not i] or [np.zeros(0, np.uint64)]))
+        marked = np.isin(h[cut], np.concatenate([_unplaned(x) for i, _, x, _ in rows if not i] or [np.zeros(0, np.uint64)]))
         again = marked | (least != np.maximum.reduceat(ids, cut))
         several = again & (marked | (np.minimum.reduceat(d, cut) != np.maximum.reduceat(d, cut)) | (not fold))
         shared = np.repeat(several, size)
@@ -255,7 +255,7 @@ def _answers(fold: bool):
         for b in batches:
             for k, shared, i, c, h, d in zip(*[col.to_pylist() for col in b.columns]):
                 if shared:
-                    yield batch(told(none.astype(np.int64), none, spread(i, c), _unsix(h)))
+                    yield batch(told(none.astype(np.int64), none, spread(i, c), _unplaned(h)))
                     continue
                 if k != bucket and held:
                     yield batch(done(held))
@@ -594,15 +594,14 @@ def without_repeats(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
     def decode(kept):
         return kept.map(lambda b: b.decode("utf-8", "ignore"))
 
-    found = removals(docs, min_len).select(F.col("id").alias("__id"), F.col("sha").alias("__sha"), decode("kept").alias("__kept"))
-    first = _first_of_texts(_rows(docs)).select(F.col("sha").alias("__fsha"), F.col("first").alias("__first"))
+    found = written(removals(docs, min_len).select("id", "sha", decode("kept").alias("kept")), "kept")
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    keyed = docs.withColumns({"__rid": id_order(), "__rsha": F.substring(F.unhex(F.sha2(text, 256)), 1, 16)})
-    out = (keyed.join(first, keyed["__rsha"] == first["__fsha"])
-           .join(found, (F.col("__rid") == found["__id"]) & (F.col("__rsha") == found["__sha"]), "left"))
-    copy = (F.col("__rid") > F.col("__first")) & (F.octet_length("text") >= min_len)
-    out = out.withColumn("__new", F.when(copy, F.lit("")).otherwise(F.col("__kept")))
-    new = {"text": F.coalesce("__new", "text")}
+    keyed = docs.select(boxed(docs).alias("whole"), id_order().alias("id"), F.substring(F.unhex(F.sha2(text, 256)), 1, 16).alias("sha"),
+                        F.octet_length(text).alias("n_bytes"))
+    out = keyed.join(_first_of_texts(_rows(docs)), "sha").join(found, ["id", "sha"], "left")
+    out = out.select("whole", F.when(_copy(min_len), F.lit("")).otherwise(F.col("kept")).alias("new"))
+    fields = {"text": F.coalesce("new", "whole.text")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("__new").isNotNull(), F.char_length("__new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return out.withColumns(new).select(*docs.columns)
+        count = F.char_length("new").cast(docs.schema["n_chars"].dataType)
+        fields["n_chars"] = F.when(F.col("new").isNotNull(), count).otherwise(F.col("whole.n_chars"))
+    return out.select(*[fields.get(c, F.col(f"whole.`{c}`")).alias(c) for c in docs.columns])
