@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 from .common import LAST_ID
 
 PIECE = 160
-CELLS = 12  #: cells of the fingerprint, and of the first attempt
-GROWTH = 4
-ATTEMPTS = 14  #: the last one has 12 * 4^13 cells
+CELLS = 12  #: cells of the fingerprint, and least cells of an attempt
+START = 1.3  #: cells of the first attempt for each digest of the two texts, at least
+GROWTH = 2
+ATTEMPTS = 12  #: the last one has over 1500 cells for each digest
 ROUNDS = 24
 _LOW = (1 << 32) - 1
 
@@ -105,11 +106,13 @@ def peeled(diff: Column, cells: Column) -> Column:
 
 
 def difference(a: Column, b: Column) -> Column:
-    """Digests (k, s) in just one of the digest arrays ``a`` and ``b``, recovered from sketches;
-    a failed peeling is retried in a table ``GROWTH`` times as large. Only should the largest fail
-    too, the arrays are compared directly."""
+    """Digests (k, s) in just one of the digest arrays ``a`` and ``b``, recovered from sketches. The
+    first table mostly holds a difference of all digests; a failed peeling is retried in a
+    table ``GROWTH`` times as large. Only should the largest fail too, the arrays are compared
+    directly."""
     kind = "array<struct<k:bigint,s:int>>"
-    none = F.struct(F.lit(None).cast(kind).alias("items"), F.lit(CELLS).alias("cells"))
+    wanted = F.ceil(F.log2(F.greatest((F.size(a) + F.size(b)) * F.lit(START) / CELLS, F.lit(1.0)))).cast("int")
+    none = F.struct(F.lit(None).cast(kind).alias("items"), (F.lit(CELLS) * F.pow(F.lit(2.0), wanted)).cast("int").alias("cells"))
 
     def attempt(state, _):
         def tried(p):
