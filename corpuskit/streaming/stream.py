@@ -2,8 +2,8 @@
 into a table in the shared checkpoint folder.
 
 Streams are event-time: every stateful operator takes a watermark; state is evicted when the
-watermark passes it (T-09); rows older than a key's processed position are counted as late
-and dropped.
+watermark passes it (T-09). Limiters settle an event when the watermark passes it, so that
+their decisions do not depend on micro-batches.
 """
 
 from __future__ import annotations
@@ -45,10 +45,9 @@ def run_to_table(stream: DataFrame, output_mode: str = "append", keys: list[str]
     q = (stream.writeStream.outputMode(output_mode).foreachBatch(sink)
          .option("checkpointLocation", base + "/ckpt").trigger(availableNow=True).start())
     q.awaitTermination()
-    try:
-        res = spark.read.parquet(out)
-    except Exception:  # noqa: BLE001 - no batch produced rows
+    if q.lastProgress is None and not q.recentProgress:  # no batch ran: no input at all
         return spark.createDataFrame([], stream.schema)
+    res = spark.read.parquet(out)
     if output_mode == "update" and keys:
         cols = [c for c in res.columns if c not in keys and c != "_batch"]
         res = res.groupBy(*keys).agg(F.max_by(F.struct(*cols), "_batch").alias("_r")).select(
@@ -58,95 +57,106 @@ def run_to_table(stream: DataFrame, output_mode: str = "append", keys: list[str]
 
 # ------------------------------------------------------------------ T-01 / T-09 streaming limiter
 
-STREAM_LIMIT_OUT = "key string, seq long, t_us long, allowed boolean, remaining int, current int, late boolean"
-STREAM_LIMIT_STATE = "log array<long>, last_t long, last_seq long"
+class SlidingLog:
+    """T-01 step: accepted times of the window. ``memo`` is what the state keeps (longs)."""
 
+    def __init__(self, memo, limit: int, window: int):
+        self.log, self.limit, self.window = deque(memo), limit, window
 
-def streaming_sliding_log(events: DataFrame, key: str, ts: str, seq: str, limit: int, window_s: float,
-                          watermark: str = "1 hour") -> DataFrame:
-    """T-01 as a stateful stream: per key, events of a micro-batch are folded in (time, seq)
-    order onto the stored log of accepted timestamps (bounded by ``limit``). The state
-    times out (is dropped) once the watermark passes the newest entry + window (T-09)."""
-    win = int(window_s * US)
+    def step(self, t: int) -> tuple:
+        while self.log and self.log[0] <= t - self.window:
+            self.log.popleft()
+        n = len(self.log)
+        if n < self.limit:
+            self.log.append(t)
+            return True, self.limit - n - 1, n + 1
+        return False, 0, n
+
+    def memo(self) -> list[int]:
+        return list(self.log)
+
+    def live_until(self) -> int:
+        return self.log[-1] + self.window if self.log else 0
+
+
+class AnchoredQuota:
+    """T-03 step: (anchor, count) of the minute and of the day; anchor -1 means none yet."""
+
+    def __init__(self, memo, per_minute: int, per_day: int):
+        self.windows = [list(memo[i:i + 2]) or [-1, 0] for i in (0, 2)]
+        self.rules = (("per_minute", 60 * US, per_minute), ("per_day", 86400 * US, per_day))
+
+    def step(self, t: int) -> tuple:
+        why = next((name for (anchor, n), (name, size, most) in zip(self.windows, self.rules)
+                    if anchor >= 0 and t - anchor < size and n >= most), None)
+        if why is None:
+            for w, (_, size, _) in zip(self.windows, self.rules):
+                if w[0] < 0 or t - w[0] >= size:
+                    w[:] = [t, 0]
+                w[1] += 1
+        return why is None, why, self.windows[0][1], self.windows[1][1]
+
+    def memo(self) -> list[int]:
+        return [*self.windows[0], *self.windows[1]]
+
+    def live_until(self) -> int:
+        return max(w[0] + size for w, (_, size, _) in zip(self.windows, self.rules) if w[0] >= 0) if self.windows[1][0] >= 0 else 0
+
+
+def _settled(events: DataFrame, key: str, ts: str, seq: str, watermark: str, out: str, machine) -> DataFrame:
+    """Per key, fold events in (time, seq) order once the watermark has passed them.
+
+    Until then they wait in the state, so the outcome does not depend on how events fall into
+    micro-batches: every event that is not older than the watermark when it arrives counts, in
+    its place. A timeout at the earliest waiting event brings the key back; with none waiting,
+    the state is dropped when its last window has ended (T-09). Events older than the watermark
+    are dropped by Spark before they reach the state. A NULL ``seq`` counts as -1.
+    """
     from ..functions.time import epoch_micros, utc_instant
     d = events.select(F.col(key).cast("string").alias("key"), utc_instant(events, ts).alias("ts"),
-                      epoch_micros(events, ts).alias("t_us"), F.col(seq).cast("long").alias("seq")).withWatermark("ts", watermark)
+                      epoch_micros(events, ts).alias("t_us"), F.coalesce(F.col(seq).cast("long"), F.lit(-1)).alias("seq")).withWatermark("ts", watermark)
+    names = [f.split()[0] for f in out.split(", ")]
 
     def fold(k, pdfs, state):
-        if state.hasTimedOut:
+        times, seqs, memo = state.get if state.exists else ([], [], [])
+        waiting = list(zip(times, seqs))
+        if not state.hasTimedOut:
+            for pdf in pdfs:
+                waiting += zip(pdf["t_us"].astype("int64").tolist(), pdf["seq"].astype("int64").tolist())
+        mark = state.getCurrentWatermarkMs()
+        waiting.sort()
+        n = sum(t // 1000 <= mark for t, _ in waiting)
+        m = machine(memo)
+        rows = [(k[0], s, t, *m.step(t)) for t, s in waiting[:n]]
+        waiting = waiting[n:]
+        until = waiting[0][0] // 1000 if waiting else m.live_until() // 1000
+        if until > mark:
+            state.update(([t for t, _ in waiting], [s for _, s in waiting], m.memo()))
+            state.setTimeoutTimestamp(until)
+        elif state.exists:
             state.remove()
-            return
-        log, last_t, last_s = (deque(state.get[0]), state.get[1], state.get[2]) if state.exists else (deque(), None, None)
-        rows = []
-        pdf = pd.concat(list(pdfs), ignore_index=True)
-        pdf = pdf.sort_values(["t_us", "seq"])
-        for t, s in zip(pdf["t_us"].to_numpy(), pdf["seq"].to_numpy()):
-            t, s = int(t), int(s)
-            if last_t is not None and (t, s) <= (last_t, last_s):
-                rows.append((k[0], s, t, False, 0, len(log), True))
-                continue
-            while log and log[0] <= t - win:
-                log.popleft()
-            c = len(log)
-            if c < limit:
-                log.append(t)
-                rows.append((k[0], s, t, True, limit - c - 1, c + 1, False))
-            else:
-                rows.append((k[0], s, t, False, 0, c, False))
-            last_t, last_s = t, s
-        state.update((list(log), last_t, last_s))
-        state.setTimeoutTimestamp(((log[-1] if log else last_t) + win) // 1000)
-        yield pd.DataFrame(rows, columns=["key", "seq", "t_us", "allowed", "remaining", "current", "late"])
-
-    return d.groupBy("key").applyInPandasWithState(fold, STREAM_LIMIT_OUT, STREAM_LIMIT_STATE, "append",
+        yield pd.DataFrame(rows, columns=names)
+
+    return d.groupBy("key").applyInPandasWithState(fold, out, "times array<long>, seqs array<long>, memo array<long>", "append",
                                                    GroupStateTimeout.EventTimeTimeout)
 
 
-STREAM_QUOTA_OUT = "key string, seq long, t_us long, allowed boolean, reason string, minute_count int, day_count int, late boolean"
-STREAM_QUOTA_STATE = "ma long, mc int, da long, dc int, last_t long, last_seq long"
+def streaming_sliding_log(events: DataFrame, key: str, ts: str, seq: str, limit: int, window_s: float,
+                          watermark: str = "1 hour") -> DataFrame:
+    """T-01 as a stateful stream; a key's state holds the events ahead of the watermark and at most
+    ``limit`` accepted times."""
+    win = int(window_s * US)
+    return _settled(events, key, ts, seq, watermark, "key string, seq long, t_us long, allowed boolean, remaining int, current int",
+                    lambda memo: SlidingLog(memo, limit, win))
 
 
 def streaming_anchored_quota(events: DataFrame, key: str, ts: str, seq: str, per_minute: int, per_day: int,
                              watermark: str = "1 hour") -> DataFrame:
-    """T-03 as a stateful stream: per tenant (minute anchor, count, day anchor, count); windows
-    start at the first recorded request after expiry; denied requests are not recorded. The
-    state is dropped once the watermark passes the end of the day window."""
-    from ..functions.time import epoch_micros, utc_instant
-    minute, day = 60 * US, 86400 * US
-    d = events.select(F.col(key).cast("string").alias("key"), utc_instant(events, ts).alias("ts"),
-                      epoch_micros(events, ts).alias("t_us"), F.col(seq).cast("long").alias("seq")).withWatermark("ts", watermark)
-
-    def fold(k, pdfs, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        ma, mc, da, dc, last_t, last_s = state.get if state.exists else (None, 0, None, 0, None, None)
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["t_us", "seq"])
-        rows = []
-        for t, s_ in zip(pdf["t_us"].to_numpy(), pdf["seq"].to_numpy()):
-            t, s_ = int(t), int(s_)
-            if last_t is not None and (t, s_) <= (last_t, last_s):
-                rows.append((k[0], s_, t, False, "late", mc, dc, True))
-                continue
-            why = None
-            if ma is not None and t - ma < minute and mc >= per_minute:
-                why = "per_minute"
-            elif da is not None and t - da < day and dc >= per_day:
-                why = "per_day"
-            if why is None:
-                if ma is None or t - ma >= minute:
-                    ma, mc = t, 0
-                if da is None or t - da >= day:
-                    da, dc = t, 0
-                mc, dc = mc + 1, dc + 1
-            rows.append((k[0], s_, t, why is None, why, mc, dc, False))
-            last_t, last_s = t, s_
-        state.update((ma, mc, da, dc, last_t, last_s))
-        state.setTimeoutTimestamp((da + day) // 1000 if da is not None else last_t // 1000)
-        yield pd.DataFrame(rows, columns=["key", "seq", "t_us", "allowed", "reason", "minute_count", "day_count", "late"])
-
-    return d.groupBy("key").applyInPandasWithState(fold, STREAM_QUOTA_OUT, STREAM_QUOTA_STATE, "append",
-                                                   GroupStateTimeout.EventTimeTimeout)
+    """T-03 as a stateful stream: windows start at the first recorded request after expiry; denied
+    requests are not recorded."""
+    return _settled(events, key, ts, seq, watermark,
+                    "key string, seq long, t_us long, allowed boolean, reason string, minute_count int, day_count int",
+                    lambda memo: AnchoredQuota(memo, per_minute, per_day))
 
 
 # ------------------------------------------------------------------ T-04 / T-05 / T-06 / T-07
