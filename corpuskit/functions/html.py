@@ -1,215 +1,102 @@
-"""D-09 / D-12 HTML kernels on the standard-library parser (no third-party HTML library).
+"""D-09 / D-12 HTML rules as native column functions.
 
-Used through ``mapInPandas`` / ``pandas_udf`` so pages stay partitioned and move as Arrow
-batches.
+Pages are read by patterns: elements whose content never counts are cut out with their content,
+break tags become line breaks, other tags go, references are decoded. There is no tree, so nesting of
+any depth and unclosed tags cost nothing; an element left open is cut to the end of the page.
 """
 
 from __future__ import annotations
 
-import re
-from html.parser import HTMLParser
+from functools import reduce
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from .text import col_, py_strip
 
 # Tag sets of the HTML-to-text profiles.
-WIKI_SKIP = {"script", "style", "noscript"}
-WIKI_BREAK = {"p", "div", "br", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6"}
-SITE_DROP = {"script", "style", "nav", "footer", "header"}
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-
-
-class _Wiki(HTMLParser):
-    def __init__(self):
-        super().__init__()
-        self.parts, self.skip = [], False
-
-    def handle_starttag(self, tag, attrs):
-        if tag in WIKI_SKIP:
-            self.skip = True
-        elif tag in WIKI_BREAK:
-            self.parts.append("\n")
-
-    def handle_endtag(self, tag):
-        if tag in WIKI_SKIP:
-            self.skip = False
-
-    def handle_data(self, data):
-        if not self.skip:
-            self.parts.append(data)
-
-
-class _Strip(HTMLParser):
-    def __init__(self):
-        super().__init__()
-        self.parts = []
-
-    def handle_data(self, data):
-        self.parts.append(data)
-
-
-class _Site(HTMLParser):
-    """Drop whole subtrees of SITE_DROP tags; keep stripped text nodes and the title."""
-
-    def __init__(self):
-        super().__init__()
-        self.parts, self.depth, self.stack, self.title, self._in_title = [], 0, [], None, False
-
-    def handle_starttag(self, tag, attrs):
-        if tag in VOID:
-            return
-        self.stack.append(tag)
-        if tag in SITE_DROP:
-            self.depth += 1
-        if tag == "title" and self.title is None:
-            self._in_title = True
-            self.title = ""
-
-    def handle_startendtag(self, tag, attrs):
-        pass
-
-    def handle_endtag(self, tag):
-        if tag in VOID or tag not in self.stack:
-            return
-        while self.stack:
-            t = self.stack.pop()
-            if t in SITE_DROP:
-                self.depth -= 1
-            if t == "title":
-                self._in_title = False
-            if t == tag:
-                break
-
-    def handle_data(self, data):
-        if self._in_title:
-            self.title += data
-        if self.depth == 0:
-            s = data.strip()
-            if s:
-                self.parts.append(s)
-
-
-def html_to_text(html: str | None, profile: str = "wiki") -> tuple[str, str | None]:
-    """Return (text, title). ``title`` is only set by the ``site`` profile."""
-    if html is None:
-        return "", None
+WIKI_SKIP = ("script", "style", "noscript")
+WIKI_BREAK = ("p", "div", "br", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6")
+SITE_DROP = ("script", "style", "nav", "footer", "header")
+# Named character references that are decoded.
+REFERENCES = (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", "\u00a0"), ("copy", "\u00a9"), ("reg", "\u00ae"),
+              ("middot", "\u00b7"), ("hellip", "\u2026"), ("ndash", "\u2013"), ("mdash", "\u2014"), ("lsquo", "\u2018"),
+              ("rsquo", "\u2019"), ("ldquo", "\u201c"), ("rdquo", "\u201d"), ("amp", "&"))
+TAG = r"<[a-zA-Z/!?][^>]*>"
+# Openings of a question.
+QUESTION_STARTS = ("how", "what", "why", "when", "where", "can", "do")
+
+
+def without(html: Column, tags) -> Column:
+    """``html`` without the named elements and their content."""
+    cut = lambda h, t: F.regexp_replace(h, rf"(?is)<{t}\b[^>]*>.*?(?:</{t}\s*>|\z)", "")
+    return reduce(cut, tags, F.regexp_replace(html, r"(?s)<!--.*?(?:-->|\z)", ""))
+
+
+def decoded(text: Column) -> Column:
+    """Numeric references (decimal and hexadecimal), then the named ones."""
+    def numeric(p, i):
+        digits = F.regexp_extract(p, r"^#(?:([0-9]{1,7})|[xX]([0-9a-fA-F]{1,6}));", 1)
+        hexes = F.regexp_extract(p, r"^#(?:([0-9]{1,7})|[xX]([0-9a-fA-F]{1,6}));", 2)
+        code = F.when(digits != "", digits.cast("long")).otherwise(F.conv(hexes, 16, 10).cast("long"))
+        known = (i > 0) & ((digits != "") | (hexes != "")) & (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(known, F.concat(char, F.regexp_replace(p, r"^#[0-9a-fA-FxX]+;", ""))) \
+            .otherwise(F.when(i > 0, F.concat(F.lit("&"), p)).otherwise(p))
+
+    text = F.when(F.contains(text, F.lit("&#")), F.array_join(F.transform(F.split(text, "&", -1), numeric), "")).otherwise(text)
+    return reduce(lambda t, r: F.replace(t, F.lit(f"&{r[0]};"), F.lit(r[1])), REFERENCES, text)
+
+
+def html_title(html) -> Column:
+    """Text of the first title element; NULL if there is none."""
+    h = col_(html)
+    return F.when(h.rlike(r"(?is)<title\b[^>]*>"), decoded(F.regexp_extract(h, r"(?is)<title\b[^>]*>(.*?)(?:</title\s*>|\z)", 1)))
+
+
+def html_to_text(html, profile: str = "wiki") -> Column:
+    """``wiki``: skipped elements out, break tags to line breaks, blank lines squeezed, stripped;
+    ``strip``: tags out; ``site``: dropped elements out, stripped text pieces joined by line breaks.
+    NULL pages give the empty text."""
+    h = F.coalesce(col_(html), F.lit(""))
     if profile == "wiki":
-        p = _Wiki()
-        p.feed(html)
-        p.close()
-        return re.sub(r"\n\s*\n", "\n\n", "".join(p.parts)).strip(), None
+        broken = F.regexp_replace(without(h, WIKI_SKIP), rf"(?i)<(?:{'|'.join(WIKI_BREAK)})\b[^>]*>", "\n")
+        return py_strip(F.regexp_replace(decoded(F.regexp_replace(broken, TAG, "")), r"\n\s*\n", "\n\n"))
     if profile == "strip":
-        p = _Strip()
-        p.feed(html)
-        p.close()
-        return "".join(p.parts), None
+        return decoded(F.regexp_replace(F.regexp_replace(h, r"(?s)<!--.*?(?:-->|\z)", ""), TAG, ""))
     if profile == "site":
-        p = _Site()
-        p.feed(html)
-        p.close()
-        return "\n".join(p.parts), p.title
+        pieces = F.transform(F.split(without(h, SITE_DROP), TAG, -1), lambda p: py_strip(decoded(p)))
+        return F.array_join(F.filter(pieces, lambda p: p != ""), "\n")
     raise ValueError(f"unknown profile {profile}")
 
 
-# ---------------------------------------------------------------- D-12 structural FAQ rules
+def _plain(html: Column) -> Column:
+    """Texts between tags, stripped and put together."""
+    return F.array_join(F.transform(F.split(html, TAG, -1), lambda p: py_strip(decoded(p))), "")
 
-# FAQ structure rules (class / attribute patterns, question openings).
-_CLS_ROOT = re.compile(r"faq|accordion|toggle", re.I)
-_CLS_Q = re.compile(r"question|title|header", re.I)
-_CLS_A = re.compile(r"answer|content|body", re.I)
-_ITEMTYPE = re.compile(r"FAQPage|Question", re.I)
-QUESTION_STARTS = ("how", "what", "why", "when", "where", "can", "do")
+
+def _pairs(h: Column, pattern: str, q: int, a: int, name: str, answer=_plain) -> Column:
+    zipped = F.arrays_zip(F.regexp_extract_all(h, F.lit(pattern), F.lit(q)).alias("q"), F.regexp_extract_all(h, F.lit(pattern), F.lit(a)).alias("a"))
+    return F.transform(zipped, lambda x: F.struct(_plain(x["q"]).alias("q"), answer(x["a"]).alias("a"), F.lit(name).alias("pattern")))
+
+
+def _paragraphs(html: Column) -> Column:
+    """Texts of the paragraphs, joined by a blank, the first 1000 characters."""
+    inner = F.regexp_extract_all(html, F.lit(r"(?is)<p\b[^>]*>(.*?)(?=</p\s*>|<p\b|\z)"), F.lit(1))
+    return F.substring(F.array_join(F.transform(inner, _plain), " "), 1, 1000)
 
 
-class _Node:
-    __slots__ = ("tag", "attrs", "children", "parent")
-
-    def __init__(self, tag, attrs, parent):
-        self.tag, self.attrs, self.children, self.parent = tag, dict(attrs), [], parent
-
-    def text(self) -> str:
-        out = []
-        for c in self.children:
-            out.append(c if isinstance(c, str) else c.text())
-        return "".join(out)
-
-    def elements(self):
-        for c in self.children:
-            if isinstance(c, _Node):
-                yield c
-                yield from c.elements()
-
-    def strings(self):
-        for c in self.children:
-            if isinstance(c, str):
-                yield c
-            else:
-                yield from c.strings()
-
-    def stext(self) -> str:
-        """Text with every string stripped and empty ones dropped, concatenated."""
-        return "".join(x.strip() for x in self.strings() if x.strip())
-
-    def find(self, pred):
-        return next((e for e in self.elements() if pred(e)), None)
-
-
-class _Tree(HTMLParser):
-    def __init__(self):
-        super().__init__()
-        self.root = _Node("[root]", [], None)
-        self.cur = self.root
-
-    def handle_starttag(self, tag, attrs):
-        n = _Node(tag, attrs, self.cur)
-        self.cur.children.append(n)
-        if tag not in VOID:
-            self.cur = n
-
-    def handle_endtag(self, tag):
-        c = self.cur
-        while c is not self.root and c.tag != tag:
-            c = c.parent
-        if c is not self.root:
-            self.cur = c.parent
-
-    def handle_data(self, data):
-        self.cur.children.append(data)
-
-
-def _classes(n: _Node) -> list[str]:
-    return (n.attrs.get("class") or "").split()
-
-
-def faq_from_structure(html: str | None) -> list[tuple[str, str, str]]:
-    """(question, answer, pattern) from schema.org markup, accordion classes and
-    question-like h2-h4 headings followed by paragraphs (up to the next heading)."""
-    if not html:
-        return []
-    t = _Tree()
-    t.feed(html)
-    t.close()
-    out = []
-    for e in t.root.elements():
-        if _ITEMTYPE.search(e.attrs.get("itemtype") or ""):
-            q = e.find(lambda x: x.attrs.get("itemprop") == "name")
-            a = e.find(lambda x: x.attrs.get("itemprop") == "acceptedAnswer")
-            if q and a:
-                out.append((q.stext(), a.stext(), "schema"))
-    for e in t.root.elements():
-        if any(_CLS_ROOT.search(c) for c in _classes(e)):
-            q = e.find(lambda x: any(_CLS_Q.search(c) for c in _classes(x)))
-            a = e.find(lambda x: any(_CLS_A.search(c) for c in _classes(x)))
-            if q and a:
-                out.append((q.stext(), a.stext(), "accordion"))
-    for e in t.root.elements():
-        if e.tag in ("h2", "h3", "h4"):
-            h = e.stext()
-            if "?" in h or h.lower().startswith(QUESTION_STARTS):
-                sibs = [s for s in e.parent.children if isinstance(s, _Node)]
-                parts = []
-                for s in sibs[sibs.index(e) + 1:]:
-                    if s.tag in ("h1", "h2", "h3", "h4"):
-                        break
-                    if s.tag == "p":
-                        parts.append(s.stext())
-                if parts:
-                    out.append((h, " ".join(parts)[:1000], "heading"))
-    return out
+def faq_blocks(html) -> Column:
+    """(q, a, pattern) from schema markup (a name followed by an accepted answer), from accordions (an
+    element with a question, title or header class followed by one with an answer, content or body
+    class) and from question-like h2-h4 headings with the paragraphs up to the next heading."""
+    h = F.coalesce(col_(html), F.lit(""))
+    named = lambda words: rf"""<\w+\b[^>]*\bclass\s*=\s*["'][^"']*(?:{words})[^"']*["'][^>]*>"""
+    schema = _pairs(h, r"""(?is)itemprop\s*=\s*["']name["'][^>]*>(.*?)</(?:(?!itemprop).)*?itemprop\s*=\s*["']acceptedAnswer["'][^>]*>(.*?)</(?:div|section|li)\s*>""",
+                    1, 2, "schema")
+    accordion = F.when(h.rlike(r"""(?i)class\s*=\s*["'][^"']*(?:faq|accordion|toggle)"""), _pairs(
+        h, rf"(?is){named('question|title|header')}(.*?)</\w+\s*>\s*{named('answer|content|body')}(.*?)</(?:div|section|dd|li|p)\s*>", 1, 2, "accordion"))
+    headings = _pairs(h, r"(?is)<h([234])\b[^>]*>(.*?)</h\1\s*>(.*?)(?=<h[1-4]\b|\z)", 2, 3, "heading", _paragraphs)
+    asks = F.filter(headings, lambda x: (x["a"] != "") & (F.contains(x["q"], F.lit("?")) | F.lower(x["q"]).rlike(f"^(?:{'|'.join(QUESTION_STARTS)})")))
+    none = F.array().cast("array<struct<q:string,a:string,pattern:string>>")
+    return F.concat(schema, F.coalesce(accordion, none), asks)

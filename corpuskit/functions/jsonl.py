@@ -1,37 +1,24 @@
-"""Strict JSON-line validity.
+"""Strict JSON-line validity, on the JVM.
 
 Spark's JSON parsers read the first JSON value of a string and ignore what follows
-(``'123 abc'`` and ``'{"a": 1} junk'`` parse), while a JSON-lines record must be exactly one
-value. Validity is therefore decided by the standard-library parser in an Arrow-batched
-kernel; the fields are then read by Spark from the accepted lines.
+(``'123 abc'`` parses), while a JSON-lines record must be exactly one value. A line is one value when
+it makes an array of one element between brackets and an object of one key after ``{"v":``.
 """
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .text import col_
 
 
-def _ok(s) -> bool:
-    if s is None:
-        return False
-    try:
-        json.loads(s)
-        return True
-    except ValueError:
-        return False
-
-
-@F.pandas_udf(T.BooleanType())
-def json_valid(lines: pd.Series) -> pd.Series:
-    """True when the whole string is exactly one JSON value."""
-    return lines.map(_ok).astype(bool)
+def json_valid(line) -> Column:
+    """True when the whole string is exactly one JSON value; NULL and blank strings are not."""
+    line = col_(line)
+    in_array = F.json_array_length(F.concat(F.lit("["), line, F.lit("]"))) == 1
+    in_object = F.size(F.json_object_keys(F.concat(F.lit('{"v":'), line, F.lit("}")))) == 1
+    return F.coalesce(in_array & in_object, F.lit(False))
 
 
 def parse_json_strict(c) -> Column:

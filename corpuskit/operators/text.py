@@ -12,9 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.chunking import chunk_udf
-from ..functions.html import faq_from_structure, html_to_text
+from ..functions.html import faq_blocks, html_title, html_to_text
 from ..functions.text import col_, metric_tokens, py_strip
-from ..session import spread
 
 
 # ------------------------------------------------------------------ chunking (D-01 ... D-06)
@@ -28,7 +27,7 @@ def chunk_documents(docs: DataFrame, id_col: str, text_col: str, profile: str =
     arr = chunk_udf(profile, size, overlap)(F.col(text_col))
     src = F.col(source_col).cast("string") if source_col else F.col(id_col).cast("string")
     extra = list(metadata_cols)
-    d = spread(docs).select(F.col(id_col).alias("doc_id"), src.alias("source"), arr.alias("_c"), *extra)
+    d = docs.select(F.col(id_col).alias("doc_id"), src.alias("source"), arr.alias("_c"), *extra)
     d = d.select("doc_id", "source", *extra, F.size("_c").alias("total_chunks"),
                  F.posexplode("_c").alias("chunk_index", "content"))
     cid = F.substring(F.md5(F.concat_ws(":", "source", F.col("chunk_index").cast("string"),
@@ -41,12 +40,11 @@ def chunk_documents(docs: DataFrame, id_col: str, text_col: str, profile: str =
 
 def fixed_chunks(docs: DataFrame, name_col: str, text_col: str, size: int) -> DataFrame:
     """D-03: fixed-size chunks without overlap; input "Document: name (chunk i)" (1-based)."""
-    t = F.col(text_col)
-    starts = F.when(F.length(t) > 0, F.sequence(F.lit(1), F.length(t), F.lit(size))).otherwise(F.array().cast("array<int>"))
-    d = docs.select(F.col(name_col).alias("name"), t.alias("_t"), F.size(starts).alias("total_chunks"),
-                    F.posexplode(starts).alias("chunk_index", "_s"))
+    pieces = F.regexp_extract_all(F.col(text_col), F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    d = docs.select(F.col(name_col).alias("name"), pieces.alias("_p"))
+    d = d.select("name", F.size("_p").alias("total_chunks"), F.posexplode("_p").alias("chunk_index", "output"))
     return d.select(F.format_string("Document: %s (chunk %d)", F.col("name"), F.col("chunk_index") + 1).alias("input"),
-                    F.substring("_t", F.col("_s"), F.lit(size)).alias("output"), "name", "chunk_index", "total_chunks")
+                    "output", "name", "chunk_index", "total_chunks")
 
 
 def paragraph_samples(docs: DataFrame, title_col: str, text_col: str, min_length: int = 50) -> DataFrame:
@@ -76,41 +74,20 @@ def document_samples(docs: DataFrame, title_col: str, text_col: str, min_length:
 
 # ------------------------------------------------------------------ HTML (D-09, D-12)
 
-_HTML_SCHEMA = "page_id long, text string, title string"
-
-
 def html_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", profile: str = "wiki",
               url_col: str | None = None) -> DataFrame:
-    """D-09: HTML -> text per page (profiles wiki / strip / site). ``site`` also returns the
-    title, falling back to the URL."""
-    cols = [F.col(id_col).cast("long").alias("page_id"), F.col(html_col).alias("html")]
-
-    def run(it):
-        for pdf in it:
-            res = [html_to_text(h, profile) for h in pdf["html"]]
-            yield pd.DataFrame({"page_id": pdf["page_id"], "text": [r[0] for r in res], "title": [r[1] for r in res]})
-
-    out = spread(pages.select(*cols)).mapInPandas(run, _HTML_SCHEMA)
+    """D-09: HTML -> text per page (profiles wiki / strip / site), in native functions. ``site``
+    also returns the title, falling back to the URL."""
+    title = html_title(html_col) if profile == "site" else F.lit(None).cast("string")
     if url_col and profile == "site":
-        out = out.join(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("_url")), "page_id") \
-            .withColumn("title", F.coalesce("title", "_url")).drop("_url")
-    return out
-
-
-_FAQ_SCHEMA = "page_id long, input string, output string, pattern string, k int"
+        title = F.coalesce(title, F.col(url_col))
+    return pages.select(F.col(id_col).cast("long").alias("page_id"), html_to_text(html_col, profile).alias("text"), title.alias("title"))
 
 
 def faq_structure(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """D-12 structural part (schema markup, accordions, question headings), Arrow kernel."""
-    def run(it):
-        for pdf in it:
-            rows = []
-            for pid, h in zip(pdf["page_id"], pdf["html"]):
-                for k, (q, a, pat) in enumerate(faq_from_structure(h)):
-                    rows.append((pid, q, a, pat, k))
-            yield pd.DataFrame(rows, columns=["page_id", "input", "output", "pattern", "k"])
-
-    return spread(pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).alias("html"))).mapInPandas(run, _FAQ_SCHEMA)
+    """D-12 structural part: schema markup, accordions and question headings."""
+    d = pages.select(F.col(id_col).cast("long").alias("page_id"), F.posexplode(faq_blocks(html_col)).alias("k", "x"))
+    return d.select("page_id", F.col("x.q").alias("input"), F.col("x.a").alias("output"), F.col("x.pattern").alias("pattern"), "k")
 
 
 # Fixed values: "Q: ... A: ..." text pattern of the FAQ miner.
@@ -281,31 +258,12 @@ def manual_sections(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         "doc_id", "sec", "title", py_strip(F.coalesce("content", F.lit(""))).alias("content"))
 
 
-# Default question rules (our own wording). Title classes are tried in order;
-# "{a}" is the title lower-cased with "_" / "-" as spaces, "{t}" the lower-cased title.
-DEFAULT_TITLE_RULES = [
-    ("install", ["How is it installed?", "Which installation steps are needed?", "How is the system set up?"]),
-    ("troubleshoot|problem", ["How can issues be diagnosed?", "What helps when something fails?", "How are common faults fixed?"]),
-    ("config|setting", ["How is the system configured?", "Which options can be configured?", "How are settings changed?"]),
-    ("api|endpoint", ["Which API endpoints exist?", "How is the API called?", "What format does the API use?"]),
-    ("require", ["What does the system require?", "What is needed before running it?", "Which prerequisites apply?"]),
-    ("error", ["What does this error indicate?", "How are errors resolved?", "What leads to these errors?"]),
-]
-DEFAULT_GENERIC = ["What is {a}?", "How does {a} work?", "Could you explain {a}?"]
-DEFAULT_CUES = [(r"(?i)step|\d+\.\s", "Which steps does {t} involve?"), (r"(?i)command|```", "Which commands are needed?")]
-
-
-def questions_for_sections(sections: DataFrame, k: int = 3, min_len: int = 50, title_rules=None,
-                           generic=None, cues=None) -> DataFrame:
+def questions_for_sections(sections: DataFrame, title_rules, generic, cues=(), k: int = 3, min_len: int = 50) -> DataFrame:
     """D-16: questions for each section long enough: the templates of the first title class
-    whose keyword pattern matches the lower-cased title (else the generic ones), followed by
-    content-cue questions (steps, commands); the first ``k`` are kept. All in-row: the rule
-    table is small, size-checked and compiled into the expression."""
-    rules = list(title_rules or DEFAULT_TITLE_RULES)
-    generic = list(generic or DEFAULT_GENERIC)
-    cues = list(cues or DEFAULT_CUES)
-    if len(rules) + len(cues) > 10_000:
-        raise ValueError("question rule table too large to embed")
+    whose keyword pattern matches the lower-cased title (else the ``generic`` ones), followed by
+    content-cue questions; the first ``k`` are kept. ``title_rules``: (pattern, templates) pairs;
+    ``cues``: (pattern, template) pairs. In a template "{a}" is the title lower-cased with "_" / "-"
+    as spaces, "{t}" the lower-cased title. All in-row: the rules are compiled into the expression."""
     s = sections.filter(F.length("content") >= min_len)
     tl = F.lower(F.col("title"))
     act = F.regexp_replace(tl, "[_-]", " ")
@@ -314,7 +272,7 @@ def questions_for_sections(sections: DataFrame, k: int = 3, min_len: int = 50, t
         return F.replace(F.replace(F.lit(t), F.lit("{a}"), act), F.lit("{t}"), tl)
 
     by_class = None
-    for pat, tpls in rules:
+    for pat, tpls in title_rules:
         arr = F.array(*[fill(t) for t in tpls])
         by_class = F.when(tl.rlike(pat), arr) if by_class is None else by_class.when(tl.rlike(pat), arr)
     base = (by_class.otherwise(F.array(*[fill(t) for t in generic])) if by_class is not None
@@ -411,19 +369,29 @@ def markdown_recipe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def best_snippet(df: DataFrame, text_col: str, query_col: str, width: int = 200, step: int = 50) -> DataFrame:
     """D-22: the ``width``-char window (start step ``step``) holding the most query tokens
-    (substring test on lower-cased text; first best wins), with "..." at cut ends."""
-    d = spread(df).withColumn("_lt", F.lower(F.col(text_col))).withColumn("_qt", metric_tokens(query_col))
-    t, lt, toks = F.col(text_col), F.col("_lt"), F.col("_qt")
+    (substring test on lower-cased text; first best wins), with "..." at cut ends. ``width`` is a
+    multiple of ``step``: the text is cut into pieces once, and a window is a run of them."""
+    if width % step:
+        raise ValueError("width must be a multiple of step")
+    d = df.withColumn("_qt", metric_tokens(query_col))
+    t, toks = F.col(text_col), F.col("_qt")
     n = F.length(t)
-    starts = F.when(n - width > 0, F.sequence(F.lit(0), n - width - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    scored = F.transform(starts, lambda s: F.struct(
-        F.size(F.filter(toks, lambda k: F.contains(F.substring(lt, s + 1, width), k))).alias("c"), (-s).alias("ns"), s.alias("s")))
-    best = F.array_max(F.filter(scored, lambda x: x["c"] > 0))
-    start = F.coalesce(best["s"], F.lit(0))
-    snip = F.substring(t, start + 1, width)
-    snip = F.when(start > 0, F.concat(F.lit("..."), snip)).otherwise(snip)
-    snip = F.when(start + width < n, F.concat(snip, F.lit("..."))).otherwise(snip)
-    return d.withColumn("snippet", snip).drop("_lt", "_qt")
+    pieces = F.regexp_extract_all(t, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    lows = F.transform(pieces, lambda p: F.lower(p))
+    last = F.ceil((n - width) / step).cast("int")  # number of window starts
+
+    def scored(parts):
+        def one(i):
+            low = F.array_join(F.slice(parts, i + 1, width // step), "")
+            return F.struct(F.size(F.filter(toks, lambda k: F.contains(low, k))).alias("c"), (-i).alias("ns"), i.alias("s"))
+        return F.transform(F.sequence(F.lit(0), last - 1), one)
+
+    best = F.array_max(F.filter(F.element_at(F.transform(F.array(lows), scored), 1), lambda x: x["c"] > 0))
+    d = d.withColumn("_s", F.when(last > 0, F.coalesce(best["s"], F.lit(0))).otherwise(0) * step)
+    snip = F.substring(t, F.col("_s") + 1, F.lit(width))
+    snip = F.when(F.col("_s") > 0, F.concat(F.lit("..."), snip)).otherwise(snip)
+    snip = F.when(F.col("_s") + width < n, F.concat(snip, F.lit("..."))).otherwise(snip)
+    return d.withColumn("snippet", snip).drop("_s", "_qt")
 
 
 # ------------------------------------------------------------------ block lists / doc structure (D-17, D-18)

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import html as H
 from ..functions.text import normalize_text
 from ..operators import text as D
+from ..operators.ordered import positional_index
+from ..operators.relate import with_one_row
 from ..session import table
 from .catalog import register
 
@@ -153,18 +156,48 @@ def long_paragraphs(spark, sf):
     return p.select("doc_id", "k", F.md5("p").alias("p_md5"), "input")
 
 
-@register("page_text_wiki")
+def _without_sql(e, tags):
+    e = f"regexp_replace({e}, '(?s)<!--.*?(?:-->|\\z)', '', 'g')"
+    for t in tags:
+        e = f"regexp_replace({e}, '(?is)<{t}\\b[^>]*>.*?(?:</{t}\\s*>|\\z)', '', 'g')"
+    return e
+
+
+def _decoded_sql(e):
+    for name, char in H.REFERENCES:
+        e = f"replace({e}, '&{name};', {sql_char(char)})"
+    return e
+
+
+def sql_char(c):
+    return f"chr({ord(c)})"
+
+
+TAG_SQL = "'" + H.TAG + "'"
+
+
+@register("page_text_wiki", f"""
+WITH t AS (SELECT page_id, {_without_sql("coalesce(html, '')", H.WIKI_SKIP)} AS h FROM pages),
+b AS (SELECT page_id, regexp_replace(h, '(?i)<(?:{"|".join(H.WIKI_BREAK)})\\b[^>]*>', chr(10), 'g') AS h FROM t),
+d AS (SELECT page_id, {_decoded_sql(f"regexp_replace(h, {TAG_SQL}, '', 'g')")} AS h FROM b),
+s AS (SELECT page_id, {sql_strip("regexp_replace(h, '\\n\\s*\\n', chr(10) || chr(10), 'g')")} AS text FROM d)
+SELECT page_id, CAST(length(text) AS INTEGER) AS n_chars, md5(text) AS text_md5 FROM s""")
 def page_text_wiki(spark, sf):
-    """D-09 wiki profile over every page (HTML parser kernel; pytest fixes the rules)."""
+    """D-09 wiki profile over every page."""
     t = D.html_text(table(spark, sf, "pages"), profile="wiki")
     return t.select("page_id", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
-@register("page_text_site")
+@register("page_text_site", f"""
+WITH t AS (SELECT page_id, url, html, {_without_sql("coalesce(html, '')", H.SITE_DROP)} AS h FROM pages),
+p AS (SELECT page_id, url, html, list_filter(list_transform(string_split_regex(h, {TAG_SQL}), lambda x: {sql_strip(_decoded_sql('x'))}), lambda x: x <> '') AS ps FROM t),
+s AS (SELECT page_id, array_to_string(ps, chr(10)) AS text, CASE WHEN regexp_matches(html, '(?is)<title\\b[^>]*>')
+  THEN {_decoded_sql("regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)(?:</title\\s*>|\\z)', 1)")} ELSE url END AS title FROM p)
+SELECT page_id, title, CAST(length(text) AS INTEGER) AS n_chars, md5(text) AS text_md5 FROM s""")
 def page_text_site(spark, sf):
     """D-09 site profile (nav/header/footer/script/style dropped) with title else URL."""
     t = D.html_text(table(spark, sf, "pages"), profile="site", url_col="url")
-    return t.select("page_id", "title", F.length("text").alias("n_chars"))
+    return t.select("page_id", "title", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
 @register("page_faq")
@@ -206,20 +239,23 @@ def page_url_ids(spark, sf):
 
 
 @register("document_snippets", """
-WITH d AS (SELECT doc_id, text, lower(text) AS lt, length(text) AS n,
-  list_filter(string_split_regex(trim(regexp_replace(trim(lower(coalesce(concat_ws(' ', lang, array_to_string(string_split(text, ' ')[1:2], ' ')), ''))),
-    '[^\\p{L}\\p{N}_\\s'']', ' ', 'g')), '\\s+'), lambda t: t <> '') AS qt FROM documents),
+WITH b AS (SELECT item_id, text AS q, row_number() OVER (ORDER BY item_id) - 1 AS k, count(*) OVER () AS nb FROM benchmark),
+d AS (SELECT doc_id, d.text, length(d.text) AS n,
+  list_filter(string_split_regex(trim(regexp_replace(trim(lower(coalesce(b.q, ''))), '[^\\p{L}\\p{N}_\\s'']', ' ', 'g')), '\\s+'), lambda t: t <> '') AS qt
+  FROM documents d JOIN b ON d.doc_id % b.nb = b.k),
 w AS (SELECT doc_id, text, n, list_filter(list_transform(CASE WHEN n - 200 > 0 THEN range(0, n - 200, 50) ELSE [] END,
-        lambda s: struct_pack(c := len(list_filter(qt, lambda k: contains(substr(lt, s + 1, 200), k))), ns := -s, s := s)),
+        lambda s: struct_pack(c := len(list_filter(qt, lambda k: contains(lower(substr(text, s + 1, 200)), k))), ns := -s, s := s)),
         lambda x: x.c > 0) AS scored FROM d),
-b AS (SELECT doc_id, text, n, coalesce(list_max(scored).s, 0) AS st FROM w)
+b2 AS (SELECT doc_id, text, n, coalesce(list_max(scored).s, 0) AS st FROM w)
 SELECT doc_id, CAST(length(snip) AS INTEGER) AS snippet_len, md5(snip) AS snippet_md5 FROM (
-  SELECT doc_id, CASE WHEN st > 0 THEN '...' ELSE '' END || substr(text, st + 1, 200) || CASE WHEN st + 200 < n THEN '...' ELSE '' END AS snip FROM b)""")
+  SELECT doc_id, CASE WHEN st > 0 THEN '...' ELSE '' END || substr(text, st + 1, 200) || CASE WHEN st + 200 < n THEN '...' ELSE '' END AS snip FROM b2)""")
 def document_snippets(spark, sf):
-    """D-22 best 200-char snippet per document for a query made of its language code and
-    its first two words."""
-    d = table(spark, sf, "documents").select("doc_id", "text", F.concat_ws(" ", "lang", F.substring_index("text", " ", 2)).alias("q"))
-    s = D.best_snippet(d, "text", "q")
+    """D-22 best 200-char snippet per document for a whole benchmark text (dealt round by doc_id)."""
+    bench = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("q"))
+    b = positional_index(bench, "item_id", "k")
+    n = bench.agg(F.count(F.lit(1)).alias("nb"))
+    d = with_one_row(table(spark, sf, "documents").select("doc_id", "text"), n).withColumn("k", F.col("doc_id") % F.col("nb"))
+    s = D.best_snippet(d.join(b, "k"), "text", "q")
     return s.select("doc_id", F.length("snippet").alias("snippet_len"), F.md5("snippet").alias("snippet_md5"))
 
 

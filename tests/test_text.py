@@ -1,7 +1,6 @@
 from pyspark.sql import functions as F
 
 from corpuskit.functions.chunking import chunk_text
-from corpuskit.functions.html import faq_from_structure, html_to_text
 from corpuskit.operators import text as D
 
 
@@ -37,25 +36,32 @@ def test_chunk_documents_ids(spark):
     assert {r.total_chunks for r in c} == {len(c)}
 
 
-def test_html_profiles():
+def _html(spark, h, profile):
+    return D.html_text(spark.createDataFrame([(1, h)], "page_id long, html string"), profile=profile).first()
+
+
+def test_html_profiles(spark):
     h = "<html><head><title>T</title><style>x{}</style></head><body><nav>menu</nav><p>One &amp; two</p><div>three</div><script>bad()</script><footer>f</footer></body></html>"
-    wiki, _ = html_to_text(h, "wiki")
+    wiki = _html(spark, h, "wiki").text
     assert "bad()" not in wiki and "x{}" not in wiki and "One & two" in wiki and "menu" in wiki
-    site, title = html_to_text(h, "site")
-    assert site.split("\n") == ["T", "One & two", "three"] and title == "T"
-    strip, _ = html_to_text("<b>a</b> <i>b</i>", "strip")
-    assert strip == "a b"
+    site = _html(spark, h, "site")
+    assert site.text.split("\n") == ["T", "One & two", "three"] and site.title == "T"
+    assert _html(spark, "<b>a</b> <i>b</i>", "strip").text == "a b"
+
 
+def test_html_references_and_broken_pages(spark):
+    assert _html(spark, "&#233;&#x1F600;&lt;b&gt; &amp;lt; &#xD800; & &#0; &unknown;", "strip").text == "é😀<b> &lt; &#xD800; & &#0; &unknown;"
+    assert _html(spark, "<li>" * 1500 + "x" + "<div>" * 3000 + "y<![foo[x]]>", "wiki").text.split() == ["x", "y"]
+    assert _html(spark, "a<script>open", "wiki").text == "a" and _html(spark, "a<!-- open", "site").text == "a"
 
-def test_faq_structure_rules():
+
+def test_faq_structure_rules(spark):
     h = """<div itemscope itemtype="https://schema.org/Question"><span itemprop="name">What is X?</span>
     <div itemprop="acceptedAnswer"><p>X is a thing.</p></div></div>
     <div class="faq-item"><div class="question">Q one</div><div class="answer">A one</div></div>
     <h2>How do I start?</h2><p>Open the app.</p><p>Then click.</p><h2>Other</h2><p>no</p>"""
-    got = faq_from_structure(h)
-    assert ("What is X?", "X is a thing.", "schema") in got
-    assert ("Q one", "A one", "accordion") in got
-    assert ("How do I start?", "Open the app. Then click.", "heading") in got
+    got = {(r.input, r.output, r.pattern) for r in D.faq_structure(spark.createDataFrame([(1, h)], "page_id long, html string")).collect()}
+    assert got == {("What is X?", "X is a thing.", "schema"), ("Q one", "A one", "accordion"), ("How do I start?", "Open the app. Then click.", "heading")}
 
 
 def test_faq_text_pattern(spark):
@@ -97,6 +103,11 @@ def test_line_qa_and_markdown_qa(spark):
     assert not any(x[0] == "Notes" for x in got)
 
 
+TITLE_RULES = [("install", ["Setting up?", "First run?", "Later?"]), ("trouble|fault", ["Broken?", "Stuck?"])]
+GENERIC = ["About {a}?", "More on {a}?", "{t}, again?"]
+CUES = [(r"(?i)step|\d+\.\s", "Steps of {t}?"), (r"(?i)command|```", "Commands?")]
+
+
 def test_manual_sections_and_questions(spark):
     t = ("preface dropped\nINSTALLATION\nrun the installer now\nTroubleshooting\n===\nif it fails, restart\n"
          "2. Safety rules\nwear gloves\n## Empty\nLAST\n\n")
@@ -106,17 +117,17 @@ def test_manual_sections_and_questions(spark):
     assert s == {"INSTALLATION": "run the installer now", "Troubleshooting": "if it fails, restart", "2.": "wear gloves",
                  "LAST": ""}
     secs = D.manual_sections(d, "doc_id", "text")
-    q = D.questions_for_sections(secs, k=2, min_len=5).collect()
+    q = D.questions_for_sections(secs, TITLE_RULES, GENERIC, CUES, k=2, min_len=5).collect()
     by = {}
     for r in q:
         by.setdefault(r.title, []).append((r.q, r.input))
-    assert [x for _, x in sorted(by["INSTALLATION"])] == ["How is it installed?", "Which installation steps are needed?"]
-    assert [x for _, x in sorted(by["Troubleshooting"])] == ["How can issues be diagnosed?", "What helps when something fails?"]
-    q4 = D.questions_for_sections(secs, k=4, min_len=5).collect()
-    assert "Which commands are needed?" not in {r.input for r in q4}
+    assert [x for _, x in sorted(by["INSTALLATION"])] == ["Setting up?", "First run?"]
+    assert [x for _, x in sorted(by["Troubleshooting"])] == ["Broken?", "Stuck?"]
+    q4 = D.questions_for_sections(secs, TITLE_RULES, GENERIC, CUES, k=4, min_len=5).collect()
+    assert "Commands?" not in {r.input for r in q4}
     cmd = spark.createDataFrame([(1, 1, "Usage", "run the command now")], "doc_id long, sec int, title string, content string")
-    got = [r.input for r in D.questions_for_sections(cmd, k=4, min_len=5).orderBy("q").collect()]
-    assert got == ["What is usage?", "How does usage work?", "Could you explain usage?", "Which commands are needed?"]
+    got = [r.input for r in D.questions_for_sections(cmd, TITLE_RULES, GENERIC, CUES, k=4, min_len=5).orderBy("q").collect()]
+    assert got == ["About usage?", "More on usage?", "usage, again?", "Commands?"]
 
 
 def test_markdown_recipe(spark):
@@ -126,20 +137,15 @@ def test_markdown_recipe(spark):
     assert got == [("What is Setup?", "Install it."), ("What is Usage guide?", "Run it.")]
 
 
-def test_best_snippet_against_loop(spark):
-    text = ("lorem ipsum " * 30) + "alpha beta gamma " + ("dolor sit " * 30)
-    q = "alpha gamma"
-    d = spark.createDataFrame([(text, q)], "text string, q string")
-    got = D.best_snippet(d, "text", "q").first().snippet
-    toks = q.lower().split()
-    best_start, best = 0, 0
-    for i in range(0, len(text) - 200, 50):
-        c = sum(1 for t in toks if t in text.lower()[i:i + 200])
-        if c > best:
-            best, best_start = c, i
-    exp = text[best_start:best_start + 200]
-    exp = ("..." if best_start > 0 else "") + exp + ("..." if best_start + 200 < len(text) else "")
-    assert got == exp
+def test_best_snippet_scores_every_window(spark):
+    """All windows are scored; the winner is the first in (most tokens, earliest start)."""
+    texts = [("lorem ipsum " * 30) + "alpha beta gamma " + ("dolor sit " * 30), "alpha " * 20, "x" * 900, ("gamma " + "y" * 190) * 4, "a" * 200]
+    d = spark.createDataFrame([(t, "alpha gamma") for t in texts], "text string, q string")
+    for r in D.best_snippet(d, "text", "q").collect():
+        t = r.text
+        windows = {s: sum(k in t[s:s + 200].lower() for k in ("alpha", "gamma")) for s in range(0, max(len(t) - 200, 0), 50)}
+        start = min(windows, key=lambda s: (-windows[s], s), default=0)
+        assert r.snippet == "..." * (start > 0) + t[start:start + 200] + "..." * (start + 200 < len(t))
 
 
 def test_url_kinds(spark):
