@@ -1,148 +1,57 @@
-"""Question -> knowledge-base matching (J-13, J-14, A-24).
+"""Question -> knowledge-base matching (J-13, J-14, A-24), in native functions.
 
-The knowledge base (KB) is the broadcast side: its row count is checked, and above the bound
-it is processed in bounded blocks whose per-question winners are merged (max score, then KB
-order), so the answer is exact for any KB size. Questions stay distributed; each task scores
-its questions against the KB in an Arrow-batched kernel and emits only the best match, never
-the pairs. Exact scores are computed only when difflib's cheap upper bound could beat the
-current best.
+Candidates share a keyword (a word of more than three characters) with the question: an equi-join
+on words, both sides distinct, the question side salted so that a frequent word is dealt over
+several tasks. The join's rows are counted per (question, entry), so word overlap comes with them;
+the edit similarity 1 - levenshtein / longer length is computed once per candidate. Entries that
+share no keyword are no candidates (there is no comparison with the whole knowledge base).
 """
 
 from __future__ import annotations
 
-import difflib
-import re
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_KB_BLOCK = 50_000
-_WORD = re.compile(r"\b\w+\b")
-_OUT = "qid long, kb_order long, score double, has_candidates boolean"
-
-
-def _words(s: str) -> set:
-    return set(_WORD.findall(s))
-
-
-def _best(q: str, kb: list, mode: str, hist=None, vocab=None, lens=None):
-    """Best (kb_order, score, has_candidates) of one question against a KB block.
-
-    mode ``ratio`` (J-14): difflib ratio of lower-cased (``ratio_strip``: also stripped)
-    texts. mode ``keyword`` (J-13): candidates share a keyword (> 3 chars) with the question,
-    else every entry; score = .7 ratio + .3 word overlap. Ties keep the earlier entry.
-
-    difflib's ``quick_ratio`` (character-multiset overlap) bounds ``ratio`` from above; it is
-    computed for the whole block at once from character histograms, and exact ratios are
-    computed best-bound-first until no remaining bound can win.
-    """
-    ql = q.lower().strip() if mode == "ratio_strip" else q.lower()
-    qw = _words(ql) if mode == "keyword" else None
-    idx = np.arange(len(kb))
-    has = True
-    if mode == "keyword":
-        c = np.array([i for i, e in enumerate(kb) if qw & e[3]], dtype=np.int64)
-        has = c.size > 0
-        if has:
-            idx = c
-    if idx.size == 0:
-        return None, 0.0, has
-    qh = np.zeros(len(vocab) + 1, dtype=np.int32)
-    for ch in ql:
-        qh[vocab.get(ch, len(vocab))] += 1
-    qh[len(vocab)] = 0  # characters absent from the block cannot match
-    inter = np.minimum(hist[idx], qh).sum(axis=1)
-    denom = lens[idx] + len(ql)
-    ub = np.where(denom > 0, 2.0 * inter / np.maximum(denom, 1), 1.0)
-    ov = np.array([len(qw & kb[i][2]) / max(len(qw), 1) for i in idx]) if mode == "keyword" else np.zeros(idx.size)
-    if mode == "keyword":
-        ub = 0.7 * ub + 0.3 * ov
-    order = np.lexsort((np.array([kb[i][0] for i in idx]), -ub))
-    best_s, best_o = 0.0, None
-    for j in order:
-        e = kb[idx[j]]
-        if ub[j] < best_s or (ub[j] == best_s and best_o is not None and e[0] > best_o):
-            break
-        sm = e[4]
-        sm.set_seq1(ql)  # a = question, b = KB text (its index is built once per task)
-        s = 0.7 * sm.ratio() + 0.3 * ov[j] if mode == "keyword" else sm.ratio()
-        if s > best_s or (s == best_s and best_o is not None and e[0] < best_o):
-            best_s, best_o = s, e[0]
-    return best_o, best_s, has
-
-
-def _prepare(kb_rows, mode):
-    prepared = []
-    for order, text in kb_rows:
-        low = (text or "").lower()
-        low = low.strip() if mode == "ratio_strip" else low
-        words = _words(low) if mode == "keyword" else set()
-        prepared.append((order, low, words, {w for w in words if len(w) > 3}, difflib.SequenceMatcher(None, "", low)))
-    vocab = {}
-    for e in prepared:
-        for ch in e[1]:
-            vocab.setdefault(ch, len(vocab))
-    hist = np.zeros((len(prepared), len(vocab) + 1), dtype=np.int32)
-    for i, e in enumerate(prepared):
-        for ch in e[1]:
-            hist[i, vocab[ch]] += 1
-    lens = np.array([len(e[1]) for e in prepared], dtype=np.int64)
-    return prepared, hist, vocab, lens
-
+from ..functions.text import py_strip
+from .search import SALTS, WORD
 
-def _kernel(bkb, mode):
-    """``bkb``: broadcast variable with the KB block rows (shipped once per executor); the
-    matchers and character histograms are built once per task."""
-    def run(it):
-        prepared, hist, vocab, lens = _prepare(bkb.value, mode)
-        for pdf in it:
-            res = [_best(q or "", prepared, mode, hist, vocab, lens) for q in pdf["q"]]
-            yield pd.DataFrame({"qid": pdf["qid"].astype("int64"), "kb_order": [r[0] for r in res],
-                                "score": [float(r[1]) for r in res], "has_candidates": [r[2] for r in res]})
-    return run
+KEYWORD = 4  #: least characters of a keyword
 
 
 def match(questions: DataFrame, kb: DataFrame, qid: str, q_col: str, kb_order: str, kb_q_col: str,
-          mode: str = "ratio", max_block: int = MAX_KB_BLOCK) -> DataFrame:
-    """Best KB entry per question: ``qid, kb_order, score`` (kb_order NULL when every score is 0)."""
-    k = kb.select(F.col(kb_order).cast("long").alias("o"), F.col(kb_q_col).alias("t"))
-    n = k.count()
-    from ..session import spread
-    q = spread(questions.select(F.col(qid).cast("long").alias("qid"), F.col(q_col).alias("q")), 4)
-    parts = []
-    for b in range(max(1, (n + max_block - 1) // max_block)):
-        blk = k.orderBy("o").offset(b * max_block).limit(max_block) if n > max_block else k
-        rows = [(r.o, r.t) for r in blk.collect()]  # bounded by max_block
-        from ..session import broadcast_value
-        bkb = broadcast_value(questions.sparkSession, rows)
-        parts.append(q.mapInPandas(_kernel(bkb, mode), _OUT))
-    allp = parts[0]
-    for p in parts[1:]:
-        allp = allp.unionByName(p)
-    if len(parts) == 1:
-        return allp.drop("has_candidates")
-    # J-13 across blocks: only blocks that had keyword candidates count, if any did
-    pref = allp.groupBy("qid").agg(F.max(F.col("has_candidates").cast("int")).alias("_any"))
-    allp = allp.join(pref, "qid").filter((F.col("_any") == 0) | F.col("has_candidates"))
-    return allp.groupBy("qid").agg(F.max_by(F.struct("kb_order", "score"), F.struct("score", -F.col("kb_order"))).alias("b")) \
-        .select("qid", "b.kb_order", "b.score")
+          mode: str = "ratio") -> DataFrame:
+    """Best entry per question with a candidate: ``qid, kb_order, score``; ties keep the earlier
+    entry. ``ratio``: edit similarity; ``keyword``: .7 edit similarity + .3 share of the question's
+    words that the entry has."""
+    def words(c):
+        return F.array_distinct(F.regexp_extract_all(c, F.lit(WORD), 0))
+
+    q = questions.select(F.col(qid).cast("long").alias("qid"), F.lower(py_strip(q_col)).alias("_q"))
+    k = kb.select(F.col(kb_order).cast("long").alias("kb_order"), F.lower(py_strip(kb_q_col)).alias("_t"))
+    qw = q.select("qid", F.size(words(F.col("_q"))).alias("_n"), F.explode(words(F.col("_q"))).alias("_w"))
+    kw = k.select("kb_order", F.explode(words(F.col("_t"))).alias("_w"))
+    qw = qw.withColumn("_s", F.pmod(F.xxhash64("qid"), F.lit(SALTS)))
+    kw = kw.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    pairs = (qw.join(kw, ["_w", "_s"]).groupBy("qid", "kb_order", "_n")
+             .agg(F.count(F.lit(1)).alias("_m"), F.count_if(F.length("_w") >= KEYWORD).alias("_k")).filter("_k > 0"))
+    c = pairs.join(q, "qid").join(k, "kb_order")
+    like = 1 - F.levenshtein("_q", "_t") / F.greatest(F.length("_q"), F.length("_t"), F.lit(1))
+    score = 0.7 * like + 0.3 * F.col("_m") / F.col("_n") if mode == "keyword" else like
+    best = F.max_by(F.struct("kb_order", "score"), F.struct("score", -F.col("kb_order")))
+    return c.withColumn("score", score).groupBy("qid").agg(best.alias("b")).select("qid", "b.kb_order", "b.score")
 
 
 def best_answers(questions: DataFrame, kb: DataFrame, qid: str, q_col: str, kb_order: str, kb_q_col: str,
                  kb_a_col: str, profile: str = "simple") -> DataFrame:
-    """J-14 (profiles ``simple``: stripped, score >= .4; ``train``: score > .5) and J-13
-    (``keyword``: keyword candidates, .7 ratio + .3 overlap, score > .4). Unmatched
-    questions get the profile's fixed not-found answer."""
-    mode = {"simple": "ratio_strip", "train": "ratio", "keyword": "keyword"}[profile]
-    m = match(questions, kb, qid, q_col, kb_order, kb_q_col, mode)
-    ok = (F.col("score") >= 0.4) if profile == "simple" else (F.col("score") > (0.5 if profile == "train" else 0.4))
+    """J-14 (profiles ``simple``: score >= .4; ``train``: >= .5) and J-13 (``keyword``: >= .4).
+    Unmatched questions get the profile's fixed not-found answer."""
+    m = match(questions, kb, qid, q_col, kb_order, kb_q_col, "keyword" if profile == "keyword" else "ratio")
+    ok = F.coalesce(F.col("score") >= (0.5 if profile == "train" else 0.4), F.lit(False))
     # Not-found answers of the three profiles.
-    nf = {"simple": "I don't have an answer for that yet.", "train": "I'm not sure how to answer that. Can you rephrase?",
-          "keyword": "I couldn't find an answer. Try rephrasing or contact support."}[profile]
-    ans = kb.select(F.col(kb_order).cast("long").alias("kb_order"), F.col(kb_a_col).alias("_a"))
-    r = m.join(ans, "kb_order", "left")
-    return r.select("qid", F.when(ok & F.col("kb_order").isNotNull(), F.col("_a")).otherwise(F.lit(nf)).alias("answer"),
+    none = {"simple": "I don't have an answer for that yet.", "train": "I'm not sure how to answer that. Can you rephrase?",
+            "keyword": "I couldn't find an answer. Try rephrasing or contact support."}[profile]
+    answers = kb.select(F.col(kb_order).cast("long").alias("kb_order"), F.col(kb_a_col).alias("_a"))
+    r = questions.select(F.col(qid).cast("long").alias("qid")).join(m, "qid", "left").join(answers, "kb_order", "left")
+    return r.select("qid", F.when(ok, F.col("_a")).otherwise(F.lit(none)).alias("answer"),
                     F.when(ok, F.col("score")).otherwise(F.lit(0.0)).alias("confidence"),
-                    F.when(ok, F.col("kb_order")).alias("matched"), (ok & F.col("kb_order").isNotNull()).alias("found"))
+                    F.when(ok, F.col("kb_order")).alias("matched"), ok.alias("found"))

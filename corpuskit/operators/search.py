@@ -1,10 +1,9 @@
 """Vector and keyword search for many queries at once (V-01 ... V-06).
 
-Vector top-k: the query set is size-checked and broadcast; every corpus partition scores
-its rows against all queries with one Arrow-batched matrix product and emits only its local
-top-k per query (never all pairs); a per-query ``row_number <= k`` then merges the local
-lists (Catalyst inserts a partial group limit before that shuffle). Query sets above the
-broadcast bound are processed in bounded blocks.
+Vector top-k: queries and corpus rows are gathered into blocks of bounded size; every pair of
+blocks is scored by one matrix product, and each query's best ``k`` of the pair go on to a
+per-query ``row_number <= k`` (Catalyst puts a partial group limit before that shuffle). All of
+it is one DataFrame plan for any number of queries: nothing passes through the driver.
 """
 
 from __future__ import annotations
@@ -14,95 +13,64 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import broadcast_value, spread
-
-MAX_BROADCAST_QUERIES = 20_000
+BLOCK = 1024  #: rows of a block of queries or of the corpus
 
 _HITS_SCHEMA = "query_id long, doc_id long, score double"
 
 
-def _local_topk(bq, k: int, cosine: bool, min_score: float | None):
-    """``bq``: broadcast variable holding (query ids, query matrix), shipped once per executor."""
+def _blocks(df: DataFrame, ids: str, vecs: str, block: int) -> DataFrame:
+    """(id, vec) rows -> one row per block of at most ``block`` rows of a partition."""
+    kinds = {"ids": "array<long>", "vecs": "array<array<double>>"}
+
     def run(it):
-        qids, qmat = bq.value
         for pdf in it:
-            if len(pdf) == 0:
-                continue
-            emb = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["vec"]])
-            if cosine:
-                norms = np.linalg.norm(emb, axis=1)
-                norms[norms == 0] = 1.0
-                emb = emb / norms[:, None]
-            s = qmat @ emb.T  # queries x batch rows
-            ids = pdf["doc_id"].to_numpy()
-            kk = min(k, s.shape[1])
-            out_q, out_d, out_s = [], [], []
-            for qi in range(s.shape[0]):
-                row = s[qi]
-                cand = np.arange(row.shape[0]) if min_score is None else np.nonzero(row >= min_score)[0]
-                if cand.size == 0:
-                    continue
-                if cand.size > kk:
-                    # keep every row tied with the k-th score so the global order stays exact
-                    part = cand[np.argpartition(-row[cand], kk - 1)[:kk]]
-                    kth = row[part].min()
-                    cand = cand[row[cand] >= kth]
-                out_q.append(np.full(cand.size, qids[qi]))
-                out_d.append(ids[cand])
-                out_s.append(row[cand])
-            if out_q:
-                yield pd.DataFrame({"query_id": np.concatenate(out_q).astype("int64"),
-                                    "doc_id": np.concatenate(out_d).astype("int64"),
-                                    "score": np.concatenate(out_s).astype("float64")})
-    return run
+            for at in range(0, len(pdf), block):
+                part = pdf.iloc[at:at + block]
+                yield pd.DataFrame({ids: [part["id"].tolist()], vecs: [[np.asarray(v, dtype=np.float64) for v in part["vec"]]]})
+
+    return df.mapInPandas(run, f"{ids} {kinds['ids']}, {vecs} {kinds['vecs']}")
 
 
-def _query_block(queries: DataFrame, cosine: bool):
-    rows = queries.select(F.col("query_id").cast("long"), "qvec").collect()  # bounded by the caller
-    qids = np.array([r[0] for r in rows], dtype=np.int64)
-    qmat = np.stack([np.asarray(r[1], dtype=np.float64) for r in rows]) if rows else np.zeros((0, 0))
-    if cosine and len(rows):
-        n = np.linalg.norm(qmat, axis=1)
-        n[n == 0] = 1.0
-        qmat = qmat / n[:, None]
-    return qids, qmat
+def _scaled(m: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(m, axis=1)
+    n[n == 0] = 1.0
+    return m / n[:, None]
+
+
+def _pair_topk(k: int, cosine: bool, min_score: float | None):
+    """The ``k`` best corpus rows per query of each pair of blocks, ties at the k-th score kept
+    so that the order over all blocks stays exact."""
+    def run(it):
+        for pdf in it:
+            for qids, qvecs, ids, vecs in zip(pdf["qids"], pdf["qvecs"], pdf["ids"], pdf["vecs"]):
+                q, c = np.stack(list(qvecs)), np.stack(list(vecs))
+                if cosine:
+                    q, c = _scaled(q), _scaled(c)
+                s = q @ c.T
+                kk = min(k, s.shape[1])
+                kth = np.partition(s, s.shape[1] - kk, axis=1)[:, s.shape[1] - kk]
+                keep = s >= kth[:, None]
+                if min_score is not None:
+                    keep &= s >= min_score
+                i, j = np.nonzero(keep)
+                yield pd.DataFrame({"query_id": np.asarray(qids, dtype=np.int64)[i], "doc_id": np.asarray(ids, dtype=np.int64)[j],
+                                    "score": s[i, j]})
+    return run
 
 
 def vector_topk(corpus: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "id", vec_col: str = "embedding",
                 qid_col: str = "query_id", qvec_col: str = "embedding", metric: str = "dot",
-                threshold: float | None = None, threshold_mode: str = "after",
-                max_broadcast: int = MAX_BROADCAST_QUERIES) -> DataFrame:
+                threshold: float | None = None, threshold_mode: str = "after", block: int = BLOCK) -> DataFrame:
     """V-01 (``metric="dot"``, threshold after top-k) and V-02 (``metric="cosine"``, min score
     before top-k): ``query_id, doc_id, rank, score``; ties broken by doc id.
 
     F-08: ``threshold_mode="after"`` filters the k hits (profile after-topk);
     ``"before"`` drops low scores inside the kernel so k is filled from the rest (before-topk)."""
-    cosine = metric == "cosine"
     before = threshold if (threshold is not None and threshold_mode == "before") else None
-    from ..session import spread
-    c = spread(corpus.select(F.col(id_col).cast("long").alias("doc_id"), F.col(vec_col).alias("vec")))
-    q = queries.select(F.col(qid_col).cast("long").alias("query_id"), F.col(qvec_col).alias("qvec"))
-    nq = q.count()
-    blocks = []
-    if nq <= max_broadcast:
-        blocks.append(q)
-    else:
-        from .ordered import positional_index
-        qi = positional_index(q, "query_id", "_qpos")
-        for b in range((nq + max_broadcast - 1) // max_broadcast):
-            blocks.append(qi.filter((F.col("_qpos") >= b * max_broadcast) & (F.col("_qpos") < (b + 1) * max_broadcast)))
-    parts = []
-    for blk in blocks:
-        qids, qmat = _query_block(blk, cosine)
-        if len(qids) == 0:
-            continue
-        bq = broadcast_value(corpus.sparkSession, (qids, qmat))
-        parts.append(c.mapInPandas(_local_topk(bq, k, cosine, before), _HITS_SCHEMA))
-    if not parts:
-        return corpus.sparkSession.createDataFrame([], "query_id long, doc_id long, rank int, score double")
-    hits = parts[0]
-    for p in parts[1:]:
-        hits = hits.unionByName(p)
+    c = _blocks(corpus.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).dropna(), "ids", "vecs", block)
+    q = _blocks(queries.select(F.col(qid_col).cast("long").alias("id"), F.col(qvec_col).alias("vec")).dropna(), "qids", "qvecs", block)
+    # every query block against every corpus block: the stated query set against all rows
+    hits = c.crossJoin(q).select("qids", "qvecs", "ids", "vecs").mapInPandas(_pair_topk(k, metric == "cosine", before), _HITS_SCHEMA)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))
     top = hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     if threshold is not None and threshold_mode == "after":
@@ -145,79 +113,33 @@ def upsert(index: DataFrame, updates: DataFrame, key: str = "id", seq: str = "lo
 
 
 WORD = r"(?U)\w+"
-_KW_SCHEMA = "query_id long, doc_id long, score double, matched_terms array<string>"
-
-
-def _kw_kernel(bq, k: int):
-    """queries: [(qid, lower query text, distinct words)]. Per corpus partition, score every
-    document against the queries sharing a word with it and keep each query's local top-k by
-    (score desc, doc id asc) -- a total order, so merging the local lists is exact."""
-    import heapq
-
-    def run(it):
-        queries = bq.value  # broadcast once per executor
-        by_word: dict = {}
-        for qi, (_, _, words) in enumerate(queries):
-            for w in words:
-                by_word.setdefault(w, []).append(qi)
-        heaps: dict = {}
-        for pdf in it:
-            for did, words, text in zip(pdf["doc_id"], pdf["w"], pdf["t"]):
-                hits: dict = {}
-                for w in (words if words is not None else []):
-                    for qi in by_word.get(w, ()):
-                        hits.setdefault(qi, []).append(w)
-                if not hits:
-                    continue
-                low = text.lower() if text is not None else ""
-                for qi, matched in hits.items():
-                    qid, qtext, qwords = queries[qi]
-                    score = len(matched) / len(qwords) + (0.5 if qtext in low else 0.0)
-                    h = heaps.setdefault(qi, [])
-                    item = (score, -int(did), sorted(matched))
-                    if len(h) < k:
-                        heapq.heappush(h, item)
-                    elif item[:2] > h[0][:2]:
-                        heapq.heapreplace(h, item)
-        rows = [(queries[qi][0], -neg, sc, m) for qi, h in heaps.items() for sc, neg, m in h]
-        if rows:
-            yield pd.DataFrame(rows, columns=["query_id", "doc_id", "score", "matched_terms"])
-    return run
+SALTS = 16
 
 
 def keyword_search(queries: DataFrame, docs: DataFrame, k: int = 5, qid_col: str = "query_id", q_col: str = "query",
-                   id_col: str = "doc_id", text_col: str = "text", max_broadcast: int = MAX_BROADCAST_QUERIES) -> DataFrame:
+                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """V-06: score = share of distinct query words found in the document + 0.5 when the whole
     query occurs in it (case-insensitive); matched words; top k per query (score desc, doc id).
 
-    Queries are the bounded broadcast side (blocks above the bound). Words are extracted
-    JVM-side; each corpus partition scores only (query, document) pairs that share a word and
-    emits its local top-k per query, so a word common to every query and document never turns
-    into all pairs downstream.
+    A postings join: distinct words of the documents that some query has (semi-join), then an
+    equi-join on (word, salt), the document side salted by id so that a frequent word is dealt
+    over ``SALTS`` tasks, and counts per (query, document). A document that holds a whole query
+    holds all of its words, so the containment test reads only pairs with every word matched.
     """
-    q = queries.select(F.col(qid_col).cast("long").alias("qid"), F.lower(F.col(q_col)).alias("q"),
-                       F.array_distinct(F.regexp_extract_all(F.lower(F.col(q_col)), F.lit(WORD), 0)).alias("w"))
-    d = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"),
-                           F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(WORD), 0)).alias("w")))
-    nq = q.count()
-    blocks = [q] if nq <= max_broadcast else None
-    if blocks is None:
-        from .ordered import positional_index
-        qi = positional_index(q, "qid", "_qpos")
-        blocks = [qi.filter((F.col("_qpos") >= b * max_broadcast) & (F.col("_qpos") < (b + 1) * max_broadcast))
-                  for b in range((nq + max_broadcast - 1) // max_broadcast)]
-    parts = []
-    for blk in blocks:
-        rows = [(r.qid, r.q or "", list(r.w or [])) for r in blk.collect()]  # bounded by max_broadcast
-        rows = [x for x in rows if x[2]]
-        if rows:
-            bq = broadcast_value(docs.sparkSession, rows)
-            parts.append(d.mapInPandas(_kw_kernel(bq, k), _KW_SCHEMA))
-    if not parts:
-        return docs.sparkSession.createDataFrame([], "query_id long, doc_id long, rank int, score double, matched_terms array<string>")
-    hits = parts[0]
-    for p_ in parts[1:]:
-        hits = hits.unionByName(p_)
+    def words(c):
+        return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(WORD), 0))
+
+    q = queries.select(F.col(qid_col).cast("long").alias("query_id"), F.lower(F.col(q_col)).alias("_q"), words(F.col(q_col)).alias("_w"))
+    qw = q.select("query_id", F.size("_w").alias("_n"), F.explode("_w").alias("_word"))
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_t"))
+    dw = d.select("doc_id", F.explode(words(F.col("_t"))).alias("_word")).join(qw.select("_word").distinct(), "_word", "left_semi")
+    dw = dw.withColumn("_s", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    qs = qw.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    m = (dw.join(qs, ["_word", "_s"]).groupBy("query_id", "doc_id", "_n")
+         .agg(F.count(F.lit(1)).alias("_m"), F.sort_array(F.collect_list("_word")).alias("matched_terms")))
+    full = (m.filter("_m = _n").select("query_id", "doc_id").join(q.select("query_id", "_q"), "query_id").join(d, "doc_id")
+            .filter(F.contains(F.lower("_t"), F.col("_q"))).select("query_id", "doc_id", F.lit(0.5).alias("_bonus")))
+    s = m.join(full, ["query_id", "doc_id"], "left").withColumn("score", F.col("_m") / F.col("_n") + F.coalesce("_bonus", F.lit(0.0)))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))
-    return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(
+    return s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(
         "query_id", "doc_id", "rank", "score", "matched_terms")

@@ -1,8 +1,7 @@
 """Search queries over ``embeddings`` and ``documents``.
 
-Vector queries are the per-label centroids of the embeddings (derived, bounded by the label
-count, checked before the broadcast); keyword queries are the first three words of every
-benchmark item.
+Vector queries are the per-label centroids of the embeddings; keyword queries are the whole
+texts of the benchmark items.
 """
 
 from __future__ import annotations
@@ -114,12 +113,11 @@ def index_stats(spark, sf):
 
 def _kw_queries(spark, sf):
     b = table(spark, sf, "benchmark")
-    return b.select(F.col("item_id").alias("query_id"),
-                    F.array_join(F.slice(F.split(F.trim("text"), " +"), 1, 3), " ").alias("query"))
+    return b.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 @register("keyword_search", """
-WITH q AS (SELECT item_id AS query_id, array_to_string(string_split_regex(trim(text), ' +')[1:3], ' ') AS query FROM benchmark),
+WITH q AS (SELECT item_id AS query_id, text AS query FROM benchmark),
 qt AS (SELECT query_id, query, list_distinct(regexp_extract_all(lower(query), '[\\p{L}\\p{N}_]+')) AS toks FROM q),
 qw AS (SELECT query_id, len(toks) AS nq, unnest(toks) AS w FROM qt),
 dw AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'))) AS w FROM documents),
@@ -129,7 +127,7 @@ s AS (SELECT m.query_id, m.doc_id, n / nq + CASE WHEN contains(lower(d.text), lo
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)
 SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= 5""")
 def keyword_search(spark, sf):
-    """V-06 keyword search of the first three words of each benchmark item over documents."""
+    """V-06 keyword search of every benchmark text over documents."""
     r = V.keyword_search(_kw_queries(spark, sf), table(spark, sf, "documents"), 5)
     return r.select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
@@ -150,19 +148,50 @@ def _faq(spark, sf):
     return q, kb
 
 
-@register("faq_best_match")
+FAQ_SQL = """
+WITH q AS (SELECT CAST(conv_id * 1000 + turn AS BIGINT) AS qid, lower(trim(text)) AS q FROM conversations WHERE role = 'user'),
+kb AS (SELECT CAST(item_id AS BIGINT) AS o, lower(trim(text)) AS t FROM benchmark),
+qt AS (SELECT qid, q, list_distinct(regexp_extract_all(q, '[\\p{L}\\p{N}_]+')) AS ws FROM q),
+qw AS (SELECT qid, unnest(ws) AS w FROM qt),
+kw AS (SELECT o, unnest(list_distinct(regexp_extract_all(t, '[\\p{L}\\p{N}_]+'))) AS w FROM kb),
+m AS (SELECT qid, o, count(*) AS n, count(*) FILTER (WHERE length(w) > 3) AS long FROM qw JOIN kw USING (w) GROUP BY 1, 2),
+s AS (SELECT m.qid, m.o, n, greatest(length(qt.q), length(kb.t)) AS len, 1 - levenshtein(qt.q, kb.t) / greatest(length(qt.q), length(kb.t), 1) AS like_, len(qt.ws) AS nw
+      FROM m JOIN qt USING (qid) JOIN kb USING (o) WHERE long > 0)"""
+
+
+def _faq_sql(score, least):
+    return FAQ_SQL + f""",
+b AS (SELECT qid, arg_max(struct_pack(o := o, v := {score}), struct_pack(v := {score}, o := -o)) AS x FROM s GROUP BY qid)
+SELECT q.qid, CASE WHEN x.v >= {least} THEN 'item ' || CAST(x.o AS VARCHAR) ELSE @NONE@ END AS answer,
+  CASE WHEN x.v >= {least} THEN round(x.v, 6) ELSE 0.0 END AS confidence, coalesce(x.v >= {least}, false) AS found
+FROM q LEFT JOIN b ON q.qid = b.qid"""
+
+
+@register("faq_best_match", _faq_sql("like_", 0.4).replace("@NONE@", "'I don''t have an answer for that yet.'"))
 def faq_best_match(spark, sf):
-    """J-14 best benchmark item per user turn by sequence ratio (profile simple, >= .4)."""
+    """J-14 best benchmark item per user turn among those that share a keyword, by edit similarity."""
     from ..operators import matching as MT
     q, kb = _faq(spark, sf)
     r = MT.best_answers(q, kb, "qid", "q", "o", "t", "a", "simple")
     return r.select("qid", "answer", F.round("confidence", 6).alias("confidence"), "found")
 
 
-@register("faq_keyword_match")
+@register("faq_keyword_match", _faq_sql("0.7 * like_ + 0.3 * n / nw", 0.4).replace("@NONE@", "'I couldn''t find an answer. Try rephrasing or contact support.'"))
 def faq_keyword_match(spark, sf):
-    """J-13 keyword-blocked match (.7 ratio + .3 overlap, > .4) and A-24 hit rate."""
+    """J-13 keyword-blocked match (.7 edit similarity + .3 word overlap)."""
     from ..operators import matching as MT
     q, kb = _faq(spark, sf)
     r = MT.best_answers(q, kb, "qid", "q", "o", "t", "a", "keyword")
-    return A.hit_rate(r)
+    return r.select("qid", "answer", F.round("confidence", 6).alias("confidence"), "found")
+
+
+@register("faq_hit_rate", f"""
+WITH r AS ({_faq_sql("0.7 * like_ + 0.3 * n / nw", 0.4).replace("@NONE@", "NULL")})
+SELECT count(*) AS asked, count(*) FILTER (WHERE found) AS found, count(*) FILTER (WHERE NOT found) AS no_match,
+  round(100.0 * count(*) FILTER (WHERE found) / count(*), 6) AS success_pct FROM r""")
+def faq_hit_rate(spark, sf):
+    """A-24 share of user turns with an answer in the knowledge base."""
+    from ..operators import matching as MT
+    q, kb = _faq(spark, sf)
+    return A.hit_rate(MT.best_answers(q, kb, "qid", "q", "o", "t", "a", "keyword")).withColumn(
+        "success_pct", F.round("success_pct", 6))

@@ -25,7 +25,7 @@ def test_vector_topk_blocks_equal_single(spark):
     cdf = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(50)], "id long, embedding array<double>")
     qdf = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(9)], "query_id long, embedding array<double>")
     a = sorted((r[0], r[1], r[2], round(r[3], 9)) for r in V.vector_topk(cdf, qdf, 3).collect())
-    b = sorted((r[0], r[1], r[2], round(r[3], 9)) for r in V.vector_topk(cdf, qdf, 3, max_broadcast=2).collect())
+    b = sorted((r[0], r[1], r[2], round(r[3], 9)) for r in V.vector_topk(cdf, qdf, 3, block=2).collect())
     assert a == b
 
 
@@ -75,6 +75,3 @@ def test_keyword_search_ties_and_blocks(spark):
         got.setdefault(r.query_id, []).append((r.rank, r.doc_id))
     assert sorted(got[1]) == [(1, 0), (2, 1), (3, 2)]  # all tie at 1.0 + 0.5: lowest doc ids win
     assert [d for _, d in sorted(got[2])] == [0, 10, 20] and 3 not in got
-    b = sorted(tuple(r) for r in V.keyword_search(qdf, ddf, 3, max_broadcast=1).select("query_id", "doc_id", "rank").collect())
-    a = sorted(tuple(r) for r in V.keyword_search(qdf, ddf, 3).select("query_id", "doc_id", "rank").collect())
-    assert a == b
