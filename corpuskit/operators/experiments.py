@@ -2,7 +2,7 @@
 
 Requests: ``experiment_id, variant_id, user_id, ts, success, latency_ms, tokens_in,
 tokens_out``. Experiments / variants / allocations are configuration tables (one row per
-variant); they are joined with a size-checked broadcast.
+variant); they are joined without hints.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import inverse_normal_cdf, normal_cdf
 from ..functions.text import sha_bucket
-from .relate import bounded_broadcast
 
 
 def assign_variants(requests: DataFrame, allocations: DataFrame, user_col: str = "user_id",
@@ -22,7 +21,8 @@ def assign_variants(requests: DataFrame, allocations: DataFrame, user_col: str =
     variant. ``allocations``: experiment_id, variant_id, percentage, seq (allocation order),
     variant_seq (variant order).
 
-    Range join on the bucket with a broadcast allocation table (rows = variants, bounded).
+    Equi-join on the experiment with the bucket range as a further condition; no hint, AQE sizes
+    the allocation table.
     """
     w = Window.partitionBy("experiment_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     alloc = allocations.withColumn("_hi", F.sum("percentage").over(w)).withColumn("_lo", F.col("_hi") - F.col("percentage"))
@@ -32,8 +32,8 @@ def assign_variants(requests: DataFrame, allocations: DataFrame, user_col: str =
     r = requests.withColumn(
         "bucket", sha_bucket(F.concat_ws(":", F.col(user_col).cast("string"), F.col(experiment_col))) / 100.0)
     cond = (F.col(experiment_col) == F.col("_ae")) & (F.col("bucket") >= F.col("_lo")) & (F.col("bucket") < F.col("_hi"))
-    j = r.join(bounded_broadcast(alloc, 100_000), cond, "left")
-    j = j.join(bounded_broadcast(last, 100_000), F.col(experiment_col) == F.col("_fe"), "left")
+    j = r.join(alloc, cond, "left")
+    j = j.join(last, F.col(experiment_col) == F.col("_fe"), "left")
     return j.withColumn("variant_id", F.coalesce("_av", "_fallback")).drop("_ae", "_av", "_lo", "_hi", "_fe", "_fallback")
 
 

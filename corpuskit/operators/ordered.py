@@ -43,6 +43,13 @@ def keep_first(df: DataFrame, key: Column | str | Sequence, order: Sequence[str]
     return out.select(*sel)
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on columns of one name where NULL equals NULL; the right side's keys are dropped."""
+    named = right.select(*[F.col(c).alias(f"_on_{c}") if c in on else F.col(c) for c in right.columns])
+    cond = [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on]
+    return left.join(named, cond, how).drop(*[f"_on_{c}" for c in on])
+
+
 def lead_split(df: DataFrame, keys: Sequence[str], order: Sequence[str], carry: Sequence[str],
                bucket: Column, prefix: str = "next_") -> DataFrame:
     """Add ``next_<c>`` for every ``c`` in ``order + carry``: the next row per key in order.
@@ -59,7 +66,7 @@ def lead_split(df: DataFrame, keys: Sequence[str], order: Sequence[str], carry:
               .agg(F.min_by(payload, F.struct(*[F.col(c) for c in order])).alias("_first")))
     wb = Window.partitionBy(*keys).orderBy("_b")
     nxt = firsts.select(*keys, "_b", F.lead("_first").over(wb).alias("_nb"))
-    d = d.join(nxt, on=keys + ["_b"], how="left")
+    d = null_safe_join(d, nxt, keys + ["_b"], "left")
     d = d.withColumn("_nx", F.coalesce("_nx", "_nb"))
     return d.select(*df.columns, *[F.col(f"_nx.{c}").alias(prefix + c) for c in fields])
 
@@ -127,4 +134,4 @@ def running_sum_split(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     zero = F.lit(0) if how == "sum" else F.lit(None)
     off = tot.select(*keys, "_b", F.coalesce(agg("_t").over(wb), zero).alias("_off"))
     comb = (F.col("_off") + F.col("_local")) if how == "sum" else F.greatest("_off", "_local")
-    return d.join(off, keys + ["_b"]).withColumn(out, comb).drop("_b", "_local", "_off")
+    return null_safe_join(d, off, [*keys, "_b"]).withColumn(out, comb).drop("_b", "_local", "_off")

@@ -1,8 +1,7 @@
 """Joins, unions and self-relations over samples and messages (J-01 ... J-11, J-15).
 
 Joins are declared without hints: the planner sizes both sides and AQE turns a join into a
-broadcast only after measuring the small side at runtime. Explicit broadcasts are limited
-to rule tables whose size is checked by ``bounded_broadcast``.
+broadcast only after measuring the small side at runtime.
 """
 
 from __future__ import annotations
@@ -16,10 +15,6 @@ from ..functions.text import clean_chat_text, py_strip
 from .ordered import keep_first, lead_split, ordered_concat
 
 
-class BroadcastTooLarge(ValueError):
-    """The side asked to be broadcast is above its row bound."""
-
-
 def with_one_row(df: DataFrame, one: DataFrame) -> DataFrame:
     """Attach the columns of a one-row frame (a global aggregate) to every row of ``df``.
 
@@ -28,15 +23,6 @@ def with_one_row(df: DataFrame, one: DataFrame) -> DataFrame:
     return df.withColumn("_one", F.lit(1)).join(F.broadcast(one.withColumn("_one", F.lit(1))), "_one").drop("_one")
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast ``df`` only after checking its row count against ``max_rows``.
-
-    Above the bound the frame is returned as is and the planner shuffles both sides.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 # Dedup key profiles.
 DEDUP_KEYS = {
     "lower_trim_input": lambda: F.lower(py_strip("input")),
@@ -180,8 +166,7 @@ def quota_check(requests: DataFrame, tenants: DataFrame, tiers: DataFrame,
     order: tenant inactive, input tokens above ``max_input_tokens``, model not allowed.
     """
     from ..functions.text import word_count
-    tiers_b = bounded_broadcast(tiers, 1000)
-    d = requests.join(tenants, on="tenant_id", how="left").join(tiers_b, on="tier", how="left")
+    d = requests.join(tenants, on="tenant_id", how="left").join(tiers, on="tier", how="left")
     tok = F.col(tokens_col) if tokens_col else word_count(text_col)
     d = d.withColumn("input_tokens", tok)
     allowed = F.when(F.col("allowed_models").isNull() | (F.size("allowed_models") == 0), F.lit(True)) \
@@ -194,21 +179,18 @@ def quota_check(requests: DataFrame, tenants: DataFrame, tiers: DataFrame,
 
 
 def event_fanout(events: DataFrame, endpoints: DataFrame, type_col: str = "event_type") -> DataFrame:
-    """J-11: each event x every enabled endpoint subscribed to its type (empty list = all).
-
-    Endpoints are a configuration table; the broadcast is size-checked.
+    """J-11: each event x every enabled endpoint subscribed to its type (empty or missing list =
+    all types; a type listed twice counts once). The subscriptions are exploded and joined on the
+    type; endpoints of all types come with every type that occurs, so the result follows the
+    matches and no endpoint list is brought to the driver.
     """
-    n = endpoints.limit(10_001).count()
-    if n > 10_000:
-        raise BroadcastTooLarge("more than 10000 endpoints: join them as a table instead")
-    eps = [r.asDict() for r in endpoints.filter(F.col("enabled")).collect()]  # bounded config rows
-    if not eps:
-        return events.withColumn("endpoint_id", F.lit(None).cast("string")).limit(0)
-    arr = F.array(*[F.struct(F.lit(e["endpoint_id"]).alias("endpoint_id"),
-                             F.array(*[F.lit(x) for x in (e["events"] or [])]).cast("array<string>").alias("events"))
-                    for e in eps])
-    hit = F.filter(arr, lambda e: (F.size(e["events"]) == 0) | F.array_contains(e["events"], F.col(type_col)))
-    return events.withColumn("_ep", F.explode(hit)).withColumn("endpoint_id", F.col("_ep.endpoint_id")).drop("_ep")
+    on = endpoints.filter(F.col("enabled")).select("endpoint_id", F.coalesce("events", F.array().cast("array<string>")).alias("_on"))
+    listed = on.select("endpoint_id", F.explode(F.array_distinct("_on")).alias("_type")).filter(F.col("_type").isNotNull())
+    # one row per event type, NULL included; every endpoint of all types goes with each of them
+    types = events.select(F.col(type_col).alias("_type")).distinct().withColumn("_k", F.lit(1))
+    every = on.filter(F.size("_on") == 0).select("endpoint_id", F.lit(1).alias("_k")).join(types, "_k").select("endpoint_id", "_type")
+    subs = listed.unionByName(every)
+    return events.join(subs, F.col(type_col).eqNullSafe(F.col("_type"))).drop("_type")
 
 
 def attach_parent(hits: DataFrame, docs: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:

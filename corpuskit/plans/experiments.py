@@ -47,27 +47,23 @@ VARIANT_TEMPLATE = [("control", True, 50.0), ("treatment_a", False, 30.0), ("tre
 MIN_SAMPLE = 100
 
 
-MAX_EXPERIMENTS = 10_000
-
-
-def _experiment_ids(spark, sf) -> list[str]:
-    """Distinct experiment ids (event types): a configuration-sized list, checked before it is
-    brought to the driver, so the variant table below is a local relation reused for free."""
-    ids = table(spark, sf, "events").select("event_type").distinct().limit(MAX_EXPERIMENTS + 1).collect()
-    if len(ids) > MAX_EXPERIMENTS:
-        raise ValueError("too many experiments for a configuration table")
-    return sorted(r[0] for r in ids if r[0] is not None)
+def _experiment_ids(spark, sf):
+    """One row per experiment (event type), however many there are."""
+    return table(spark, sf, "events").select(F.col("event_type").alias("experiment_id")).dropna().distinct()
 
 
 def variants(spark, sf):
-    rows = [(e, f"{e}/{n}", n, c, p, i, i) for e in _experiment_ids(spark, sf) for i, (n, c, p) in enumerate(VARIANT_TEMPLATE)]
-    return spark.createDataFrame(rows, "experiment_id string, variant_id string, name string, is_control boolean, "
-                                       "percentage double, variant_seq int, seq int")
+    """The template's variants of every experiment."""
+    template = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(c).alias("is_control"), F.lit(p).alias("percentage"),
+                                  F.lit(i).alias("variant_seq"), F.lit(i).alias("seq"))
+                         for i, (n, c, p) in enumerate(VARIANT_TEMPLATE)])
+    v = _experiment_ids(spark, sf).select("experiment_id", F.explode(template).alias("v"))
+    return v.select("experiment_id", F.concat_ws("/", "experiment_id", "v.name").alias("variant_id"), "v.*")
 
 
 def experiments(spark, sf):
-    return spark.createDataFrame([(e, MIN_SAMPLE, 0.95) for e in _experiment_ids(spark, sf)],
-                                 "experiment_id string, min_sample_size int, confidence_level double")
+    return _experiment_ids(spark, sf).select("experiment_id", F.lit(MIN_SAMPLE).alias("min_sample_size"),
+                                             F.lit(0.95).alias("confidence_level"))
 
 
 VARIANTS_SQL = """SELECT e.experiment_id, e.experiment_id || '/' || t.name AS variant_id, t.name, t.is_control,

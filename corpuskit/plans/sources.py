@@ -13,6 +13,7 @@ from ..sources import files as SF
 from ..sources import jsonl as SJ
 from ..sources import sinks as SK
 from .catalog import register
+from .text import CHUNK_OVERLAP, CHUNK_SIZE, CHUNKS_SQL
 
 
 def _scratch(spark, tag):
@@ -116,14 +117,15 @@ def prediction_lines(spark, sf):
     return r.groupBy("text").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("index_persist", """
-SELECT count(*) AS n_chunks, '512' AS chunk_size, '50' AS overlap FROM (SELECT 1 FROM documents WHERE length(text) > 0)""")
+@register("index_persist", f"""
+SELECT doc_id, count(*) AS n_chunks, CAST(sum(n_chars) AS BIGINT) AS chars, CAST({CHUNK_SIZE} AS BIGINT) AS chunk_size,
+  CAST({CHUNK_OVERLAP} AS BIGINT) AS overlap FROM ({CHUNKS_SQL}) GROUP BY doc_id""")
 def index_persist(spark, sf):
-    """S-16: first chunk of every document persisted with the index config, then loaded."""
+    """S-16: every chunk of every document persisted with the index config, then loaded."""
     from ..operators.text import chunk_documents
     p = _scratch(spark, "index")
-    ch = chunk_documents(table(spark, sf, "documents"), "doc_id", "text", "index", 512, 50).filter("chunk_index = 0")
-    SK.save_index(ch.select(F.col("chunk_id").alias("id"), "content", "doc_id"), {"chunk_size": 512, "overlap": 50}, p)
+    ch = chunk_documents(table(spark, sf, "documents"), "doc_id", "text", "index", CHUNK_SIZE, CHUNK_OVERLAP)
+    SK.save_index(ch.select(F.col("chunk_id").alias("id"), "content", "doc_id"), {"chunk_size": CHUNK_SIZE, "overlap": CHUNK_OVERLAP}, p)
     back, cfg = SK.load_index(spark, p)
-    return back.agg(F.count(F.lit(1)).alias("n_chunks")).select("n_chunks", F.lit(cfg["chunk_size"]).alias("chunk_size"),
-                                                                F.lit(cfg["overlap"]).alias("overlap"))
+    n = back.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(F.length("content")).alias("chars"))
+    return n.select("*", F.lit(cfg["chunk_size"]).cast("long").alias("chunk_size"), F.lit(cfg["overlap"]).cast("long").alias("overlap"))

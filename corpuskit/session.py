@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,15 +43,17 @@ def build_session(master: str | None = None, app: str = "corpuskit",
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    if not spark.sparkContext.master.startswith("local"):
+        ship_package(spark)
     return spark
 
 
 def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the folder is set by the deployment and is read here, never replaced (unset on
-    a cluster is an error). Only in local mode, when it is unset (tests), a fresh folder is
-    created and registered.
+    On a cluster the folder is set by the deployment and is read here, never replaced: unset, it is
+    an error. Only in local mode (tests, one machine) a folder is chosen when it is unset:
+    ``fallback``, else a fresh one.
     """
     try:
         sc = spark.sparkContext
@@ -61,7 +64,7 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
         if sc is not None and not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
-    if not fallback and (sc is None or not sc.master.startswith("local")):
+    if sc is None or not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
         # a machine-local folder is not shared by executors: the cluster must name one
         raise RuntimeError("set spark.checkpoint.dir to a shared folder (needed for lineage cuts and stream outputs)")
     path = fallback or tempfile.mkdtemp(prefix="corpuskit-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
@@ -70,6 +73,20 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     return path
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors of a cluster that does not have it installed (a zip of its
+    Python files through ``addPyFile``)."""
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="corpuskit-zip-"), f"{os.path.basename(root)}.zip")  # read by the driver only
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    spark.sparkContext.addPyFile(target)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` to the shared checkpoint folder (survives executor loss)."""
     checkpoint_dir(df.sparkSession)
@@ -87,20 +104,6 @@ def register_tables(spark: SparkSession, sf_dir: str, names=DRIVER_TABLES) -> No
         table(spark, sf_dir, n).createOrReplaceTempView(n)
 
 
-def spread(df: DataFrame, factor: int = 2) -> DataFrame:
-    """Round-robin ``df`` over at least ``factor x`` the cluster's cores when it has fewer
-    partitions than cores (small inputs feeding CPU-heavy per-row work: kernels, regex HOFs).
-    Large inputs already have enough partitions and pass through without a shuffle."""
-    try:
-        par = df.sparkSession.sparkContext.defaultParallelism
-        parts = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no SparkContext (remote session): leave the layout to Spark
-        return df
-    if parts < par:
-        return df.repartition(par * factor)
-    return df
-
-
 class _Held:
     """Stand-in for a broadcast variable when no SparkContext is reachable."""
 

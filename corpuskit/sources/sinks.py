@@ -3,35 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-MAX_JSON_ARRAY_ROWS = 100_000
-
 
 def save_samples(df: DataFrame, path: str, fmt: str = "jsonl", mode: str = "overwrite") -> None:
-    """S-15: JSONL (one record per line, distributed), CSV (input, output, header) or a single
-    JSON array file (small outputs only, row count checked)."""
+    """S-15: JSONL (one record per line) or CSV (input, output, header), both written by all tasks.
+    One JSON array for all records is not offered: it would have to pass through one task."""
     d = df.select("input", "output")
     if fmt == "jsonl":
         d.write.mode(mode).json(path)
     elif fmt == "csv":
         d.write.mode(mode).option("header", True).option("escape", '"').csv(path)
-    elif fmt == "json":
-        n = d.limit(MAX_JSON_ARRAY_ROWS + 1).count()
-        if n > MAX_JSON_ARRAY_ROWS:
-            raise ValueError("JSON-array output is for small datasets; use jsonl")
-        d.agg(F.to_json(F.collect_list(F.struct("input", "output"))).alias("value")).coalesce(1) \
-            .write.mode(mode).text(path)
     else:
         raise ValueError(f"Unsupported format: {fmt}")
 
 
 def save_index(chunks: DataFrame, config: dict, path: str) -> None:
-    """S-16: chunks (id, content, metadata, embedding) as parquet plus a one-row config table."""
+    """S-16: chunks (id, content, metadata, embedding) as parquet plus a one-row config table that
+    keeps the types of its values."""
     chunks.write.mode("overwrite").parquet(path.rstrip("/") + "/chunks")
     spark = chunks.sparkSession
-    spark.createDataFrame([tuple(str(v) for v in config.values())], ", ".join(f"{k} string" for k in config)) \
-        .write.mode("overwrite").parquet(path.rstrip("/") + "/config")
+    spark.createDataFrame([tuple(config.values())], list(config)).write.mode("overwrite").parquet(path.rstrip("/") + "/config")
 
 
 def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:

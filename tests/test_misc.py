@@ -66,7 +66,7 @@ def test_index_persist_and_predictions(spark, tmp_path):
     ch = spark.createDataFrame([("c1", "text", [0.1, 0.2])], "id string, content string, embedding array<float>")
     SK.save_index(ch, {"dimension": 2, "model": "m"}, str(tmp_path / "idx"))
     back, cfg = SK.load_index(spark, str(tmp_path / "idx"))
-    assert back.count() == 1 and cfg == {"dimension": "2", "model": "m"}
+    assert back.count() == 1 and cfg == {"dimension": 2, "model": "m"}
     f = tmp_path / "preds.jsonl"
     f.write_text('{"response": "r1"}\n{"prediction": "p2"}\nplain line\n')
     got = [r.text for r in SJ.load_prediction_lines(spark, str(f), field="response").orderBy("line_num").collect()]
