@@ -19,12 +19,13 @@ from pyspark.sql import functions as F
 from .common import LAST_ID
 
 PIECE = 160
-CELLS = 12  #: cells of the fingerprint, and least cells of an attempt
+THIRD = 4  #: cells in each third of the fingerprint, and least of an attempt; a power of two
 START = 1.3  #: cells of the first attempt for each digest of the two texts, at least
 GROWTH = 2
-ATTEMPTS = 12  #: the last one has over 1500 cells for each digest
+ATTEMPTS = 12  #: the last one has over 2600 cells for each digest
 ROUNDS = 24
 _LOW = (1 << 32) - 1
+_ITEMS = "array<struct<k:bigint,s:int,c:bigint>>"
 
 
 def _let(value: Column, body) -> Column:
@@ -44,32 +45,43 @@ def _check(key: Column) -> Column:
 
 
 def signed(digests: Column) -> Column:
-    return F.transform(digests, lambda k: F.struct(k.alias("k"), F.lit(1).alias("s")))
+    """Digests as items (k, s, c): the digest, its side (1) and its check."""
+    return F.transform(digests, lambda k: F.struct(k.alias("k"), F.lit(1).alias("s"), _check(k).alias("c")))
 
 
-def _cell(n=0, k=0, c=0) -> Column:
-    as_long = lambda x: x if isinstance(x, Column) else F.lit(x).cast("long")
-    return F.struct((n if isinstance(n, Column) else F.lit(n)).alias("n"), as_long(k).alias("k"), as_long(c).alias("c"))
+def _cell(n, k, c) -> Column:
+    return F.struct(n.alias("n"), k.alias("k"), c.alias("c"))
 
 
-def table(items: Column, cells: Column) -> Column:
-    """Cells (n, k, c) of a sketch of ``items`` (array of (k, s)); ``cells`` is a multiple of three."""
-    third = cells.cast("long") / 3
+def _empty() -> Column:
+    return _cell(F.lit(0), F.lit(0).cast("long"), F.lit(0).cast("long"))
 
+
+def table(items: Column, third: Column) -> Column:
+    """Cells (n, k, c) of a sketch of ``items``, three times ``third`` (a power of two up to 2^20). An
+    item's cell in each third comes from other bits of one hash of its digest."""
     def build(items):
-        entries = F.flatten(F.transform(items, lambda x, i: F.transform(
-            F.array(F.lit(0), F.lit(1), F.lit(2)),
-            lambda j: F.shiftleft(j * F.floor(third) + F.pmod(F.xxhash64(x["k"], j), F.floor(third)), 32) + i + 1)))
-        marks = F.transform(F.sequence(F.lit(0), cells - 1), lambda c: F.shiftleft(c.cast("long"), 32))
+        def cells_of(x, i):
+            return _let(F.xxhash64(x["k"]), lambda h: F.transform(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda j: F.shiftleft(
+                j * third + F.when(j == 0, h).when(j == 1, F.shiftrightunsigned(h, 21)).otherwise(F.shiftrightunsigned(h, 42)).bitwiseAND(
+                    (third - 1).cast("long")), 32) + i + 1))
+
+        entries = F.flatten(F.transform(items, cells_of))
+        step = F.lit(1 << 32)
+        marks = F.sequence(F.lit(0).cast("long"), F.shiftleft((third * 3 - 1).cast("long"), 32), step)
 
         def sliced(e):
             def cut(at):
-                return F.transform(at, lambda p, i: F.aggregate(
-                    F.slice(e, p + 1, F.coalesce(F.get(at, i + 1), F.size(e) + 1) - p - 1), _cell(),
-                    lambda a, x: _let(F.get(items, (x.bitwiseAND(F.lit(_LOW)) - 1).cast("int")), lambda it: _cell(
-                        a["n"] + it["s"], a["k"].bitwiseXOR(it["k"]), a["c"].bitwiseXOR(_check(it["k"]))))))
+                def fold(first, size):
+                    added = lambda a, it: _cell(a["n"] + it["s"], a["k"].bitwiseXOR(it["k"]), a["c"].bitwiseXOR(it["c"]))
+                    item = lambda x: F.get(items, (x.bitwiseAND(F.lit(_LOW)) - 1).cast("int"))
+                    one = _let(item(F.element_at(e, first)), lambda it: _cell(it["s"], it["k"], it["c"]))
+                    more = F.aggregate(F.slice(e, first, size), _empty(), lambda a, x: _let(item(x), lambda it: added(a, it)))
+                    return F.when(size == 0, _empty()).when(size == 1, one).otherwise(more)
+
+                return F.transform(at, lambda p, i: fold(p + 1, F.coalesce(F.get(at, i + 1), F.size(e) + 1) - p - 1))
 
-            return _let(F.filter(F.sequence(F.lit(1), F.size(e)), lambda p: F.element_at(e, p).bitwiseAND(F.lit(_LOW)) == 0), cut)
+            return _let(F.array_compact(F.transform(e, lambda x, i: F.when(x.bitwiseAND(F.lit(_LOW)) == 0, i + 1))), cut)
 
         return _let(F.sort_array(F.concat(marks, entries)), sliced)
 
@@ -77,18 +89,18 @@ def table(items: Column, cells: Column) -> Column:
 
 
 def subtracted(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: _cell(x["n"] - y["n"], x["k"].bitwiseXOR(y["k"]), x["c"].bitwiseXOR(y["c"])))
+    return F.zip_with(a, b, lambda x, y: F.when(y["n"].cast("long").bitwiseOR(y["k"]).bitwiseOR(y["c"]) == 0, x).otherwise(
+        _cell(x["n"] - y["n"], x["k"].bitwiseXOR(y["k"]), x["c"].bitwiseXOR(y["c"]))))
 
 
-def peeled(diff: Column, cells: Column) -> Column:
+def peeled(diff: Column, third: Column) -> Column:
     """(items, done): digests that differ with their side (s = 1 first, -1 second), and whether the
     table came out empty."""
-    kind = "array<struct<k:bigint,s:int>>"
-    state = F.struct(diff.alias("t"), F.array().cast(kind).alias("items"), F.lit(True).alias("live"))
+    state = F.struct(diff.alias("t"), F.array().cast(_ITEMS).alias("items"), F.lit(True).alias("live"))
 
     def step(a, _):
         def round_(pure):
-            return F.struct(subtracted(a["t"], table(pure, cells)).alias("t"), F.concat(a["items"], pure).alias("items"),
+            return F.struct(subtracted(a["t"], table(pure, third)).alias("t"), F.concat(a["items"], pure).alias("items"),
                             F.lit(True).alias("live"))
 
         def go(pure):
@@ -97,7 +109,7 @@ def peeled(diff: Column, cells: Column) -> Column:
 
         pure = F.array_distinct(F.transform(
             F.filter(a["t"], lambda c: (F.abs(c["n"]) == 1) & (c["c"] == _check(c["k"]))),
-            lambda c: F.struct(c["k"].alias("k"), c["n"].alias("s"))))
+            lambda c: F.struct(c["k"].alias("k"), c["n"].alias("s"), c["c"].alias("c"))))
         return F.when(a["live"], _let(pure, go)).otherwise(a)
 
     end = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), state, step)
@@ -106,25 +118,24 @@ def peeled(diff: Column, cells: Column) -> Column:
 
 
 def difference(a: Column, b: Column) -> Column:
-    """Digests (k, s) in just one of the digest arrays ``a`` and ``b``, recovered from sketches. The
-    first table mostly holds a difference of all digests; a failed peeling is retried in a
-    table ``GROWTH`` times as large. Only should the largest fail too, the arrays are compared
+    """Items (k, s, c) of the digests in just one of the digest arrays ``a`` and ``b``, recovered from
+    sketches. The first table mostly holds a difference of all digests; a failed peeling is retried in
+    a table ``GROWTH`` times as large. Only should the largest fail too, the arrays are compared
     directly."""
-    kind = "array<struct<k:bigint,s:int>>"
-    wanted = F.ceil(F.log2(F.greatest((F.size(a) + F.size(b)) * F.lit(START) / CELLS, F.lit(1.0)))).cast("int")
-    none = F.struct(F.lit(None).cast(kind).alias("items"), (F.lit(CELLS) * F.pow(F.lit(2.0), wanted)).cast("int").alias("cells"))
+    wanted = F.ceil(F.log2(F.greatest((F.size(a) + F.size(b)) * F.lit(START) / (3 * THIRD), F.lit(1.0)))).cast("int")
+    none = F.struct(F.lit(None).cast(_ITEMS).alias("items"), (F.lit(THIRD) * F.pow(F.lit(2.0), wanted)).cast("int").alias("third"))
 
     def attempt(state, _):
         def tried(p):
-            return F.struct(F.when(p["done"], p["items"]).alias("items"), (state["cells"] * GROWTH).alias("cells"))
+            return F.struct(F.when(p["done"], p["items"]).alias("items"), (state["third"] * GROWTH).alias("third"))
 
         return F.when(state["items"].isNotNull(), state).otherwise(
-            _let(peeled(subtracted(table(signed(a), state["cells"]), table(signed(b), state["cells"])), state["cells"]), tried))
+            _let(peeled(subtracted(table(signed(a), state["third"]), table(signed(b), state["third"])), state["third"]), tried))
 
     found = F.aggregate(F.sequence(F.lit(1), F.lit(ATTEMPTS)), none, attempt)["items"]
     direct = F.concat(signed(F.array_except(a, b)), F.transform(
-        F.array_except(b, a), lambda k: F.struct(k.alias("k"), F.lit(-1).alias("s"))))
-    return F.when(a == b, F.array().cast(kind)).otherwise(F.coalesce(found, direct))
+        signed(F.array_except(b, a)), lambda x: F.struct(x["k"].alias("k"), F.lit(-1).alias("s"), x["c"].alias("c"))))
+    return F.when(a == b, F.array().cast(_ITEMS)).otherwise(F.coalesce(found, direct))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -136,7 +147,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 def fingerprint(digests: Column) -> Column:
     """Cells of the smallest sketch as text: count, digests and check of each in hexadecimal."""
-    return F.array_join(F.transform(table(signed(digests), F.lit(CELLS)), lambda c: F.lower(F.concat(
+    return F.array_join(F.transform(table(signed(digests), F.lit(THIRD)), lambda c: F.lower(F.concat(
         F.hex(c["n"].cast("long")), F.lit("-"), F.hex(c["k"]), F.lit("-"), F.hex(c["c"])))), ".")
 
 

@@ -77,5 +77,5 @@ def test_difference_is_recovered(spark):
     for r in df.select("*", P.difference(F.col("a"), F.col("b")).alias("d")).collect():
         assert {(x.k, x.s) for x in r.d} == {(k, 1) for k in set(r.a) - set(r.b)} | {(k, -1) for k in set(r.b) - set(r.a)}
     # the first table is too small for these, and says so
-    small = df.filter("i >= 3").select(P.peeled(P.subtracted(P.table(P.signed(F.col("a")), F.lit(12)), P.table(P.signed(F.col("b")), F.lit(12))), F.lit(12)).alias("p"))
+    small = df.filter("i >= 3").select(P.peeled(P.subtracted(P.table(P.signed(F.col("a")), F.lit(4)), P.table(P.signed(F.col("b")), F.lit(4))), F.lit(4)).alias("p"))
     assert not any(r.p.done for r in small.filter("size(p.items) >= 0").collect()[1:])
