@@ -43,12 +43,13 @@ def csv_roundtrip(spark, sf):
 
 
 @register("api_envelope_items", """
-SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS page, count(*) AS n_items, CAST(sum(event_id) AS BIGINT) AS id_sum
-FROM events GROUP BY 1""")
+SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') || '/' || CAST(event_id // 500 AS VARCHAR) AS page, count(*) AS n_items,
+  CAST(sum(event_id) AS BIGINT) AS id_sum FROM events GROUP BY 1""")
 def api_envelope_items(spark, sf):
-    """S-10: events landed as one API response per day ({"data": [...], "next": cursor})
-    -> items again."""
-    e = table(spark, sf, "events").withColumn("page", F.date_format("ts", "yyyy-MM-dd"))
+    """S-10: events landed as API responses of one day and at most 500 ids
+    ({"data": [...], "next": cursor}) -> items again."""
+    page = F.concat_ws("/", F.date_format("ts", "yyyy-MM-dd"), F.floor(F.col("event_id") / 500).cast("string"))
+    e = table(spark, sf, "events").withColumn("page", page)
     resp = e.groupBy("page").agg(F.to_json(F.struct(
         F.collect_list(F.struct("event_id", "event_type")).alias("data"), F.max("event_id").cast("string").alias("next")))
         .alias("body"))

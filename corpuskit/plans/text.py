@@ -130,8 +130,16 @@ def normalized_documents(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(normalize_text("text")).alias("text_md5"))
 
 
+def _spaced(spark, sf):
+    """Documents with a blank line after each line: their lines are paragraphs."""
+    return table(spark, sf, "documents").withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
+
+
+SPACED_SQL = "(SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS text FROM documents)"
+
+
 @register("document_paragraph_samples", f"""
-WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: {sql_strip('x')}), lambda x: x <> '') AS ps FROM documents),
+WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: {sql_strip('x')}), lambda x: x <> '') AS ps FROM {SPACED_SQL}),
 e AS (SELECT doc_id, ps, unnest(range(0, len(ps))) AS i FROM p),
 q AS (SELECT doc_id, i, ps[i + 1] AS q, ps[i + 2] AS a FROM e),
 pairs AS (SELECT doc_id, i AS k, substr(q, 1, 500) AS input, substr(a, 1, 1000) AS output FROM q
@@ -142,17 +150,17 @@ fb AS (SELECT doc_id, i AS k, 'What is ' || lower(substr(split_part(q, '.', 1),
 SELECT doc_id, k, input, md5(output) AS output_md5 FROM pairs UNION ALL SELECT doc_id, k, input, md5(output) FROM fb""")
 def document_paragraph_samples(spark, sf):
     """D-10 plain text -> Q/A pairs with the "What is ...?" fallback."""
-    s = D.content_to_samples(table(spark, sf, "documents"), "doc_id", "text")
+    s = D.content_to_samples(_spaced(spark, sf), "doc_id", "text")
     return s.select("doc_id", F.col("k").cast("bigint").alias("k"), "input", F.md5("output").alias("output_md5"))
 
 
 @register("long_paragraphs", f"""
-WITH d AS (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS p, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) - 1 AS k FROM documents)
+WITH d AS (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS p, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) - 1 AS k FROM {SPACED_SQL})
 SELECT doc_id, CAST(k AS INTEGER) AS k, md5({sql_strip('p')}) AS p_md5, 'What does the document say about this topic?' AS input
 FROM d WHERE length({sql_strip('p')}) > 50""")
 def long_paragraphs(spark, sf):
     """D-21 txt recipe: paragraphs longer than 50 chars."""
-    p = D.long_paragraphs(table(spark, sf, "documents"), "doc_id", "text", 50)
+    p = D.long_paragraphs(_spaced(spark, sf), "doc_id", "text", 50)
     return p.select("doc_id", "k", F.md5("p").alias("p_md5"), "input")
 
 
@@ -261,23 +269,34 @@ def document_snippets(spark, sf):
 
 @register("document_paragraphs", f"""
 WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS p,
-                  generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS i FROM documents)
+                  generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS i FROM {SPACED_SQL})
 SELECT 'doc-' || CAST(doc_id AS VARCHAR) || ' - Paragraph ' || CAST(i AS VARCHAR) AS input, md5({sql_strip('p')}) AS output_md5
 FROM p WHERE length({sql_strip('p')}) >= 50""")
 def document_paragraphs(spark, sf):
     """D-04 paragraph samples "title - Paragraph i" (>= 50 chars)."""
-    s = D.paragraph_samples(_named_docs(spark, sf), "name", "text", 50)
+    s = D.paragraph_samples(_spaced(spark, sf).withColumn("name", F.format_string("doc-%d", "doc_id")), "name", "text", 50)
     return s.select("input", F.md5("output").alias("output_md5"))
 
 
+def _headed(spark, sf):
+    """Documents whose lines are sections: each later line becomes a header, its sentences a body."""
+    t = F.replace(F.replace("text", F.lit("\n"), F.lit("\n## ")), F.lit(". "), F.lit(".\n"))
+    return table(spark, sf, "documents").select("doc_id", F.format_string("doc-%d", "doc_id").alias("name"), t.alias("text"))
+
+
+HEADED_SQL = "(SELECT doc_id, replace(replace(text, chr(10), chr(10) || '## '), '. ', '.' || chr(10)) AS text FROM documents)"
+
+
 @register("document_sections", f"""
-WITH s AS (SELECT doc_id, {sql_strip('text')} AS s FROM documents)
+WITH h AS (SELECT doc_id, string_split(text, chr(10) || '## ') AS ps FROM {HEADED_SQL}),
+e AS (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM h),
+s AS (SELECT doc_id, i, {sql_strip("CASE WHEN i > 1 THEN '## ' || p ELSE p END")} AS s FROM e)
 SELECT 'doc-' || CAST(doc_id AS VARCHAR) AS title, {sql_strip("regexp_replace(split_part(s, chr(10), 1), '^#+', '')")} AS input,
   md5(CASE WHEN contains(s, chr(10)) THEN {sql_strip("substr(s, strpos(s, chr(10)) + 1)")} ELSE s END) AS output_md5
 FROM s WHERE length(s) >= 50""")
 def document_sections(spark, sf):
-    """D-05 section samples (documents have no '#' headers: one section each, first line as title)."""
-    s = D.section_samples(_named_docs(spark, sf), "name", "text", 50)
+    """D-05 section samples of documents with headers (see ``_headed``)."""
+    s = D.section_samples(_headed(spark, sf), "name", "text", 50)
     return s.select("title", "input", F.md5("output").alias("output_md5"))
 
 
@@ -304,7 +323,7 @@ def document_blocks_text(spark, sf):
 
 @register("document_markdown_recipe", f"""
 WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10) || '#')) AS sec,
-                  generate_subscripts(string_split(text, chr(10) || '#'), 1) - 1 AS k FROM documents),
+                  generate_subscripts(string_split(text, chr(10) || '#'), 1) - 1 AS k FROM {HEADED_SQL}),
 s AS (SELECT doc_id, k, {sql_strip('sec')} AS sec FROM p),
 t AS (SELECT doc_id, k, regexp_replace(split_part(sec, chr(10), 1), '^[# ]+|[# ]+$', '', 'g') AS title,
              CASE WHEN contains(sec, chr(10)) THEN {sql_strip("substr(sec, strpos(sec, chr(10)) + 1)")} ELSE '' END AS body
@@ -312,5 +331,5 @@ t AS (SELECT doc_id, k, regexp_replace(split_part(sec, chr(10), 1), '^[# ]+|[# ]
 SELECT doc_id, CAST(k AS INTEGER) AS k, 'What is ' || title || '?' AS input, md5(body) AS output_md5 FROM t WHERE body <> ''""")
 def document_markdown_recipe(spark, sf):
     """D-21 md recipe: sections split at "\\\\n#", "What is <title>?" -> body."""
-    r = D.markdown_recipe(table(spark, sf, "documents"), "doc_id", "text")
+    r = D.markdown_recipe(_headed(spark, sf), "doc_id", "text")
     return r.select("doc_id", "k", "input", F.md5("output").alias("output_md5"))
