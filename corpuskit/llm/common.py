@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,7 +50,7 @@ def boxed(docs: DataFrame) -> Column:
 def slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Cut an Arrow batch into runs of rows whose ``column`` holds about ``limit`` bytes; one
     longer value makes a run of its own."""
-    ends = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).cumsum()
+    ends = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).cumsum()
     first = 0
     while first < batch.num_rows:
         base = ends[first - 1] if first else 0

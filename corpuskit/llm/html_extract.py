@@ -63,7 +63,7 @@ class Node:
         self.inner: list = []  # text and elements in order
         self.size = self.links = 0  # characters, those in links
         self.score = 0.0
-        self.holds = False  # an article, main or h1
+        self.holds = False  # the first article, main or h1
 
 
 def parse(html: str) -> list[Node]:
@@ -167,12 +167,13 @@ def _squeezed(parts: list[str]) -> str:
 
 
 def _cut(nodes: list[Node]) -> None:
-    for n in nodes:
-        if n.tag in ARTICLES or n.tag == "h1":
-            up = n
-            while up is not None and not up.holds:
-                up.holds = True
-                up = up.parent
+    """Take out what is never article. The first article, main and h1 elements mark what is around
+    them as more than a sidebar, whatever its name."""
+    for tag in ("article", "main", "h1"):
+        up = next((n for n in nodes if n.tag == tag), None)
+        while up is not None and not up.holds:
+            up.holds = True
+            up = up.parent
     gone = {id(n) for n in nodes[1:] if never_article(n)}
     for n in nodes if gone else ():
         n.inner = [x for x in n.inner if id(x) not in gone]

@@ -45,7 +45,8 @@ def gram_counts(text: str | None, dim: int = DIM) -> np.ndarray | None:
     if not letter.any():
         return None
     x = np.where(letter, code, 0).astype(np.uint64)
-    x = np.concatenate(([0], x[(x != 0) | np.concatenate(([False], x[:-1] != 0))], [0])).astype(np.uint64)
+    x = x[(x != 0) | np.concatenate(([False], x[:-1] != 0))]  # one blank between words
+    x = np.concatenate(([0], x[:-1] if x[-1] == 0 else x, [0])).astype(np.uint64)
     out = np.zeros(dim)
     for at in range(0, len(x), STEP):
         part = x[at:at + STEP + 2]

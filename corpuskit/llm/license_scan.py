@@ -128,3 +128,24 @@ def scanned(docs: DataFrame, templates=TEMPLATES, contained: float = CONTAINED)
 def _plain_words(text: str) -> list[str]:
     import regex
     return regex.findall(r"[\p{L}\p{N}]+", text.lower())
+
+
+def oracle(templates=TEMPLATES, contained: float = CONTAINED) -> str:
+    """DuckDB SQL of ``scanned`` over ``documents``: every template against every window."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    values = ", ".join(f"({i}, {quoted(a)}, {quoted(b)}, {_class(len(_plain_words(b)))})" for i, (a, b) in enumerate(templates)
+                       if len(_plain_words(b)) >= SHINGLE)
+    words_of = "regexp_extract_all(lower(coalesce({}, '')), '[\\p{{L}}\\p{{N}}]+')"
+    run = f"array_to_string(list_slice(w, i + 1, i + {SHINGLE}), ' ')"
+    return f"""
+WITH t AS (SELECT template, license, size, {words_of.format('text')} AS w FROM (VALUES {values}) v(template, license, text, size)),
+ts AS (SELECT DISTINCT template, license, size, {run} AS s FROM (SELECT *, unnest(range(0, len(w) - {SHINGLE - 1})) AS i FROM t)),
+tn AS (SELECT template, count(*) AS n FROM ts GROUP BY template),
+d AS (SELECT doc_id, {words_of.format('text')} AS w FROM documents),
+ds AS (SELECT doc_id, i, {run} AS s FROM (SELECT *, unnest(range(0, greatest(len(w) - {SHINGLE - 1}, 0))) AS i FROM d)),
+m AS (SELECT doc_id, i, template, license, size, s FROM ds JOIN ts USING (s)),
+p AS (SELECT *, i // size - k AS win FROM m, (VALUES (0), (1)) o(k)),
+c AS (SELECT doc_id, template, license, size, win, count(DISTINCT s) AS n FROM p
+      WHERE win >= 0 AND i - win * size <= 2 * size - {SHINGLE} GROUP BY ALL),
+r AS (SELECT c.doc_id, c.license, c.size, c.win, c.n / tn.n AS share FROM c JOIN tn USING (template) WHERE c.n / tn.n >= {contained})
+SELECT doc_id, license, max(share) AS containment, count(DISTINCT (size, win)) AS n_windows FROM r GROUP BY doc_id, license"""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import mixing
+from . import license_scan, mixing
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -79,7 +79,7 @@ def op7_language_id(spark, sf_dir):
     return held_out_languages(table(spark, sf_dir, "documents"))
 
 
-@register("op8_license_scan")
+@register("op8_license_scan", license_scan.oracle())
 def op8_license_scan(spark, sf_dir):
     from .license_scan import scanned
     return scanned(table(spark, sf_dir, "documents"))
