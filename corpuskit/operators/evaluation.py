@@ -34,19 +34,18 @@ def _gram_counts(tok: DataFrame, tok_col: str, max_n: int, extra: Sequence[str]
 
 
 def bleu(preds: DataFrame, refs: DataFrame | None = None, id_col: str = "id", pred_col: str = "prediction",
-         ref_col: str = "reference", max_n: int = 4, smoothing: bool = True) -> DataFrame:
+         ref_col: str = "reference", max_n: int = 4, smoothing: bool = True, ref_order: str | None = None) -> DataFrame:
     """M-03 corpus BLEU (dependency-free definition), one row: ``bleu_1 .. bleu_<max_n>, bleu``.
 
     ``refs`` (``id, reference``; several rows per id allowed) defaults to ``preds[ref_col]``.
     Clipping is against the max count over references, reference length is the closest one
-    (ties: the earlier reference), zero matches are smoothed to ``1/(count+1)``; ``bleu`` is the
+    (ties: the earlier one by ``ref_order``, else by its text), zero matches are smoothed to ``1/(count+1)``; ``bleu`` is the
     highest order computed (D10).
     """
     if refs is None:
         return _bleu_single(preds, id_col, pred_col, ref_col, max_n, smoothing)
     pt = _tok(preds, id_col, pred_col, "pt")
-    rt = refs.select(F.col(id_col).alias("rid"), F.monotonically_increasing_id().alias("ref_no"),
-                     metric_tokens(ref_col).alias("rtk"))
+    rt = refs.select(F.col(id_col).alias("rid"), F.col(ref_order or ref_col).alias("ref_no"), metric_tokens(ref_col).alias("rtk"))
     pc = _gram_counts(pt, "pt", max_n)
     rc = (_gram_counts(rt, "rtk", max_n, ["ref_no"]).groupBy("rid", "n", "gram").agg(F.max("cnt").alias("rmax")))
     clipped = pc.join(rc, ["rid", "n", "gram"], "left").select(
@@ -65,7 +64,10 @@ def bleu(preds: DataFrame, refs: DataFrame | None = None, id_col: str = "id", pr
 def _fused_grams(preds: DataFrame, id_col: str, pred_col: str, ref_col: str, orders, with_lengths: bool) -> DataFrame:
     """One pass: per row, prediction and reference n-grams (and optionally token counts under
     n = 0) as weighted entries; grouped by (row, n, gram) into ``pc`` / ``rc`` counts."""
-    base = preds.select(F.col(id_col).alias("rid"), metric_tokens(pred_col).alias("pt"), metric_tokens(ref_col).alias("rtk"))
+    # dealt by row before the explode: the grouping below needs no shuffle of n-grams
+    base = (preds.select(F.col(id_col).alias("rid"), F.col(pred_col).alias("_p"), F.col(ref_col).alias("_r")).repartition("rid")
+            .select("rid", metric_tokens("_p").alias("pt"), metric_tokens("_r").alias("rtk")))
+
     def entry(n, p, r):
         # one-argument lambda: ``transform`` reads a two-argument lambda as (element, index)
         return lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"), F.lit(p).alias("p"), F.lit(r).alias("r"))
@@ -248,29 +250,42 @@ def _long(df: DataFrame, metric: str, cols: Sequence[str]) -> DataFrame:
                                                   F.col(c).cast("double").alias("value")) for c in cols])).alias("x")).select("x.*")
 
 
-def metric_bundle(df: DataFrame, task_type: str = "generation", id_col: str = "id",
-                  pred: str = "prediction", ref: str = "reference") -> DataFrame:
-    """M-10: the metric set of a task type as one long table ``(metric, sub_metric, value)``.
+#: Metrics of each task type; any other type counts as generation.
+TASK_METRICS = {"classification": ("accuracy", "f1"), "qa": ("exact_match", "f1"), "generation": ("bleu", "rouge", "exact_match")}
 
-    generation/default: BLEU, ROUGE (f/p/r per type), exact match; classification: accuracy
-    and macro F1; qa: exact match and micro F1 over space-joined token labels (D3).
-    """
-    parts = []
-    if task_type in ("classification",):
-        parts.append(_long(accuracy(df, pred, ref), "accuracy", ["accuracy", "correct", "total"]))
-        parts.append(_long(f1(df, pred, ref, "macro"), "f1", ["precision", "recall", "f1"]))
-    elif task_type == "qa":
-        parts.append(_long(exact_match(df, pred, ref), "exact_match", ["exact_match", "matches", "total"]))
+
+def _metric(name: str, df: DataFrame, task_type: str, id_col: str, pred: str, ref: str) -> DataFrame:
+    if name == "accuracy":
+        return _long(accuracy(df, pred, ref), name, ["accuracy", "correct", "total"])
+    if name == "exact_match":
+        return _long(exact_match(df, pred, ref), name, ["exact_match", "matches", "total"])
+    if name == "f1" and task_type == "qa":  # micro, over space-joined token labels (D3)
         toks = df.select(F.array_join(metric_tokens(pred), " ").alias("p"), F.array_join(metric_tokens(ref), " ").alias("r"))
-        parts.append(_long(f1(toks, "p", "r", "micro"), "f1", ["precision", "recall", "f1"]))
-    else:
-        b = bleu(df, None, id_col, pred, ref)
-        parts.append(_long(b, "bleu", ["bleu", "bleu_1", "bleu_2", "bleu_3", "bleu_4"]))
-        r = rouge(df, id_col, pred, ref)
-        parts.append(r.select(F.explode(F.array(*[F.struct(F.lit("rouge").alias("metric"),
-                                                           F.concat("rouge_type", F.lit("_" + m)).alias("sub_metric"),
-                                                           F.col(m).alias("value")) for m in ("precision", "recall", "fmeasure")])).alias("x")).select("x.*"))
-        parts.append(_long(exact_match(df, pred, ref), "exact_match", ["exact_match", "matches", "total"]))
+        return _long(f1(toks, "p", "r", "micro"), name, ["precision", "recall", "f1"])
+    if name == "f1":
+        return _long(f1(df, pred, ref, "macro"), name, ["precision", "recall", "f1"])
+    if name == "bleu":
+        return _long(bleu(df, None, id_col, pred, ref), name, ["bleu", "bleu_1", "bleu_2", "bleu_3", "bleu_4"])
+    if name == "rouge":
+        per_type = F.array(*[F.struct(F.lit(name).alias("metric"), F.concat("rouge_type", F.lit("_" + m)).alias("sub_metric"),
+                                      F.col(m).alias("value")) for m in ("precision", "recall", "fmeasure")])
+        return rouge(df, id_col, pred, ref).select(F.explode(per_type).alias("x")).select("x.*")
+    raise ValueError(f"unknown metric {name}")
+
+
+def metric_bundle(df: DataFrame, task_type: str = "generation", id_col: str = "id", pred: str = "prediction",
+                  ref: str = "reference", metrics: Sequence[str] | None = None) -> DataFrame:
+    """M-10: the metrics of a task type (or those named) as one long table ``(metric, sub_metric,
+    value, error)``. A metric that cannot be computed (unknown, or a column it needs is missing)
+    leaves one row with its message in ``error`` and the others stay."""
+    from pyspark.errors import PySparkException
+    parts = []
+    for name in metrics or TASK_METRICS.get(task_type, TASK_METRICS["generation"]):
+        try:
+            parts.append(_metric(name, df, task_type, id_col, pred, ref).withColumn("error", F.lit(None).cast("string")))
+        except (PySparkException, ValueError) as e:
+            parts.append(df.sparkSession.createDataFrame([(name, "error", None, str(e).split("\n")[0])],
+                                                         "metric string, sub_metric string, value double, error string"))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 

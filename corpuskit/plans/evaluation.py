@@ -155,8 +155,8 @@ UNION ALL SELECT 'f1', 'recall', round(avg(recall), 6) FROM pc
 UNION ALL SELECT 'f1', 'f1', round(avg(f1), 6) FROM pc""")
 def label_metric_bundle(spark, sf):
     """M-10 classification bundle in the long metric form."""
-    b = M.metric_bundle(_labels(spark, sf), "classification")
-    return b.withColumn("value", F.round("value", 6))
+    b = M.metric_bundle(_labels(spark, sf), "classification").filter(F.col("error").isNull())
+    return b.select("metric", "sub_metric", F.round("value", 6).alias("value"))
 
 
 @register("chat_error_types", f"""

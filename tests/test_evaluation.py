@@ -121,3 +121,22 @@ def test_predict_plug_point_and_batch_split(spark):
     assert rows[1] == ("A", None) and rows[3] == ("C", None) and rows[2][0] is None and "bad input" in rows[2][1]
     ok, bad, tot = A.batch_split(p)
     assert tuple(tot.first()) == (3, 2, 1)
+
+
+def test_bundle_keeps_the_metrics_that_work(spark):
+    d = spark.createDataFrame([(1, "a b c d", "a b c d"), (2, "x", "y")], "id long, prediction string, reference string")
+    rows = M.metric_bundle(d, "qa", metrics=["exact_match", "nonsense", "f1"]).collect()
+    assert {r.metric for r in rows if r.error is None} == {"exact_match", "f1"}
+    assert [(r.metric, r.sub_metric, r.value) for r in rows if r.error] == [("nonsense", "error", None)]
+    rows = M.metric_bundle(d.drop("id"), "generation").collect()
+    assert {r.metric for r in rows if r.error} == {"bleu", "rouge"} and {r.metric for r in rows if not r.error} == {"exact_match"}
+
+
+def test_closest_reference_ties_by_order(spark):
+    p = spark.createDataFrame([(1, "a b c")], "id long, prediction string")
+    refs = [(1, "a b", 2), (1, "a b c d", 1)]  # as close as each other
+    lens = set()
+    for order in ([0, 1], [1, 0]):
+        r = spark.createDataFrame([refs[i] for i in order], "id long, reference string, seq int").repartition(2)
+        lens.add(M.bleu(p, r, max_n=1, ref_order="seq").first()["bleu_1"])
+    assert len(lens) == 1
