@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import license_scan, mixing
+from . import license_scan, mixing, suffix_repeats
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -33,10 +33,9 @@ def op6_quality_rules(spark, sf_dir):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
-@register("op9_suffix_array_dedup")
+@register("op9_suffix_array_dedup", suffix_repeats.ORACLE)
 def op9_suffix_array_dedup(spark, sf_dir):
-    from .suffix_repeats import keep_first_copies
-    return keep_first_copies(table(spark, sf_dir, "documents"))
+    return suffix_repeats.keep_first_copies(table(spark, sf_dir, "documents"))
 
 
 @register("op10_simhash_near_dedup")

@@ -605,3 +605,21 @@ def without_repeats(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
         count = F.char_length("new").cast(docs.schema["n_chars"].dataType)
         fields["n_chars"] = F.when(F.col("new").isNotNull(), count).otherwise(F.col("whole.n_chars"))
     return out.select(*[fields.get(c, F.col(f"whole.`{c}`")).alias(c) for c in docs.columns])
+
+
+#: DuckDB twin of ``keep_first_copies`` over ``documents``: every window of 50 bytes, in hexadecimal.
+ORACLE = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, {2 * MIN_LEN}) AS s FROM (SELECT doc_id, h, unnest(range(0, greatest(n - {MIN_LEN - 1}, 0))) AS i FROM d)),
+f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s),
+g AS (SELECT doc_id, i FROM w JOIN f USING (s) WHERE first < doc_id),
+r AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {MIN_LEN} THEN 0 ELSE 1 END AS new FROM g),
+k AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM r),
+s AS (SELECT doc_id, run, min(i) AS a, max(i) + {MIN_LEN} AS z FROM k GROUP BY ALL),
+t AS (SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans, max(z) AS last FROM s GROUP BY doc_id),
+parts AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p, a AS q FROM s
+          UNION ALL SELECT doc_id, last, n FROM t JOIN d USING (doc_id)),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * p + 1, 2 * (q - p)), '' ORDER BY p) AS h FROM parts JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id) LEFT JOIN kept USING (doc_id)"""
