@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ..session import broadcast_value
 
 #: Entries of the tables of a worker (words, runs without white space, transitions).
-TABLE = 300_000
+TABLE = 100_000
 #: White space for Python's ``str.split`` but not for the tokenizer.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 
@@ -83,7 +83,7 @@ class Automaton:
         """Whether the finished automaton has an arc ``t`` out of the state after ``p``."""
         found = self.table.get((p, t))
         if found is None:
-            if len(self.table) >= 4 * TABLE:
+            if len(self.table) >= 2 * TABLE:
                 self.table.clear()
             found = self.table[p, t] = self._had(p, t, 1 << 60)
         return found
