@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import broadcast_value
+from .common import lean
 
 #: Entries of the tables of a worker (words, runs without white space, transitions).
 TABLE = 100_000
@@ -234,7 +235,7 @@ def _mapped(docs: DataFrame, path: str, keep: list[str], columns: list[tuple[str
                     [*part.columns[:-1], *(pa.array([g[i] for g in got], k) for i, (_, _, k) in enumerate(columns))],
                     [*part.schema.names[:-1], *(c[0] for c in columns)])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def encoded(docs: DataFrame, path: str, keep: list[str] | None = None) -> DataFrame:

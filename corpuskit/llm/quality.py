@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import boxed, written
+from .common import boxed, lean, written
 
 WHITE = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
@@ -75,7 +75,7 @@ def counts(docs: DataFrame, keep: tuple = ("doc_id",)) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(c) for c in got.T)],
                                              [*b.schema.names[:-1], *COUNTS])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 # ------------------------------------------------------------------ rules

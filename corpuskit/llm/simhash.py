@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import boxed, written
+from .common import boxed, lean, written
 from .components import connected_components
 
 SHINGLE = 4
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keep: tuple = ("doc_id
                                              [*b.schema.names[:-1], "fp"])
 
     rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
-    return rows.mapInArrow(run, docs.select(*keep).schema.add("fp", "long"))
+    return rows.mapInArrow(lean(run), docs.select(*keep).schema.add("fp", "long"))
 
 
 def _popcount(col):

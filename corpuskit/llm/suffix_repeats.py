@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, boxed, id_order, shuffle_partitions, slices, written
+from .common import LAST_ID, boxed, id_order, lean, shuffle_partitions, slices, written
 
 MIN_LEN = 50
 GRAM = 22
@@ -273,8 +273,8 @@ def repeated_anchors(rows: DataFrame, min_len: int, gram: int, fold: bool = True
     bytes each, 48 bits) of every document that has an anchor standing in two documents or more."""
     n = min(shuffle_partitions(rows), 1 << 16)
     kinds = "bucket int, shared boolean, ids binary, counts binary, hashes binary, digests binary"
-    found = (rows.mapInArrow(_anchor_rows(min_len, gram, n), kinds).repartition(n, "bucket").sortWithinPartitions("bucket")
-             .mapInArrow(_answers(fold), "id long, gone binary, shared binary"))
+    found = (rows.mapInArrow(lean(_anchor_rows(min_len, gram, n)), kinds).repartition(n, "bucket").sortWithinPartitions("bucket")
+             .mapInArrow(lean(_answers(fold)), "id long, gone binary, shared binary"))
     return found.groupBy("id").agg(F.collect_list("gone").alias("gone"), F.collect_list("shared").alias("shared"))
 
 
@@ -495,12 +495,12 @@ def removals(docs: DataFrame, min_len: int = MIN_LEN, gram: int = GRAM, hot: int
     if not 1 <= gram <= min_len:
         raise ValueError("gram must lie between 1 and min_len")
     flagged = _flagged(_rows(docs), min_len, gram)
-    strings = written(flagged.mapInArrow(_strings(min_len, gram, False), "anchor long, s binary, id long")
+    strings = written(flagged.mapInArrow(lean(_strings(min_len, gram, False)), "anchor long, s binary, id long")
                       .groupBy("anchor", "s").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "strings")
     usual, many = _split_hot(strings, hot)
-    verdict = (usual.repartition("anchor").sortWithinPartitions("anchor", "s").mapInArrow(_verdicts(min_len), _RUNS)
+    verdict = (usual.repartition("anchor").sortWithinPartitions("anchor", "s").mapInArrow(lean(_verdicts(min_len)), _RUNS)
                .unionByName(_hot_verdicts(many, min_len)))
-    where = flagged.mapInArrow(_strings(min_len, gram, True), _WHERE)
+    where = flagged.mapInArrow(lean(_strings(min_len, gram, True)), _WHERE)
     smaller = (where.join(verdict, ["anchor", "name"])
                .select("id", "sha", "start", F.filter("runs", lambda r: r["least"] < F.col("id")).alias("runs"))
                .filter(F.size("runs") > 0))
@@ -535,7 +535,7 @@ def removals(docs: DataFrame, min_len: int = MIN_LEN, gram: int = GRAM, hot: int
                     ["id", "sha", "kept", "n_removed", "n_spans"])
 
     rows = flagged.select("id", "sha", "text", "gone").join(cuts, ["id", "sha"], "left").select("id", "sha", "text", "gone", "cuts")
-    return rows.mapInArrow(cut, "id long, sha binary, kept binary, n_removed long, n_spans long").filter("n_removed > 0")
+    return rows.mapInArrow(lean(cut), "id long, sha binary, kept binary, n_removed long, n_spans long").filter("n_removed > 0")
 
 
 def repeat_groups(docs: DataFrame, min_len: int = MIN_LEN, gram: int = GRAM) -> DataFrame:
@@ -543,7 +543,7 @@ def repeat_groups(docs: DataFrame, min_len: int = MIN_LEN, gram: int = GRAM) ->
     start long), ``repeat`` naming the repeated bytes. Maximal inside a stretch (see the module)."""
     rows = _rows(docs)
     flagged = _flagged(rows, min_len, gram, False)
-    strings = (flagged.mapInArrow(_strings(min_len, gram, False), "anchor long, s binary, id long")
+    strings = (flagged.mapInArrow(lean(_strings(min_len, gram, False)), "anchor long, s binary, id long")
                .groupBy("anchor", "s").agg(F.count(F.lit(1)).alias("n")))
 
     def emit(held):
@@ -560,7 +560,7 @@ def repeat_groups(docs: DataFrame, min_len: int = MIN_LEN, gram: int = GRAM) ->
 
     groups = (strings.repartition("anchor").sortWithinPartitions("anchor", "s")
               .mapInArrow(_groups(min_len, emit), "repeat binary, length int, anchor long, name long, at int"))
-    where = flagged.mapInArrow(_strings(min_len, gram, True), _WHERE)
+    where = flagged.mapInArrow(lean(_strings(min_len, gram, True)), _WHERE)
     # equal texts have the repeats of their first document
     every = groups.join(where, ["anchor", "name"]).join(rows.select("sha", F.col("id").alias("own")), "sha")
     real = F.when(F.col("own") < LAST_ID, F.col("own"))
