@@ -21,15 +21,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 LAST_ID = (1 << 63) - 1
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, collect: bool = True) -> DataFrame:
     """``df`` written once as Parquet to the shared folder of ``spark.checkpoint.dir`` and read
-    again: cuts the lineage, and survives lost executors. The shuffle files behind it are let go."""
+    again: cuts the lineage, and survives lost executors. With ``collect``, for plans that shuffle
+    whole texts, the shuffle files behind it are let go at once."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
-    del df  # holds the plan
-    released(spark)
+    if collect:
+        del df  # holds the plan
+        released(spark)
     return spark.read.schema(schema).parquet(path)
 
 

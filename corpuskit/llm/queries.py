@@ -82,3 +82,9 @@ def op7_language_id(spark, sf_dir):
 def op8_license_scan(spark, sf_dir):
     from .license_scan import scanned
     return scanned(table(spark, sf_dir, "documents"))
+
+
+@register("op13_merkle_manifest")
+def op13_merkle_manifest(spark, sf_dir):
+    from .merkle import manifest
+    return manifest(table(spark, sf_dir, "documents"))
