@@ -88,3 +88,11 @@ def op8_license_scan(spark, sf_dir):
 def op13_merkle_manifest(spark, sf_dir):
     from .merkle import manifest
     return manifest(table(spark, sf_dir, "documents"))
+
+
+@register("op11_merge_replay")
+def op11_merge_replay(spark, sf_dir):
+    import public_tokenizers
+
+    from .merge_replay import digests
+    return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
