@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from .common import shuffle_partitions, written
 
 
-def numbered(df: DataFrame, group: Sequence[str], order: Sequence[str], sums: Sequence[str] = ()) -> DataFrame:
+def numbered(df: DataFrame, group: Sequence[str], order: Sequence[str], part: str | None = None) -> DataFrame:
     """``df`` plus ``idx`` (from 0, by ``order`` inside ``group``), ``total`` (rows of the group) and,
-    for each column c of ``sums``, ``c_upto`` (its sum up to and with this row).
+    if named, ``part`` (ascends with ``idx`` inside a group; rows of one part lay together).
 
     Group columns are not NULL; in ``order`` NULL comes first. Rows tied in ``order`` get positions
     of their own. ``df`` is read twice, so it should be a table, or cheap; its order of reading
@@ -29,17 +29,24 @@ def numbered(df: DataFrame, group: Sequence[str], order: Sequence[str], sums: Se
     laid = (spread.repartitionByRange(shuffle_partitions(df), *keys).sortWithinPartitions(*keys)
             .drop("__tie").withColumn("__at", F.monotonically_increasing_id()))
     laid = written(laid, "numbered", collect=False).withColumn("__part", F.shiftright("__at", 33))
-    part = ["__part", *group]
-    ends = laid.groupBy(*part).agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"),
-                                   *[F.sum(c).alias(f"__sum_{c}") for c in sums])
+    cell = ["__part", *group]
+    ends = laid.groupBy(*cell).agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
     whole = Window.partitionBy(*group)
     before = whole.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
-    starts = ends.select(*part, "__first", earlier("__n").alias("__before"), F.sum("__n").over(whole).alias("total"),
-                         *[earlier(f"__sum_{c}").alias(f"__before_{c}") for c in sums])
-    if sums:
-        upto = Window.partitionBy(*part).orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
-        laid = laid.select("*", *[F.sum(c).over(upto).alias(f"__upto_{c}") for c in sums])
-    return laid.join(starts, part).select(
+    starts = ends.select(*cell, "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"), F.sum("__n").over(whole).alias("total"))
+    return laid.join(starts, cell).select(
         *df.columns, (F.col("__before") + F.col("__at") - F.col("__first")).alias("idx"), "total",
-        *[(F.col(f"__before_{c}") + F.col(f"__upto_{c}")).alias(f"{c}_upto") for c in sums])
+        *([F.col("__part").alias(part)] if part else []))
+
+
+def running(df: DataFrame, group: Sequence[str], sums: Sequence[str], part: str = "part") -> DataFrame:
+    """A table made with ``numbered`` plus, for each column c of ``sums``, ``c_upto``: its sum over
+    the rows of the group up to and with this one. Sums run inside each part, beginning with the
+    total of the parts before."""
+    cell = [*group, part]
+    totals = df.groupBy(*cell).agg(*[F.sum(c).alias(f"__{c}") for c in sums])
+    before = Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*cell, *[F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)).alias(f"__before_{c}") for c in sums])
+    inside = Window.partitionBy(*cell).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    local = df.select("*", *[F.sum(c).over(inside).alias(f"__local_{c}") for c in sums])
+    return local.join(starts, cell).select(*df.columns, *[(F.col(f"__before_{c}") + F.col(f"__local_{c}")).alias(f"{c}_upto") for c in sums])

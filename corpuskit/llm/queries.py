@@ -96,3 +96,9 @@ def op11_merge_replay(spark, sf_dir):
 
     from .merge_replay import digests
     return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@register("op12_prefix_trie")
+def op12_prefix_trie(spark, sf_dir):
+    from .prefix_trie import prefix_trie
+    return prefix_trie(table(spark, sf_dir, "conversations"))
