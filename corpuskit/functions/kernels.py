@@ -6,8 +6,6 @@ and moves them through Arrow. None is a row-at-a-time UDF.
 
 from __future__ import annotations
 
-import difflib
-
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,16 +39,6 @@ def lcs_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([lcs_length(x, y) for x, y in zip(a, b)], dtype="int64")
 
 
-def seq_ratio(a: str | None, b: str | None) -> float:
-    """difflib sequence ratio (J-13 / J-14)."""
-    return difflib.SequenceMatcher(None, a or "", b or "").ratio()
-
-
-@F.pandas_udf(T.DoubleType())
-def seq_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([seq_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
-
-
 @F.pandas_udf(T.DoubleType())
 def normal_cdf_udf(z: pd.Series) -> pd.Series:
     """X-09 normal CDF, 0.5 * (1 + erf(z / sqrt 2)); Spark has no ``erf``."""

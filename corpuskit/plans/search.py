@@ -195,3 +195,25 @@ def faq_hit_rate(spark, sf):
     q, kb = _faq(spark, sf)
     return A.hit_rate(MT.best_answers(q, kb, "qid", "q", "o", "t", "a", "keyword")).withColumn(
         "success_pct", F.round("success_pct", 6))
+
+
+@register("faq_sequence_match")
+def faq_sequence_match(spark, sf):
+    """J-14 as the recipe has it: every user turn's best benchmark item by sequence ratio, with the
+    score also where it stays under the threshold."""
+    from ..operators import matching as MT
+    q, kb = _faq(spark, sf)
+    m = MT.sequence_match(q, kb, "qid", "q", "o", "t", "simple")
+    return q.select("qid").join(m, "qid", "left").select(
+        "qid", F.col("kb_order").alias("matched"), F.coalesce("score", F.lit(0.0)).alias("confidence"),
+        F.coalesce(F.col("score") >= 0.4, F.lit(False)).alias("found"))
+
+
+@register("faq_sequence_answers")
+def faq_sequence_answers(spark, sf):
+    """J-13 as the recipe has it: .7 sequence ratio + .3 word overlap, among items that share a keyword
+    (all items for a turn without one)."""
+    from ..operators import matching as MT
+    q, kb = _faq(spark, sf)
+    return MT.best_answers(q, kb, "qid", "q", "o", "t", "a", "keyword", "sequence").select("qid", "answer", "confidence", "found")
+

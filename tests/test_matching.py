@@ -1,6 +1,11 @@
+import difflib
 import random
 import re
 
+import numpy as np
+import pytest
+
+from corpuskit.functions import sequence as Q
 from corpuskit.operators import matching as MT
 
 WORD = re.compile(r"\w+")
@@ -49,3 +54,80 @@ def test_best_answers_thresholds(spark):
     qdf = spark.createDataFrame([(1, "how do i reset my password"), (2, "completely unrelated text here"), (3, None)], "qid long, q string")
     r = {x.qid: x for x in MT.best_answers(qdf, kdf, "qid", "q", "o", "t", "a", "simple").collect()}
     assert r[1].found and r[1].answer == "Use the reset link." and not r[2].found and not r[3].found and len(r) == 3
+
+
+# ------------------------------------------------------------------ sequence ratio
+
+def ratio(a, b):
+    return difflib.SequenceMatcher(None, a, b).ratio()
+
+
+def recipe(q, kb, profile):
+    """(entry, score) of one question, entry by entry."""
+    prepared = (lambda t: (t or "").lower().strip()) if profile == "simple" else lambda t: (t or "").lower()
+    q, best, score = prepared(q), None, 0
+    some = range(len(kb))
+    words = lambda t: set(re.findall(r"\b\w+\b", t))
+    if profile == "keyword":
+        some = [i for i, t in enumerate(kb) if any(len(w) > 3 for w in words(q) & words(prepared(t)))] or some
+    for i in some:
+        s = ratio(q, prepared(kb[i]))
+        if profile == "keyword":
+            s = s * 0.7 + len(words(q) & words(prepared(kb[i]))) / max(len(words(q)), 1) * 0.3
+        if s > score:
+            best, score = i, s
+    return best, score
+
+
+@pytest.mark.parametrize("low, high, letters", [(0, 25, "ab"), (0, 60, "abc é😀"), (150, 420, "abcdefghij  éñ😀xyzqwertuiop"), (190, 230, "aaaaab cdef")])
+def test_ratios_equal_the_library(low, high, letters):
+    r = random.Random(low + high)
+    some = lambda n: ["".join(r.choice(letters) for _ in range(r.randint(low, high))) for _ in range(n)]
+    a, b = some(12) + ["", "x"], some(12) + ["", "x", "a" * 300]
+    b.append(a[0] + "tail")
+    alphabet = Q.alphabet(a, b)
+    x, y = Q.Texts(a, alphabet), Q.Texts(b, alphabet)
+    i, j = (g.ravel() for g in np.meshgrid(range(len(a)), range(len(b)), indexing="ij"))
+    got, bound = Q.ratios(x, y, i, j), Q.upper_bounds(x, y)
+    for p, q, s in zip(i, j, got):
+        assert s == ratio(a[p], b[q]) and bound[p, q] >= s, (a[p], b[q])
+
+
+def test_lengths_that_can_reach_a_ratio():
+    for t in (0.1, 0.4, 0.5, 0.9):
+        for n in range(0, 300, 7):
+            reach = MT._reach(MT._length_class(n), t, MT.CLASSES)
+            assert all(MT._length_class(m) in reach for m in range(0, 3000, 3) if 2 * min(n, m) >= t * (n + m))
+
+
+def _faq_tables(spark, seed=11):
+    r = random.Random(seed)
+    kb = [" ".join(r.choice(WORDS) for _ in range(r.randint(2, 6))) + "?" for _ in range(40)] + [None, "", "how", " ".join(WORDS * 4)]
+    qs = [" ".join(r.choice([*WORDS, "how", "do", "i", "my"]) for _ in range(r.randint(1, 7))) for _ in range(60)]
+    qs += ["zzz qq", "", "x", None, "  HOW  ", kb[3], kb[3].upper(), "reset " * 60, "how do i my"]
+    return (kb, qs, spark.createDataFrame(list(enumerate(kb)), "o long, t string").withColumn("a", MT.F.concat(MT.F.lit("to "), "o")),
+            spark.createDataFrame(list(enumerate(qs)), "qid long, q string").repartition(3))
+
+
+@pytest.mark.parametrize("profile", ["simple", "train", "keyword"])
+def test_sequence_match_equals_the_recipe(spark, profile, monkeypatch):
+    kb, qs, kdf, qdf = _faq_tables(spark)
+    want = {i: recipe(q, kb, profile) for i, q in enumerate(qs)}
+    for size in (3, 64):
+        monkeypatch.setattr(MT, "QUESTIONS", size)
+        monkeypatch.setattr(MT, "ENTRIES", size)
+        got = {r.qid: (r.kb_order, r.score) for r in MT.sequence_match(qdf, kdf, "qid", "q", "o", "t", profile).collect()}
+        for i, (entry, score) in want.items():
+            assert got.get(i, (None, 0)) == (entry, pytest.approx(score, abs=1e-12)), (qs[i], profile)
+    least, equal = (0.4, True) if profile == "simple" else (0.5, False) if profile == "train" else (0.4, False)
+    for r in MT.best_answers(qdf, kdf, "qid", "q", "o", "t", "a", profile, "sequence").collect():
+        entry, score = want[r.qid]
+        found = score >= least if equal else score > least
+        assert (r.found, r.matched) == (found, entry if found else None)
+        assert (r.answer == f"to {entry}") == found and r.confidence == pytest.approx(score if found else 0)
+
+
+def test_sequence_match_without_rows(spark):
+    kb, qs, kdf, qdf = _faq_tables(spark)
+    assert MT.sequence_match(qdf.filter("false"), kdf, "qid", "q", "o", "t").count() == 0
+    assert MT.sequence_match(qdf, kdf.filter("false"), "qid", "q", "o", "t", "keyword").count() == 0
