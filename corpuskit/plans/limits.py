@@ -259,3 +259,11 @@ def stream_tenant_quota_decisions(spark, sf):
     s = S.streaming_anchored_quota(_unordered(spark, sf), "user_id", "ts", "event_id", QUOTA_RPM, QUOTA_RPD, watermark="48 hours")
     r = S.run_to_table(s, "append", name="quota").filter(F.col("key").isNotNull())
     return r.select(F.col("seq").alias("request_id"), "allowed", "reason", "minute_count", "day_count")
+
+
+@register("stream_multi_limit_decisions", _multi_sql(MULTI_RULES))
+def stream_multi_limit_decisions(spark, sf):
+    """T-02 as a stateful stream over unordered files (same answer as the batch fold)."""
+    s = S.streaming_multi_limit(_unordered(spark, sf), "user_id", "ts", "event_id", MULTI_RULES, watermark="48 hours")
+    r = S.run_to_table(s, "append", name="multi", settings=S.ROCKSDB).filter(F.col("key").isNotNull())
+    return r.select(F.col("seq").alias("request_id"), "allowed", "failing_category")

@@ -1,11 +1,16 @@
 """Sequential per-key folds: rate limiters and anchored quotas (T-01, T-02, T-03, T-09).
 
 A limiter decision depends on the earlier *accepted* requests of the same key, so it is a
-fold, not a window count. Batch form: hash-partition by key, sort inside each partition by
-(key, time, id) and stream every partition through the fold in Arrow batches. State per key
-is bounded (at most ``limit`` timestamps, or two counters), rows are never gathered into a
-per-key array, and the sort spills, so a key holding a third of all rows costs time in one
-task but not memory.
+fold, not a window count. But a pause of at least the longest window leaves nothing of what
+came before: every limiter starts afresh after it. A key's timeline is cut at such pauses, and
+the segments fold in parallel, so a key that holds a third of all rows is dealt over many tasks.
+Pauses are found without sorting a key in one task: requests are counted into slots of the
+window's length, which hold no pause inside, and only slot ends are compared.
+
+Batch form: hash-partition by (key, segment), sort inside each partition by (key, segment, time,
+id) and stream every partition through the fold in Arrow batches. State per key is bounded (at
+most ``limit`` timestamps, or two counters), rows are never gathered into a per-key array, and
+the sort spills, so a segment without a pause costs time in one task but not memory.
 """
 
 from __future__ import annotations
@@ -15,17 +20,37 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordered import null_safe_join
+
 US = 1_000_000
 
 
-def _prep(df: DataFrame, key: str, ts: str, seq: str, partitions: int | None) -> DataFrame:
+def segments(d: DataFrame, pause_us: int) -> DataFrame:
+    """(key, t_us, ..) plus ``segment``: rises by one after every pause of at least ``pause_us`` in
+    the times of a key. Two times of a slot of that length lie closer, so a pause ends at the first
+    time of a slot; the table of slots has at most a row for each slot of a key, however many rows
+    the key holds."""
+    slotted = d.withColumn("_slot", F.col("t_us") - F.pmod("t_us", F.lit(pause_us)))
+    slots = slotted.groupBy("key", "_slot").agg(F.min("t_us").alias("_first"), F.max("t_us").alias("_last"))
+    w = Window.partitionBy("key").orderBy("_slot")
+    fresh = F.coalesce((F.col("_first") - F.lag("_last").over(w) >= pause_us).cast("long"), F.lit(0))
+    cut = slots.withColumn("_fresh", fresh).select("key", "_slot", F.sum("_fresh").over(w).alias("segment"))
+    return null_safe_join(slotted, cut, ["key", "_slot"]).drop("_slot")
+
+
+def _prep(df: DataFrame, key: str, ts: str, seq: str, partitions: int | None, pause_us: int) -> DataFrame:
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     from ..functions.time import epoch_micros
-    d = df.select(F.col(key).alias("key"), epoch_micros(df, ts).alias("t_us"), F.col(seq).cast("long").alias("seq"))
-    return d.repartition(n, "key").sortWithinPartitions("key", "t_us", "seq")
+    d = df.select(F.col(key).cast("string").alias("key"), epoch_micros(df, ts).alias("t_us"), F.col(seq).cast("long").alias("seq"))
+    return segments(d, pause_us).repartition(n, "key", "segment").sortWithinPartitions("key", "segment", "t_us", "seq")
+
+
+def _runs(pdf: pd.DataFrame) -> list[tuple]:
+    """What a fold runs over without a break: key and segment."""
+    return list(zip(pdf["key"].astype(str), pdf["segment"]))
 
 
 LIMIT_SCHEMA = ("key string, seq long, t_us long, allowed boolean, remaining int, current int, "
@@ -36,7 +61,7 @@ def _sliding_log(limit: int, window_us: int):
     def run(it):
         cur, log = None, deque()
         for pdf in it:
-            keys, ts, seqs = pdf["key"].astype(str).to_numpy(), pdf["t_us"].to_numpy(), pdf["seq"].to_numpy()
+            keys, ts, seqs, runs = pdf["key"].astype(str).to_numpy(), pdf["t_us"].to_numpy(), pdf["seq"].to_numpy(), _runs(pdf)
             n = len(pdf)
             allowed = np.zeros(n, dtype=bool)
             remaining = np.zeros(n, dtype=np.int32)
@@ -44,8 +69,8 @@ def _sliding_log(limit: int, window_us: int):
             reset = np.zeros(n, dtype=np.int64)
             retry = np.zeros(n, dtype=np.int64)
             for i in range(n):
-                if keys[i] != cur:
-                    cur, log = keys[i], deque()
+                if runs[i] != cur:
+                    cur, log = runs[i], deque()
                 now = int(ts[i])
                 while log and log[0] <= now - window_us:  # keep t > now - window
                     log.popleft()
@@ -70,7 +95,7 @@ def sliding_log_limit(df: DataFrame, key: str, ts: str, seq: str, limit: int, wi
     older than the window are evicted as the fold advances (T-09)."""
     if limit < 1:
         raise ValueError("limit must be >= 1")
-    d = _prep(df, key, ts, seq, partitions).withColumn("key", F.col("key").cast("string"))
+    d = _prep(df, key, ts, seq, partitions, max(1, int(window_s * US)))
     return d.mapInPandas(_sliding_log(limit, int(window_s * US)), LIMIT_SCHEMA)
 
 
@@ -81,11 +106,11 @@ def _multi(rules: Sequence[tuple[str, int, int]]):
     def run(it):
         cur, logs = None, {}
         for pdf in it:
-            keys, ts, seqs = pdf["key"].astype(str).to_numpy(), pdf["t_us"].to_numpy(), pdf["seq"].to_numpy()
+            keys, ts, seqs, runs = pdf["key"].astype(str).to_numpy(), pdf["t_us"].to_numpy(), pdf["seq"].to_numpy(), _runs(pdf)
             allowed, failing = [], []
             for i in range(len(pdf)):
-                if keys[i] != cur:
-                    cur, logs = keys[i], {c: deque() for c, _, _ in rules}
+                if runs[i] != cur:
+                    cur, logs = runs[i], {c: deque() for c, _, _ in rules}
                 now, ok, bad = int(ts[i]), True, None
                 for cat, lim, win in rules:
                     log = logs[cat]
@@ -108,7 +133,7 @@ def multi_limit(df: DataFrame, key: str, ts: str, seq: str, rules: Sequence[tupl
     reported and later categories are not consumed. ``rules``: (category, limit, window_s);
     per-endpoint overrides are simply a different rule list per call."""
     r = [(c, int(lim), int(w * US)) for c, lim, w in rules]
-    d = _prep(df, key, ts, seq, partitions).withColumn("key", F.col("key").cast("string"))
+    d = _prep(df, key, ts, seq, partitions, max(1, *[w for _, _, w in r]))
     return d.mapInPandas(_multi(r), MULTI_SCHEMA)
 
 
@@ -123,11 +148,11 @@ def _anchored(rpm: int, rpd: int):
         ma = da = None
         mc = dc = 0
         for pdf in it:
-            keys, ts, seqs = pdf["key"].astype(str).to_numpy(), pdf["t_us"].to_numpy(), pdf["seq"].to_numpy()
+            keys, ts, seqs, runs = pdf["key"].astype(str).to_numpy(), pdf["t_us"].to_numpy(), pdf["seq"].to_numpy(), _runs(pdf)
             allowed, reason, mcs, dcs = [], [], [], []
             for i in range(len(pdf)):
-                if keys[i] != cur:
-                    cur, ma, da, mc, dc = keys[i], None, None, 0, 0
+                if runs[i] != cur:
+                    cur, ma, da, mc, dc = runs[i], None, None, 0, 0
                 now = int(ts[i])
                 why = None
                 if ma is not None and now - ma < minute and mc >= rpm:
@@ -155,5 +180,5 @@ def anchored_quota(df: DataFrame, key: str, ts: str, seq: str, per_minute: int,
     """T-03: per-tenant minute and day counters anchored at the first recorded request after
     the previous window expired (not clock boundaries); a request is denied when a live
     window is at quota; only allowed requests are recorded."""
-    d = _prep(df, key, ts, seq, partitions).withColumn("key", F.col("key").cast("string"))
+    d = _prep(df, key, ts, seq, partitions, 86400 * US)
     return d.mapInPandas(_anchored(per_minute, per_day), QUOTA_SCHEMA)

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..functions.text import py_strip
 from ..session import checkpoint_dir, table
@@ -30,10 +31,11 @@ def file_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int = 1)
 
 
 def run_to_table(stream: DataFrame, output_mode: str = "append", keys: list[str] | None = None,
-                 name: str = "stream") -> DataFrame:
+                 name: str = "stream", settings: dict | None = None) -> DataFrame:
     """Run ``stream`` until all available input is processed (``availableNow``), writing
     every micro-batch to parquet under the shared checkpoint folder, and return the result
-    as a batch DataFrame. For ``update`` mode the newest row per ``keys`` wins."""
+    as a batch DataFrame. For ``update`` mode the newest row per ``keys`` wins. ``settings``
+    hold for this stream alone."""
     spark = stream.sparkSession
     base = checkpoint_dir(spark).rstrip("/") + f"/streams/{name}-{uuid.uuid4().hex[:12]}"
     out = base + "/data"
@@ -42,8 +44,15 @@ def run_to_table(stream: DataFrame, output_mode: str = "append", keys: list[str]
         # idempotent: a re-run of the same micro-batch (task or executor loss) overwrites its folder
         batch.write.mode("overwrite").parquet(f"{out}/_batch={batch_id}")
 
-    q = (stream.writeStream.outputMode(output_mode).foreachBatch(sink)
-         .option("checkpointLocation", base + "/ckpt").trigger(availableNow=True).start())
+    before = {k: spark.conf.get(k, None) for k in settings or {}}
+    try:
+        for k, v in (settings or {}).items():
+            spark.conf.set(k, v)
+        q = (stream.writeStream.outputMode(output_mode).foreachBatch(sink)
+             .option("checkpointLocation", base + "/ckpt").trigger(availableNow=True).start())
+    finally:  # a started stream has its own copy
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     q.awaitTermination()
     if q.lastProgress is None and not q.recentProgress:  # no batch ran: no input at all
         return spark.createDataFrame([], stream.schema)
@@ -159,6 +168,88 @@ def streaming_anchored_quota(events: DataFrame, key: str, ts: str, seq: str, per
                     lambda memo: AnchoredQuota(memo, per_minute, per_day))
 
 
+# ------------------------------------------------------------------ T-02 streaming
+
+class MultiLimit(StatefulProcessor):
+    """T-02 per key: a list state of the events that wait for the watermark, one list state of
+    accepted times for each category, and a timer at the earliest waiting event. New events are
+    appended; the waiting list is read only when the timer goes off, once a micro-batch."""
+
+    def __init__(self, rules: list[tuple[str, int, int]]):
+        self.rules = rules
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "t_us long, seq long")
+        self.due = handle.getValueState("due", "ms long")
+        self.logs = [handle.getListState(f"accepted_{i}", "t_us long") for i in range(len(self.rules))]
+
+    def _wake(self, t_us: int, timers) -> None:
+        """A timer at an event; one that the watermark has reached goes off in this micro-batch or the next."""
+        ms, now = t_us // 1000, self.due.get()[0] if self.due.exists() else None
+        if now is None or ms < now:
+            if now is not None:
+                self.handle.deleteTimer(now)
+            self.handle.registerTimer(ms)
+            self.due.update((ms,))
+
+    def handleInputRows(self, key, rows, timerValues):
+        for pdf in rows:
+            events = list(zip(pdf["t_us"].astype("int64").tolist(), pdf["seq"].astype("int64").tolist()))
+            if events:
+                self.waiting.appendList(events)
+                self._wake(min(events)[0], timerValues)
+        yield pd.DataFrame([], columns=MULTI_COLUMNS)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        mark = timerValues.getCurrentWatermarkInMs()
+        events = sorted((int(t), int(s)) for t, s in self.waiting.get())
+        n = sum(t // 1000 <= mark for t, _ in events)
+        logs = [deque(int(t) for t, in log.get()) if log.exists() else deque() for log in self.logs]
+        rows = [(key[0], s, t, *self._step(t, logs)) for t, s in events[:n]]
+        for log, state in zip(logs, self.logs):
+            while log and n and log[0] <= mark * 1000 - max(w for _, _, w in self.rules):
+                log.popleft()  # no later event can see it (T-09)
+            state.put([(t,) for t in log]) if log else state.clear()
+        self.due.clear()
+        if events[n:]:
+            self.waiting.put(events[n:])
+            self._wake(events[n][0], timerValues)
+        else:
+            self.waiting.clear()
+        yield pd.DataFrame(rows, columns=MULTI_COLUMNS)
+
+    def _step(self, t: int, logs) -> tuple:
+        for log, (category, limit, window) in zip(logs, self.rules):
+            while log and log[0] <= t - window:
+                log.popleft()
+            if len(log) >= limit:
+                return False, category
+            log.append(t)  # earlier categories consume even if a later one denies
+        return True, None
+
+    def close(self) -> None:
+        pass
+
+
+MULTI_COLUMNS = ["key", "seq", "t_us", "allowed", "failing_category"]
+#: State with lists and timers needs this store.
+ROCKSDB = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+def streaming_multi_limit(events: DataFrame, key: str, ts: str, seq: str, rules, watermark: str = "1 hour") -> DataFrame:
+    """T-02 as a stateful stream: several sliding-log limits in order; events are settled in (time,
+    seq) order once the watermark has passed them. Run it with the settings of ``ROCKSDB``. A NULL
+    ``seq`` counts as -1, a NULL key is a key."""
+    from ..functions.time import epoch_micros, utc_instant
+    d = events.select(F.col(key).cast("string").alias("key"), utc_instant(events, ts).alias("ts"),
+                      epoch_micros(events, ts).alias("t_us"), F.coalesce(F.col(seq).cast("long"), F.lit(-1)).alias("seq")).withWatermark("ts", watermark)
+    kinds = ("string", "long", "long", "boolean", "string")
+    return d.groupBy("key").transformWithStateInPandas(
+        statefulProcessor=MultiLimit([(c, int(n), int(w * US)) for c, n, w in rules]),
+        outputStructType=", ".join(f"{c} {k}" for c, k in zip(MULTI_COLUMNS, kinds)), outputMode="Append", timeMode="EventTime")
+
+
 # ------------------------------------------------------------------ T-04 / T-05 / T-06 / T-07
 
 def running_usage(requests: DataFrame, key: str = "tenant_id") -> DataFrame:

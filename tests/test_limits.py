@@ -131,3 +131,56 @@ def test_stream_steps_equal_batch_folds():
         if why is None:
             minute = (t, 1) if not minute or t - minute[0] >= 60_000_000 else (minute[0], minute[1] + 1)
             day = (t, 1) if not day or t - day[0] >= 86_400_000_000 else (day[0], day[1] + 1)
+
+
+def test_streaming_multi_limit_equals_batch(spark, tmp_path):
+    from corpuskit.streaming import stream as S
+    rows, df = _events(spark, n=300, seed=6)
+    rules = [("a", 2, 60.0), ("b", 5, 900.0)]
+    batch = {(int(r.key), r.seq): r.failing_category for r in T.multi_limit(df, "user_id", "ts", "event_id", rules).collect()}
+    for files in (1, 5):
+        st = _landed(spark, df, str(tmp_path / f"ev{files}"), files, 3600)
+        out = S.run_to_table(S.streaming_multi_limit(st, "user_id", "ts", "event_id", rules, "2 hours"), name="m", settings=S.ROCKSDB)
+        got = [((int(r.key), r.seq), r.failing_category) for r in out.filter("key is not null").collect()]
+        assert dict(got) == batch and len(got) == len(batch)
+
+
+# ------------------------------------------------------------------ segments
+
+def _bursts(spark, n=900, seed=3):
+    """One key with a third of the rows and pauses of all lengths, exactly the window's among them."""
+    r, rows, t = random.Random(seed), [], 0
+    for i in range(n):
+        t += r.choice([0, 1, 5, 30, 59, 60, 61, 599, 600, 601, 4000])
+        rows.append((None if i % 9 == 8 else 0 if i % 3 == 0 else r.randrange(1, 6), T0 + dt.timedelta(seconds=t), i))
+    r.shuffle(rows)
+    return rows, spark.createDataFrame(rows, "user_id long, ts timestamp, event_id long").repartition(4)
+
+
+def test_segments_fold_like_the_whole_key(spark):
+    rows, df = _bursts(spark)
+    events = [(-1 if u is None else u, _us(t), s) for u, t, s in rows]
+    for limit, window in ((1, 600), (3, 600), (2, 60)):
+        got = {(-1 if r.key in ("None", None) else int(r.key), r.seq): r.allowed
+               for r in T.sliding_log_limit(df, "user_id", "ts", "event_id", limit, window).collect()}
+        assert got == python_sliding_log(events, limit, window * 1_000_000)
+
+
+def test_quota_and_several_limits_over_segments(spark, monkeypatch):
+    rows, df = _bursts(spark, seed=5)
+    for call in (lambda: T.multi_limit(df, "user_id", "ts", "event_id", [("a", 2, 60.0), ("b", 3, 600.0)]),
+                 lambda: T.anchored_quota(df, "user_id", "ts", "event_id", 1, 40)):
+        cut = sorted(map(str, call().collect()))
+        with monkeypatch.context() as m:  # the whole timeline of a key as one segment
+            m.setattr(T, "segments", lambda d, pause: d.withColumn("segment", T.F.lit(0).cast("long")))
+            assert sorted(map(str, call().collect())) == cut
+
+
+def test_hot_key_is_dealt(spark):
+    rows, df = _bursts(spark)
+    d = T._prep(df, "user_id", "ts", "event_id", 8, 600 * 1_000_000)
+    hot = d.filter("key = '0'").withColumn("p", T.F.spark_partition_id()).groupBy("p").count().collect()
+    times = sorted(_us(t) for u, t, _ in rows if u == 0)
+    pauses = sum(b - a >= 600 * 1_000_000 for a, b in zip(times, times[1:]))
+    assert d.filter("key = '0'").select("segment").distinct().count() == pauses + 1 > 20
+    assert len(hot) >= 6 and max(r["count"] for r in hot) < len(times) / 2
