@@ -119,7 +119,7 @@ def workspace_samples(pages: DataFrame, mapping: dict, props_col: str = "propert
         if name != "title":
             return direct
         title_prop = F.try_element_at(F.map_values(F.map_filter(
-            props, lambda k, v: F.try_variant_get(v, "$.type", "string") == "title")), 1)
+            props, lambda k, v: F.try_variant_get(v, "$.type", "string") == "title")), F.lit(1))
         fallback = F.coalesce(F.col("title").cast("string"), F.lit("")) if "title" in pages.columns else F.lit("")
         return F.when(direct != "", direct).when(title_prop.isNotNull(), property_text(title_prop)).otherwise(fallback)
 

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cuts import as_number, cut_at
 from .ordered import positional_index
 
 
@@ -42,10 +43,16 @@ def retain_newest(df: DataFrame, id_col: str, ts: str, keep: int) -> DataFrame:
 
 
 def positional_split(df: DataFrame, order: Sequence[str] | str, ratio: float = 0.9) -> DataFrame:
-    """W-09: first ``int(n * ratio)`` rows in input order -> train, rest -> validation."""
+    """W-09: first ``int(n * ratio)`` rows in input order -> train, rest -> validation. Over numbers,
+    dates and times the cut is found by counting (``cuts``); other columns are sorted by range."""
+    columns = [order] if isinstance(order, str) else list(order)
+    kinds = dict(df.dtypes)
+    numbers = [as_number(F.col(c), kinds[c]) for c in columns]
+    if all(x is not None for x in numbers):
+        return cut_at(df, numbers, [int(df.count() * ratio)], ["train", "validation"], "split")
     d = positional_index(df, order, "_pos")  # materialised once; counting it is cheap
     cut = int(d.count() * ratio)
-    return d.withColumn("split", F.when(F.col("_pos") < cut, F.lit("train")).otherwise(F.lit("validation")))
+    return d.withColumn("split", F.when(F.col("_pos") < cut, F.lit("train")).otherwise(F.lit("validation"))).drop("_pos")
 
 
 def hash_order(seed: int, *cols) -> Column:
@@ -64,20 +71,22 @@ def random_split(df: DataFrame, key: str, fractions: Sequence[float] = (0.8, 0.1
     rows and the first the rest.
     """
     import math
-    d = positional_index(df.withColumn("_h", hash_order(seed, key)), ["_h", key], "_pos")
-    n = d.count()  # materialised once; counting it is cheap
+    n = df.count()
     if rounding == "ceil_last":
         if len(fractions) != 2:
             raise ValueError("ceil_last rounding is for two splits")
-        cut = n - math.ceil(n * fractions[1])
-        return d.withColumn("split", F.when(F.col("_pos") < cut, F.lit(names[0])).otherwise(F.lit(names[1]))).drop("_h")
-    cum, expr = 0.0, None
-    for f, name in zip(fractions[:-1], names[:-1]):
-        cum += f
-        cond = F.col("_pos") < int(n * cum)
-        expr = F.when(cond, F.lit(name)) if expr is None else expr.when(cond, F.lit(name))
-    expr = expr.otherwise(F.lit(names[len(fractions) - 1])) if expr is not None else F.lit(names[0])
-    return d.withColumn("split", expr).drop("_h")
+        wanted = [n - math.ceil(n * fractions[1])]
+    else:
+        wanted, cum = [], 0.0
+        for f in fractions[:-1]:
+            cum += f
+            wanted.append(int(n * cum))
+    return cut_at(df, _shuffled(seed, key), wanted, list(names)[:len(fractions)], "split")
+
+
+def _shuffled(seed: int, key: str) -> list[Column]:
+    """Order of a seeded shuffle: a hash, and another where two rows share it."""
+    return [hash_order(seed, key), hash_order(seed + 1, F.lit("tie"), key)]
 
 
 def approx_split(df: DataFrame, fractions: Sequence[float] = (0.9, 0.1), seed: int = 42):
@@ -88,13 +97,10 @@ def approx_split(df: DataFrame, fractions: Sequence[float] = (0.9, 0.1), seed: i
 def kfold(df: DataFrame, key: str, k: int = 5, seed: int = 42) -> DataFrame:
     """W-11: k folds as contiguous blocks of the seeded hash order; the first ``n % k`` folds
     hold one row more (the usual shuffled k-fold layout)."""
-    d = positional_index(df.withColumn("_h", hash_order(seed, key)), ["_h", key], "_pos")
-    n = d.count()  # materialised once; counting it is cheap
-    q, r = divmod(n, k)
-    big = r * (q + 1)
-    p = F.col("_pos")
-    fold = F.when(p < big, F.floor(p / (q + 1))).otherwise(F.lit(r) + F.floor((p - big) / max(q, 1)))
-    return d.withColumn("fold", fold.cast("int")).drop("_h", "_pos")
+    q, r = divmod(df.count(), k)
+    ends = [(i + 1) * q + min(i + 1, r) for i in range(k - 1)]
+    out = cut_at(df, _shuffled(seed, key), ends, list(range(k)), "fold")
+    return out.withColumn("fold", F.col("fold").cast("int"))
 
 
 def first_n(df: DataFrame, order: Sequence[str] | str, n: int) -> DataFrame:

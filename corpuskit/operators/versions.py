@@ -3,7 +3,7 @@ J-12), and model search (F-04 lives in mapping)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import col_
@@ -104,3 +104,57 @@ def version_diff(versions: DataFrame, name: str, v1: str, v2: str) -> tuple[Data
     cb = b.select(F.explode("config").alias("key", "v2"))
     config = ca.join(cb, "key", "full_outer").filter(~F.col("v1").eqNullSafe(F.col("v2")))
     return metrics, config
+
+
+def flattened(df: DataFrame, column: str, keep: list[str], depth: int = 8) -> DataFrame:
+    """``keep`` columns plus path and value (JSON text) of every leaf of a nested VARIANT object; what
+    lies deeper than ``depth`` objects is one value. Paths join keys by dots."""
+    level = df.select(*keep, F.lit("").alias("path"), F.col(column).alias("_v")).filter(F.col("_v").isNotNull())
+    leaves = []
+    for k in range(depth):
+        entries = level.select(*keep, "path", F.explode(F.try_variant_get("_v", "$", "map<string,variant>")).alias("_k", "_v"))
+        entries = entries.select(*keep, F.concat("path", F.when(F.col("path") != "", F.lit(".")).otherwise(F.lit("")), "_k").alias("path"), "_v")
+        nested = F.coalesce(F.startswith(F.schema_of_variant("_v"), F.lit("OBJECT<")) & (F.to_json("_v") != "{}"), F.lit(False))
+        leaf = entries if k == depth - 1 else entries.filter(~nested)
+        leaves.append(leaf.select(*keep, "path", F.to_json("_v").alias("value")))
+        level = entries.filter(nested)
+    out = leaves[0]
+    for x in leaves[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def consecutive_versions(versions: DataFrame, profile: str = "semver") -> DataFrame:
+    """(name, v1, v2): each version of a model with the next in SemVer order."""
+    w = Window.partitionBy("name").orderBy("_key")
+    d = versions.select("name", "version", semver_key(parse_semver("version"), profile).alias("_key"))
+    return d.withColumn("v2", F.lead("version").over(w)).filter("v2 IS NOT NULL").select("name", F.col("version").alias("v1"), "v2")
+
+
+def version_changes(versions: DataFrame, pairs: DataFrame | None = None, depth: int = 8) -> tuple[DataFrame, DataFrame]:
+    """J-12 for all models at once: (metrics, config) of the version ``pairs`` (name, v1, v2; each version
+    and the next, if not given). ``versions``: name, version, metrics MAP<STRING, DOUBLE>, config VARIANT.
+
+    metrics: metrics of both versions with old, new, diff and improved (lower is better when the key
+    contains "loss"). config: nested settings whose values differ, as JSON text, NULL where a version lacks
+    one. Pairs with a version that is not there give no rows."""
+    pairs = consecutive_versions(versions) if pairs is None else pairs
+    sides = [F.col("name"), F.col("version")]
+
+    def both(rows: DataFrame, key: str, value: str) -> DataFrame:
+        """A row for each pair and key of either version: old and new, and which have it."""
+        first = pairs.select("name", F.col("v1").alias("version"), "v1", "v2", F.lit(1).alias("side"))
+        second = pairs.select("name", F.col("v2").alias("version"), "v1", "v2", F.lit(2).alias("side"))
+        met = first.unionByName(second).join(rows, ["name", "version"])
+        side = lambda n: F.max(F.when(F.col("side") == n, F.col(value)))
+        return met.groupBy("name", "v1", "v2", key).agg(side(1).alias("old"), side(2).alias("new"), F.count_distinct("side").alias("_sides"))
+
+    # a pair whose versions are both there
+    there = versions.select("name", "version").distinct()
+    pairs = pairs.join(there.withColumnRenamed("version", "v1"), ["name", "v1"], "left_semi").join(
+        there.withColumnRenamed("version", "v2"), ["name", "v2"], "left_semi")
+    m = both(versions.select(*sides, F.explode("metrics").alias("metric", "value")), "metric", "value").filter("old IS NOT NULL AND new IS NOT NULL")
+    m = m.select("name", "v1", "v2", "metric", "old", "new", (F.col("new") - F.col("old")).alias("diff"))
+    m = m.withColumn("improved", F.when(F.contains("metric", F.lit("loss")), F.col("diff") < 0).otherwise(F.col("diff") > 0))
+    c = both(flattened(versions, "config", ["name", "version"], depth), "path", "value")
+    return m, c.filter(~F.col("old").eqNullSafe(F.col("new"))).select("name", "v1", "v2", "path", "old", "new")

@@ -455,3 +455,44 @@ def job_summary(spark, sf):
         F.col("user_id").alias("job_id"), "ts", F.col("event_id").alias("seq"),
         (F.col("value") / 3).alias("progress"), (F.col("event_type") == "error").alias("failed"))
     return A.job_summary(W.job_states(e))
+
+
+DAYS_SQL = """
+WITH d AS (SELECT event_type AS name, CAST(day(ts) AS BIGINT) AS day, avg(value) AS loss, count(*)::DOUBLE AS seen, count(*) FILTER (WHERE value > 100)::DOUBLE AS large,
+  count(*) % 4 AS batch, max(user_id) % 3 AS warm FROM events GROUP BY 1, 2),
+p AS (SELECT name, '1.' || CAST(day AS VARCHAR) || '.0' AS v1, '1.' || CAST(lead(day) OVER w AS VARCHAR) || '.0' AS v2, loss, seen, large, batch, warm,
+  lead(loss) OVER w AS loss2, lead(seen) OVER w AS seen2, lead(large) OVER w AS large2, lead(batch) OVER w AS batch2, lead(warm) OVER w AS warm2
+  FROM d WINDOW w AS (PARTITION BY name ORDER BY day) QUALIFY lead(day) OVER w IS NOT NULL)"""
+
+
+def _daily_versions(spark, sf):
+    """Each event type is a model, each day of it a version with metrics and nested settings."""
+    d = table(spark, sf, "events").groupBy(F.col("event_type").alias("name"), F.dayofmonth("ts").alias("day")).agg(
+        F.avg("value").alias("loss"), F.count(F.lit(1)).alias("seen"), F.count_if(F.col("value") > 100).alias("large"), (F.max("user_id") % 3).alias("warm"))
+    few = F.col("large") > 0  # a metric that some versions lack
+    metrics = F.map_filter(F.create_map(F.lit("val_loss"), F.col("loss"), F.lit("seen"), F.col("seen").cast("double"), F.lit("large"), F.when(few, F.col("large").cast("double"))),
+                           lambda k, v: v.isNotNull())
+    config = F.to_json(F.struct((F.col("seen") % 4).alias("batch"), F.struct(F.when(F.col("warm") > 0, F.col("warm")).alias("warm"), F.lit("adam").alias("name")).alias("optim")))
+    return d.select("name", F.format_string("1.%d.0", "day").alias("version"), metrics.alias("metrics"), F.parse_json(config).alias("config"))
+
+
+@register("version_metric_changes", f"""{DAYS_SQL},
+m AS (SELECT name, v1, v2, 'val_loss' AS metric, loss AS old, loss2 AS new FROM p UNION ALL SELECT name, v1, v2, 'seen', seen, seen2 FROM p
+      UNION ALL SELECT name, v1, v2, 'large', large, large2 FROM p WHERE large > 0 AND large2 > 0)
+SELECT name, v1, v2, metric, round(old, 6) AS old, round(new, 6) AS new, round(new - old, 6) AS diff,
+  CASE WHEN metric = 'val_loss' THEN new - old < 0 ELSE new - old > 0 END AS improved FROM m""")
+def version_metric_changes(spark, sf):
+    """J-12 metrics: every version of every model against the next, in SemVer order."""
+    from ..operators.versions import version_changes
+    m, _ = version_changes(_daily_versions(spark, sf))
+    return m.select("name", "v1", "v2", "metric", *[F.round(c, 6).alias(c) for c in ("old", "new", "diff")], "improved")
+
+
+@register("version_config_changes", f"""{DAYS_SQL},
+c AS (SELECT name, v1, v2, 'batch' AS path, CAST(batch AS VARCHAR) AS old, CAST(batch2 AS VARCHAR) AS new FROM p
+      UNION ALL SELECT name, v1, v2, 'optim.warm', CASE WHEN warm > 0 THEN CAST(warm AS VARCHAR) END, CASE WHEN warm2 > 0 THEN CAST(warm2 AS VARCHAR) END FROM p)
+SELECT * FROM c WHERE old IS DISTINCT FROM new""")
+def version_config_changes(spark, sf):
+    """J-12 settings: nested keys that differ between a version and the next, or are in one alone."""
+    from ..operators.versions import version_changes
+    return version_changes(_daily_versions(spark, sf))[1]

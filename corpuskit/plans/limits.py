@@ -15,7 +15,7 @@ from ..session import checkpoint_dir, table
 from ..streaming import folds as T
 from ..streaming import stream as S
 from .catalog import register
-from .experiments import REQ_SQL, requests, sql_ts, ts_str
+from .experiments import ASSIGN_SQL, MIN_SAMPLE, REQ_SQL, VARIANTS_SQL, _tests_sql, requests, sql_ts, ts_str
 
 LIMIT, WINDOW_S = 3, 86400
 
@@ -214,11 +214,20 @@ def sliding_latency_quantiles(spark, sf):
     return u.select(ts_str("window_start").alias("window_start"), "endpoint", "q", F.round("value", 6).alias("value"))
 
 
-@register("stream_variant_status")
+#: An experiment stops when all variants have the sample and |z| of a treatment is over the two-tailed 5 % point.
+STATUS_SQL = f"""
+WITH t AS ({_tests_sql("latency_ms")}), a AS ({ASSIGN_SQL}),
+n AS (SELECT v.experiment_id, min(coalesce(c.n, 0)) AS min_n FROM ({VARIANTS_SQL}) v
+      LEFT JOIN (SELECT experiment_id, variant_id, count(*) AS n FROM a GROUP BY 1, 2) c ON v.experiment_id = c.experiment_id AND v.variant_id = c.variant_id GROUP BY 1)
+SELECT n.experiment_id, n.min_n, CASE WHEN n.min_n >= {MIN_SAMPLE} AND max(abs(t.z_score)) > 1.959963984540054 THEN 'stopped' ELSE 'running' END AS status
+FROM n JOIN t ON n.experiment_id = t.experiment_id GROUP BY n.experiment_id, n.min_n"""
+
+
+@register("stream_variant_status", STATUS_SQL)
 def stream_variant_status(spark, sf):
     """T-07 streaming variant moments (update mode) -> auto-stop decision per experiment."""
     from ..operators.experiments import assign_variants
-    from .experiments import MIN_SAMPLE, variants
+    from .experiments import variants
     ev = S.file_stream(spark, sf, "events")
     req = ev.select(F.col("event_type").alias("experiment_id"), "user_id", (F.col("event_type") != "error").alias("success"),
                     F.col("value").alias("latency_ms"))

@@ -5,18 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .json_records import json_records
+
+
 def chat_ts(c) -> Column:
     """X-07: chat "sec.micros" text -> TIMESTAMP (UTC)."""
     x = F.col(c) if isinstance(c, str) else c
     return F.timestamp_micros((x.cast("decimal(16,6)") * 1_000_000).cast("long"))
 
 
+#: The key of each kind of export under which its records stand, if they are not the file's root.
+WRAPPERS = {"chat_messages": "messages", "chat_channels": "channels", "chat_users": "members", "wiki_pages": "results",
+            "wiki_spaces": "results", "workspace_pages": "pages"}
+
+
 def _variants(spark: SparkSession, path: str, wrapper: str) -> DataFrame:
-    """One VARIANT per record: the file's array root, or the array under ``wrapper``."""
-    raw = spark.read.text(path, wholetext=True).select(
-        F.try_parse_json("value").alias("v"), F.col("_metadata.file_path").alias("file"))
-    arr = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.try_variant_get("v", f"$.{wrapper}", "array<variant>"))
-    return raw.select("file", F.explode(arr).alias("r"))
+    """One VARIANT per record: the file's array root, or the array under ``wrapper``. Files are cut
+    between records, so one of any size is read by many tasks."""
+    return json_records(spark, path, (wrapper,))[0].select("file", "r")
+
+
+def rejects(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """What a read of this kind of export (a key of ``WRAPPERS``) leaves out: file, n (place of the
+    record in its file; NULL for the whole file), reason, text."""
+    return json_records(spark, path, (WRAPPERS[kind],))[2]
 
 
 def _g(path: str, typ: str = "string") -> Column:
@@ -96,9 +108,9 @@ def workspace_pages(spark: SparkSession, path: str) -> DataFrame:
     title-typed property, falling back to a ``title`` string or rich-text list when that is
     empty; parent type and id; archived default false."""
     from ..operators.mapping import property_text
-    raw = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
-    pages = raw.select(F.try_variant_get("v", "$.title", "string").alias("database_title"),
-                       F.explode(F.try_variant_get("v", "$.pages", "array<variant>")).alias("r"))
+    records, frames, _ = json_records(spark, path, ("pages",))
+    titles = frames.select("file", F.try_variant_get("r", "$.title", "string").alias("database_title"))
+    pages = records.select("file", "r").join(titles, "file", "left")  # a title for each file
     props = _g("$.properties", "map<string,variant>")
     title_prop = F.try_element_at(F.map_values(F.map_filter(
         props, lambda k, x: F.try_variant_get(x, "$.type", "string") == "title")), F.lit(1))
@@ -119,9 +131,7 @@ def workspace_pages(spark: SparkSession, path: str) -> DataFrame:
 def wiki_spaces(spark: SparkSession, path: str) -> DataFrame:
     """S-13 spaces: key / name default "", description from its plain value when it is an
     object (else the text itself), homepage id when present."""
-    raw = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
-    arr = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.try_variant_get("v", "$.results", "array<variant>"))
-    e = raw.select(F.explode(arr).alias("r"))
+    e = _variants(spark, path, "results")
 
     def g(p):
         return F.try_variant_get("r", p, "string")

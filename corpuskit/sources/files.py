@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.mapping import MappingError
+from .json_records import json_records
 
 
 def load_csv_mapped(spark: SparkSession, path: str, mapping: dict) -> DataFrame:
@@ -87,17 +88,18 @@ def load_mixed_folder(spark: SparkSession, path: str, name_contains: str | None
     cut = jl.filter(bad).groupBy("file").agg(F.min("line_num").alias("_cut"))
     jl = jl.join(cut, "file", "left").filter(F.col("_cut").isNull() | (F.col("line_num") < F.col("_cut"))) \
         .filter(~bad).select("input", "output", "source_file", stem(F.col("source_file")).alias("source_id"))
-    # .json: an array (stop at the first bad record) or one object
-    js = rd().option("pathGlobFilter", "*.json").text(path, wholetext=True) \
-        .select(F.try_parse_json("value").alias("v"), F.col("_metadata.file_name").alias("source_file")) \
-        .filter(keep(F.col("source_file")))
-    arr = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.array(F.col("v")))
-    js = js.select("source_file", F.posexplode(arr).alias("pos", "r"))
+    # .json: an array (stop at the first bad record) or one object; large files are cut between records
+    records, _, rejected = json_records(spark, path, recursiveFileLookup=True, pathGlobFilter="*.json")
+    # an element that is no object stands after the record of its number
+    after = F.when(F.col("reason") == "not an object", 0.5).otherwise(0.0)
+    js = records.select("file", F.col("n").cast("double").alias("pos"), "r").unionByName(
+        rejected.filter("n IS NOT NULL").select("file", (F.col("n") + after).alias("pos"), F.lit(None).cast("variant").alias("r")))
+    js = js.withColumn("source_file", F.regexp_extract("file", r"([^/]+)$", 1)).filter(keep(F.col("source_file")))
     i_, o_ = fields(F.col("r"))
     js = js.withColumn("input", i_).withColumn("output", o_)
     jbad = F.col("input").isNull() | F.col("output").isNull()
-    jcut = js.filter(jbad).groupBy("source_file").agg(F.min("pos").alias("_cut"))
-    js = js.join(jcut, "source_file", "left").filter(F.col("_cut").isNull() | (F.col("pos") < F.col("_cut"))) \
+    jcut = js.filter(jbad).groupBy("file").agg(F.min("pos").alias("_cut"))
+    js = js.join(jcut, "file", "left").filter(F.col("_cut").isNull() | (F.col("pos") < F.col("_cut"))) \
         .filter(~jbad).select("input", "output", "source_file", stem(F.col("source_file")).alias("source_id"))
     # every other read file: whole text
     ot = rd().text(path, wholetext=True).select(F.col("value").alias("input"), F.col("_metadata.file_name").alias("source_file")) \

@@ -65,8 +65,11 @@ def stream_jsonl(spark: SparkSession, path: str, schema: str = "input string, ou
 
 
 def load_json_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """S-04: JSON files holding an array of records or one object -> rows."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    """S-04: JSON files holding an array of records or one object -> rows. A file of any size is read
+    by many tasks; what is broken is left out (``json_records`` lists it)."""
+    from .json_records import json_records
+    records = json_records(spark, path)[0]
+    return records.select(F.from_json(F.col("text"), schema).alias("x")).select("x.*")
 
 
 def load_prediction_lines(spark: SparkSession, path: str, field: str | None = None,

@@ -184,3 +184,19 @@ def test_hot_key_is_dealt(spark):
     pauses = sum(b - a >= 600 * 1_000_000 for a, b in zip(times, times[1:]))
     assert d.filter("key = '0'").select("segment").distinct().count() == pauses + 1 > 20
     assert len(hot) >= 6 and max(r["count"] for r in hot) < len(times) / 2
+
+
+def test_variant_moments_of_large_latencies(spark):
+    """A spread of 1 around 10^9: squares would cancel."""
+    import statistics
+
+    from corpuskit.streaming import stream as S
+    r = random.Random(2)
+    rows = [("e", v, True, 1e9 + (v == "b") + r.gauss(0, 1)) for v in "ab" for _ in range(200)]
+    d = spark.createDataFrame(rows, "experiment_id string, variant_id string, success boolean, latency_ms double").repartition(8)
+    m = S.variant_moments_stream(d)
+    for x in m.collect():
+        own = [row[3] for row in rows if row[1] == x.variant_id]
+        assert abs(x["var"] - statistics.variance(own)) < 1e-3 and abs(x["mean"] - statistics.mean(own)) < 1e-6
+    v = spark.createDataFrame([("e", "a", True), ("e", "b", False)], "experiment_id string, variant_id string, is_control boolean")
+    assert S.auto_stop_status(m, v, 100).first().status == "stopped" and S.auto_stop_status(m, v, 500).first().status == "running"

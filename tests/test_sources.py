@@ -62,6 +62,8 @@ def test_text_files_and_mixed_folder(spark, tmp_path):
                  ("i2", "o2", "train_qa"), ("i3", "o3", "train_data"), ("single", "obj", "train_one")]
     only = SF.load_mixed_folder(spark, str(tmp_path), name_contains="train").count()
     assert only == 4
+    (tmp_path / "train_stray.json").write_text('[{"input": "s1", "output": "o"}, 7, {"input": "s2", "output": "o"}]')
+    assert [r.input for r in SF.load_mixed_folder(spark, str(tmp_path), name_contains="stray").collect()] == ["s1"]
 
 
 def test_envelope_and_xml(spark):

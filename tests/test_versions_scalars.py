@@ -53,3 +53,22 @@ def test_scalars(spark):
     assert (r.c, r.s, r.z, r.k) == ("inference", "1.5 KB", "N/A", "ratelimit:api:ip:10.0.0.1")
     seg = spark.createDataFrame([("//",)], "p string").select(X.normalize_path_segments("p").alias("a")).first().a
     assert seg == "/"
+
+
+def test_changes_of_all_versions(spark):
+    rows = [("m", "1.0.0", {"loss": 0.5, "acc": 0.7}, '{"lr": 0.1, "opt": {"name": "adam", "b": {"x": 1}}, "tags": [1, 2]}'),
+            ("m", "1.10.0", {"loss": 0.6}, '{"lr": 0.1, "opt": {"name": "sgd"}, "tags": [1, 3], "new": null}'),
+            ("m", "1.9.0", {"loss": 0.4, "acc": 0.7, "f1": 1.0}, '{"lr": 0.1, "opt": {"name": "adam", "b": {"x": 2}}, "tags": [1, 2], "e": {}}'),
+            ("n", "1.0.0", {"loss": 0.1}, None), ("n", "2.0.0", None, '{"a": 1}'), ("alone", "1.0.0", {"loss": 1.0}, '{"a": 1}')]
+    v = spark.createDataFrame(rows, "name string, version string, metrics map<string,double>, c string").selectExpr("name", "version", "metrics", "parse_json(c) AS config")
+    m, c = VR.version_changes(v)
+    assert sorted((r.name, r.v1, r.v2, r.metric, round(r["diff"], 6), r.improved) for r in m.collect()) == [
+        ("m", "1.0.0", "1.9.0", "acc", 0.0, False), ("m", "1.0.0", "1.9.0", "loss", -0.1, True), ("m", "1.9.0", "1.10.0", "loss", 0.2, False)]
+    assert sorted((r.name, r.v1, r.path, r.old, r.new) for r in c.collect() if r.name == "m") == [
+        ("m", "1.0.0", "e", None, "{}"), ("m", "1.0.0", "opt.b.x", "1", "2"), ("m", "1.9.0", "e", "{}", None), ("m", "1.9.0", "new", None, "null"),
+        ("m", "1.9.0", "opt.b.x", "2", None), ("m", "1.9.0", "opt.name", '"adam"', '"sgd"'), ("m", "1.9.0", "tags", "[1,2]", "[1,3]")]
+    assert [(r.path, r.old, r.new) for r in c.collect() if r.name == "n"] == [("a", None, "1")]
+    given = spark.createDataFrame([("m", "1.10.0", "1.0.0"), ("m", "1.0.0", "9.9.9")], "name string, v1 string, v2 string")
+    assert [(r.v1, r.metric) for r in VR.version_changes(v, given)[0].collect()] == [("1.10.0", "loss")]
+    shallow = VR.version_changes(v, depth=1)[1].filter("path = 'opt' AND v1 = '1.0.0'").collect()
+    assert [(r.old, r.new) for r in shallow] == [('{"b":{"x":1},"name":"adam"}', '{"b":{"x":2},"name":"adam"}')]
