@@ -10,9 +10,10 @@ Rows of arcs are shared between a state and the copies made of it: a gadget note
 and where its copy came from, and ``arc`` follows these notes back in time. Transitions that texts
 ask for are kept in a table.
 
-Every prefix of a word has one accepted token sequence. The encoder follows the longest arc that
-spells the next symbols; where it ends up with no arc it steps back, and never comes to the same
-position again, so its work is linear in the word. Decoding emits the labels of the arcs.
+Every prefix of a word has one accepted token sequence. The encoder walks a tree of the tokens'
+letters and follows the longest arc that spells the next symbols; where it ends up with no arc it
+steps back to what it has not tried, and never comes to the same position again, so its work is
+linear in the word. Decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
@@ -31,8 +32,11 @@ from pyspark.sql import functions as F
 from ..session import broadcast_value
 from .common import lean
 
-#: Entries of the tables of a worker (words, runs without white space, transitions).
+#: Entries of the tables of a worker: transitions, runs without white space, and words in such runs.
 TABLE = 100_000
+RUNS, WORDS = 150_000, 50_000
+#: Entries of a node of the token tree beside its letters.
+INSIDE, AT_END = 0, 1
 #: White space for Python's ``str.split`` but not for the tokenizer.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 
@@ -94,15 +98,15 @@ class Recent(dict):
     """Answers of ``of``, kept in two generations: a full table becomes the old one, and what is
     asked for again moves over from it."""
 
-    def __init__(self, of):
+    def __init__(self, of, size: int):
         super().__init__()
-        self.of, self.old = of, {}
+        self.of, self.size, self.old = of, size, {}
 
     def __missing__(self, key):
         got = self.old.get(key)
         if got is None:
             got = self.of(key)
-        if len(self) >= TABLE:
+        if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
         self[key] = got
@@ -121,15 +125,23 @@ class Tokenizer:
         self.end: str = model["end_of_word_suffix"] or ""
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.labels = {i: t for t, i in chain(self.vocab.items(), self.special.items())}
-        #: beginnings of tokens -> the token's id, or -1 for none
-        self.starts = {t[:k]: -1 for t in self.vocab for k in range(1, len(t))} | self.vocab
+        #: tree of the tokens' letters; a node has the id of the token it spells, inside a word or at its end
+        self.tree: dict = {}
+        self.longest = max(map(len, self.vocab))
+        for t, i in self.vocab.items():
+            node, last = self.tree, bool(self.end) and t.endswith(self.end)
+            for c in t[:len(t) - len(self.end)] if last else t:
+                node = node.setdefault(c, {})
+            node[AT_END if last or not self.end else INSIDE] = i
+            if not self.end:
+                node[INSIDE] = i
         self.automaton = Automaton(self.vocab, merges)
         pattern = next(p["pattern"]["Regex"] for p in data["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(pattern)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")"
                                       if self.special else r"(?!)()")
         self.symbols = byte_symbols()
-        self.words, self.chunks = Recent(self._word), Recent(self._chunk)
+        self.words, self.chunks = Recent(self._word, WORDS), Recent(self._chunk, RUNS)
 
     def _word(self, word: str) -> tuple[int, ...]:
         """Tokens of one word off the pattern."""
@@ -138,26 +150,34 @@ class Tokenizer:
         return self._path("".join(map(self.symbols.__getitem__, word.encode("utf-8", "replace"))))
 
     def _path(self, s: str) -> tuple[int, ...]:
-        n, arc, starts = len(s), self.automaton.arc, self.starts
+        n, longest, arc, known, tree = len(s), self.longest, self.automaton.arc, self.automaton.table.get, self.tree
         if (whole := self.vocab.get(s + self.end)) is not None:
             return (whole,)
         out: list[int] = []
-        ends = [0]  # positions on the path
+        ends, left = [0], []  # positions on the path, and what else can be tried at those before the last
         closed: set[int] = set()  # positions from which the end can't be reached
+        spelled = None  # tokens that spell the next letters, the longest last
         while (i := ends[-1]) < n:
-            last, spelled = out[-1] if out else -1, []
-            for j in range(i + 1, n):
-                t = starts.get(s[i:j])
-                if t is None:
-                    break
-                if t >= 0:
-                    spelled.append((t, j))
-            if (t := self.vocab.get(s[i:] + self.end)) is not None:
-                spelled.append((t, n))
-            for t, j in reversed(spelled):
-                if j not in closed and (last < 0 or arc(last, t)):
+            last = out[-1] if out else -1
+            if spelled is None:
+                spelled, node, j = [], tree, i
+                for c in s[i:i + longest]:
+                    node = node.get(c)
+                    if node is None:
+                        break
+                    j += 1
+                    if (t := node.get(INSIDE if j < n else AT_END)) is not None:
+                        spelled.append((t, j))
+            while spelled:
+                t, j = spelled.pop()
+                if j in closed:
+                    continue
+                ok = last < 0 or known((last, t))
+                if ok or ok is None and arc(last, t):
                     out.append(t)
                     ends.append(j)
+                    left.append(spelled)
+                    spelled = None
                     break
             else:
                 if not out:
@@ -165,15 +185,22 @@ class Tokenizer:
                 closed.add(i)
                 out.pop()
                 ends.pop()
+                spelled = left.pop()
         return tuple(out)
 
+    def _known(self, word: str) -> tuple[int, ...]:
+        """A word inside a run; one of letters alone may have been a run of its own."""
+        if word.isascii() and word.isalpha() and (got := self.chunks.get(word) or self.chunks.old.get(word)):
+            return got
+        return self.words[word]
+
     def _chunk(self, chunk: str) -> tuple[int, ...]:
         """Tokens of a run without white space. Special tokens are found in the raw text."""
         if chunk.isascii() and "<" not in chunk:
             plain = chunk.lower()
             if plain.isalpha():
-                return self.words[plain]
-            return tuple(chain.from_iterable(map(self.words.__getitem__, self.pattern.findall(plain))))
+                return self._path(plain) if plain == chunk else self._known(plain)
+            return tuple(chain.from_iterable(map(self._known, self.pattern.findall(plain))))
         out: list[int] = []
         for k, part in enumerate(self.specials.split(chunk)):
             if k % 2:

@@ -74,7 +74,8 @@ def test_automaton_accepts_only_merge_results():
 
 
 def test_tables_turn_over(library, mine, monkeypatch):
-    monkeypatch.setattr(B, "TABLE", 3)
+    for name in ("TABLE", "RUNS", "WORDS"):
+        monkeypatch.setattr(B, name, 3)
     with open(PATH, "rb") as f:
         t = B.Tokenizer(f.read())
     s = " ".join(f"word{i % 11} Other{i}" for i in range(60))
