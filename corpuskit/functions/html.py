@@ -1,8 +1,8 @@
-"""D-09 / D-12 HTML rules as native column functions.
+"""D-09 HTML rules as native column functions, for the profiles that do not depend on nesting.
 
-Pages are read by patterns: elements whose content never counts are cut out with their content,
-break tags become line breaks, other tags go, references are decoded. There is no tree, so nesting of
-any depth and unclosed tags cost nothing; an element left open is cut to the end of the page.
+Pages are read by patterns: skipped elements are cut out up to the first end tag (as the rule itself
+does), break tags become line breaks, other tags go, references are decoded; an element left open is cut
+to the end of the page. ``page_tree`` holds what needs nesting: the ``site`` profile and D-12.
 """
 
 from __future__ import annotations
@@ -56,47 +56,11 @@ def html_title(html) -> Column:
 
 def html_to_text(html, profile: str = "wiki") -> Column:
     """``wiki``: skipped elements out, break tags to line breaks, blank lines squeezed, stripped;
-    ``strip``: tags out; ``site``: dropped elements out, stripped text pieces joined by line breaks.
-    NULL pages give the empty text."""
+    ``strip``: tags out. NULL pages give the empty text."""
     h = F.coalesce(col_(html), F.lit(""))
     if profile == "wiki":
         broken = F.regexp_replace(without(h, WIKI_SKIP), rf"(?i)<(?:{'|'.join(WIKI_BREAK)})\b[^>]*>", "\n")
         return py_strip(F.regexp_replace(decoded(F.regexp_replace(broken, TAG, "")), r"\n\s*\n", "\n\n"))
     if profile == "strip":
         return decoded(F.regexp_replace(F.regexp_replace(h, r"(?s)<!--.*?(?:-->|\z)", ""), TAG, ""))
-    if profile == "site":
-        pieces = F.transform(F.split(without(h, SITE_DROP), TAG, -1), lambda p: py_strip(decoded(p)))
-        return F.array_join(F.filter(pieces, lambda p: p != ""), "\n")
     raise ValueError(f"unknown profile {profile}")
-
-
-def _plain(html: Column) -> Column:
-    """Texts between tags, stripped and put together."""
-    return F.array_join(F.transform(F.split(html, TAG, -1), lambda p: py_strip(decoded(p))), "")
-
-
-def _pairs(h: Column, pattern: str, q: int, a: int, name: str, answer=_plain) -> Column:
-    zipped = F.arrays_zip(F.regexp_extract_all(h, F.lit(pattern), F.lit(q)).alias("q"), F.regexp_extract_all(h, F.lit(pattern), F.lit(a)).alias("a"))
-    return F.transform(zipped, lambda x: F.struct(_plain(x["q"]).alias("q"), answer(x["a"]).alias("a"), F.lit(name).alias("pattern")))
-
-
-def _paragraphs(html: Column) -> Column:
-    """Texts of the paragraphs, joined by a blank, the first 1000 characters."""
-    inner = F.regexp_extract_all(html, F.lit(r"(?is)<p\b[^>]*>(.*?)(?=</p\s*>|<p\b|\z)"), F.lit(1))
-    return F.substring(F.array_join(F.transform(inner, _plain), " "), 1, 1000)
-
-
-def faq_blocks(html) -> Column:
-    """(q, a, pattern) from schema markup (a name followed by an accepted answer), from accordions (an
-    element with a question, title or header class followed by one with an answer, content or body
-    class) and from question-like h2-h4 headings with the paragraphs up to the next heading."""
-    h = F.coalesce(col_(html), F.lit(""))
-    named = lambda words: rf"""<\w+\b[^>]*\bclass\s*=\s*["'][^"']*(?:{words})[^"']*["'][^>]*>"""
-    schema = _pairs(h, r"""(?is)itemprop\s*=\s*["']name["'][^>]*>(.*?)</(?:(?!itemprop).)*?itemprop\s*=\s*["']acceptedAnswer["'][^>]*>(.*?)</(?:div|section|li)\s*>""",
-                    1, 2, "schema")
-    accordion = F.when(h.rlike(r"""(?i)class\s*=\s*["'][^"']*(?:faq|accordion|toggle)"""), _pairs(
-        h, rf"(?is){named('question|title|header')}(.*?)</\w+\s*>\s*{named('answer|content|body')}(.*?)</(?:div|section|dd|li|p)\s*>", 1, 2, "accordion"))
-    headings = _pairs(h, r"(?is)<h([234])\b[^>]*>(.*?)</h\1\s*>(.*?)(?=<h[1-4]\b|\z)", 2, 3, "heading", _paragraphs)
-    asks = F.filter(headings, lambda x: (x["a"] != "") & (F.contains(x["q"], F.lit("?")) | F.lower(x["q"]).rlike(f"^(?:{'|'.join(QUESTION_STARTS)})")))
-    none = F.array().cast("array<struct<q:string,a:string,pattern:string>>")
-    return F.concat(schema, F.coalesce(accordion, none), asks)

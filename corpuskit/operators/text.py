@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.chunking import chunk_udf
-from ..functions.html import faq_blocks, html_title, html_to_text
+from ..functions.html import html_title, html_to_text
+from ..functions.page_tree import faq_pairs_udf, site_text_udf
 from ..functions.text import col_, metric_tokens, py_strip
 
 
@@ -76,17 +77,20 @@ def document_samples(docs: DataFrame, title_col: str, text_col: str, min_length:
 
 def html_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", profile: str = "wiki",
               url_col: str | None = None) -> DataFrame:
-    """D-09: HTML -> text per page (profiles wiki / strip / site), in native functions. ``site``
-    also returns the title, falling back to the URL."""
+    """D-09: HTML -> text per page: profiles wiki and strip in native functions; ``site`` drops elements
+    by their own end tags in a kernel and also returns the title, falling back to the URL."""
+    text = site_text_udf(F.col(html_col)) if profile == "site" else html_to_text(html_col, profile)
     title = html_title(html_col) if profile == "site" else F.lit(None).cast("string")
     if url_col and profile == "site":
         title = F.coalesce(title, F.col(url_col))
-    return pages.select(F.col(id_col).cast("long").alias("page_id"), html_to_text(html_col, profile).alias("text"), title.alias("title"))
+    return pages.select(F.col(id_col).cast("long").alias("page_id"), text.alias("text"), title.alias("title"))
 
 
 def faq_structure(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """D-12 structural part: schema markup, accordions and question headings."""
-    d = pages.select(F.col(id_col).cast("long").alias("page_id"), F.posexplode(faq_blocks(html_col)).alias("k", "x"))
+    """D-12 structural part: schema markup, accordions and question headings, read with the nesting of the
+    page outside dropped elements. As the rule has it, every element whose type or class fits gives its
+    first question and answer, so a list of questions that itself fits repeats its first pair."""
+    d = pages.select(F.col(id_col).cast("long").alias("page_id"), F.posexplode(faq_pairs_udf(F.col(html_col))).alias("k", "x"))
     return d.select("page_id", F.col("x.q").alias("input"), F.col("x.a").alias("output"), F.col("x.pattern").alias("pattern"), "k")
 
 

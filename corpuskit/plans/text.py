@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import html as H
 from ..functions.text import normalize_text
 from ..operators import text as D
-from ..operators.ordered import positional_index
+from ..operators.ordered import lead_split, positional_index
 from ..operators.relate import with_one_row
 from ..session import table
 from .catalog import register
@@ -208,6 +208,67 @@ def page_text_site(spark, sf):
     return t.select("page_id", "title", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
+# Every page behind nested site chrome: page_id % 5 + 1 navigations in each other with text between their
+# ends, a header in a header, an element left open and an end tag without a start; one line is article.
+NESTED_SQL = """(SELECT page_id, '<html><body>' || repeat('<nav class="a>b"><ul><li>menu', CAST(page_id % 5 + 1 AS INTEGER))
+  || repeat('</ul></nav>still menu', CAST(page_id % 5 AS INTEGER)) || '</nav><HEADER>top<header>inner</header>outer</Header>'
+  || '<div><section></p>kept &lt;' || page_id || '&gt;</div></section><footer><p>foot' || repeat('<footer>', CAST(page_id % 3 AS INTEGER))
+  || repeat('</footer>', CAST(page_id % 3 AS INTEGER)) || 'note</footer>' || coalesce(html, '') AS html FROM pages)"""
+
+
+@register("page_text_nested", f"""
+WITH t AS (SELECT page_id, {_without_sql("coalesce(html, '')", H.SITE_DROP)} AS h FROM pages),
+p AS (SELECT page_id, list_filter(list_transform(string_split_regex(h, {TAG_SQL}), lambda x: {sql_strip(_decoded_sql('x'))}), lambda x: x <> '') AS ps FROM t),
+s AS (SELECT page_id, array_to_string(list_prepend('kept <' || page_id || '>', ps), chr(10)) AS text FROM p)
+SELECT page_id, CAST(length(text) AS INTEGER) AS n_chars, md5(text) AS text_md5 FROM s""")
+def page_text_nested(spark, sf):
+    """D-09 site profile over every page behind nested, unclosed and misplaced elements (see ``NESTED_SQL``):
+    the text is that of the page after the one line that lies outside."""
+    nested = spark.sql(f"SELECT * FROM {NESTED_SQL.replace('FROM pages', 'FROM {pages}')}", pages=table(spark, sf, "pages"))
+    t = D.html_text(nested, profile="site")
+    return t.select("page_id", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+# Questions and answers of the conversations: each turn with the next one, without words that a rule of the
+# miner reads and without line breaks.
+TURNS_SQL = """(SELECT conv_id, turn, trim(regexp_replace(translate(q, 'wWqQ:?<>&', 'vVkK....+'), '\\s+', ' ', 'g')) AS q,
+  trim(regexp_replace(translate(a, 'wWqQ:?<>&', 'vVkK....+'), '\\s+', ' ', 'g')) AS a
+  FROM (SELECT conv_id, turn, text AS q, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS a FROM conversations) WHERE turn % 2 = 0 AND a IS NOT NULL)"""
+
+
+@register("conversation_page_faq", f"""
+WITH t AS (SELECT conv_id * 1000 + turn AS page_id, CAST(conv_id + turn / 2 AS BIGINT) % 4 AS form, 'About ' || q AS q, a FROM {TURNS_SQL}),
+r AS (
+  SELECT page_id, 'schema' AS pattern, q, a || 'and more' AS a FROM t WHERE form = 0
+  UNION ALL SELECT page_id, 'accordion', q, a || 'and more' FROM t WHERE form = 1
+  UNION ALL SELECT page_id, 'heading', q || '?', substr(a || ' and more', 1, 1000) FROM t WHERE form = 2
+  UNION ALL SELECT page_id, 'qa_text', substr(q, 1, 500), substr(a || chr(10) || 'and more', 1, 1000) FROM t WHERE form = 3)
+SELECT page_id, pattern, md5(q) AS input_md5, md5(a) AS output_md5 FROM r""")
+def conversation_page_faq(spark, sf):
+    """D-12 over pages built from every question turn and its answer, in turn as schema markup, accordion,
+    heading and "Q: / A:" text, among nested elements and a decoy in the navigation: each page gives back
+    its own pair and nothing else."""
+    c = table(spark, sf, "conversations")
+    clean = lambda e: F.trim(F.regexp_replace(F.translate(e, "wWqQ:?<>&", "vVkK....+"), r"\s+", " "))
+    t = lead_split(c.select("conv_id", "turn", F.col("text").alias("q")), ["conv_id"], ["turn"], ["q"], F.floor(F.col("turn") / 1024), "a_")
+    t = t.withColumnRenamed("a_q", "a").filter((F.col("turn") % 2 == 0) & F.col("a").isNotNull())
+    q, a = F.concat(F.lit("About "), clean("q")), clean("a")
+    form = (F.col("conv_id") + F.floor(F.col("turn") / 2)) % 4
+    markup = F.when(form == 0, F.concat(
+        F.lit("<div itemscope itemtype='https://schema.org/Question'><div><h5 itemprop=name>"), q,
+        F.lit("</h5></div><div itemprop=acceptedAnswer><div><div><p>"), a, F.lit("</div></div><p>and more</div></div>"))) \
+        .when(form == 1, F.concat(
+            F.lit('<li class="toggle x"><div><b class="item-title">'), q, F.lit('</b></div><div class="item-body"><div><div>'), a,
+            F.lit("</div></div>and more</div></li>"))) \
+        .when(form == 2, F.concat(
+            F.lit("<section><h3><b>"), q, F.lit("?</b></h3><div>aside</div><p><i>"), a, F.lit("</i></p><p>and more</p><h1>End</h1><p>no</p></section>"))) \
+        .otherwise(F.concat(F.lit("<p>Q: "), q, F.lit("</p><p>A: "), a, F.lit("</p><div>and more</div>")))
+    decoy = "<nav><nav></nav><div class=faq><p class=title>decoy</p><p class=body>decoy</p></div><h2>How?</h2><p>decoy</p></nav>"
+    pages = t.select((F.col("conv_id") * 1000 + F.col("turn")).alias("page_id"),
+                     F.concat(F.lit("<html><body>" + decoy + "<main>"), markup, F.lit("</main></body></html>")).alias("html"))
+    return D.faq_mine(pages).select("page_id", "pattern", F.md5("input").alias("input_md5"), F.md5("output").alias("output_md5"))
+
+
 @register("page_faq")
 def page_faq(spark, sf):
     """D-12 FAQ mining over every page (all four sources)."""
