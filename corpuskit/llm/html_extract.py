@@ -1,10 +1,12 @@
 """Main text of web pages by tree scoring.
 
 A page becomes a tree of elements. What is never article (menus, page headers and footers, sidebars,
-forms, scripts, notices, adverts, reader comments) is cut off by element, role and name. Every
+forms, scripts, notices, adverts, reader comments) is cut off by element, role and name, unless it holds
+the prose of the article: a form around the page, or a block of the article with an ambiguous name. Every
 paragraph that is left scores points for its commas and its length, and passes them on to its
 ancestors, less with every level; an element's sum is discounted by its share of link text. The best
-container is kept together with those siblings that read like a part of the same article.
+container is kept together with those siblings that read like a part of the same article, and with other
+articles of the page that score.
 
 One page is one row: no page needs another, so the work is a map over rows, in Arrow batches.
 """
@@ -48,15 +50,22 @@ footer masthead topbar toolbar cookie cookies consent gdpr notice notices popup
 subscription signup login share sharing shares social related recommended recommendations comment comments commentlist
 disqus discussion respond reply replies pagination pager paging search skip outbrain taboola paywall copyright legal
 disclaimer alert tracking""".split())
+# Of these names, the ones that blocks of an article have as well: they are cut only where little prose is inside.
+AMBIGUOUS = frozenset("alert legal overlay paging promotion search skip social subscription tracking widget widgets".split())
 OWN = frozenset("article entry post story content".split())
 ARTICLES = frozenset("article main".split())
 SCORED = frozenset("p pre td blockquote li dd figcaption".split())
 DEPTH = 512  #: deeper elements become siblings, as in browsers
 LINKS = 0.25  #: most link text of a sibling that joins the container
+PROSE = 80  #: least characters of a paragraph that reads like a part of an article
+PROSE_TAGS = frozenset("p pre blockquote li dd td".split())
+SHORT = frozenset("p pre blockquote ul ol dl table figure details".split())  # siblings kept at any length if free of links
+SENTENCE = tuple(".!?:…。！？\"'”’»)")
+RIGHTS = re.compile(r"\s*(?:©|\(c\)|copyright\b)", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "inner", "size", "links", "score", "holds")
+    __slots__ = ("tag", "attrs", "parent", "inner", "size", "links", "score", "holds", "wraps", "prose", "beside", "asks")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
@@ -64,6 +73,9 @@ class Node:
         self.size = self.links = 0  # characters, those in links
         self.score = 0.0
         self.holds = False  # the first article, main or h1
+        self.wraps = False  # the first article or main
+        self.prose = self.beside = 0  # characters of paragraphs inside, of the longest one directly inside
+        self.asks = False  # an input field
 
 
 def parse(html: str) -> list[Node]:
@@ -134,10 +146,12 @@ def _attributes(raw: str) -> dict[str, str]:
     return out
 
 
-def never_article(node: Node) -> bool:
-    """Whether the element is cut off with all it holds."""
+def never_article(node: Node, prose: int = 0) -> bool:
+    """Whether the element is cut off with all it holds. ``prose``: characters of all paragraphs of the page."""
     if node.tag in ("html", "body") or node.tag in ARTICLES and not node.attrs:
         return False
+    if node.tag == "form" and (node.wraps or node.prose >= 200 and 2 * node.prose >= prose):
+        return False
     if node.tag in NEVER:
         return True
     a = _attributes(node.attrs) if node.attrs.strip() else {}
@@ -150,7 +164,11 @@ def never_article(node: Node) -> bool:
     names = {w.lower() for w in WORDS.findall(a.get("class", "") + " " + a.get("id", ""))}
     if node.holds or not names:
         return False
-    return bool(names & NAMES) or "header" in names and not names & OWN
+    found = names & NAMES
+    if found and found <= AMBIGUOUS and node.prose >= PROSE and not node.asks and _density(node) < LINKS and (
+            2 * node.prose >= prose or _inside_article(node) or node.parent.tag != "body" and node.parent.beside >= PROSE):
+        return False
+    return bool(found) or "header" in names and not names & OWN
 
 
 def _inside_article(node: Node) -> bool:
@@ -171,20 +189,37 @@ def _cut(nodes: list[Node]) -> None:
     them as more than a sidebar, whatever its name."""
     for tag in ("article", "main", "h1"):
         up = next((n for n in nodes if n.tag == tag), None)
-        while up is not None and not up.holds:
-            up.holds = True
+        while up is not None and not (up.holds and (up.wraps or tag == "h1")):
+            up.holds, up.wraps = True, up.wraps or tag != "h1"
             up = up.parent
-    gone = {id(n) for n in nodes[1:] if never_article(n)}
+    _weigh(nodes)
+    gone = {id(n) for n in nodes[1:] if never_article(n, nodes[0].prose)}
     for n in nodes if gone else ():
         n.inner = [x for x in n.inner if id(x) not in gone]
 
 
+def _weigh(nodes: list[Node]) -> None:
+    """Prose of every element before anything is cut; what counts then starts again from nothing."""
+    if not any(n.tag == "form" or n.attrs and AMBIGUOUS & {w.lower() for w in WORDS.findall(n.attrs)} for n in nodes):
+        return
+    for n in reversed(_measure(nodes[0])):
+        if n.tag in PROSE_TAGS:
+            n.prose = max(n.prose, n.size - n.links)
+        n.asks |= n.tag in ("input", "select")
+        if n.parent is not None:
+            n.parent.prose += n.prose
+            n.parent.asks |= n.asks
+            if n.tag in PROSE_TAGS:
+                n.parent.beside = max(n.parent.beside, n.size - n.links)
+
+
 def _measure(root: Node) -> list[Node]:
     """Characters and link characters of every element below ``root``; elements in page order."""
     order, todo = [], [root]
     while todo:
         n = todo.pop()
         order.append(n)
+        n.size = n.links = 0
         todo.extend(x for x in reversed(n.inner) if type(x) is Node)
     for n in reversed(order):
         n.size += sum(len(x.strip()) for x in n.inner if type(x) is str)
@@ -231,7 +266,10 @@ def _flat(node: Node) -> str:
 
 
 def _container(order: list[Node]) -> list[Node]:
-    """The best container, grown to the article around it, with the siblings that belong to it."""
+    """The best container, grown to the article around it, with the siblings that belong to it and the
+    other articles of the page, in page order. A container that is no article element may be a part of
+    the text only: then short paragraphs, lists and bare text beside it belong to it if they hold no link
+    and, right below the body, end like a sentence."""
     best = max(order, key=lambda n: n.score)
     up = best
     while up is not None and up.tag not in ARTICLES:
@@ -240,13 +278,69 @@ def _container(order: list[Node]) -> list[Node]:
         best = up
     if best.parent is None or best.tag in ("html", "body"):
         return [best]
-    least, out = max(2.0, 0.2 * best.score), []
-    for n in best.parent.inner:
-        if type(n) is not Node:
-            continue
-        if n is best or n.tag != "article" and _density(n) < LINKS and (
-                n.score >= least or n.tag in HEADINGS or n.tag in SCORED and n.size >= 80):
+    least, partial = max(2.0, 0.2 * best.score), best.tag not in ARTICLES
+    around, up = set(), best
+    while up is not None:
+        around.add(id(up))
+        up = up.parent
+
+    def belongs(n: Node) -> bool:
+        if n is best:
+            return True
+        if _density(n) >= LINKS or n.tag == "article":
+            return False
+        return n.score >= least or n.tag in HEADINGS or n.tag in SCORED and n.size >= PROSE or (
+            partial and n.tag in SHORT and n.size > 0 and not n.links and _sentence(_all(n), best.parent))
+
+    out, todo = [], [order[0]]
+    while todo:
+        n = todo.pop()
+        if n.parent is best.parent and belongs(n) or (
+                n.tag == "article" and id(n) not in around and _density(n) < LINKS and n.score >= least):
             out.append(n)
+        elif n is best.parent:
+            todo.extend(reversed(_with_bare_text(n, best) if partial else [x for x in n.inner if type(x) is Node]))
+        else:
+            todo.extend(x for x in reversed(n.inner) if type(x) is Node)
+    return out
+
+
+def _sentence(text: str, parent: Node) -> bool:
+    text = unescape(text).strip()
+    return any(c.isalnum() for c in text) and not RIGHTS.match(text) and (parent.tag not in ("html", "body") or text.endswith(SENTENCE))
+
+
+def _all(node: Node) -> str:
+    """All text of an element."""
+    parts, todo = [], [node]
+    while todo:
+        n = todo.pop()
+        if type(n) is str:
+            parts.append(n)
+        else:
+            todo.extend(reversed(n.inner))
+    return "".join(parts)
+
+
+def _with_bare_text(parent: Node, best: Node) -> list[Node]:
+    """The elements in ``parent``; text between them and the inline elements in it are put into paragraphs."""
+    out, run = [], []
+
+    def end():
+        line = Node("p", "", parent)
+        line.inner = run[:]
+        line.size = sum(x.size if type(x) is Node else len(x.strip()) for x in run)
+        line.links = sum(x.links for x in run if type(x) is Node)
+        out.extend([line] if any(type(x) is str and x.strip() for x in run) else [x for x in run if type(x) is Node])
+        run.clear()
+
+    for x in parent.inner:
+        if type(x) is Node and (x.tag in BLOCK or x is best or x.score > 0):
+            end()
+            out.append(x)
+        else:
+            run.append(x)
+    end()
     return out
 
 

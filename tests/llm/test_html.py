@@ -30,10 +30,51 @@ def test_cases(html, text):
     assert main_text(html) == text
 
 
+P = "Paragraph {}, with commas, and enough words, to read like a part of the article that it is in."
+MENU = "<ul class=nav><li><a href=1>One</a><li><a href=2>Two</a></ul>"
+
+
+def post(*numbers):
+    return "".join(f"<p>{P.format(i)}</p>" for i in numbers)
+
+
+def lines(*numbers):
+    return [P.format(i) for i in numbers]
+
+
+@pytest.mark.parametrize(("html", "want"), [
+    # a form around the whole page: its fields and buttons go, its article stays
+    (f"<body><form action=/x><input name=state>{MENU}<div><h2>Title</h2>{post(1, 2, 3)}</div><button>Send</button></form></body>", ["Title", *lines(1, 2, 3)]),
+    (f"<form><article><p>Short, yes.</p></article><select><option>no</select></form><form><p>Search, here.</p></form>", ["Short, yes."]),
+    (f"<div>{post(1, 2, 3)}</div><form class=contact><p>{P.format('in a form')}</p><input></form>", lines(1, 2, 3)),
+    (f"<article>{post(1)}<form><p>{P.format('in a form')}</p><input></form></article>", lines(1)),
+    # names that blocks of an article have as well
+    (f"<article>{post(1)}<div class='social history'>{post(2)}</div><div class=legal>{post(3)}</div></article>", lines(1, 2, 3)),
+    (f"<div id=c>{post(1, 2)}<div class='social history'>{post(3)}</div><div class='social'><a href=1>Share</a></div></div>", lines(1, 2, 3)),
+    (f"<div id=c>{post(1, 2)}<div class=legal>Terms apply.</div><div class=sidebar>{post(3)}</div><div class=comments>{post(4)}</div></div>", lines(1, 2)),
+    (f"<div class=widget><div class=widget-content>{post(1, 2)}</div></div><div class=widget><p>Tags, tags.</p></div>", lines(1, 2)),
+    (f"<div id=c>{post(1, 2)}<div class=search>{post(3)}<input></div></div>", lines(1, 2)),
+    # short parts beside the container
+    (f"<div id=c><div>{post(1, 2, 3)}</div><p>The end.</p><ul><li>one<li>two</ul>Bare <b>text</b>, too<ul><li><a href=1>Other</a></ul></div>",
+     [*lines(1, 2, 3), "The end.", "one", "two", "Bare text, too"]),
+    (f"<body>Before it.<div>{post(1, 2, 3)}</div><p>The end.</p>|<p>Menu</p><p>© 2020 Me.</p><p>Copyright me.</p></body>", ["Before it.", *lines(1, 2, 3), "The end."]),
+    (f"<body>Before it.<article>{post(1, 2, 3)}</article><p>Powered by x.</p></body>", lines(1, 2, 3)),
+    (f"<div>text <x-part>{post(1, 2, 3)}</x-part> more</div>", ["text", *lines(1, 2, 3), "more"]),
+    # a second article
+    (f"<main><article>{post(1, 2)}</article><article>{post(3, 4)}</article><article><a href=1>Read this, too</a></article></main>", lines(1, 2, 3, 4)),
+    (f"<div><section><article>{post(1)}</article></section></div><section><article>{post(2, 3)}</article></section><aside><article>{post(4)}</article></aside>",
+     lines(1, 2, 3)),
+])
+def test_parts_of_an_article(html, want):
+    assert main_text(html).split("\n") == want
+
+
 def test_depth_and_width():
     assert main_text("<div>" * 50000 + "deep, text") == "deep, text"
     assert max(_depth(n) for n in parse("<div>" * 3000)) <= DEPTH
     assert main_text("<li>x" * 3000).count("x") == 3000
+    assert main_text("<form>" * 400 + post(1, 2, 3)).split("\n") == lines(1, 2, 3)
+    assert main_text("<div class=social>" * 400 + post(1)).split("\n") == lines(1)
     assert main_text("<p>" + "word, " * 200000).startswith("word, word,")
 
 
