@@ -26,7 +26,7 @@ def load_all() -> dict[str, tuple[Callable, str | None]]:
     """Import every plan module (each registers its queries on import)."""
     from . import samples  # noqa: F401
     for mod in ("analytics", "evaluation", "text", "search", "experiments", "monitoring",
-                "augment", "limits", "sources", "exports"):
+                "augment", "limits", "sources", "exports", "mining"):
         try:
             __import__(f"{__package__}.{mod}")
         except ModuleNotFoundError as e:
