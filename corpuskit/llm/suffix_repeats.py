@@ -141,6 +141,9 @@ def _pieces(texts: list[bytes], min_len: int):
         yield laid(held)
 
 
+DIGEST = 8  # bytes of a stretch's digest that are told: all of them, because equal ones answer for their strings
+
+
 def _planes(h: np.ndarray, width: int = 6) -> bytes:
     """The low ``width`` bytes of each hash, byte plane by byte plane."""
     return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
@@ -204,7 +207,7 @@ def _anchor_rows(min_len: int, gram: int, buckets: int):
                 numbers, counts = np.unique(doc[p], return_counts=True)
                 return ids[numbers].astype("<i8").tobytes(), counts.astype("<u4").tobytes(), _planes(h[p])
 
-            rows = [(int(bucket[p[0]]), False, *packed(p), _planes(d[p], 5)) for p in _parts(bucket, np.nonzero(~often)[0])]
+            rows = [(int(bucket[p[0]]), False, *packed(p), _planes(d[p], DIGEST)) for p in _parts(bucket, np.nonzero(~often)[0])]
             rows += [(int(bucket[p[0]]), False, b"", b"", _planes(h[p]), b"") for p in _parts(bucket, np.nonzero(lead)[0])]
             salt = (ids[doc] % buckets).astype(np.int32)
             rows += [(int(salt[p[0]]), True, *packed(p), b"") for p in _parts(salt, np.nonzero(often)[0])]
@@ -225,7 +228,7 @@ def _answers(fold: bool):
             return
         ids = np.concatenate([spread(i, c) for i, c, _, _ in asked])
         h = np.concatenate([_unplaned(x) for _, _, x, _ in asked])
-        d = np.concatenate([_unplaned(x, 5) for _, _, _, x in asked])
+        d = np.concatenate([_unplaned(x, DIGEST) for _, _, _, x in asked])
         order = np.argsort(h, kind="stable")
         ids, h, d = ids[order], h[order], d[order]
         cut = _runs(h)
