@@ -49,23 +49,29 @@ def rate_limit_decisions(spark, sf):
 
 
 SLOTS = 8
+#: Least rows of a file, where a landing has several.
+FILE_ROWS = 100_000
 
 
 def _unordered(spark, sf):
-    """The events landed as ``SLOTS`` files, each out of order by up to a day (every event is moved by
-    its hash), two to a micro-batch; a last row without user moves the watermark past them all."""
+    """The events land in ``SLOTS`` landings, each out of order by up to a day (every event is moved by
+    its hash), two to a micro-batch; a last row without user moves the watermark past them all. All
+    landings have the same number of files, so that a micro-batch ends where a landing does: a part of
+    a landing would move the watermark past rows of the rest."""
     path = checkpoint_dir(spark).rstrip("/") + f"/events-{uuid.uuid4().hex[:12]}"
     e = table(spark, sf, "events").select("event_id", "user_id", "ts")
     moved = F.unix_micros(F.col("ts").cast("timestamp")) + F.pmod(F.xxhash64("event_id"), F.lit(86_400_000_000))
     e = e.withColumn("_at", moved)
     low, high = e.agg(F.min("_at"), F.max("_at")).first()
     slot = F.floor((F.col("_at") - low) * SLOTS / ((high or 0) - (low or 0) + 1)) if low is not None else F.lit(0)
+    sizes = e.agg(*[F.count_if(slot == i) for i in range(SLOTS)]).first()
+    files = max(1, min(sizes) // FILE_ROWS)  # dealt in turn, none is empty
     for i in range(SLOTS):
-        e.filter(slot == i).drop("_at").write.mode("append").parquet(path)
+        e.filter(slot == i).drop("_at").repartition(files).write.mode("append").parquet(path)
     e.agg((F.max("ts") + F.expr("INTERVAL 400 DAYS")).alias("ts")).select(
         F.lit(-1).cast(e.schema["event_id"].dataType).alias("event_id"), F.lit(None).cast(e.schema["user_id"].dataType).alias("user_id"),
         F.col("ts").cast(e.schema["ts"].dataType)).dropna(subset="ts").write.mode("append").parquet(path)
-    return spark.readStream.schema(e.drop("_at").schema).option("maxFilesPerTrigger", 2).parquet(path)
+    return spark.readStream.schema(e.drop("_at").schema).option("maxFilesPerTrigger", 2 * files).parquet(path)
 
 
 @register("stream_rate_limit_decisions", LIMIT_SQL)
@@ -274,5 +280,5 @@ def stream_tenant_quota_decisions(spark, sf):
 def stream_multi_limit_decisions(spark, sf):
     """T-02 as a stateful stream over unordered files (same answer as the batch fold)."""
     s = S.streaming_multi_limit(_unordered(spark, sf), "user_id", "ts", "event_id", MULTI_RULES, watermark="48 hours")
-    r = S.run_to_table(s, "append", name="multi", settings=S.ROCKSDB).filter(F.col("key").isNotNull())
+    r = S.run_to_table(s, "append", name="multi").filter(F.col("key").isNotNull())
     return r.select(F.col("seq").alias("request_id"), "allowed", "failing_category")

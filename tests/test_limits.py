@@ -200,3 +200,39 @@ def test_variant_moments_of_large_latencies(spark):
         assert abs(x["var"] - statistics.variance(own)) < 1e-3 and abs(x["mean"] - statistics.mean(own)) < 1e-6
     v = spark.createDataFrame([("e", "a", True), ("e", "b", False)], "experiment_id string, variant_id string, is_control boolean")
     assert S.auto_stop_status(m, v, 100).first().status == "stopped" and S.auto_stop_status(m, v, 500).first().status == "running"
+
+
+def test_streams_over_a_table_of_several_files(spark, tmp_path, monkeypatch):
+    """Landings have several files; a micro-batch takes whole landings, or the watermark passes rows of the rest."""
+    from corpuskit.plans import limits as L
+    from corpuskit.streaming import stream as S
+    r = random.Random(8)
+    rows = [(i, T0 + dt.timedelta(seconds=r.randrange(30 * 86400)), r.randrange(40)) for i in range(4000)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long").repartition(8).write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(L, "FILE_ROWS", 100, raising=False)
+    batches, run = [], S.run_to_table
+
+    def counted(stream, *a, **k):
+        out = run(stream, *a, **k)
+        batches.append(stream.sparkSession.read.parquet(out.inputFiles()[0].split("/_batch=")[0]).select("_batch").distinct().count())
+        return out
+
+    monkeypatch.setattr(S, "run_to_table", counted)
+    for stream, batch in ((L.stream_rate_limit_decisions, L.rate_limit_decisions), (L.stream_tenant_quota_decisions, L.tenant_quota_decisions),
+                          (L.stream_multi_limit_decisions, L.multi_limit_decisions)):
+        got, own = (sorted(map(str, f(spark, str(tmp_path)).collect())) for f in (stream, batch))
+        assert got == own and len(got) == len(rows)
+    assert max(batches) <= 8
+
+
+def test_keys_share_a_call(spark, tmp_path, monkeypatch):
+    """Many keys in a few groups, NULL among them, decide as alone; the calls do not grow with the keys."""
+    from corpuskit.streaming import stream as S
+    r = random.Random(3)
+    rows = [(None if i % 50 == 0 else r.randrange(200), T0 + dt.timedelta(seconds=r.randrange(40_000)), i) for i in range(1500)]
+    df = spark.createDataFrame(rows, "user_id long, ts timestamp, event_id long")
+    st = _landed(spark, df, str(tmp_path / "ev"), 4, 3600)
+    out = S._settled(st, "user_id", "ts", "event_id", "2 hours", "key string, seq long, t_us long, allowed boolean, remaining int, current int",
+                     lambda memo: S.SlidingLog(memo, 2, 900_000_000), groups=3)
+    got = {(-1 if x.key is None else int(x.key), x.seq): x.allowed for x in S.run_to_table(out, name="g").filter("seq >= 0").collect()}
+    assert got == python_sliding_log([(-1 if u is None else u, _us(t), s) for u, t, s in rows], 2, 900_000_000)
