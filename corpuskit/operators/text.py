@@ -232,34 +232,46 @@ def manual_sections(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     one body line; text before the first header is dropped; content = body lines joined and
     stripped.
 
-    The next line comes from a bucketed lead, the section number from a bucketed running sum
-    and the section body from a two-phase ordered concat, so no step puts one whole document
-    into one task. (A run of 4+ consecutive underline lines is read one level deep.)
+    All in-row: a text is one value of one row, so its lines are read where it lies and only
+    its sections leave. (A run of 4+ consecutive underline lines is read one level deep.)
     """
-    from .ordered import lead_split, ordered_concat, running_sum_split
-    lines = _lines(docs, id_col, text_col).withColumn("line", py_strip("raw"))
-    bucket = F.floor(F.col("ln") / LINE_BUCKET)
-    lines = lead_split(lines, ["doc_id"], ["ln"], ["raw"], bucket)
-    ul_header = F.coalesce(F.col("next_raw").rlike(UNDERLINE), F.lit(False)) & ~F.col("raw").rlike(UNDERLINE)
-    lines = lines.withColumn("_ulh", ul_header)
-    consumed = lines.filter("_ulh").select("doc_id", (F.col("ln") + 1).alias("ln"), F.lit(True).alias("is_ul"))
-    lines = lines.join(consumed, ["doc_id", "ln"], "left").withColumn("is_ul", F.coalesce("is_ul", F.lit(False)))
-    hashed, caps, numbered = (F.col("line").rlike(HASH_HEADER), F.col("line").rlike(CAPS_HEADER),
-                              F.col("line").rlike(NUMBERED_HEADER))
-    title = (F.when(F.col("_ulh"), F.col("line"))
-             .when(hashed, py_strip(F.regexp_extract("line", HASH_HEADER, 1)))
-             .when(caps, py_strip(F.regexp_extract("line", CAPS_HEADER, 1)))
-             .when(numbered, F.regexp_extract("line", NUMBERED_HEADER, 1)))
-    lines = lines.withColumn("is_header", ~F.col("is_ul") & (F.col("_ulh") | hashed | caps | numbered)) \
-        .withColumn("title", F.when(F.col("is_header"), title))
-    lines = running_sum_split(lines.withColumn("_h", F.col("is_header").cast("int")), ["doc_id"], ["ln"], "_h",
-                              bucket, "sec")
-    lines = lines.filter((F.col("sec") > 0) & ~F.col("is_ul"))
-    heads = lines.filter("is_header").select("doc_id", "sec", "title").filter(F.col("title") != "")
-    body = ordered_concat(lines.filter(~F.col("is_header")), ["doc_id", "sec"], "ln", "raw", "\n", "content",
-                          bucket=F.floor(F.col("ln") / LINE_BUCKET))
-    return heads.join(body, ["doc_id", "sec"], "inner").select(
-        "doc_id", "sec", "title", py_strip(F.coalesce("content", F.lit(""))).alias("content"))
+    none = F.array(F.lit(None).cast("string"))
+
+    def bound(value, use):
+        """``use(value)`` with the value computed once."""
+        return F.get(F.transform(F.array(value), use), 0)
+
+    def after(xs, end):
+        return F.concat(F.slice(xs, 2, F.greatest(F.size(xs) - 1, F.lit(0))), end)
+
+    def underlined(raw, following):
+        return F.struct(raw.alias("raw"), (F.coalesce(following.rlike(UNDERLINE), F.lit(False)) & ~raw.rlike(UNDERLINE)).alias("ulh"))
+
+    def line(x, above):
+        is_ul = F.coalesce(above, F.lit(False))
+
+        def title(text):
+            hashed, caps, numbered = text.rlike(HASH_HEADER), text.rlike(CAPS_HEADER), text.rlike(NUMBERED_HEADER)
+            return (F.when(x["ulh"], text).when(hashed, py_strip(F.regexp_extract(text, HASH_HEADER, 1)))
+                    .when(caps, text).when(numbered, F.regexp_extract(text, NUMBERED_HEADER, 1)))
+
+        return F.struct(x["raw"].alias("raw"), is_ul.alias("is_ul"), F.when(~is_ul, bound(py_strip(x["raw"]), title)).alias("title"))
+
+    def sections(lines):
+        heads = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("at"), x["title"].alias("title"))), lambda h: h["title"].isNotNull())
+        end = F.array(F.struct(F.size(lines).alias("at"), F.lit(None).cast("string").alias("title")))
+        return bound(heads, lambda hs: F.transform(
+            F.zip_with(hs, after(hs, end), lambda h, n: F.struct(
+                h["title"].alias("title"),
+                F.filter(F.slice(lines, h["at"] + 2, F.greatest(F.coalesce(n["at"] - h["at"] - 1, F.lit(0)), F.lit(0))), lambda x: ~x["is_ul"]).alias("body"))),
+            lambda x, i: F.struct((i + 1).cast("bigint").alias("sec"), x["title"].alias("title"), (F.size(x["body"]) > 0).alias("kept"),
+                                  py_strip(F.array_join(F.transform(x["body"], lambda y: y["raw"]), "\n")).alias("content"))))
+
+    marked = bound(F.split(F.col(text_col), "\n", -1), lambda ls: F.zip_with(ls, after(ls, none), underlined))
+    lines = bound(marked, lambda ms: F.zip_with(
+        ms, F.concat(F.array(F.lit(False)), F.transform(F.slice(ms, 1, F.greatest(F.size(ms) - 1, F.lit(0))), lambda m: m["ulh"])), line))
+    s = docs.select(F.col(id_col).alias("doc_id"), F.explode(bound(lines, sections)).alias("s"))
+    return s.filter((F.col("s.title") != "") & F.col("s.kept")).select("doc_id", "s.sec", "s.title", "s.content")
 
 
 def questions_for_sections(sections: DataFrame, title_rules, generic, cues=(), k: int = 3, min_len: int = 50) -> DataFrame:

@@ -196,3 +196,36 @@ def test_chunk_metadata_merge(spark):
     d = spark.createDataFrame([(1, "Hello world. " * 60, "en")], "doc_id long, text string, lang string")
     r = D.chunk_documents(d, "doc_id", "text", "index", 200, 20, metadata_cols=["lang"]).first()
     assert r.metadata.lang == "en" and r.metadata.total_chunks == r.total_chunks and "lang" not in r.asDict()
+
+
+def _sections_of(text):
+    """Definition of D-15, line by line."""
+    import re
+    raws = text.split("\n")
+    ul = [bool(re.fullmatch("[=-]{3,}", x)) for x in raws]
+    ulh = [i + 1 < len(raws) and ul[i + 1] and not ul[i] for i in range(len(raws))]
+    out = []
+    for i, raw in enumerate(raws):
+        if i and ulh[i - 1]:
+            continue
+        t = raw.strip()
+        h, n = re.search(r"^#{1,3}\s+(.+)$", t), re.search(r"^(\d+\.)\s+(.+)$", t)
+        title = t if ulh[i] else h[1].strip() if h else t if re.search(r"^([A-Z][A-Z\s]+)$", t) else n[1] if n else None
+        if title is not None:
+            out.append((title, []))
+        elif out:
+            out[-1][1].append(raw)
+    return [(k + 1, title, "\n".join(body).strip()) for k, (title, body) in enumerate(out) if title and body]
+
+
+def test_manual_sections_leave_lines_in_their_row(spark):
+    """Equal to the definition on random texts, and no line is shuffled."""
+    import random
+    r = random.Random(4)
+    lines = ["", "body", " a, b ", "===", "-----", "--", "# one", "### two words ", "####", "UPPER CASE", "A", "3. step", "3.step", "  UP", "# "]
+    texts = [None, "", "===", "# a", "# a\n", "x\n===\n"] + ["\n".join(r.choice(lines) for _ in range(r.randrange(1, 30))) for _ in range(200)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    s = D.manual_sections(d, "doc_id", "text")
+    got = sorted((x.doc_id, x.sec, x.title, x.content) for x in s.collect())
+    assert got == sorted((i, *x) for i, t in enumerate(texts) if t is not None for x in _sections_of(t))
+    assert "Exchange" not in s._jdf.queryExecution().executedPlan().toString()
