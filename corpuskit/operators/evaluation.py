@@ -4,10 +4,10 @@ Input is a table with a row id, a prediction and a reference (or a separate refe
 for several references per row). Metric results come out as one row per metric, or in the
 long form ``(metric, sub_metric, value)``.
 
-N-gram metrics explode n-grams and count them per (row, n, gram) with partial aggregation;
-prediction and reference counts are then joined on the same keys, so the join reuses the
-aggregation's hash partitioning (no extra shuffle). No hot key exists: the row id is part of
-every key.
+N-gram metrics with the reference in the same row count n-grams inside the row (Arrow kernel);
+texts alone are shuffled, by row id. With several references per row n-grams are exploded and
+counted per (row, n, gram) with partial aggregation, and both counts are joined on these keys.
+No hot key exists: the row id is part of every key.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import lcs_udf
+from ..functions.kernels import gram_matches_udf, lcs_udf
 from ..functions.text import metric_tokens, ngrams, normalize_answer
 
 
@@ -61,39 +61,23 @@ def bleu(preds: DataFrame, refs: DataFrame | None = None, id_col: str = "id", pr
     return _bleu_from_counts(d, max_n, smoothing)
 
 
-def _fused_grams(preds: DataFrame, id_col: str, pred_col: str, ref_col: str, orders, with_lengths: bool) -> DataFrame:
-    """One pass: per row, prediction and reference n-grams (and optionally token counts under
-    n = 0) as weighted entries; grouped by (row, n, gram) into ``pc`` / ``rc`` counts."""
-    # dealt by row before the explode: the grouping below needs no shuffle of n-grams
-    base = (preds.select(F.col(id_col).alias("rid"), F.col(pred_col).alias("_p"), F.col(ref_col).alias("_r")).repartition("rid")
-            .select("rid", metric_tokens("_p").alias("pt"), metric_tokens("_r").alias("rtk")))
-
-    def entry(n, p, r):
-        # one-argument lambda: ``transform`` reads a two-argument lambda as (element, index)
-        return lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"), F.lit(p).alias("p"), F.lit(r).alias("r"))
-
-    entries = []
-    for n in orders:
-        entries.append(F.transform(ngrams(F.col("pt"), n), entry(n, 1, 0)))
-        entries.append(F.transform(ngrams(F.col("rtk"), n), entry(n, 0, 1)))
-        # every (row, n) appears even without n-grams
-        entries.append(F.array(F.struct(F.lit(n).alias("n"), F.lit(None).cast("string").alias("gram"),
-                                        F.lit(0).alias("p"), F.lit(0).alias("r"))))
-    if with_lengths:
-        entries.append(F.array(F.struct(F.lit(0).alias("n"), F.lit(None).cast("string").alias("gram"),
-                                        F.size("pt").alias("p"), F.size("rtk").alias("r"))))
-    e = base.select("rid", F.explode(F.flatten(F.array(*entries))).alias("x")).select("rid", "x.*")
-    return e.groupBy("rid", "n", "gram").agg(F.sum("p").alias("pc"), F.sum("r").alias("rc"))
+def _matches(preds: DataFrame, id_col: str, pred_col: str, ref_col: str, orders) -> DataFrame:
+    """(rid, plen, rlen, n, m, pc, rc): shared n-grams and those of either side, for every row id and
+    order. The n-grams are counted inside the row; only texts are shuffled, by their id."""
+    pair = F.struct(F.col(pred_col).alias("p"), F.col(ref_col).alias("r"))
+    rows = preds.groupBy(F.col(id_col).alias("rid")).agg(F.collect_list(pair).alias("x"))
+    d = rows.select("rid", F.transform("x", lambda x: metric_tokens(x["p"])).alias("pt"), F.transform("x", lambda x: metric_tokens(x["r"])).alias("rtk"))
+    words = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, t: a + F.size(t))
+    d = d.select("rid", words("pt").alias("plen"), words("rtk").alias("rlen"), gram_matches_udf(orders)("pt", "rtk").alias("c"))
+    return d.select("rid", "plen", "rlen", F.explode("c").alias("c")).select("rid", "plen", "rlen", "c.*")
 
 
 def _bleu_single(preds, id_col, pred_col, ref_col, max_n, smoothing):
-    g = _fused_grams(preds, id_col, pred_col, ref_col, range(1, max_n + 1), True)
-    per = g.groupBy("n").agg(F.sum(F.when(F.col("gram").isNotNull(), F.least("pc", "rc"))).alias("m"),
-                             F.sum("pc").alias("c"), F.sum("rc").alias("rsum"))
-    d = per.groupBy().pivot("n", list(range(0, max_n + 1))).agg(F.first("m").alias("m"), F.first("c").alias("c"),
-                                                               F.first("rsum").alias("r"))
-    d = d.select(*[F.col(f"{n}_m") for n in range(1, max_n + 1)], *[F.col(f"{n}_c") for n in range(1, max_n + 1)],
-                 F.col("0_c").alias("P"), F.col("0_r").alias("R"))
+    g = _matches(preds, id_col, pred_col, ref_col, range(1, max_n + 1))
+    of = lambda n, c: F.sum(F.when(F.col("n") == n, F.col(c)))
+    orders = range(1, max_n + 1)
+    d = g.agg(*[of(n, "m").alias(f"{n}_m") for n in orders], *[of(n, "pc").alias(f"{n}_c") for n in orders],
+              of(1, "plen").alias("P"), of(1, "rlen").alias("R"))
     return _bleu_from_counts(d, max_n, smoothing)
 
 
@@ -118,9 +102,8 @@ def _bleu_from_counts(d: DataFrame, max_n: int, smoothing: bool) -> DataFrame:
 def rouge_n_rows(preds: DataFrame, id_col: str = "id", pred_col: str = "prediction",
                  ref_col: str = "reference", orders: Sequence[int] = (1, 2)) -> DataFrame:
     """M-04 per-row ROUGE-N: ``rid, n, precision, recall, fmeasure``."""
-    g = _fused_grams(preds, id_col, pred_col, ref_col, list(orders), False)
-    d = g.groupBy("rid", "n").agg(F.coalesce(F.sum(F.when(F.col("gram").isNotNull(), F.least("pc", "rc"))), F.lit(0)).alias("overlap"),
-                                  F.sum("pc").alias("ptot"), F.sum("rc").alias("rtot"))
+    d = _matches(preds, id_col, pred_col, ref_col, orders).select(
+        "rid", "n", F.col("m").alias("overlap"), F.col("pc").alias("ptot"), F.col("rc").alias("rtot"))
     p = F.when(F.col("ptot") > 0, F.col("overlap") / F.col("ptot")).otherwise(F.lit(0.0))
     r = F.when(F.col("rtot") > 0, F.col("overlap") / F.col("rtot")).otherwise(F.lit(0.0))
     d = d.select("rid", "n", p.alias("precision"), r.alias("recall"))

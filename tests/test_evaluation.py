@@ -140,3 +140,17 @@ def test_closest_reference_ties_by_order(spark):
         r = spark.createDataFrame([refs[i] for i in order], "id long, reference string, seq int").repartition(2)
         lens.add(M.bleu(p, r, max_n=1, ref_order="seq").first()["bleu_1"])
     assert len(lens) == 1
+
+
+def test_ngrams_stay_in_their_row(spark):
+    """BLEU and ROUGE-N shuffle texts by row id, no n-grams; rows of one id count together."""
+    rows = [(1, "a b a b c", "a b c a"), (2, "", "x"), (3, None, None), (4, "q r s t u", "q r s t u"), (4, "a a", "a"), (None, "k l", "k l")]
+    d = spark.createDataFrame(rows, "id long, prediction string, reference string")
+    out = {(x.rid, x.n): (x.precision, x.recall) for x in M.rouge_n_rows(d).collect()}
+    assert out[(1, 1)] == (4 / 5, 1.0) and out[(1, 2)] == (2 / 4, 2 / 3) and out[(2, 1)] == (0.0, 0.0) and out[(3, 2)] == (0.0, 0.0)
+    assert out[(4, 1)] == (6 / 7, 1.0) and out[(4, 2)] == (4 / 5, 1.0) and out[(None, 2)] == (1.0, 1.0) and len(out) == 10
+    b = M.bleu(d, smoothing=False).first()
+    assert abs(b.bleu_1 - 12 / 14) < 1e-12
+    for q in (M.bleu(d), M.rouge(d, rouge_types=("rouge1", "rouge2"))):
+        plan = q._jdf.queryExecution().optimizedPlan().toString()
+        assert "gram#" not in plan
