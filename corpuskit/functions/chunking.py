@@ -9,12 +9,15 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .kernels import in_pieces
+
 
 @dataclass(frozen=True)
 class Profile:
@@ -69,7 +72,7 @@ def chunk_udf(profile: str = "index", size: int | None = None, overlap: int | No
     chunk_text("x", profile, size, overlap)  # validate parameters on the driver
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
-    def _chunks(texts: pd.Series) -> pd.Series:
-        return pd.Series([chunk_text(t, profile, size, overlap) for t in texts])
+    def _chunks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return in_pieces(batches, lambda t: chunk_text(t, profile, size, overlap))
 
     return _chunks

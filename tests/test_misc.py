@@ -104,3 +104,14 @@ def test_ordered_versions(spark):
     from corpuskit.operators import versions as VR
     v = spark.createDataFrame([("m", "1.10.0"), ("m", "1.2.0"), ("m", "1.2.0-rc.1")], "name string, version string")
     assert [r.version for r in VR.ordered_versions(v).collect()] == ["1.2.0-rc.1", "1.2.0", "1.10.0"]
+
+
+def test_kernels_hold_the_results_of_a_piece():
+    """A large batch gives its results in pieces, none of them lost, in order."""
+    import pandas as pd
+
+    from corpuskit.functions.kernels import PIECE_CHARS, PIECE_TEXTS, in_pieces
+    texts = [None, ""] + ["x" * n for n in range(5000)] + ["y" * PIECE_CHARS] * 3
+    pieces = list(in_pieces(iter([pd.Series(texts, dtype=object), pd.Series([], dtype=object)]), lambda t: [t]))
+    assert [x for p in pieces for x in p] == [[t] for t in texts]
+    assert all(len(p) <= PIECE_TEXTS and sum(len(x[0] or "") for x in p[:-1]) < PIECE_CHARS for p in pieces)
