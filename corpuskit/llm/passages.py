@@ -14,7 +14,10 @@ sliding minimum.
    pass also names subsequences by several functions together (``JOINTS``; as many names as compact
    windows, each from one place to the next at which one of the min-hashes changes), and buckets answer
    these alike. All functions together name an exact passage, so the first document with the name has
-   it; three together are shared by near-duplicates, and seldom by anything else.
+   it; three together are shared by near-duplicates, but also by texts that have only a part of the
+   passage. So such a window brings some bits of its min-hash under each other function (its signs). Where
+   these differ, it is also answered with all documents of a small group, and in a larger one with the
+   first document of each choice of equal signs. Within a batch, only equal signs are answered.
 3. Interval join: in every document, the windows that point to one representative at about one
    distance are laid over each other; where the windows of ``AGREE`` or more hash functions hold the
    same subsequence, or one name of several functions does, it is a candidate with its counterpart.
@@ -24,6 +27,8 @@ sliding minimum.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,6 +48,9 @@ DRIFT = 20  #: words by which the distance of two windows of one passage may dif
 #: threes with probability 0.89, an exact one in all.
 JOINTS = (tuple(range(HASHES)), (0, 1, 2), (3, 4, 5), (6, 7, 0), (1, 4, 7))
 OFTEN = 16
+#: Bits of a sign, how many signs a name of three has, and in how many of them another representative agrees.
+SIGN, SIGNS, SIGNS_AGREE = 6, 5, 2
+FEW = 8  #: windows of a name that all meet, whatever their signs
 CHUNK = 1 << 20
 BATCH = 16 << 20  #: bytes of text whose windows are sorted together
 _POS = np.uint64((1 << 24) - 1)
@@ -123,6 +131,12 @@ def named_windows(h: np.ndarray, at: np.ndarray, least: int) -> list[tuple[np.nd
     ``JOINTS`` the subsequences of ``least`` tokens by the min-hashes of its functions, once from where
     one of these changes. A name stands at the center of its first function, the same token in every
     text that has the subsequence."""
+    return [(place, name) for place, name, _ in signed_windows(h, at, least)]
+
+
+def signed_windows(h: np.ndarray, at: np.ndarray, least: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``named_windows`` with signs: low bits of the min-hash under each function that a name of several
+    leaves out (0 for the other windows)."""
     n = len(h) - least + 1
     if n <= 0:
         return []
@@ -133,16 +147,18 @@ def named_windows(h: np.ndarray, at: np.ndarray, least: int) -> list[tuple[np.nd
     for k in range(HASHES):
         v, low = _least(h, least, k)
         place = np.unique(low[inside])
-        out.append((place, v[place]))
+        out.append((place, v[place], np.zeros(len(place), np.uint64)))
         lows.append(low)
         mins.append(v[low])
         moves.append(np.concatenate(([True], low[1:] != low[:-1])))
     for joint in JOINTS:
         begin = np.nonzero(inside & (first | np.logical_or.reduce([moves[k] for k in joint])))[0]
-        name = np.zeros(len(begin), np.uint64)
+        name, signs = np.zeros(len(begin), np.uint64), np.zeros(len(begin), np.uint64)
         for k in joint:
             name = name * np.uint64(_ODD) + mins[k][begin]
-        out.append((lows[joint[0]][begin], _mixed(name)))
+        for k in set(range(HASHES)) - set(joint):
+            signs = (signs << np.uint64(SIGN)) | (mins[k][begin] & np.uint64((1 << SIGN) - 1))
+        out.append((lows[joint[0]][begin], _mixed(name), signs))
     return out
 
 
@@ -212,42 +228,82 @@ def _near_ranges(place: np.ndarray, v: np.ndarray, at: np.ndarray, least: int) -
     return out[0], out[1]
 
 
+def _signed(h: np.ndarray) -> np.ndarray:
+    """Which windows have signs."""
+    return (h & _KIND) > HASHES
+
+
+def _others(ids: np.ndarray, signs: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of windows in groups (beginning at ``cut``) of one name, by id: pairs of a window and one of an
+    earlier document, beside the first of the group, where signs differ in the group. In groups of up to
+    ``FEW`` windows that is every earlier document, else the first that agrees in ``SIGNS_AGREE`` signs
+    or more, for each choice of these signs."""
+    size = np.diff(np.append(cut, len(ids)))
+    mixed = np.minimum.reduceat(signs, cut) != np.maximum.reduceat(signs, cut) if len(cut) else np.zeros(0, bool)
+    row = np.nonzero(np.repeat(mixed & (size > 2), size))[0]
+    if not len(row):
+        return row, row
+    group, own, out = np.repeat(np.arange(len(cut)), size)[row], ids[row], []
+    few = size[group] <= FEW
+    for back in range(1, FEW):
+        asks = np.nonzero(few[back:] & (group[back:] == group[:-back]))[0] + back
+        out.append((asks, asks - back))
+    many = np.nonzero(~few)[0]
+    for n in range(SIGNS, SIGNS_AGREE - 1, -1):
+        for some in combinations([((1 << SIGN) - 1) << (SIGN * f) for f in range(SIGNS)], n):
+            key = (group[many].astype(np.uint64) << np.uint64(SIGN * SIGNS)) | (signs[row[many]] & np.uint64(sum(some)))
+            order = np.argsort(key, kind="stable")
+            begin = _runs(key[order])
+            out.append((many[order], many[np.repeat(order[begin], np.diff(np.append(begin, len(order))))]))
+    asks, like = (np.concatenate(x) for x in zip(*out))
+    real = (own[like] != own[asks]) & (own[like] != ids[cut[group[asks]]])
+    asks, like = np.divmod(np.unique(asks[real] * len(row) + like[real]), len(row))
+    return row[asks], row[like]
+
+
 def _packed_rows(least: int, buckets: int):
     kinds = pa.schema([("bucket", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary()),
-                       ("places", pa.binary()), ("known", pa.binary())])
+                       ("places", pa.binary()), ("signs", pa.binary()), ("known", pa.binary())])
 
     def packed(texts):
-        ids, docs, hashes, places, first = texts.column("id").to_numpy(), [], [], [], 0
+        ids, docs, hashes, places, signs, first = texts.column("id").to_numpy(), [], [], [], [], 0
         for part in slices(texts, "text", CHUNK):
             h, at = tokens([t or b"" for t in part.column("text").to_pylist()])
-            for kind, (place, v) in enumerate(named_windows(h, at, least)):
+            for kind, (place, v, sign) in enumerate(signed_windows(h, at, least)):
                 doc = np.searchsorted(at, place, side="right") - 1
                 docs.append(first + doc)
                 # sixteen bits for the bucket; the kind in the lowest bits
                 hashes.append((v & ~_KIND) | np.uint64(kind))
                 places.append(place - at[doc])
+                signs.append(sign.astype(np.uint32))
             first += part.num_rows
         if not docs:
             return []
-        doc, h, place = np.concatenate(docs), np.concatenate(hashes), np.concatenate(places)
+        doc, h, place, sign = np.concatenate(docs), np.concatenate(hashes), np.concatenate(places), np.concatenate(signs)
         order = np.argsort(h, kind="stable")  # texts come by id, and their places in order
-        doc, h, place = doc[order], h[order], place[order]
-        cut = _runs(h)
+        many = _runs(h[order])
+        many = np.repeat(np.diff(np.append(many, len(h))) >= OFTEN, np.diff(np.append(many, len(h))))
+        some = order[many]
+        order[many] = some[np.lexsort((sign[some], h[some]))]
+        doc, h, place, sign = doc[order], h[order], place[order], sign[order]
+        # the first document with the hash in this batch; with the signs, too, where these may part them
+        fresh = np.concatenate(([True], (h[1:] != h[:-1]) | (many[1:] & (sign[1:] != sign[:-1])))) if len(h) else np.zeros(0, bool)
+        cut = np.nonzero(fresh)[0]
         size = np.diff(np.append(cut, len(h)))
-        head = np.repeat(cut, size)  # the first document with the hash in this batch
+        head = np.repeat(cut, size)
         often = np.repeat(size >= OFTEN, size)
         rows = []
         told = np.nonzero(often & (ids[doc] != ids[doc[head]]))[0]
         if len(told):
             hit, own = _hits(ids[doc[head[told]]], place[told], place[head[told]], h[told]), ids[doc[told]]
-            rows += [(part, b"", b"", b"", b"", known) for part, known in _told(own, hit, buckets)]
+            rows += [(part, b"", b"", b"", b"", b"", known) for part, known in _told(own, hit, buckets)]
         ask = np.nonzero(~often | (np.arange(len(h)) == head))[0]
         bucket = ((h >> np.uint64(48)) % np.uint64(buckets)).astype(np.int64)
         ask = ask[np.argsort(bucket[ask] * len(ids) + doc[ask], kind="stable")]
         for p in np.split(ask, _runs(bucket[ask])[1:]):
             edge = _runs(doc[p])
             rows.append((int(bucket[p[0]]), ids[doc[p[edge]]].astype("<i8").tobytes(), np.diff(np.append(edge, len(p))).astype("<u4").tobytes(),
-                         _planes(h[p]), _planes(place[p], 4), None))
+                         _planes(h[p]), _planes(place[p], 4), _planes(sign[p[_signed(h[p])]], 4), None))
         return rows
 
     def run(batches):
@@ -291,15 +347,19 @@ def _by_document(batches):
 
 def _answers(parts: int):
     def done(rows):
-        ids = np.concatenate([np.repeat(np.frombuffer(i, "<i8"), np.frombuffer(c, "<u4")) for i, c, _, _ in rows])
-        h = np.concatenate([_unplaned(x) for _, _, x, _ in rows])
-        place = np.concatenate([_unplaned(p, 4) for _, _, _, p in rows]).astype(np.int64)
+        ids = np.concatenate([np.repeat(np.frombuffer(i, "<i8"), np.frombuffer(c, "<u4")) for i, c, _, _, _ in rows])
+        h = np.concatenate([_unplaned(x) for _, _, x, _, _ in rows])
+        place = np.concatenate([_unplaned(p, 4).astype(np.uint32) for _, _, _, p, _ in rows])
+        sign = np.zeros(len(h), np.uint32)
+        sign[_signed(h)] = np.concatenate([_unplaned(s, 4) for *_, s in rows])
         order = np.lexsort((place, ids, h))
-        ids, h, place = ids[order], h[order], place[order]
+        ids, h, place, sign = ids[order], h[order], place[order], sign[order]
         cut = _runs(h)
         head = np.repeat(cut, np.diff(np.append(cut, len(h))))
         told = np.nonzero(ids != ids[head])[0]
-        hit, own = _hits(ids[head[told]], place[told], place[head[told]], h[told]), ids[told]
+        asks, like = _others(ids, sign.astype(np.uint64), cut)
+        told, like = np.concatenate((told, asks)), np.concatenate((head[told], like))
+        hit, own = _hits(ids[like], place[told], place[like], h[told]), ids[told]
         return batch(_told(own, hit, parts))
 
     def batch(rows):
@@ -309,7 +369,7 @@ def _answers(parts: int):
     def run(batches):
         held, bucket = [], None
         for b in batches:
-            for k, i, c, h, p, known in zip(*[col.to_pylist() for col in b.columns]):
+            for k, i, c, h, p, s, known in zip(*[col.to_pylist() for col in b.columns]):
                 if known is not None:
                     yield batch([(k, known)])
                     continue
@@ -317,7 +377,7 @@ def _answers(parts: int):
                     yield done(held)
                     held = []
                 bucket = k
-                held.append((i, c, h, p))
+                held.append((i, c, h, p, s))
         if held:
             yield done(held)
 
@@ -450,7 +510,7 @@ def passages(docs: DataFrame, least: int = LEAST, agree: int = AGREE, similar: f
     """
     rows = docs.select(id_order().alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
     n, span = min(shuffle_partitions(docs), 1 << 16), least - SHINGLE + 1
-    packed = rows.mapInArrow(_packed_rows(span, n), "bucket int, ids binary, counts binary, hashes binary, places binary, known binary")
+    packed = rows.mapInArrow(_packed_rows(span, n), "bucket int, ids binary, counts binary, hashes binary, places binary, signs binary, known binary")
     told = packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_answers(n), "part int, known binary")
     hits = written(told.repartition(n, "part").mapInArrow(lean(_by_document), "id long, hits binary"), "hits")
 
