@@ -131,3 +131,15 @@ def test_sequence_match_without_rows(spark):
     kb, qs, kdf, qdf = _faq_tables(spark)
     assert MT.sequence_match(qdf.filter("false"), kdf, "qid", "q", "o", "t").count() == 0
     assert MT.sequence_match(qdf, kdf.filter("false"), "qid", "q", "o", "t", "keyword").count() == 0
+
+
+@pytest.mark.parametrize("masks", [1 << 20, 50])
+def test_edit_distances(monkeypatch, masks):
+    """Distances of many pairs at once equal the table's, over word ends, empty texts and any letters."""
+    r = random.Random(1)
+    say = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    a = ["", "a", "é" * 64, "ab" * 32, "x" * 65] + [say("abcdé😀", n) for n in (1, 5, 63, 64, 65, 127, 128, 130, 200)]
+    b = ["", "b", "é" * 63, "abc" * 40] + [say("abcdéq", r.randint(1, 200)) for _ in range(6)] + a[8:12]
+    i, j = (np.repeat(np.arange(len(a)), len(b)), np.tile(np.arange(len(b)), len(a)))
+    monkeypatch.setattr(Q, "MASKS", masks)
+    assert Q.edit_distances(a, b, i, j).tolist() == [edits(a[x], b[y]) for x, y in zip(i, j)]
