@@ -143,3 +143,36 @@ def test_edit_distances(monkeypatch, masks):
     i, j = (np.repeat(np.arange(len(a)), len(b)), np.tile(np.arange(len(b)), len(a)))
     monkeypatch.setattr(Q, "MASKS", masks)
     assert Q.edit_distances(a, b, i, j).tolist() == [edits(a[x], b[y]) for x, y in zip(i, j)]
+
+
+@pytest.mark.parametrize("limits", [(1 << 16, 1 << 20, 1 << 20), (50, 1 << 20, 1 << 20), (1 << 10, 700, 1 << 20), (100, 300, 60)])
+def test_ratios_by_bits_and_by_table(monkeypatch, limits):
+    """Runs over word ends, empty texts and texts too large for bits: ratios equal the library's."""
+    for name, limit in zip(("CELL_WORDS", "MOST_WORDS", "MASKS"), limits):
+        monkeypatch.setattr(Q, name, limit)
+    r = random.Random(5)
+    for low, high, letters in [(0, 3, "ab"), (0, 90, "abc é😀"), (120, 330, "abcdefghij  éñ😀xyz")]:
+        some = lambda n: ["".join(r.choice(letters) for _ in range(r.randint(low, high))) for _ in range(n)]
+        a, b = ["", "x", "ab", *some(6)], ["", "x", "a" * 64, "ab" * 64, *some(6)]
+        a, b = a + ["zz" + b[6], b[7] * 2], b + [a[5] + "tail", a[6]]
+        letters_of = Q.alphabet(a, b)
+        x, y = Q.Texts(a, letters_of), Q.Texts(b, letters_of)
+        i, j = (g.ravel() for g in np.meshgrid(range(len(a)), range(len(b)), indexing="ij"))
+        assert Q.ratios(x, y, i, j).tolist() == [ratio(a[p], b[q]) for p, q in zip(i, j)]
+
+
+def test_pairs_that_cannot_win_are_given_up():
+    """Only the best entries of a question are scored whole; before, every pair's rectangles were searched to the end."""
+    r = random.Random(2)
+    say = lambda n: " ".join(r.choice(WORDS) for _ in range(n))
+    a, b = [say(r.randint(5, 12)) for _ in range(12)], [say(r.randint(2, 25)) for _ in range(60)]
+    letters = Q.alphabet(a, b)
+    x, y = Q.Texts(a, letters), Q.Texts(b, letters)
+    i, j = (g.ravel() for g in np.meshgrid(range(len(a)), range(len(b)), indexing="ij"))
+    want, extra = Q.ratios(x, y, i, j), np.array([r.random() * 0.3 for _ in i])
+    for full, scale, more, least in ((want, 1.0, 0.0, 0.0), (want * 0.7 + extra, 0.7, extra, 0.4)):
+        got = MT._scores(Q.Matching(x, y, i, j), scale, more, least).reshape(len(a), len(b))
+        full = full.reshape(got.shape)
+        top = full.max(axis=1, keepdims=True)
+        assert ((got == top) == (full == top))[top[:, 0] >= least].all() and (got[top[:, 0] < least] < least).all()
+        assert (got < 0).sum() > got.size / 4
