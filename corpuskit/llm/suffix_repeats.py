@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +44,8 @@ HOT = 50_000
 #: Documents of one batch that make an anchor shared without asking its bucket.
 OFTEN = 16
 CHUNK = 1 << 19
+#: Bytes of texts laid end to end, so that the arrays over them stay in a processor's cache.
+LAID = 1 << 16
 _POS = (1 << 21) - 1
 _LOW48 = np.uint64((1 << 48) - 1)
 
@@ -58,7 +61,8 @@ def _powers(x: np.ndarray, most: int) -> dict[int, np.ndarray]:
     size = 1
     while size * 2 <= most:
         n = len(x) - 2 * size + 1
-        h[2 * size] = h[size][:n] * np.uint64(pow(_BASE, size, 1 << 64)) + h[size][size:size + n]
+        h[2 * size] = h[size][:n] * np.uint64(pow(_BASE, size, 1 << 64))
+        h[2 * size] += h[size][size:size + n]
         size *= 2
     return h
 
@@ -69,13 +73,18 @@ def _hashes(powers: dict[int, np.ndarray], length: int, at=None) -> np.ndarray:
     for size in sorted(powers, reverse=True):
         if length & size:
             part = powers[size][done:done + n] if at is None else powers[size][at + done]
-            got = part.copy() if got is None else got * np.uint64(pow(_BASE, size, 1 << 64)) + part
+            if got is None:
+                got = part.copy()
+            else:
+                got *= np.uint64(pow(_BASE, size, 1 << 64))
+                got += part
             done += size
-    got ^= got >> np.uint64(31)
+    high = got >> np.uint64(31)
+    got ^= high
     got *= np.uint64(0xBF58476D1CE4E5B9)
-    got ^= got >> np.uint64(29)
+    got ^= np.right_shift(got, np.uint64(29), out=high)
     got *= np.uint64(0x94D049BB133111EB)
-    got ^= got >> np.uint64(32)
+    got ^= np.right_shift(got, np.uint64(32), out=high)
     return got
 
 
@@ -94,7 +103,7 @@ def stretches(x: np.ndarray, starts: np.ndarray, ends: np.ndarray, min_len: int,
     n = len(x) - min_len + 1
     if n <= 0:
         return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
-    powers = _powers(x, min_len)
+    powers = _powers(x, min_len if digest else gram)
     h = _hashes(powers, gram)
     low = _sliding_min((h & ~np.uint64(_POS)) | np.arange(len(h), dtype=np.uint64), min_len - gram + 1)
     edge = np.zeros(n + 1, np.int32)
@@ -116,7 +125,7 @@ def stretches(x: np.ndarray, starts: np.ndarray, ends: np.ndarray, min_len: int,
 
 
 def _pieces(texts: list[bytes], min_len: int):
-    """Texts laid end to end in chunks of about CHUNK bytes; a longer text is cut into pieces
+    """Texts laid end to end in chunks of about LAID bytes; a text of over CHUNK bytes is cut into pieces
     that overlap by ``min_len - 1`` bytes, so that each window stands in one piece.
     Yields bytes, starts, ends, number of the text, offset of the piece in its text."""
     held, size = [], 0
@@ -134,7 +143,7 @@ def _pieces(texts: list[bytes], min_len: int):
                 continue
             held.append((i, o, p))
             size += len(p)
-            if size >= CHUNK:
+            if size >= LAID:
                 yield laid(held)
                 held, size = [], 0
     if held:
@@ -332,13 +341,31 @@ def _strings(min_len: int, gram: int, occurrences: bool):
 
 # ------------------------------------------------------------------ enhanced suffix array
 
-def suffix_array(strings: list[bytes], min_len: int):
-    """Suffixes of at least ``min_len`` bytes in order: number of the string, offset, length, and
-    the common-prefix length with the suffix before (0 for the first)."""
+def _met_again(strings: list[bytes], min_len: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes (number of the string, offset) whose first ``min_len`` bytes have the hash of another's:
+    all that can share them."""
     lens = np.array([len(s) for s in strings])
     count = lens - min_len + 1
     owner = np.repeat(np.arange(len(strings)), count)
     offset = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    h = _hashes(_powers(np.frombuffer(b"".join(strings), np.uint8), min_len), min_len)[(np.cumsum(lens) - lens)[owner] + offset]
+    order = np.argsort(h)
+    same = h[order[1:]] == h[order[:-1]]
+    again = np.zeros(len(h), bool)
+    again[order[1:][same]] = again[order[:-1][same]] = True
+    return owner[again], offset[again]
+
+
+def suffix_array(strings: list[bytes], min_len: int, some: tuple[np.ndarray, np.ndarray] | None = None):
+    """Suffixes of at least ``min_len`` bytes (all, or ``some``) in order: number of the string, offset,
+    length, and the common-prefix length with the suffix before (0 for the first)."""
+    lens = np.array([len(s) for s in strings])
+    count = lens - min_len + 1
+    if some is None:
+        owner = np.repeat(np.arange(len(strings)), count)
+        offset = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    else:
+        owner, offset = some
     left = lens[owner] - offset
     wide = -(-int(lens.max()) // 8) * 8
     data = np.frombuffer(b"".join(strings) + bytes(wide), np.uint8)
@@ -372,13 +399,17 @@ def maximal_repeats_of(strings: list[bytes], min_len: int) -> list[tuple[int, np
     """Maximal repeats of ``strings``: (length, string numbers, offsets) of all members."""
     if len(strings) < 2:
         return []
-    owner, offset, _, lcp = suffix_array(strings, min_len)
+    some = _met_again(strings, min_len)
+    if not len(some[0]):
+        return []
+    owner, offset, _, lcp = suffix_array(strings, min_len, some)
     inner = lcp >= min_len
     if not inner.any():
         return []
     before = np.full(len(owner), -1)
     has = np.nonzero(offset > 0)[0]
-    before[has] = [strings[o][k - 1] for o, k in zip(owner[has].tolist(), offset[has].tolist())]
+    lens = np.array([len(s) for s in strings])
+    before[has] = np.frombuffer(b"".join(strings), np.uint8)[(np.cumsum(lens) - lens)[owner[has]] + offset[has] - 1]
     edge = np.diff(np.concatenate(([0], inner.astype(np.int8), [0])))
     found = []
     for a, z in zip((np.nonzero(edge == 1)[0] - 1).tolist(), np.nonzero(edge == -1)[0].tolist()):
@@ -393,12 +424,12 @@ def maximal_repeats_of(strings: list[bytes], min_len: int) -> list[tuple[int, np
 
 def _groups(min_len: int, emit):
     """Sorted strings (anchor, s, ...) -> ``emit`` of all strings of as many whole anchors as
-    make about 1 MB."""
+    make about 256 KB."""
     def run(batches):
         held, size, last = [], 0, None
         for b in batches:
             for row in zip(*[c.to_pylist() for c in b.columns]):
-                if row[0] != last and size >= 1 << 20:
+                if row[0] != last and size >= 1 << 18:
                     yield emit(held)
                     held, size = [], 0
                 last = row[0]
@@ -418,23 +449,33 @@ def _shared(held: list) -> list[int]:
 def _verdicts(min_len: int):
     """Per string, runs of windows with the smallest id of the repeats that cover them."""
     def emit(held):
-        low = [np.full(len(r[1]) - min_len + 1, r[2], np.int64) for r in held]
-        shared = _shared(held)
-        for depth, owner, offset in maximal_repeats_of([held[i][1] for i in shared], min_len):
-            least = min(held[shared[o]][2] for o in owner.tolist())
-            for o, k in zip(owner.tolist(), offset.tolist()):
-                part = low[shared[o]][k:k + depth - min_len + 1]
+        ids, count = np.array([r[2] for r in held], np.int64), np.array([len(r[1]) - min_len + 1 for r in held])
+        at = np.cumsum(count) - count
+        own = np.repeat(ids, count)
+        low = own.copy()
+        shared = np.array(_shared(held), np.int64)
+        for depth, owner, offset in maximal_repeats_of([held[i][1] for i in shared.tolist()], min_len):
+            least, begin = ids[shared[owner]].min(), at[shared[owner]] + offset
+            for k in begin.tolist():
+                part = low[k:k + depth - min_len + 1]
                 np.minimum(part, least, out=part)
-        anchors, names, runs = [], [], []
-        for r, m in zip(held, low):
-            if r[3] == 1 and (m == r[2]).all():
-                continue  # it stands in one text, and no other covers any of it
-            cut = np.append(_runs(m), len(m))
-            anchors.append(r[0])
-            names.append(_name(r[1]))
-            runs.append([{"a": int(a), "z": int(z), "least": int(m[a])} for a, z in zip(cut[:-1], cut[1:])])
-        kind = pa.list_(pa.struct([("a", pa.int32()), ("z", pa.int32()), ("least", pa.int64())]))
-        return pa.RecordBatch.from_arrays([pa.array(anchors, pa.int64()), pa.array(names, pa.int64()), pa.array(runs, kind)],
+        # a string that stands in one text, and of which no other covers any, has no verdict
+        told = np.logical_or.reduceat(low != own, at) | (np.array([r[3] for r in held]) != 1)
+        begin = np.ones(len(low), bool)
+        begin[1:] = low[1:] != low[:-1]
+        begin[at] = True
+        owner = np.repeat(np.arange(len(held)), count)
+        begin = np.nonzero(begin)[0]
+        end = np.append(begin[1:], len(low))
+        keep = told[owner[begin]]
+        begin, end = begin[keep], end[keep]
+        owner = owner[begin]
+        fields = [pa.array((begin - at[owner]).astype(np.int32)), pa.array((end - at[owner]).astype(np.int32)), pa.array(low[begin])]
+        some = np.nonzero(told)[0]
+        edges = np.searchsorted(owner, np.append(some, len(held))).astype(np.int32)
+        runs = pa.ListArray.from_arrays(pa.array(edges), pa.StructArray.from_arrays(fields, ["a", "z", "least"]))
+        anchors, names = [held[i][0] for i in some.tolist()], [_name(held[i][1]) for i in some.tolist()]
+        return pa.RecordBatch.from_arrays([pa.array(anchors, pa.int64()), pa.array(names, pa.int64()), runs],
                                           ["anchor", "name", "runs"])
 
     return _groups(min_len, emit)
@@ -464,6 +505,12 @@ def _hot_verdicts(strings: DataFrame, min_len: int) -> DataFrame:
 
 # ------------------------------------------------------------------ operator
 
+def _unlisted(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Which list each item is of, and the items of all lists."""
+    n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(n)), n), pc.list_flatten(lists)
+
+
 def _rows(docs: DataFrame) -> DataFrame:
     """(id, sha, text): ``id`` orders documents (NULL last), ``sha`` (16 bytes) names the text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
@@ -513,28 +560,32 @@ def removals(docs: DataFrame, min_len: int = MIN_LEN, gram: int = GRAM, hot: int
         for whole in batches:
             for b in slices(whole, "text", 4 * CHUNK):
                 texts = b.column("text").to_pylist()
-                edges = [np.zeros(len(t) + 1, np.int64) for t in texts]
+                size = np.array([len(t) + 1 for t in texts])
+                base = np.cumsum(size) - size
+                edge = np.zeros(int(size.sum()), np.int32)  # of all texts in a row
                 gone = [np.frombuffer(b"".join(g), "<u8") for g in b.column("gone").to_pylist()]
-                for x, starts, ends, number, offset in _pieces(texts, min_len):
+                # only texts that lose whole stretches are asked for theirs
+                for x, starts, ends, number, offset in _pieces([t if len(g) else b"" for t, g in zip(texts, gone)], min_len):
                     at, stop, h, _ = stretches(x, starts, ends, min_len, gram)
                     piece = np.searchsorted(starts, at, side="right") - 1
                     cuts = np.searchsorted(piece, np.arange(len(starts) + 1))
                     for p in range(len(starts)):
                         row, lo, hi = number[p], cuts[p], cuts[p + 1]
-                        if len(gone[row]):
-                            some = lo + np.nonzero(np.isin(h[lo:hi] & _LOW48, gone[row]))[0]
-                            np.add.at(edges[row], at[some] - starts[p] + offset[p], 1)
-                            np.add.at(edges[row], stop[some] - starts[p] + offset[p] + min_len - 1, -1)
-                for edge, found in zip(edges, b.column("cuts").to_pylist()):
-                    for c in found or ():
-                        for r in c["runs"]:
-                            edge[c["start"] + r["a"]] += 1
-                            edge[c["start"] + r["z"] - 1 + min_len] -= 1
-                lost = [np.cumsum(e[:-1]) > 0 for e in edges]
+                        some = lo + np.nonzero(np.isin(h[lo:hi] & _LOW48, gone[row]))[0]
+                        here = base[row] + offset[p] - starts[p]
+                        np.add.at(edge, at[some] + here, 1)
+                        np.add.at(edge, stop[some] + here + min_len - 1, -1)
+                of_text, found = _unlisted(b.column("cuts"))
+                of_found, runs = _unlisted(pc.struct_field(found, "runs"))
+                here = (base[of_text] + pc.struct_field(found, "start").to_numpy(zero_copy_only=False))[of_found]
+                np.add.at(edge, here + pc.struct_field(runs, "a").to_numpy(zero_copy_only=False), 1)
+                np.add.at(edge, here + pc.struct_field(runs, "z").to_numpy(zero_copy_only=False) - 1 + min_len, -1)
+                edge = np.cumsum(edge) > 0
+                lost = [edge[x:x + n - 1] for x, n in zip(base.tolist(), size.tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [b.column("id"), b.column("sha"), pa.array([np.frombuffer(t, np.uint8)[~g].tobytes() for t, g in zip(texts, lost)], pa.binary()),
                      pa.array([int(g.sum()) for g in lost], pa.int64()),
-                     pa.array([int(g[0]) + int((g[1:] & ~g[:-1]).sum()) for g in lost], pa.int64())],
+                     pa.array([int(g[:1].sum()) + int((g[1:] & ~g[:-1]).sum()) for g in lost], pa.int64())],
                     ["id", "sha", "kept", "n_removed", "n_spans"])
 
     rows = flagged.select("id", "sha", "text", "gone").join(cuts, ["id", "sha"], "left").select("id", "sha", "text", "gone", "cuts")

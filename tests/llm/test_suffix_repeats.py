@@ -112,3 +112,23 @@ def test_repeat_groups(spark):
 def test_parameters(spark):
     with pytest.raises(ValueError):
         S.removals(frame(spark, []), 10, 20)
+
+
+def test_only_windows_met_twice_are_sorted(monkeypatch):
+    """Strings of one anchor mostly differ; before, each of their suffixes was sorted."""
+    import random
+    r = random.Random(4)
+    say = lambda n: bytes(r.randrange(97, 123) for _ in range(n))
+    same = say(14)
+    texts = [say(30) + b"anchor" + say(30) for _ in range(40)] + [say(9) + same + say(9), same + say(20), say(20) + same]
+    whole, sizes = S.suffix_array, []
+
+    def seen(strings, least, some=None):
+        got = whole(strings, least, some)
+        sizes.append(len(got[0]))
+        return got
+
+    monkeypatch.setattr(S, "suffix_array", seen)
+    told = lambda: sorted((d, sorted(zip(o.tolist(), k.tolist()))) for d, o, k in S.maximal_repeats_of(texts, 10))
+    found = told()
+    assert found == [(14, [(40, 9), (41, 0), (42, 20)])] and sizes == [15]
